@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from graphloom.plans import graph
+
+AREAS = (graph,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for area in AREAS for name, f in area.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for area in AREAS for name, sql in area.S.items()}
