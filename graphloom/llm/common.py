@@ -2,58 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.loops import Saved, shared_folder
+
+__all__ = ["WORD", "Saved", "fold", "shared_folder", "table", "text_crc", "word_count"]
+
 #: A word: a longest run of anything but space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_folder: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that
-    is unset (a local test), one temporary folder for the application."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    app = spark.sparkContext.applicationId
-    if app not in _own_folder:
-        _own_folder[app] = tempfile.mkdtemp(prefix="spark-")
-    return _own_folder[app]
-
-
-class Saved:
-    """Tables written to the shared folder and read again: each cuts the lineage, so
-    a lost executor never makes a loop start over."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def save(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{self.count}"
-        self.count += 1
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop_before(self, keep: int = 1) -> None:
-        """Delete all but the last `keep` tables."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for k in range(max(0, self.count - keep - 2), self.count - keep):
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{k}")
-            path.getFileSystem(conf).delete(path, True)
-
-
 def text_crc(column: Column) -> Column:
     """Unsigned CRC-32 of a string's UTF-8 bytes; null for null."""
     return F.crc32(column.cast("string").cast("binary"))

@@ -1,4 +1,4 @@
-"""Connected components, and linking through shared buckets without listing all pairs."""
+"""Linking through shared buckets without listing all pairs."""
 
 from __future__ import annotations
 
@@ -8,41 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import Saved
-
-MAX_ROUNDS = 60
-
-
-def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): every node of an edge with the smallest node of its component.
-
-    Alternating large-star and small-star steps; each halves the depth of the trees, and
-    every step is a partial aggregate and a join, so no node's neighbours are gathered.
-    Self-loops and repeated edges are allowed."""
-    saved = Saved(edges.sparkSession, "components")
-    now = saved.save(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("u != v").distinct())
-    before = None
-    for _ in range(MAX_ROUNDS):
-        now = saved.save(_small_star(_large_star(now)))
-        sign = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.lit(0))).first()
-        if sign == before:
-            return now.select(F.col("v").alias("node"), F.col("u").alias("component")).union(now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
-        before = sign
-        saved.drop_before()
-    raise RuntimeError("components did not settle")
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select("v", F.col("m").alias("u")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    # v > u in every edge, so a node's smaller neighbours are its u
-    least = edges.groupBy("v").agg(F.min("u").alias("m"))
-    hung = edges.join(least, "v").where("u != m").select(F.col("u").alias("v"), F.col("m").alias("u"))
-    return least.select("v", F.col("m").alias("u")).union(hung).distinct()
-
+from graphloom.operators.loops import components
 
 Verify = Callable[[DataFrame], DataFrame]
 

@@ -25,17 +25,22 @@ from __future__ import annotations
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.textbytes import mixed
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Paths that a worker keeps at most before it starts anew.
-KEPT = 400_000
+#: Paths that a worker keeps in each of two tables, the young and the old.
+KEPT = 300_000
+LONG = 64  # longer words are cut further, and not kept
+BATCH_CHARS = 400_000
+MOST_SLOTS = 1 << 22
 MODEL_BYTES = 64 << 20  # greatest model that is sent to the executors
 
 
@@ -91,6 +96,56 @@ def _rewrites(charsmap: bytes) -> dict[bytes, bytes]:
     return out
 
 
+class Table:
+    """Numbers to numbers, looked up many at once (open addressing). Without an entry the
+    answer is -1 or, if `judge` is given, what it says, which is then kept."""
+
+    def __init__(self, judge: Callable[[int], int] | None = None, size: int = 1 << 17) -> None:
+        self.judge = judge
+        self._clear(size)
+
+    def _clear(self, size: int) -> None:
+        self.keys, self.values, self.used = np.full(size, -1, dtype=np.int64), np.full(size, -1, dtype=np.int64), 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        mask = len(self.keys) - 1
+        slots = (mixed(keys.astype(np.uint64)) & np.uint64(mask)).astype(np.int64)
+        going = np.arange(len(keys))
+        while len(going):
+            here = self.keys[slots[going]]
+            going = going[(here != keys[going]) & (here != -1)]
+            slots[going] = (slots[going] + 1) & mask
+        return slots
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Keys that are not in the table, each once."""
+        while 2 * (self.used + len(keys)) >= len(self.keys):
+            full, old_keys, old_values = self.keys >= 0, self.keys, self.values
+            grown = 4 * len(old_keys) <= MOST_SLOTS
+            self._clear(4 * len(old_keys) if grown else len(old_keys))
+            if grown:
+                self.put(old_keys[full], old_values[full])
+            elif 2 * len(keys) >= len(self.keys):
+                raise MemoryError("more keys at once than the table holds")
+        self.used += len(keys)
+        while len(keys):
+            slots = self._slots(keys)
+            self.keys[slots] = keys  # of several keys in a slot one stays
+            won = self.keys[slots] == keys
+            self.values[slots[won]] = values[won]
+            keys, values = keys[~won], values[~won]
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slots = self._slots(keys)
+        if self.judge:
+            new = keys[self.keys[slots] == -1]
+            if len(new):
+                new = np.unique(new)
+                self.put(new, np.array([self.judge(key) for key in new.tolist()], dtype=np.int64))
+                slots = self._slots(keys)
+        return self.values[slots]
+
+
 class Transducer:
     def __init__(self, model: bytes) -> None:
         self.kind, self.dummy_prefix, self.trim, self.escape, charsmap = 1, True, True, True, b""
@@ -122,18 +177,37 @@ class Transducer:
         self.side = {p[k : k + 2] for p in self.arcs for k in range(len(p) - 1)}
         words_apart = not any(b == SPACE and a != SPACE for a, b in self.side)
         self.split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if words_apart else "(?s:.+)").findall
-        #: Pieces that their own text becomes; their lengths by their last two characters.
-        self.fit = {p for p in self.arcs if self.merged(p) == [p]} if self.kind == 2 else set()
-        ends: dict[str, set[int]] = {}
-        for p in self.fit:
-            if len(p) > 1:
-                ends.setdefault(p[-2:], {1}).add(len(p))
-        self.ends = {e: tuple(sorted(n, reverse=True)) for e, n in ends.items()}
-        self.follow: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.lengths = np.array([len(p) for p in self.pieces])
+        self.pairs = Table(self.may_follow)
+        self.old: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        if self.kind == 2:
+            self._compile_trie()
         self.texts = [b"" if t == CONTROL else bytes([int(p[3:5], 16)]) if t == BYTE else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, t in zip(self.pieces, self.types, strict=True)]
 
+    def _compile_trie(self) -> None:
+        """Arcs of the pieces that their own text becomes (no other is ever in a path)."""
+        self.trie, nodes = Table(), 1
+        step: dict[int, int] = {}
+        ending = [-1]
+        self.single = np.full(1 << 16, -1, dtype=np.int64)
+        for piece, k in self.arcs.items():
+            if len(piece) == 1 and ord(piece) < len(self.single) - 1:
+                self.single[ord(piece)] = k
+            if self.merged(piece) != [piece]:
+                continue
+            node = 0
+            for c in piece:
+                child = step.get(node << 21 | ord(c))
+                if child is None:
+                    child = step[node << 21 | ord(c)] = nodes
+                    nodes += 1
+                    ending.append(-1)
+                node = child
+            ending[node] = k
+        self.trie.put(np.array(list(step), dtype=np.int64), np.array(list(step.values()), dtype=np.int64))
+        self.ending = np.array(ending, dtype=np.int64)
+
     def normalised(self, text: str) -> str:
         if self.rewrites:
             out, at = [], 0
@@ -166,43 +240,92 @@ class Transducer:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def may_follow(self, a: str, b: str) -> bool:
-        if len(self.follow) > 4 * KEPT:
-            self.follow.clear()
-        known = self.follow[a, b] = self.merged(a + b) == [a, b]
-        return known
+    def may_follow(self, pair: int) -> int:
+        """Whether two pieces, each what its own text becomes, stay apart side by side."""
+        a, b = (self.pieces[k] if k < len(self.pieces) else chr(k - len(self.pieces)) for k in (pair >> 21, pair & (1 << 21) - 1))
+        return int(self.merged(a + b) == [a, b])
 
     # -- the shortest path -------------------------------------------------------------
 
-    def path(self, text: str) -> list[str]:
-        """Pieces (or single unknown characters) of the path of least weight."""
-        return self._byte_pair_path(text) if self.kind == 2 else self._unigram_path(text)
-
-    def _byte_pair_path(self, text: str) -> list[str]:
-        # A prefix has one path of weight 0, so a place needs its last piece only: the one
-        # that ends there and may follow the last piece of where it starts.
-        last = [""]
-        fit, follow, ends = self.fit, self.follow, self.ends
-        for j in range(1, len(text) + 1):
-            for n in ends.get(text[j - 2 : j], _ONE) if j > 1 else _ONE:
-                if n > j:
-                    continue
-                piece = text[j - n : j]
-                if piece in fit or n == 1:
-                    before = last[j - n]
-                    pair = (before, piece)
-                    if n == j or (before is not None and (follow[pair] if pair in follow else self.may_follow(before, piece))):
-                        last.append(piece)
-                        break
-            else:
-                last.append(None)
-        if last[-1] is None:
-            return self.merged(text)  # a vocabulary whose merges admit no such path
-        out, at = [], len(text)
-        while at:
-            out.append(last[at])
-            at -= len(last[at])
-        return out[::-1]
+    def paths(self, texts: list[str]) -> list[bytes]:
+        """Ids (int32) on the path of least weight of each text."""
+        if self.kind == 1:
+            return [array("i", self._ids(self._unigram_path(t))).tobytes() for t in texts]
+        out: list[bytes] = []
+        some: list[str] = []
+        size = 0
+        for text in texts:  # in batches of bounded size
+            some.append(text)
+            size += len(text)
+            if size > BATCH_CHARS:
+                out += self._byte_pair_paths(some)
+                some, size = [], 0
+        return out + self._byte_pair_paths(some) if some else out
+
+    def _byte_pair_paths(self, texts: list[str]) -> list[bytes]:
+        """All texts at once, place by place. A prefix has one path of weight 0, so a place
+        needs its last piece only: the one that ends there and may follow the last piece of
+        the place where it starts."""
+        chars = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        size = np.array([len(t) for t in texts])
+        base = np.concatenate(([0], np.cumsum(size)))
+        word = np.repeat(np.arange(len(texts)), size)
+        first, end = base[word], base[word + 1]
+        # arcs: the pieces that start at each place, by walking the trie from all at once
+        at, node = np.arange(len(chars)), np.zeros(len(chars), dtype=np.int64)
+        starts, stops, ids = [at], [at + 1], [np.where(self.single[np.minimum(chars, len(self.single) - 1)] >= 0, self.single[np.minimum(chars, len(self.single) - 1)], len(self.pieces) + chars)]
+        for depth in range(1, self.longest + 1):
+            inside = at + depth <= end[at]
+            at, node = at[inside], node[inside]
+            child = self.trie.get(node << 21 | chars[at + depth - 1])
+            at, node = at[child >= 0], child[child >= 0]
+            if depth > 1:
+                piece = self.ending[node]
+                starts.append(at[piece >= 0])
+                stops.append(at[piece >= 0] + depth)
+                ids.append(piece[piece >= 0])
+        start, stop, arc = np.concatenate(starts), np.concatenate(stops), np.concatenate(ids)
+        place = stop - first[start]
+        order = np.argsort(place, kind="stable")
+        start, stop, arc = start[order], stop[order], arc[order]
+        cuts = np.searchsorted(place[order], np.arange(1, size.max(initial=0) + 2))
+        last = np.full(len(chars) + 1, -1, dtype=np.int64)  # of the prefix that ends before
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            s, e, k = start[a:b], stop[a:b], arc[a:b]
+            fresh = s == first[s]
+            before = np.where(fresh, 0, last[s - 1])
+            ok = fresh.copy()
+            ask = np.flatnonzero(~fresh & (before >= 0))
+            ok[ask] = self.pairs.get(before[ask] << 21 | k[ask]) == 1
+            last[e[ok] - 1] = k[ok]
+        length = self.lengths
+        # back from the ends
+        found_word, found_step, found_id = [], [], []
+        lost: list[int] = []
+        who, upto, step = np.arange(len(texts))[size > 0], base[1:][size > 0].copy(), 0
+        while len(who):
+            k = last[upto - 1]
+            if (k < 0).any():
+                lost += who[k < 0].tolist()
+                who, upto, k = who[k >= 0], upto[k >= 0], k[k >= 0]
+            found_word.append(who)
+            found_step.append(np.full(len(who), step))
+            found_id.append(k)
+            upto = upto - np.where(k < len(self.pieces), length[np.minimum(k, len(self.pieces) - 1)], 1)
+            who, upto, step = who[upto > base[who]], upto[upto > base[who]], step + 1
+        if not found_id:
+            return [b""] * len(texts)
+        w, t, k = (np.concatenate(x) for x in (found_word, found_step, found_id))
+        order = np.lexsort((-t, w))
+        w, k = w[order], k[order]
+        edges = np.searchsorted(w, np.arange(len(texts) + 1))
+        flat = k.astype(np.int32).tobytes()
+        out = [flat[4 * a : 4 * b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        for x in set(w[k >= len(self.pieces)].tolist()):
+            out[x] = array("i", self._ids([self.pieces[i] if i < len(self.pieces) else chr(i - len(self.pieces)) for i in k[edges[x] : edges[x + 1]].tolist()])).tobytes()
+        for x in lost:  # a vocabulary whose merges admit no such path
+            out[x] = array("i", self._ids(self.merged(texts[x]))).tobytes()
+        return out
 
     def _unigram_path(self, text: str) -> list[str]:
         n = len(text)
@@ -220,9 +343,9 @@ class Transducer:
             at = back[at]
         return out[::-1]
 
-    def _part(self, text: str) -> bytes:
+    def _ids(self, pieces: list[str]) -> list[int]:
         ids: list[int] = []
-        for piece in self.path(text):
+        for piece in pieces:
             k = self.arcs.get(piece)
             if k is not None:
                 ids.append(k)
@@ -230,39 +353,46 @@ class Transducer:
                 ids += [self.bytes[b] for b in piece.encode()]
             else:
                 ids.append(self.unknown)
-        return array("i", ids).tobytes()
+        return ids
 
-    def _word(self, word: str) -> bytes:
-        out, start, side = [], 0, self.side
+    def _cut(self, word: str) -> list[str]:
+        """A long word, cut where no piece can cross."""
+        out, start = [], 0
         for k in range(1, len(word) + 1):
-            if k == len(word) or word[k - 1 : k + 1] not in side:
-                part = word[start:k]
-                if (ids := self.parts.get(part)) is None:
-                    if len(self.parts) >= KEPT:
-                        self.parts.clear()
-                    ids = self._part(part)
-                    if len(part) <= 64:
-                        self.parts[part] = ids
-                out.append(ids)
+            if k == len(word) or word[k - 1 : k + 1] not in self.side:
+                out.append(word[start:k])
                 start = k
-        return b"".join(out)
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        parted = [None if t is None else [p for w in self.split(self.normalised(t)) for p in ((w,) if len(w) <= LONG else self._cut(w))] for t in texts]
+        table: dict[str, bytes] = {}
+        missing = []
+        for word in set().union(*(p for p in parted if p)):
+            ids = self.young.get(word)
+            if ids is None and (ids := self.old.get(word)) is None:
+                missing.append(word)
+            else:
+                table[word] = self.young[word] = ids
+        for word, ids in zip(missing, self.paths(missing), strict=True):
+            table[word] = ids
+            if len(word) <= LONG:
+                self.young[word] = ids
+        if len(self.young) > KEPT:  # words that recur are taken over from the old table
+            self.old, self.young = self.young, {}
+        out: list[np.ndarray | None] = []
+        for parts in parted:
+            if parts is None:
+                out.append(None)
+                continue
+            ids = np.frombuffer(b"".join(map(table.__getitem__, parts)), dtype=np.int32)
+            if not self.bytes and len(ids) > 1:  # neighbouring unknowns are one
+                ids = ids[np.append(True, (ids[1:] != self.unknown) | (ids[:-1] != self.unknown))]
+            out.append(ids)
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        words = self.words
-        found = []
-        for word in self.split(self.normalised(text)):
-            ids = words.get(word)
-            if ids is None:
-                ids = self._word(word)
-                if len(words) >= KEPT:
-                    words.clear()
-                if len(word) <= 64:
-                    words[word] = ids
-            found.append(ids)
-        ids = np.frombuffer(b"".join(found), dtype=np.int32)
-        if not self.bytes and len(ids) > 1:  # neighbouring unknowns are one
-            ids = ids[np.append(True, (ids[1:] != self.unknown) | (ids[:-1] != self.unknown))]
-        return ids
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.texts.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -277,7 +407,6 @@ def model_bytes(path: str) -> bytes:
     return data
 
 
-_ONE = (1,)
 _compiled: dict[bytes, Transducer] = {}
 
 
@@ -300,7 +429,7 @@ def encoded(docs: DataFrame, model: bytes, *, text: str = "text", decode: bool =
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 some = batch.slice(start, 500)
-                ids = [None if t is None else machine.encode(t) for t in some.column(1).to_pylist()]
+                ids = machine.encode_all(some.column(1).to_pylist())
                 arrays = [some.column(0), pa.array(ids, pa.list_(pa.int32()))]
                 if decode:
                     arrays.append(pa.array([None if x is None else machine.decode(x) for x in ids], pa.string()))
