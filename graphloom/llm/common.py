@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.loops import Saved, shared_folder
 
-__all__ = ["WORD", "Saved", "fold", "shared_folder", "table", "text_crc", "word_count"]
+__all__ = ["WORD", "Saved", "fold", "others", "shared_folder", "table", "text_crc", "word_count"]
 
 #: A word: a longest run of anything but space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def others(df: DataFrame, *left_out: str) -> list[str]:
+    """Columns but those left out. What an operator adds takes the place of an input
+    column of the same name."""
+    gone = {c.lower() for c in left_out}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
 def text_crc(column: Column) -> Column:
     """Unsigned CRC-32 of a string's UTF-8 bytes; null for null."""
     return F.crc32(column.cast("string").cast("binary"))

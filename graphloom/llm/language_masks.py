@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import others
 from graphloom.llm.textbytes import mixed, slices
 
 N = 4  # bytes of an n-gram, word edges included
@@ -170,7 +171,7 @@ def identified(docs: DataFrame, train: Column, *, text: str = "text", lang: str
     """docs' columns but the text, with lang_pred and score; `train` tells the rows whose
     text and language may be learnt from."""
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs.where(train), text=text, lang=lang, **how))
-    own = [c for c in docs.columns if c != text]
+    own = others(docs, text, "lang_pred", "score")
     rows = docs.select(F.col(text).alias("_text"), F.struct(*own).alias("_row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Saved, word_count
+from graphloom.llm.common import Saved, others, word_count
 from graphloom.llm.shards import Splitter, splitters
 
 WEIGHTS = (3, 1, 2)
@@ -145,7 +145,7 @@ def mixed(docs: DataFrame, *, sources: Column | None = None, key: str = "doc_id"
     rule = docs.sparkSession.createDataFrame([(list(p), full, *_bound(cut, k << 43)) for k, (p, full, cut) in enumerate(zip(patterns, whole, cuts, strict=True))], "_m array<string>, _full int, _below long")
     marked = docs.join(F.broadcast(rule), members.eqNullSafe(F.col("_m")), "left")
     more = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 1) < F.col("_below")
-    out = marked.select(*docs.columns, word_count(F.col(text)).alias("size"), (F.col("_full") + F.when(more, 1).otherwise(0)).alias("copies"))
+    out = marked.select(*others(docs, "size", "copies"), word_count(F.col(text)).alias("size"), (F.col("_full") + F.when(more, 1).otherwise(0)).alias("copies"))
     return out, {s: (sizes[s], quota[s]) for s in sizes}
 
 

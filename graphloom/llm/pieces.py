@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import others
 from graphloom.llm.textbytes import mixed
 
 SPACE = "▁"
@@ -421,7 +422,7 @@ def encoded(docs: DataFrame, model: bytes, *, text: str = "text", decode: bool =
     """docs with `ids` (array<int>) of the texts and, if `decode`, `decoded`, the text that
     the ids stand for."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
+    rows = docs.select(F.struct(*others(docs, "ids", "decoded")).alias("_row"), F.col(text).alias("_text"))
     shape = f"_row {rows.schema['_row'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,7 +442,7 @@ def encoded(docs: DataFrame, model: bytes, *, text: str = "text", decode: bool =
 def decoded(docs: DataFrame, model: bytes, *, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """docs with the text that the column `ids` stands for; an id outside the model is an error."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(ids).cast("array<int>").alias("_ids"))
+    rows = docs.select(F.struct(*others(docs, to)).alias("_row"), F.col(ids).cast("array<int>").alias("_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(sent.value)

@@ -22,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD, Saved
+from graphloom.llm.common import WORD, Saved, others
 
 #: Labelled rows that the trees and the lasso see at most: those with the smallest
 #: hash of their id. Statistics and scores are computed over all rows.
@@ -73,7 +73,7 @@ def rates() -> dict[str, Column]:
     }
 
 
-FEATURES = tuple(rates())
+FEATURES = ("words", "upper", "letters", "digits", "symbols", "marks", "stops", "word_length", "distinct", "line_words", "distinct_lines")
 Rule = tuple[tuple[int, bool, float], ...]  # (feature, greater, bound) of each condition
 
 
@@ -137,7 +137,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, train: Column, *, text:
 
     `train` tells the rows that may be learnt from. The texts are read once: their
     statistics are kept in the shared folder and serve both the fit and the scores."""
-    own = [c for c in docs.columns if c != text]
+    own = others(docs, text, "score", "predicted")
     counts = docs.select(F.struct(*own).alias("row") if own else F.struct(F.lit(1)).alias("row"), train.alias("train"), F.struct(*[c.alias(n) for n, c in statistics(F.col(text)).items()]).alias("s"))
     kept = Saved(docs.sparkSession, "statistics").save(counts.select("row", "train", "s.*").select("row", "train", *[c.cast("double").alias(n) for n, c in rates().items()]))
     said = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg((F.avg(target) >= 0.5).cast("double").alias("label")).where("label is not null")

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Saved, text_crc
+from graphloom.llm.common import Saved, others, text_crc
 
 BITS = 10  # of a probe round: 1024 probes in an interval
 WORD_BITS = 63
@@ -132,7 +132,7 @@ def sharded(docs: DataFrame, shards: int, *, key: str = "doc_id", text: str = "t
     """docs' columns but the text, with size, text_crc32, shard and slot (gapless in a shard,
     in the order of the sort). Every shard has total / shards bytes, to within tolerance of
     that or one row."""
-    own = [c for c in docs.columns if c != text]
+    own = others(docs, text, "size", "text_crc32", "shard", "slot")
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.struct(*own).alias("row"), F.octet_length(whole).cast("long").alias("bytes"), text_crc(whole).alias("text_crc32"), *positions(F.col(key), F.col(text)))
     rows = Saved(docs.sparkSession, "shards").save(rows.withColumn("size", F.col("bytes") + 8))

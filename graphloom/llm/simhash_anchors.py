@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Saved
+from graphloom.llm.common import Saved, others
 from graphloom.llm.components import linked
 from graphloom.llm.textbytes import Hashes, mixed, slices, word_bounds
 
@@ -177,7 +177,7 @@ def majority(hashes: np.ndarray) -> int:
 
 def fingerprinted(docs: DataFrame, *, text: str = "text", words: int = 3) -> DataFrame:
     """docs' columns but the text, and `fingerprint` (long)."""
-    own = [c for c in docs.columns if c != text]
+    own = others(docs, text, "fingerprint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,13 +197,14 @@ def near_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     whose fingerprint is reachable over fingerprints that differ in `threshold` bits at most."""
     assert max(threshold // len(bands), 0) <= 2, "a band may differ in two bits at most"
     saved = Saved(docs.sparkSession, "simhash")
-    marked = saved.save(fingerprinted(docs, text=text, words=words))
+    own = others(docs, text, "fingerprint", "component_id")
+    marked = saved.save(fingerprinted(docs.select(*own, text), text=text, words=words))
     distinct = marked.groupBy(F.col("fingerprint").alias("node")).agg(F.min(key).alias("least"))
-    groups = linked(visits(distinct.select("node"), bands, fingerprint="node"), within(threshold))
+    groups = linked(visits(distinct.select("node"), bands, fingerprint="node"), within(threshold), star_rounds=1)
     group = saved.save(distinct.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = group.groupBy("component").agg(F.min("least").alias("component_id"))
     named = group.join(least, "component").select(F.col("node").alias("fingerprint"), "component_id")
-    return marked.join(named, "fingerprint").select(*[c for c in docs.columns if c != text], "fingerprint", "component_id")
+    return marked.join(named, "fingerprint").select(*own, "fingerprint", "component_id")
 
 
 # ---- documents that share most of their shingles ------------------------------------
@@ -324,9 +325,9 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **h
     """docs without the near copies: of each group the row with the smallest id stays."""
     groups = Saved(docs.sparkSession, "kept").save(similar_groups(docs, key=key, text=text, **how))
     keep = groups.where((F.col(key).eqNullSafe(F.col("group_id"))) & (F.col("node") == F.col("group_node")))
-    marked = docs.withColumn("_node", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    marked = docs.withColumn("_node_of_text", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     stays = keep.select(F.col(key).alias("_id"), F.col("node").alias("_n"))
-    out = marked.join(stays, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_n")), "left_semi")
+    out = marked.join(stays, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_node_of_text") == F.col("_n")), "left_semi")
     if keep.where("rows > 1").limit(1).count():
-        out = out.dropDuplicates([key, "_node"])
-    return out.drop("_node")
+        out = out.dropDuplicates([key, "_node_of_text"])
+    return out.drop("_node_of_text")
