@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import graph
+from graphloom.plans import content, graph, knowledge, temporal
 
-AREAS = (graph,)
+AREAS = (graph, temporal, knowledge, content)
 
 
 def queries() -> dict:
