@@ -132,7 +132,7 @@ def _(spark, sf):
 
 
 @query("graph_closeness_centrality", f"""WITH RECURSIVE {T}, u AS (SELECT src, dst FROM t UNION SELECT dst, src FROM t), n AS (SELECT DISTINCT src AS node FROM u),
-w AS (SELECT node AS s, node, 0 AS h FROM n UNION SELECT s, dst, h + 1 FROM w JOIN u ON u.src = w.node WHERE h < 6),
+w AS (SELECT node AS s, node, 0 AS h FROM n UNION SELECT s, dst, h + 1 FROM w JOIN u ON u.src = w.node WHERE h < 40),
 b AS (SELECT s, node, min(h) AS h FROM w GROUP BY 1, 2)
 SELECT s AS id, round((count(*) / sum(h)) * (count(*) / ((SELECT count(*) FROM n) - 1)), 9) AS closeness FROM b WHERE h > 0 GROUP BY s""")
 def _(spark, sf):
@@ -141,7 +141,7 @@ def _(spark, sf):
     return G.closeness(edges, sources).withColumn("closeness", F.round("closeness", 9))
 
 
-@query("graph_bfs_distances", f"""WITH RECURSIVE {T}, w AS (SELECT 'n0' AS node, 0 AS h UNION SELECT dst, h + 1 FROM w JOIN t ON t.src = w.node WHERE h < 8)
+@query("graph_bfs_distances", f"""WITH RECURSIVE {T}, w AS (SELECT 'n0' AS node, 0 AS h UNION SELECT dst, h + 1 FROM w JOIN t ON t.src = w.node WHERE h < 40)
 SELECT 'n0' AS start, node, min(h) AS hops FROM w GROUP BY node""")
 def _(spark, sf):
     return reachable(nations(spark, sf), spark.range(1).select(F.lit("n0").alias("start")))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import content, graph, knowledge, temporal
+from graphloom.plans import content, exchange, graph, knowledge, temporal
 
-AREAS = (graph, temporal, knowledge, content)
+AREAS = (graph, temporal, knowledge, content, exchange)
 
 
 def queries() -> dict:
