@@ -209,7 +209,7 @@ def near_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 # ---- documents that share most of their shingles ------------------------------------
 
-SKETCH = 8  # 64-bit words of parity bits
+SKETCH = 4  # 64-bit words of parity bits
 
 
 def _windows(words: np.ndarray, at: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -300,7 +300,14 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         differ = sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in sketch), F.lit(0))
         return close & (differ * (1 + similarity) <= (1 - similarity) * (F.col(f"{x}.shingles") + F.col(f"{y}.shingles")) + 1e-6)
 
-    spread = visits(nodes.select("fingerprint", "node", "shingles", *sketch), bands)
+    # fingerprints with another one near, or of several texts: only these go on, with sketches
+    prints = nodes.groupBy("fingerprint").agg(F.count("*").alias("n"))
+    met = visits(prints.select("fingerprint"), bands)
+    x, y = met.alias("x"), met.alias("y")
+    apart = F.bit_count(F.col("x.fingerprint").bitwiseXOR(F.col("y.fingerprint")))
+    paired = x.join(y.hint("merge"), (F.col("x.anchor") == F.col("y.anchor")) & (apart > 0) & (apart <= threshold), "left_semi").select("fingerprint")
+    active = saved.save(paired.union(prints.where("n > 1").select("fingerprint")).distinct())
+    spread = visits(nodes.join(active, "fingerprint", "left_semi").select("fingerprint", "node", "shingles", *sketch), bands)
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = saved.save(pairs)
