@@ -22,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD, Saved, others
+from graphloom.llm.common import WORD, others
 
 #: Labelled rows that the trees and the lasso see at most: those with the smallest
 #: hash of their id. Statistics and scores are computed over all rows.
@@ -59,7 +59,6 @@ def rates() -> dict[str, Column]:
         return F.col(a) / F.greatest(F.col(b), F.lit(1))
 
     return {
-        "words": F.log1p(F.col("n_words").cast("double")),
         "upper": over("n_upper", "n_letters"),
         "letters": over("n_letters", "n_chars"),
         "digits": over("n_digits", "n_chars"),
@@ -67,13 +66,14 @@ def rates() -> dict[str, Column]:
         "marks": over("n_marks", "n_words"),
         "stops": over("n_stops", "n_words"),
         "word_length": over("n_letters", "n_words"),
-        "distinct": over("n_distinct", "n_words"),
+        # log V / log N hardly moves with the length of a text, unlike V / N
+        "distinct": F.log1p(F.col("n_distinct").cast("double")) / F.log1p(F.greatest("n_words", F.lit(1)).cast("double")),
         "line_words": F.log1p(over("n_words", "n_lines")),
         "distinct_lines": over("n_distinct_lines", "n_lines"),
     }
 
 
-FEATURES = ("words", "upper", "letters", "digits", "symbols", "marks", "stops", "word_length", "distinct", "line_words", "distinct_lines")
+FEATURES = ("upper", "letters", "digits", "symbols", "marks", "stops", "word_length", "distinct", "line_words", "distinct_lines")
 Rule = tuple[tuple[int, bool, float], ...]  # (feature, greater, bound) of each condition
 
 
@@ -132,15 +132,26 @@ def fit(labelled: DataFrame, *, trees: int = 20, depth: int = 3, lasso: float =
         sample.unpersist()
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, train: Column, *, text: str = "text", key: str = "doc_id", target: str = "quality", threshold: float = THRESHOLD, **how) -> tuple[DataFrame, RuleEnsemble]:
-    """All columns of docs but the text, with `score` and `predicted`, and the ensemble.
+def with_statistics(rows: DataFrame, text: str) -> DataFrame:
+    """A column `row` of rows' columns, and FEATURES."""
+    # exploding an array of one keeps the optimiser from copying the counts into each rule
+    counts = rows.select(F.struct(*rows.columns).alias("row"), F.explode(F.array(F.struct(*[c.alias(n) for n, c in statistics(F.col(text)).items()]))).alias("s"))
+    return counts.select("row", "s.*").select("row", *[c.cast("double").alias(n) for n, c in rates().items()])
 
-    `train` tells the rows that may be learnt from. The texts are read once: their
-    statistics are kept in the shared folder and serve both the fit and the scores."""
-    own = others(docs, text, "score", "predicted")
-    counts = docs.select(F.struct(*own).alias("row") if own else F.struct(F.lit(1)).alias("row"), train.alias("train"), F.struct(*[c.alias(n) for n, c in statistics(F.col(text)).items()]).alias("s"))
-    kept = Saved(docs.sparkSession, "statistics").save(counts.select("row", "train", "s.*").select("row", "train", *[c.cast("double").alias(n) for n, c in rates().items()]))
+
+def learnt(docs: DataFrame, labels: DataFrame, train: Column, *, text: str = "text", key: str = "doc_id", target: str = "quality", rows: int = FIT_ROWS, **how) -> RuleEnsemble:
+    """The ensemble fitted on at most `rows` labelled rows, those with the smallest hashes of
+    their ids; `train` tells which of docs may be learnt from."""
     said = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg((F.avg(target) >= 0.5).cast("double").alias("label")).where("label is not null")
-    model = fit(kept.where("train").select(F.col(f"row.{key}").alias("key"), *FEATURES).join(said, "key"), **how)
-    scored = kept.withColumn("score", model.score())
-    return scored.select("row.*", "score", (F.col("score") >= threshold).cast("int").alias("predicted")), model
+    said = said.orderBy(F.xxhash64("key"), "key").limit(rows)  # bounded, so it can be broadcast
+    mine = docs.where(train).select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(said), "key")
+    return fit(with_statistics(mine, "text").select("row.key", "row.label", *FEATURES), rows=rows, **how)
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, train: Column, *, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, keep_text: bool = False, **how) -> tuple[DataFrame, RuleEnsemble]:
+    """All columns of docs (the text only with keep_text), with `score` and `predicted`, and
+    the ensemble. Every text is read once more for its score; nothing is shuffled."""
+    model = learnt(docs, labels, train, text=text, key=key, **how)
+    own = others(docs, "score", "predicted", *([] if keep_text else [text]))
+    scored = with_statistics(docs.select(*others(docs, "score", "predicted")), text).withColumn("score", model.score())
+    return scored.select(*[F.col(f"row.`{c}`") for c in own], "score", (F.col("score") >= threshold).cast("int").alias("predicted")), model
