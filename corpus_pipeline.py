@@ -16,10 +16,8 @@ from graphloom.llm.queries import MODEL
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    kept = docs.columns
-    marked = docs.withColumn("_same", F.col("text"))
-    scored, _ = quality_rules_ensemble.score_documents(marked, table(spark, sf_dir, "labels"), fold("doc_id", 5) > 0)
-    return scored.where("predicted = 1").withColumnRenamed("_same", "text").select(*kept)
+    scored, _ = quality_rules_ensemble.score_documents(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) > 0, keep_text=True)
+    return scored.where("predicted = 1").select(*docs.columns)
 
 
 def lines_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
