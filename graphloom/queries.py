@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import content, exchange, graph, knowledge, temporal
+from graphloom.plans import content, exchange, further, graph, knowledge, temporal
 
-AREAS = (graph, temporal, knowledge, content, exchange)
+AREAS = (graph, temporal, knowledge, content, exchange, further)
 
 
 def queries() -> dict:
