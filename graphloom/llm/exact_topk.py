@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import Saved
 
-GROUPS = 4
+GROUPS = 2
+FIRST_SHARE = 8  # a list is read to 1 / FIRST_SHARE of its length before the first test
 QUERY_ROWS = 2048
 CANDIDATE_ROWS = 8192
 TILE = 128  # queries that are worked on at once
@@ -44,38 +45,41 @@ def whole(vector: Column, scale: int = 64) -> Column:
 
 def best_of_block(query: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, groups: int = GROUPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query index, candidate id, score) of each query's k best, ties to the smaller id.
-    vectors and ids in ascending order of id. All values are whole and below 2^53."""
+    vectors and ids in ascending order of id. All values are whole; sums are below 2^53."""
     out_q, out_id, out_s = [], [], []
     cuts = [c for c in np.array_split(np.arange(vectors.shape[1]), groups) if len(c)]
+    # whole numbers below 2^24 are exact in single precision
+    most = float(np.abs(query).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * vectors.shape[1]
+    kind = np.float32 if most < 1 << 24 else np.float64
+    query, columns = query.astype(kind), [np.ascontiguousarray(vectors[:, c].T.astype(kind)) for c in cuts]
+    room = len(ids)
     for start in range(0, len(query), TILE):
         q, own = query[start : start + TILE], query_ids[start : start + TILE]
-        lists = [q[:, c] @ vectors[:, c].T for c in cuts]  # unsorted: value of each candidate
-        at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+        lists = [q[:, c] @ x for c, x in zip(cuts, columns, strict=True)]  # a value for each candidate
+        least = [p.min(axis=1) for p in lists]
+        at = np.minimum(np.searchsorted(ids, own), room - 1)
         hit = np.flatnonzero(ids[at] == own)
-        for part in lists:
-            part[hit, at[hit]] = -np.inf  # never read: the query itself
-        room = len(ids)
-        least = [np.where(np.isneginf(p), np.inf, p).min(axis=1) for p in lists]
+        for p in lists:
+            p[hit, at[hit]] = -np.inf  # the query itself comes last in its lists
         active = np.arange(len(q))
-        depth = min(room, max(2 * k, 64))
+        depth = min(room, max(4 * k, room // FIRST_SHARE))
         while len(active):
-            # the value at which each list has been read to, after `depth` sequential reads
-            edge = [(-np.partition(-p[active], depth - 1, axis=1)[:, depth - 1]) if depth < room else least[g][active] for g, p in enumerate(lists)]
-            lower, upper, seen = 0.0, 0.0, np.zeros((len(active), room), dtype=bool)
-            for g, p in enumerate(lists):
-                mine = p[active]
-                read = mine >= edge[g][:, None]
-                seen |= read
-                lower = lower + np.where(read, mine, least[g][active][:, None])
-                upper = upper + np.where(read, mine, edge[g][:, None])
-            lower = np.where(seen, lower, -np.inf)
-            gate = -np.partition(-lower, min(k, room) - 1, axis=1)[:, min(k, room) - 1]
-            ceiling = sum(edge)  # of candidates in no list so far
+            mine = lists if len(active) == len(q) else [p[active] for p in lists]
+            # the value down to which each list has been read, after `depth` entries
+            edge = [np.partition(p, room - depth, axis=1)[:, room - depth] if depth < room else least[g][active] for g, p in enumerate(mine)]
+            lower, upper, seen = None, None, None
+            for g, p in enumerate(mine):
+                read = p >= edge[g][:, None]
+                low, high = np.where(read, p, least[g][active][:, None]), np.where(read, p, edge[g][:, None])
+                lower, upper, seen = (low, high, read) if lower is None else (lower + low, upper + high, seen | read)
+            lower[~seen] = -np.inf
+            gate = np.partition(lower, room - min(k, room), axis=1)[:, room - min(k, room)]
+            ceiling = sum(edge)  # no candidate that is in no list so far can have more
             done = (gate > ceiling) | (depth >= room)
             left = seen & (upper >= gate[:, None])
             for row in np.flatnonzero(done):
                 who = np.flatnonzero(left[row])
-                score = sum(p[active[row], who] for p in lists)
+                score = sum(p[row, who] for p in mine)
                 who, score = who[score > -np.inf], score[score > -np.inf]
                 best = np.lexsort((who, -score))[:k]
                 out_q.append(np.full(len(best), start + active[row]))
