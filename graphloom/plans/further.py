@@ -137,3 +137,41 @@ def _(spark, sf):
     windows = F.transform(F.array(words), lambda ws: F.transform(F.sequence(F.lit(2), F.greatest(F.size(ws), F.lit(2))), lambda k: F.array_join(F.slice(ws, k, 6), " ")))[0]
     docs = table(spark, sf, "documents").select("doc_id", "text", F.explode(F.array_distinct(windows)).alias("key"))
     return docs.join(items, "key").where(F.contains("text", F.col("item"))).select("doc_id", "item_id").distinct()
+
+
+@query("embed_hashed", r"WITH w AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f\x0B]+'), lambda x: x <> '')) AS t FROM conversations), n AS (SELECT conv_id, turn, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS dim, count(*) AS n FROM w GROUP BY ALL) SELECT conv_id, turn, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY conv_id, turn)), 9) AS value FROM n")
+def _(spark, sf):
+    """A deterministic embedder: words hashed to 64 dimensions, counts brought to length 1."""
+    words = F.filter(F.split(F.lower("text"), r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
+    each = table(spark, sf, "conversations").select("conv_id", "turn", F.explode(words).alias("t"))
+    n = each.groupBy("conv_id", "turn", (F.conv(F.substr(F.md5("t"), F.lit(1), F.lit(8)), 16, 10).cast("long") % 64).alias("dim")).agg(F.count("*").alias("n"))
+    size = n.groupBy("conv_id", "turn").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
+    return n.join(size, ["conv_id", "turn"]).select("conv_id", "turn", "dim", F.round(F.col("n") / F.col("size"), 9).alias("value"))
+
+
+_SUB = """WITH e AS (SELECT 'r' || n_regionkey AS a, 'n' || n_nationkey AS b FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+d AS (SELECT a AS id, count(*) AS degree FROM u GROUP BY 1), s AS (SELECT 'n' || n_nationkey AS id FROM nation WHERE contains(lower(n_name), 'nation_1')),
+x AS (SELECT id, 0 AS hop FROM s UNION ALL SELECT u.b, 1 FROM u JOIN s ON u.a = s.id UNION ALL SELECT v.b, 2 FROM u JOIN s ON u.a = s.id JOIN u v ON v.a = u.b), m AS (SELECT id, min(hop) AS hop FROM x GROUP BY id)
+SELECT m.id, hop, coalesce(degree, 0) AS degree FROM m LEFT JOIN d ON d.id = m.id ORDER BY hop = 0 DESC, degree DESC, m.id LIMIT 25"""
+
+
+@query("retrieve_subgraph", _SUB)
+def _(spark, sf):
+    """Nodes that the question names, two hops around them, the 25 best by seed and degree."""
+    from graphloom.operators import graph as G
+
+    g = place_graph(spark, sf)
+    edges = g.edges.where("type <> 'home_of'")
+    seeds = g.nodes.where("type = 'nation'").where(F.contains(F.lower("name"), F.lit("nation_1"))).select(F.col("id").alias("start"))
+    near = reachable(G.adjacency(edges), seeds, max_hops=2).groupBy(F.col("node").alias("id")).agg(F.min("hops").alias("hop"))
+    ranked = near.join(G.degrees(edges), F.col("id") == F.col("node"), "left").select("id", "hop", F.coalesce("degree", F.lit(0)).alias("degree"))
+    return ranked.orderBy((F.col("hop") == 0).desc(), F.desc("degree"), "id").limit(25)
+
+
+@query("memory_retention", "SELECT event_id FROM (SELECT event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 20 AND ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+def _(spark, sf):
+    """The last twenty items of a user that are not older than a week."""
+    e = table(spark, sf, "events")
+    recent = e.where(F.col("ts") >= e.agg(F.max("ts") - F.expr("INTERVAL 7 DAYS")).scalar())
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return recent.withColumn("k", F.row_number().over(w)).where("k <= 20").select("event_id")
