@@ -209,7 +209,7 @@ def near_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 # ---- documents that share most of their shingles ------------------------------------
 
-SKETCH = 4  # 64-bit words of parity bits
+SKETCH = 8  # 64-bit words of parity bits
 
 
 def _windows(words: np.ndarray, at: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -320,7 +320,7 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         both = pairs.join(left, "a").join(right, "b").withColumn("same", F.size(F.array_intersect("ga", "gb")))
         return both.where(F.col("same") >= similarity * (F.size("ga") + F.size("gb") - F.col("same")) - 1e-9).select("a", "b")
 
-    groups = linked(spread, near, verify)
+    groups = linked(spread, near, verify, star_rounds=4)
     each = digest.groupBy("id", "node").agg(F.count("*").alias("rows"))
     placed = saved.save(nodes.select("node", "id").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = placed.groupBy("component").agg(F.min("id").alias("group_id"), F.min_by("node", F.struct(F.col("id").isNull(), "id", "node")).alias("group_node"))
