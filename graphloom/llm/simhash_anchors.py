@@ -238,14 +238,46 @@ def _windows(words: np.ndarray, at: np.ndarray, n: int, size: int) -> tuple[np.n
     return rows[fresh], hashes[fresh]
 
 
-def _digest(words: int) -> "callable":
+ORDER_ROWS = 20_000  # texts, about, whose shingles are counted for the order
+ORDER_SHINGLES = 200_000
+
+
+def _common(docs: DataFrame, text: str, node: Column, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that are common in a sample of the texts, in order, and their
+    counts. They only order shingles: any order gives the same links."""
+    parts = max(1, docs.count() // ORDER_ROWS)
+    some = docs.select(F.col(text).alias("_text"), node.alias("node")).where(F.pmod(F.xxhash64("node"), F.lit(parts)) == 0)
+    grams = some.mapInArrow(_sets(words), "node long, grams array<long>").dropDuplicates(["node"]).select(F.explode("grams").alias("g"))
+    found = grams.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "g").limit(ORDER_SHINGLES).collect()
+    hashes = np.array([r.g for r in found], dtype=np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.array([r.n for r in found], dtype=np.int64)[order]
+
+
+def _first(rows: np.ndarray, grams: np.ndarray, n: int, similarity: float, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, shingles) of each row's first n - ceil(similarity * n) + 1 shingles, rarest
+    first: two sets with that Jaccard similarity have one of these in common."""
+    often = np.zeros(len(grams), dtype=np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, grams), len(hashes) - 1)
+        often = np.where(hashes[at] == grams, counts[at], 0)
+    order = np.lexsort((grams, often, rows))
+    size = np.bincount(rows, minlength=n)
+    take = size - np.ceil(similarity * size - 1e-6).astype(np.int64) + 1
+    place = np.arange(len(grams)) - np.repeat(np.cumsum(size) - size, size)
+    kept = grams[order][place < np.repeat(take, size)]
+    return np.cumsum(np.minimum(take, size)), kept
+
+
+def _digest(words: int, similarity: float, often: np.ndarray, counts: np.ndarray) -> "callable":
     """Batches of (text, row) to (row, fingerprint of the distinct words, number of distinct
-    shingles, parity sketch of the shingles)."""
+    shingles, parity sketch of the shingles, the first shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             prints, sizes, sketch = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros((n, SKETCH), np.uint64)
+            firsts = []
             for row, data, offsets in slices(batch.column(0)):
                 data = _LOWER[data]
                 start, end, at = word_bounds(data, offsets)
@@ -253,6 +285,9 @@ def _digest(words: int) -> "callable":
                 m = len(offsets) - 1
                 rows, grams = _windows(hashes, at, m, words)
                 sizes[row : row + m] = np.bincount(rows, minlength=m)
+                ends, first = _first(rows, grams, m, similarity, often, counts)
+                # the sign sets them apart from the fingerprints' anchors
+                firsts.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array((first | np.uint64(1 << 63)).view(np.int64))))
                 bits = np.bincount(rows * (64 * SKETCH) + (grams & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=m * 64 * SKETCH) & 1
                 sketch[row : row + m] = np.packbits(bits.astype(np.uint8).reshape(m, -1), axis=1, bitorder="little").view(np.uint64)
                 single_rows, single = _windows(hashes, at, m, 1)
@@ -261,7 +296,7 @@ def _digest(words: int) -> "callable":
                 for k in range(m):
                     if count[k]:
                         prints[row + k] = majority(single[edges[k] : edges[k + 1]])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(prints.view(np.int64)), pa.array(sizes), *[pa.array(np.ascontiguousarray(sketch[:, k]).view(np.int64)) for k in range(SKETCH)]], names=["_row", "fingerprint", "shingles", *[f"s{k}" for k in range(SKETCH)]])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(prints.view(np.int64)), pa.array(sizes), *[pa.array(np.ascontiguousarray(sketch[:, k]).view(np.int64)) for k in range(SKETCH)], pa.concat_arrays(firsts) if firsts else pa.array([], pa.list_(pa.int64()))], names=["_row", "fingerprint", "shingles", *[f"s{k}" for k in range(SKETCH)], "first"])
 
     return run
 
@@ -283,22 +318,26 @@ def _sets(words: int) -> "callable":
 def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, threshold: int = 8, bands: tuple[Band, ...] = THREE) -> DataFrame:
     """(key, node, rows, group_id): every distinct (id, text) of docs, node being the text's
     hash, with the number of its rows and the smallest id of its group. Texts are linked if
-    the fingerprints of their distinct words differ in `threshold` bits at most and their
-    sets of shingles have a Jaccard similarity of `similarity` or more, which is verified."""
+    their sets of shingles have a Jaccard similarity of `similarity` or more, which is
+    verified. Those are held against each other whose fingerprints of distinct words differ
+    in `threshold` bits at most, and those that share one of their first shingles, the
+    rarest ones, as all texts with that similarity do."""
     saved = Saved(docs.sparkSession, "similar")
     node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(F.col(text).alias("_text"), F.struct(F.col(key).alias("id"), node.alias("node")).alias("_row"))
     sketch = [f"s{k}" for k in range(SKETCH)]
-    shape = f"_row {rows.schema['_row'].dataType.simpleString()}, fingerprint long, shingles long, {', '.join(f'{s} long' for s in sketch)}"
-    digest = saved.save(rows.mapInArrow(_digest(words), shape).select("_row.*", "fingerprint", "shingles", *sketch))
+    shape = f"_row {rows.schema['_row'].dataType.simpleString()}, fingerprint long, shingles long, {', '.join(f'{s} long' for s in sketch)}, first array<long>"
+    hashes, counts = _common(docs, text, node, words)
+    digest = saved.save(rows.mapInArrow(_digest(words, similarity, hashes, counts), shape).select("_row.*", "fingerprint", "shingles", *sketch, "first"))
     nodes = digest.groupBy("node").agg(F.min("id").alias("id"), F.first("fingerprint").alias("fingerprint"), F.first("shingles").alias("shingles"), *[F.first(s).alias(s) for s in sketch])
     nodes = saved.save(nodes)
 
     def near(x: str, y: str) -> Column:
-        close = F.bit_count(F.col(f"{x}.fingerprint").bitwiseXOR(F.col(f"{y}.fingerprint"))) <= threshold
+        close = (F.col(f"{x}.anchor") < 0) | (F.bit_count(F.col(f"{x}.fingerprint").bitwiseXOR(F.col(f"{y}.fingerprint"))) <= threshold)
+        sized = F.least(f"{x}.shingles", f"{y}.shingles") >= similarity * F.greatest(f"{x}.shingles", f"{y}.shingles") - 1e-6
         # each parity bit that differs is a shingle that only one side has: an exact bound
         differ = sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in sketch), F.lit(0))
-        return close & (differ * (1 + similarity) <= (1 - similarity) * (F.col(f"{x}.shingles") + F.col(f"{y}.shingles")) + 1e-6)
+        return close & sized & (differ * (1 + similarity) <= (1 - similarity) * (F.col(f"{x}.shingles") + F.col(f"{y}.shingles")) + 1e-6)
 
     # fingerprints with another one near, or of several texts: only these go on, with sketches
     prints = nodes.groupBy("fingerprint").agg(F.count("*").alias("n"))
@@ -308,6 +347,11 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     paired = x.join(y.hint("merge"), (F.col("x.anchor") == F.col("y.anchor")) & (apart > 0) & (apart <= threshold), "left_semi").select("fingerprint")
     active = saved.save(paired.union(prints.where("n > 1").select("fingerprint")).distinct())
     spread = visits(nodes.join(active, "fingerprint", "left_semi").select("fingerprint", "node", "shingles", *sketch), bands)
+    # the shingles that two texts have among their first ones
+    firsts = digest.select("node", F.explode("first").alias("anchor"))
+    common = firsts.groupBy("anchor").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("anchor")
+    shared = saved.save(firsts.join(common, "anchor", "left_semi").distinct())
+    spread = spread.unionByName(shared.join(nodes.select("fingerprint", "node", "shingles", *sketch), "node"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = saved.save(pairs)

@@ -350,6 +350,36 @@ def test_similar_groups_against_brute_force(spark, none):
     assert simhash_anchors.one_of_each(none).count() == 0
 
 
+def test_similar_groups_with_blocks_changed(spark):
+    rnd = random.Random(21)
+    data, want = [], set()
+
+    def grams(w):
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    def fresh(n):
+        return [f"w{rnd.getrandbits(40):x}" for _ in range(n)]
+
+    for k in range(60):
+        n = rnd.choice([20, 60, 300, 1000])
+        base = fresh(n)
+        share = 0.18 + 0.04 * rnd.random()
+        if k % 2:
+            other = base + fresh(int(n * share))
+        else:
+            cut = max(1, int(n * share / 2) - 4)
+            at = rnd.randrange(n - cut)
+            other = base[:at] + fresh(cut) + base[at + cut :]
+        a, b = grams(base), grams(other)
+        if len(a & b) >= 0.8 * len(a | b):
+            want.add(2 * k)
+        data += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: r.group_id for r in simhash_anchors.similar_groups(d).collect()}
+    assert len(want) > 40
+    assert {k for k in range(0, 120, 2) if got[k + 1] == k} == want
+
+
 def test_dense_groups_emit_no_pairs(spark):
     rnd = random.Random(2)
     nodes = [rnd.getrandbits(3) | 5 << 20 | k << 40 for k in range(400)]
