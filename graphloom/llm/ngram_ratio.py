@@ -25,8 +25,6 @@ BUCKETS = 1 << 16
 N = 4
 THRESHOLD = -0.08
 SMOOTHING = 1.0
-#: Trusted rows at most; the raw counts cover every row.
-TRUSTED_ROWS = 20_000
 
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -127,17 +125,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"bucket": seen.astype(np.int32), "raw": raw[seen], "trusted": trusted[seen]})
 
 
-def trusted_ids(labels: DataFrame, *, key: str = "doc_id", target: str = "quality", rows: int = TRUSTED_ROWS) -> DataFrame:
-    """Ids of rows labelled 1 (by the mean of their labels), those with the smallest
-    hashes; `rows` of them at most, which bounds what is broadcast."""
+def trusted_ids(labels: DataFrame, *, key: str = "doc_id", target: str = "quality") -> DataFrame:
+    """Ids of all rows labelled 1 (by the mean of their labels)."""
     good = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.avg(target).alias("mean")).where("mean >= 0.5")
-    return good.select(F.col(key).alias("_key")).orderBy(F.xxhash64("_key"), "_key").limit(rows)
+    return good.select(F.col(key).alias("_key"))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, *, text: str = "text", key: str = "doc_id", smoothing: float = SMOOTHING) -> np.ndarray:
     """log P(bucket | trusted rows) - log P(bucket | all rows), counted over all rows of
-    docs. Every task adds up its own table; BUCKETS rows come to the driver."""
-    marked = docs.select(text, F.col(key).alias("_key")).join(F.broadcast(trusted.withColumn("_good", F.lit(True))), "_key", "left")
+    docs. Every task adds up its own table; BUCKETS rows come to the driver. The trusted
+    rows are of any number, so they meet the texts in a merge join."""
+    marked = docs.select(text, F.col(key).alias("_key")).join(trusted.withColumn("_good", F.lit(True)).hint("merge"), "_key", "left")
     counted = marked.select(text, "_good").mapInArrow(_count, "bucket int, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for bucket, a, b in counted.collect():

@@ -116,6 +116,17 @@ def test_ngram_ratio_is_the_mean_log_ratio(spark, docs, labels):
     assert ok.all() and abs(ratios[code].mean() - r.llr) < 1e-8
 
 
+def test_ngram_target_counts_every_trusted_row(spark):
+    n = 20_300
+    texts = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.md5(F.col("id").cast("string"))).alias("text"))
+    # as many ids without a document, which must not take the place of others
+    labels = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    trusted = ngram_ratio.trusted_ids(labels)
+    assert trusted.count() == 2 * n
+    # the target is the whole corpus, so no n-gram is commoner in it
+    assert not ngram_ratio.log_ratios(texts, trusted).any()
+
+
 @pytest.mark.parametrize("shard_count", [1, 7])
 def test_shards_near_equal_and_gapless(spark, docs, none, shard_count):
     got = shards.sharded(docs, shard_count).collect()
