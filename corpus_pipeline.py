@@ -37,9 +37,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' piece ids."""
-    out = pieces.encoded(docs, pieces.model_bytes(MODEL), decode=False)
-    return out.select("doc_id", "source", "lang", F.size("ids").alias("n_ids"), "ids")
+    """The documents' piece ids, the text decoded from them and whether it is the document's."""
+    out = pieces.encoded(docs, pieces.model_bytes(MODEL))
+    return out.select("doc_id", "source", "lang", F.size("ids").alias("n_ids"), "ids", "decoded", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 
 STAGES = [

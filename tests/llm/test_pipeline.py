@@ -54,3 +54,13 @@ def test_stages(spark, tmp_path):
         assert (machine.decode(machine.encode(text[r.doc_id])) if text[r.doc_id] is not None else None) == text[r.doc_id]
         assert list(r.ids or []) == ([] if text[r.doc_id] is None else machine.encode(text[r.doc_id]).tolist())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[names[4]])
+
+
+def test_last_stage_decodes(spark, tmp_path):
+    texts = ["plain words", "", None, "é ü 文字 \U0001F600"]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.tokenised(spark, docs, str(tmp_path)).collect()}
+    machine = pieces.Transducer(pieces.model_bytes(MODEL))
+    for k, t in enumerate(texts):
+        assert got[k].decoded == (None if t is None else machine.decode(machine.encode(t)))
+        assert got[k].lossless == (got[k].decoded == t)
