@@ -22,7 +22,7 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur elsewhere earlier are taken out of the texts; every document stays."""
-    return line_chunks.deduplicated(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return line_chunks.deduplicated(docs, runs=True).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

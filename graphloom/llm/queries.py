@@ -38,7 +38,7 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_chunks.deduplicated(docs)
+    return line_chunks.deduplicated(docs, runs=True)
 
 
 def op6_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -257,6 +257,33 @@ def test_line_chunks_against_brute_force(spark, none):
     assert line_chunks.deduplicated(none).count() == 0
 
 
+def test_short_passages_go_from_edge_to_edge(spark):
+    rnd = random.Random(4)
+
+    def line(n):
+        return " ".join(f"w{rnd.getrandbits(40):x}" for _ in range(n))
+
+    data, want = [], {}
+    for case in range(60):
+        lengths = [rnd.randint(0, 49) for _ in range(rnd.randint(2, 9))]
+        while sum(lengths) < line_chunks.LONG_LINE:
+            lengths.append(rnd.randint(1, 12))
+        passage = [line(n) for n in [rnd.randint(1, 49), *lengths, rnd.randint(1, 49)]]
+        for copy in range(3):
+            head, tail = ([line(rnd.randint(1, 40)) for _ in range(rnd.randint(0, 3))] for _ in range(2))
+            data.append((10 * case + copy, "\n".join([*head, *passage, *tail])))
+            want[10 * case + copy] = (len(passage), "\n".join([*head, *tail])) if copy else (0, data[-1][1])
+    refrain = [line(10) for _ in range(2)] * 20
+    data.append((1000, "\n".join(refrain)))
+    data.append((1001, "\n".join(f"{k}" for k in range(300)) + "\n" + "\n" * 80 + "end"))
+    data.append((1002, "first\n" + data[-1][1]))
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: (r.removed_lines, r.text) for r in line_chunks.deduplicated(d, runs=True).collect()}
+    assert {k: got[k] for k in want} == want
+    assert 0 < got[1000][0] < 40 and got[1000][1].startswith("\n".join(refrain[:5]))
+    assert got[1001][0] == 0 and got[1002] == (381, "first")
+
+
 def test_chunk_boundaries_resist_shifts(spark):
     rnd = random.Random(1)
     passage = "\n".join(prose(rnd, 12) for _ in range(40))
