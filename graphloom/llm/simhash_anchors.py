@@ -238,8 +238,8 @@ def _windows(words: np.ndarray, at: np.ndarray, n: int, size: int) -> tuple[np.n
     return rows[fresh], hashes[fresh]
 
 
-ORDER_ROWS = 20_000  # texts, about, whose shingles are counted for the order
-ORDER_SHINGLES = 200_000
+ORDER_ROWS = 5_000  # texts, about, whose shingles are counted for the order
+ORDER_SHINGLES = 10_000
 
 
 def _common(docs: DataFrame, text: str, node: Column, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,10 +248,10 @@ def _common(docs: DataFrame, text: str, node: Column, words: int) -> tuple[np.nd
     parts = max(1, docs.count() // ORDER_ROWS)
     some = docs.select(F.col(text).alias("_text"), node.alias("node")).where(F.pmod(F.xxhash64("node"), F.lit(parts)) == 0)
     grams = some.mapInArrow(_sets(words), "node long, grams array<long>").dropDuplicates(["node"]).select(F.explode("grams").alias("g"))
-    found = grams.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "g").limit(ORDER_SHINGLES).collect()
-    hashes = np.array([r.g for r in found], dtype=np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], np.array([r.n for r in found], dtype=np.int64)[order]
+    found = grams.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "g").limit(ORDER_SHINGLES).toArrow()
+    hashes, counts = (np.array(found[c].to_numpy(), dtype=np.int64) for c in ("g", "n"))
+    order = np.argsort(hashes.view(np.uint64))
+    return hashes.view(np.uint64)[order], counts[order]
 
 
 def _first(rows: np.ndarray, grams: np.ndarray, n: int, similarity: float, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
