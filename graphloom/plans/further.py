@@ -129,14 +129,24 @@ def _(spark, sf):
 
 @query("benchmark_matches", "SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def _(spark, sf):
-    """Documents that hold a benchmark text whole: lines and their windows are not enough, so
-    the first eight words of an item pick candidates, and the texts then decide."""
+    """Documents that hold a benchmark text whole: the words within an item, six at most, pick
+    candidates, and the texts then decide. The first and the last word may be cut in a
+    document; items of two words or fewer have none within and are held against every text."""
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    head = F.array_join(F.slice(words, 2, 6), " ")  # the first word may be cut in a document
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"), head.alias("key"), F.least(F.size(words) - 1, F.lit(6)).alias("n"))
-    windows = F.transform(F.array(words), lambda ws: F.transform(F.sequence(F.lit(2), F.greatest(F.size(ws), F.lit(2))), lambda k: F.array_join(F.slice(ws, k, 6), " ")))[0]
-    docs = table(spark, sf, "documents").select("doc_id", "text", F.explode(F.array_distinct(windows)).alias("key"))
-    return docs.join(items, "key").where(F.contains("text", F.col("item"))).select("doc_id", "item_id").distinct()
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"), words.alias("ws")).withColumn("n", F.least(F.size("ws") - 2, F.lit(6)))
+    keyed = items.where("n > 0").select("item_id", "item", F.array_join(F.slice("ws", F.lit(2), F.col("n")), " ").alias("key"))
+    sizes = [r.n for r in items.where("n > 0").select("n").distinct().collect()]
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = docs.join(items.where("n <= 0").select("item_id", "item"), F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    if sizes:
+
+        def windows(ws, n):
+            return F.when(F.size(ws) > n + 1, F.transform(F.sequence(F.lit(2), F.size(ws) - n), lambda k: F.array_join(F.slice(ws, k, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+        every = F.transform(F.array(words), lambda ws: F.concat(*[windows(ws, n) for n in sizes]))[0]
+        near = docs.select("doc_id", "text", F.explode(F.array_distinct(every)).alias("key")).join(keyed, "key")
+        found = found.union(near.where(F.contains("text", F.col("item"))).select("doc_id", "item_id"))
+    return found.distinct()
 
 
 @query("embed_hashed", r"WITH w AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f\x0B]+'), lambda x: x <> '')) AS t FROM conversations), n AS (SELECT conv_id, turn, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS dim, count(*) AS n FROM w GROUP BY ALL) SELECT conv_id, turn, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY conv_id, turn)), 9) AS value FROM n")

@@ -48,3 +48,15 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_sql_has_a_query():
     assert set(core.oracle_sql()) <= set(core.queries())
+
+
+def test_benchmark_items_of_any_length(spark, tmp_path):
+    from graphloom.plans import further
+
+    texts = ["one two three four five six seven eight nine", "xone two threes", "a one\ntwo three four five six sevenths b", "two", "", None]
+    items = ["one", "two", "one two", "one two three", "two three four five", "one two three four five six", "one two three four five six seven", "one two three four five six seven eight", " two ", "", None, "wo thr"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if t is not None and x is not None and x in t}
+    got = [tuple(r) for r in further.Q["benchmark_matches"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
