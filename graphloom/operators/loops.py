@@ -4,23 +4,46 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: dict[str, str] = {}
+#: Open scratch scopes, each the folders that were made in it.
+_scopes: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that
-    is unset (a local test), one temporary folder for the application."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset,
+    a local session (a test) gets one temporary folder for the application; on a cluster it
+    is an error, as every executor would write to a disk of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    app = spark.sparkContext.applicationId
-    if app not in _own_folder:
-        _own_folder[app] = tempfile.mkdtemp(prefix="spark-")
-    return _own_folder[app]
+    context = spark.sparkContext
+    if not context.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own_folder:
+        _own_folder[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
+    return _own_folder[context.applicationId]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables saved inside are deleted at the end: write what is wanted of them before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for root in _scopes.pop():
+            _delete(spark, root)
 
 
 class Saved:
@@ -31,23 +54,34 @@ class Saved:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        if _scopes:
+            _scopes[-1].append(self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{self.count}"
-        self.count += 1
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        df.write.parquet(self._next())
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.count - 1}")
+
+    def signed(self, df: DataFrame, *columns: str) -> tuple[DataFrame, tuple]:
+        """The saved table, and its number of rows with a sum of their hashes, both taken
+        while it is written."""
+        seen = Observation()
+        total = F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.lit(0))
+        table = self.save(df.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("total")))
+        return table, (seen.get["n"], seen.get["total"])
+
+    def all(self, first: int = 0) -> DataFrame:
+        """The rows of all tables from number `first` on, which have one schema."""
+        paths = [f"{self.root}/{k}" for k in range(first, self.count)]
+        return self.spark.read.schema(self.spark.read.parquet(paths[0]).schema).parquet(*paths)
 
     def drop_before(self, keep: int = 1) -> None:
         """Delete all but the last `keep` tables."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for k in range(max(0, self.count - keep - 2), self.count - keep):
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{k}")
-            path.getFileSystem(conf).delete(path, True)
-
+            _delete(self.spark, f"{self.root}/{k}")
 
-MAX_ROUNDS = 60
+    def _next(self) -> str:
+        self.count += 1
+        return f"{self.root}/{self.count - 1}"
 
 
 def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
@@ -55,18 +89,16 @@ def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating large-star and small-star steps; each halves the depth of the trees, and
     every step is a partial aggregate and a join, so no node's neighbours are gathered.
-    Self-loops and repeated edges are allowed."""
+    The test for an end is taken from the round's own write. Self-loops and repeated edges
+    are allowed."""
     saved = Saved(edges.sparkSession, "components")
-    now = saved.save(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("u != v").distinct())
+    now, sign = saved.signed(edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("u != v").distinct(), "v", "u")
     before = None
-    for _ in range(MAX_ROUNDS):
-        now = saved.save(_small_star(_large_star(now)))
-        sign = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.lit(0))).first()
-        if sign == before:
-            return now.select(F.col("v").alias("node"), F.col("u").alias("component")).union(now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+    while sign[0] and sign != before:
         before = sign
+        now, sign = saved.signed(_small_star(_large_star(now)), "v", "u")
         saved.drop_before()
-    raise RuntimeError("components did not settle")
+    return now.select(F.col("v").alias("node"), F.col("u").alias("component")).union(now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -86,17 +118,14 @@ def reachable(edges: DataFrame, starts: DataFrame, *, max_hops: int | None = Non
     """(start, node, hops): every node on a directed path from a start, with the fewest hops.
 
     edges: src, dst; starts: start (a node, or several). Runs until nothing new is found or
-    max_hops; a round joins only the last frontier, and is saved."""
+    max_hops; a round joins only the last frontier, and writes only what it has found."""
     saved = Saved(edges.sparkSession, "reach")
     links = edges.select("src", "dst").distinct()
-    seen = saved.save(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")).distinct())
-    hop = 0
-    while max_hops is None or hop < max_hops:
+    frontier = saved.save(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")).distinct())
+    hop, n = 0, 1
+    while n and (max_hops is None or hop < max_hops):
         hop += 1
-        frontier = seen.where(F.col("hops") == hop - 1).select("start", "node")
-        fresh = frontier.join(links, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        fresh = saved.save(fresh.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)))
-        if fresh.isEmpty():
-            break
-        seen = saved.save(seen.union(fresh))
-    return seen
+        fresh = frontier.select("start", "node").join(links, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        fresh = fresh.join(saved.all().select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop))
+        frontier, (n, _) = saved.signed(fresh, "start", "node")
+    return saved.all()
