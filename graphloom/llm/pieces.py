@@ -1,23 +1,29 @@
 """SentencePiece encoding and decoding as shortest paths in a weighted transducer.
 
-A model is compiled once: its normaliser into rewriting arcs, its pieces into arcs from
-text to ids, byte fallback into arcs for characters that are no piece. Composed with an
-input this is a lattice, and the encoding is its path of least weight in the tropical
-semiring (min, +).
-
-- Unigram models: an arc weighs minus its piece's score; an unknown character, ten more
-  than the worst piece.
+A model is compiled once, into three machines. The normaliser is a sequential transducer: a
+trie of the texts that it rewrites, the longest match first. The pieces are arcs from text to
+ids with weights. Byte fallback is an arc for each character that is no piece, from the
+character to the ids of its bytes (or to the unknown id). Composed with an input, normaliser
+first, this is a lattice over the places between characters, and the encoding is its path of
+least weight in the tropical semiring (min, +), found place by place.
+
+- Unigram models: an arc weighs minus its piece's score; a fallback arc, ten more than the
+  worst piece.
 - Byte-pair models order their merges and have no additive score. Their encodings are the
   sequences in which every two neighbours stay apart when the merges are run on the two
-  alone, so a state is (place, last piece) and an arc weighs 0 if its piece may follow
-  the last one, else infinity. Which pairs may is found from the merges once per pair.
+  alone, so a state is (place, last piece), arcs weigh 0, and a step weighs 1 if its piece may
+  not follow the last one. Which pairs may is found from the merges once per pair. Every text
+  has one path of weight 0, so a place needs its lightest state only.
 
-Texts are cut before composing where no arc can cross: between characters that stand side
-by side in no piece. The parts recur, and each worker keeps their paths in a bounded table.
+User-defined pieces are cut out of the text first, the longest at each place: no rewriting and
+no other arc crosses them. Texts are further cut where no arc can cross: between characters
+that stand side by side in no piece. The parts recur, and each worker keeps their paths in a
+bounded table.
 
 Defined cases: null gives null; an empty text has no ids; any Unicode text, white space
 and control characters included, is encoded; repeated rows get equal ids; a text of any
-length is done whole; extra columns are kept.
+length is done whole; an empty table has no rows; extra columns are kept, but ids and decoded
+take the place of input columns of these names.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import others
+from graphloom.llm.common import in_arrow, named, others, packed, unpacked
 from graphloom.llm.textbytes import mixed
 
 SPACE = "▁"
@@ -167,13 +173,16 @@ class Transducer:
                 self.dummy_prefix, self.trim, self.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
         if self.kind not in (1, 2):
             raise ValueError("only unigram and byte-pair models are supported")
-        self.rewrites = {k.decode(): v.decode() for k, v in _rewrites(charsmap).items()}
-        self.longest_rewrite = max(map(len, self.rewrites), default=0)
+        self._compile_normaliser({k.decode(): v.decode() for k, v in _rewrites(charsmap).items()})
         self.arcs = {p: k for k, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t in (NORMAL, USER)}
         self.longest = max(map(len, self.arcs), default=1)
         self.bytes = {int(p[3:5], 16): k for k, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE}
         self.unknown = next((k for k, t in enumerate(self.types) if t == UNKNOWN), 0)
-        self.penalty = min((self.scores[k] for k in self.arcs.values()), default=0.0) - 10
+        # weights of the arcs by id; ids from len(pieces) on are characters' fallback arcs
+        worst = min((self.scores[k] for k in self.arcs.values()), default=0.0)
+        self.weights = -np.append(np.array(self.scores, dtype=np.float64), worst - 10) if self.kind == 1 else np.zeros(len(self.pieces) + 1)
+        user = sorted((p for p, t in zip(self.pieces, self.types, strict=True) if t == USER and p), key=len, reverse=True)
+        self.user = re.compile("|".join(map(re.escape, user))) if user else None
         # characters that stand side by side in a piece; others can be cut apart
         self.side = {p[k : k + 2] for p in self.arcs for k in range(len(p) - 1)}
         words_apart = not any(b == SPACE and a != SPACE for a, b in self.side)
@@ -182,12 +191,14 @@ class Transducer:
         self.pairs = Table(self.may_follow)
         self.old: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
-        if self.kind == 2:
-            self._compile_trie()
+        #: The greatest weight of a byte-pair path so far; above 0 the merges admit no such path.
+        self.heaviest = 0.0
+        self._compile_trie()
         self.texts = [b"" if t == CONTROL else bytes([int(p[3:5], 16)]) if t == BYTE else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, t in zip(self.pieces, self.types, strict=True)]
 
     def _compile_trie(self) -> None:
-        """Arcs of the pieces that their own text becomes (no other is ever in a path)."""
+        """The pieces' arcs; of a byte-pair model those that their own text becomes, as no other
+        is ever in a path."""
         self.trie, nodes = Table(), 1
         step: dict[int, int] = {}
         ending = [-1]
@@ -195,7 +206,7 @@ class Transducer:
         for piece, k in self.arcs.items():
             if len(piece) == 1 and ord(piece) < len(self.single) - 1:
                 self.single[ord(piece)] = k
-            if self.merged(piece) != [piece]:
+            if self.kind == 2 and self.merged(piece) != [piece]:
                 continue
             node = 0
             for c in piece:
@@ -209,25 +220,54 @@ class Transducer:
         self.trie.put(np.array(list(step), dtype=np.int64), np.array(list(step.values()), dtype=np.int64))
         self.ending = np.array(ending, dtype=np.int64)
 
+    def _compile_normaliser(self, rewrites: dict[str, str]) -> None:
+        """States of the normaliser: (state, character) -> state; state -> text it puts out."""
+        self.rewrite_step: dict[tuple[int, str], int] = {}
+        self.rewrite_out: dict[int, str] = {}
+        for text, to in rewrites.items():
+            state = 0
+            for c in text:
+                state = self.rewrite_step.setdefault((state, c), len(self.rewrite_step) + 1)
+            self.rewrite_out[state] = to
+
+    def _rewritten(self, text: str) -> str:
+        out, at = [], 0
+        while at < len(text):
+            state, k, put, end = 0, at, text[at], at + 1  # without a match a character passes
+            while k < len(text) and (state := self.rewrite_step.get((state, text[k]))) is not None:
+                k += 1
+                if state in self.rewrite_out:
+                    put, end = self.rewrite_out[state], k
+            out.append(put)
+            at = end
+        return "".join(out)
+
     def normalised(self, text: str) -> str:
-        if self.rewrites:
-            out, at = [], 0
-            while at < len(text):
-                for n in range(min(self.longest_rewrite, len(text) - at), 0, -1):
-                    if (to := self.rewrites.get(text[at : at + n])) is not None:
-                        out.append(to)
-                        at += n
-                        break
-                else:
-                    out.append(text[at])
-                    at += 1
-            text = "".join(out)
+        if self.rewrite_step:
+            kept = [(m.start(), m.end()) for m in self.user.finditer(text)] if self.user else []
+            done, at = [], 0
+            for a, b in kept:
+                done += [self._rewritten(text[at:a]), text[a:b]]
+                at = b
+            text = "".join([*done, self._rewritten(text[at:])])
         if self.trim:
             text = re.sub(" +", " ", text).strip(" ")
         if text and self.dummy_prefix:
             text = f" {text}"
         return text.replace(" ", SPACE) if self.escape else text
 
+    def _parts(self, text: str) -> list[str]:
+        """The normalised text in parts that no arc crosses."""
+        text = self.normalised(text)
+        out, at = [], 0
+        for m in self.user.finditer(text) if self.user else ():
+            out += [*self._words(text[at : m.start()]), m[0]]
+            at = m.end()
+        return out + self._words(text[at:] if at else text)
+
+    def _words(self, text: str) -> list[str]:
+        return [p for w in self.split(text) for p in ((w,) if len(w) <= LONG else self._cut(w))]
+
     # -- byte-pair models: which pieces may stand side by side -------------------------
 
     def merged(self, text: str) -> list[str]:
@@ -250,8 +290,6 @@ class Transducer:
 
     def paths(self, texts: list[str]) -> list[bytes]:
         """Ids (int32) on the path of least weight of each text."""
-        if self.kind == 1:
-            return [array("i", self._ids(self._unigram_path(t))).tobytes() for t in texts]
         out: list[bytes] = []
         some: list[str] = []
         size = 0
@@ -259,60 +297,68 @@ class Transducer:
             some.append(text)
             size += len(text)
             if size > BATCH_CHARS:
-                out += self._byte_pair_paths(some)
+                out += self._shortest(some)
                 some, size = [], 0
-        return out + self._byte_pair_paths(some) if some else out
+        return out + self._shortest(some) if some else out
 
-    def _byte_pair_paths(self, texts: list[str]) -> list[bytes]:
-        """All texts at once, place by place. A prefix has one path of weight 0, so a place
-        needs its last piece only: the one that ends there and may follow the last piece of
-        the place where it starts."""
-        chars = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    def _shortest(self, texts: list[str]) -> list[bytes]:
+        """All texts' lattices at once: (min, +) over the arcs that end at the first place of
+        every text, then at the second, and so on."""
+        chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         size = np.array([len(t) for t in texts])
         base = np.concatenate(([0], np.cumsum(size)))
         word = np.repeat(np.arange(len(texts)), size)
         first, end = base[word], base[word + 1]
         # arcs: the pieces that start at each place, by walking the trie from all at once
         at, node = np.arange(len(chars)), np.zeros(len(chars), dtype=np.int64)
-        starts, stops, ids = [at], [at + 1], [np.where(self.single[np.minimum(chars, len(self.single) - 1)] >= 0, self.single[np.minimum(chars, len(self.single) - 1)], len(self.pieces) + chars)]
+        single = self.single[np.minimum(chars, len(self.single) - 1)]
+        starts, stops, ids = [at], [at + 1], [np.where(single >= 0, single, len(self.pieces) + chars)]
         for depth in range(1, self.longest + 1):
             inside = at + depth <= end[at]
             at, node = at[inside], node[inside]
             child = self.trie.get(node << 21 | chars[at + depth - 1])
             at, node = at[child >= 0], child[child >= 0]
-            if depth > 1:
-                piece = self.ending[node]
-                starts.append(at[piece >= 0])
-                stops.append(at[piece >= 0] + depth)
-                ids.append(piece[piece >= 0])
+            if not len(at):
+                break
+            piece = self.ending[node]
+            # a piece of one character stands in for its fallback arc
+            wanted = (piece >= 0) & (True if depth > 1 else single[at] < 0)
+            starts.append(at[wanted])
+            stops.append(at[wanted] + depth)
+            ids.append(piece[wanted])
         start, stop, arc = np.concatenate(starts), np.concatenate(stops), np.concatenate(ids)
         place = stop - first[start]
-        order = np.argsort(place, kind="stable")
-        start, stop, arc = start[order], stop[order], arc[order]
-        cuts = np.searchsorted(place[order], np.arange(1, size.max(initial=0) + 2))
-        last = np.full(len(chars) + 1, -1, dtype=np.int64)  # of the prefix that ends before
+        order = np.lexsort((start, stop, place))
+        start, stop, arc, place = start[order], stop[order], arc[order], place[order]
+        weight = self.weights[np.minimum(arc, len(self.pieces))]
+        fresh = start == first[start]
+        cuts = np.searchsorted(place, np.arange(1, size.max(initial=0) + 2))
+        least = np.zeros(len(chars))  # of the paths that end behind a character
+        last = np.full(len(chars), -1, dtype=np.int64)  # the lightest path's arc into there
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            s, e, k = start[a:b], stop[a:b], arc[a:b]
-            fresh = s == first[s]
-            before = np.where(fresh, 0, last[s - 1])
-            ok = fresh.copy()
-            ask = np.flatnonzero(~fresh & (before >= 0))
-            ok[ask] = self.pairs.get(before[ask] << 21 | k[ask]) == 1
-            last[e[ok] - 1] = k[ok]
-        length = self.lengths
+            s, e, k, w = start[a:b], stop[a:b] - 1, arc[a:b], weight[a:b]
+            inner = np.flatnonzero(~fresh[a:b])
+            if len(inner):
+                w = w.copy()
+                w[inner] += least[s[inner] - 1]
+                if self.kind == 2:
+                    w[inner] += self.pairs.get(last[s[inner] - 1] << 21 | k[inner]) != 1
+            group = np.flatnonzero(np.append(True, e[1:] != e[:-1]))
+            best = np.minimum.reduceat(w, group)
+            hit = np.flatnonzero(w == np.repeat(best, np.diff(np.append(group, len(e)))))
+            hit = hit[np.append(True, e[hit[1:]] != e[hit[:-1]])]  # of equals the longest arc
+            least[e[hit]], last[e[hit]] = best, k[hit]
+        if self.kind == 2 and len(chars):
+            self.heaviest = max(self.heaviest, float(least.max()))
         # back from the ends
         found_word, found_step, found_id = [], [], []
-        lost: list[int] = []
-        who, upto, step = np.arange(len(texts))[size > 0], base[1:][size > 0].copy(), 0
+        who, upto, step = np.flatnonzero(size > 0), base[1:][size > 0].copy(), 0
         while len(who):
             k = last[upto - 1]
-            if (k < 0).any():
-                lost += who[k < 0].tolist()
-                who, upto, k = who[k >= 0], upto[k >= 0], k[k >= 0]
             found_word.append(who)
             found_step.append(np.full(len(who), step))
             found_id.append(k)
-            upto = upto - np.where(k < len(self.pieces), length[np.minimum(k, len(self.pieces) - 1)], 1)
+            upto = upto - np.where(k < len(self.pieces), self.lengths[np.minimum(k, len(self.pieces) - 1)], 1)
             who, upto, step = who[upto > base[who]], upto[upto > base[who]], step + 1
         if not found_id:
             return [b""] * len(texts)
@@ -322,39 +368,14 @@ class Transducer:
         edges = np.searchsorted(w, np.arange(len(texts) + 1))
         flat = k.astype(np.int32).tobytes()
         out = [flat[4 * a : 4 * b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-        for x in set(w[k >= len(self.pieces)].tolist()):
-            out[x] = array("i", self._ids([self.pieces[i] if i < len(self.pieces) else chr(i - len(self.pieces)) for i in k[edges[x] : edges[x + 1]].tolist()])).tobytes()
-        for x in lost:  # a vocabulary whose merges admit no such path
-            out[x] = array("i", self._ids(self.merged(texts[x]))).tobytes()
+        for x in set(w[k >= len(self.pieces)].tolist()):  # what fallback arcs put out
+            out[x] = array("i", [i for j in k[edges[x] : edges[x + 1]].tolist() for i in self._fallback(j)]).tobytes()
         return out
 
-    def _unigram_path(self, text: str) -> list[str]:
-        n = len(text)
-        weight, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
-        for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                k = self.arcs.get(text[i:j])
-                if k is not None or j == i + 1:
-                    w = weight[i] - (self.penalty if k is None else self.scores[k])
-                    if w < weight[j]:
-                        weight[j], back[j] = w, i
-        out, at = [], n
-        while at:
-            out.append(text[back[at] : at])
-            at = back[at]
-        return out[::-1]
-
-    def _ids(self, pieces: list[str]) -> list[int]:
-        ids: list[int] = []
-        for piece in pieces:
-            k = self.arcs.get(piece)
-            if k is not None:
-                ids.append(k)
-            elif self.bytes:
-                ids += [self.bytes[b] for b in piece.encode()]
-            else:
-                ids.append(self.unknown)
-        return ids
+    def _fallback(self, arc: int) -> list[int]:
+        if arc < len(self.pieces):
+            return [arc]
+        return [self.bytes[b] for b in chr(arc - len(self.pieces)).encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
     def _cut(self, word: str) -> list[str]:
         """A long word, cut where no piece can cross."""
@@ -366,11 +387,13 @@ class Transducer:
         return out
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        parted = [None if t is None else [p for w in self.split(self.normalised(t)) for p in ((w,) if len(w) <= LONG else self._cut(w))] for t in texts]
+        parted = [None if t is None else self._parts(t) for t in texts]
         table: dict[str, bytes] = {}
         missing = []
         for word in set().union(*(p for p in parted if p)):
             ids = self.young.get(word)
+            if ids is None and self.user and self.user.fullmatch(word):
+                ids = array("i", [self.arcs[word]]).tobytes()
             if ids is None and (ids := self.old.get(word)) is None:
                 missing.append(word)
             else:
@@ -422,8 +445,8 @@ def encoded(docs: DataFrame, model: bytes, *, text: str = "text", decode: bool =
     """docs with `ids` (array<int>) of the texts and, if `decode`, `decoded`, the text that
     the ids stand for."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*others(docs, "ids", "decoded")).alias("_row"), F.col(text).alias("_text"))
-    shape = f"_row {rows.schema['_row'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decode
+    own = others(docs, "ids", "decoded")
+    added = ["ids", "decoded"][: 1 + decode]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(sent.value)
@@ -434,15 +457,16 @@ def encoded(docs: DataFrame, model: bytes, *, text: str = "text", decode: bool =
                 arrays = [some.column(0), pa.array(ids, pa.list_(pa.int32()))]
                 if decode:
                     arrays.append(pa.array([None if x is None else machine.decode(x) for x in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays(arrays, names=["_row", "ids", "decoded"][: len(arrays)])
+                yield pa.RecordBatch.from_arrays(arrays, names=["_row", *added])
 
-    return rows.mapInArrow(run, shape).select("_row.*", *["ids", "decoded"][: 1 + decode])
+    rows = docs.select(packed(own), named(text).alias("_text"))
+    return in_arrow(rows, run, "ids array<int>" + ", decoded string" * decode).select(*unpacked(own), *added)
 
 
 def decoded(docs: DataFrame, model: bytes, *, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """docs with the text that the column `ids` stands for; an id outside the model is an error."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*others(docs, to)).alias("_row"), F.col(ids).cast("array<int>").alias("_ids"))
+    own = others(docs, to)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(sent.value)
@@ -450,5 +474,5 @@ def decoded(docs: DataFrame, model: bytes, *, ids: str = "ids", to: str = "decod
             texts = [None if x is None else machine.decode(np.array(x, dtype=np.int32)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_row", "_text"])
 
-    out = rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, _text string")
-    return out.select("_row.*", F.col("_text").alias(to))
+    rows = docs.select(packed(own), named(ids).cast("array<int>").alias("_ids"))
+    return in_arrow(rows, run, "_text string").select(*unpacked(own), F.col("_text").alias(to))
