@@ -6,12 +6,14 @@ into every interval that still holds a splitter, counts the exact bytes below th
 all partitions, and keeps the one interval that the splitter falls in. A splitter is
 settled when a probe is within `tolerance` of its target, or at the nearer end of the one
 row or small group of equal texts that holds it; inside a large group the search goes on
-over the ids' hashes. Only counts come to the driver:
-splitters x probes of them a round at most.
+over the ids' hashes. Only counts come to the driver: splitters x probes of them a round at
+most, and splitters are fewer than shards. The exchange is by (shard, position), so a shard
+of any size is dealt to as many tasks as it needs, and so is a group of equal texts.
 
 Defined cases: a null text counts as empty and as equal to an empty one; a null id has a
 hash like any other; fully equal rows are neighbours and may be split anywhere between
-two of them only if an id does; an empty table has no rows; extra columns are kept.
+two of them only if an id does; an empty table has no rows; extra columns are kept, but what
+is added takes the place of input columns of the same names.
 """
 
 from __future__ import annotations
@@ -21,18 +23,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Saved, others, text_crc
+from graphloom.llm.common import Saved, named, others, packed, text_crc, unpacked
 
 BITS = 10  # of a probe round: 1024 probes in an interval
 WORD_BITS = 63
-#: Of a range: how near a splitter must come, and (of a shard) how far it may move so as
-#: not to cut a group of equal texts.
-TOLERANCE = 0.002
+#: Of a shard: how near a splitter must come, and how far it may move so as not to cut a
+#: group of equal texts.
+TOLERANCE = 0.0002
 SNAP = 0.01
-#: Ranges per shard: each is one task's share of the final numbering. At most this many;
-#: fewer on small inputs.
-RANGES = 16
-RANGE_ROWS = 200_000
+TASK_ROWS = 1_000_000  # rows (without texts) that a task sorts, about
 
 
 @dataclass(frozen=True)
@@ -128,28 +127,27 @@ def range_of(cuts: list[Splitter]) -> Column:
     return tree(0, len(cuts))
 
 
-def sharded(docs: DataFrame, shards: int, *, key: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE, ranges: int = RANGES) -> DataFrame:
+def sharded(docs: DataFrame, shards: int, *, key: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
     """docs' columns but the text, with size, text_crc32, shard and slot (gapless in a shard,
     in the order of the sort). Every shard has total / shards bytes, to within tolerance of
     that or one row."""
     own = others(docs, text, "size", "text_crc32", "shard", "slot")
-    whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.struct(*own).alias("row"), F.octet_length(whole).cast("long").alias("bytes"), text_crc(whole).alias("text_crc32"), *positions(F.col(key), F.col(text)))
-    rows = Saved(docs.sparkSession, "shards").save(rows.withColumn("size", F.col("bytes") + 8))
+    whole = F.coalesce(named(text), F.lit(""))
+    rows = docs.select(packed(own), F.octet_length(whole).cast("long").alias("bytes"), text_crc(whole).alias("text_crc32"), *positions(named(key), named(text)))
+    saved = Saved(docs.sparkSession, "shards")
+    rows = saved.save(rows.withColumn("size", F.col("bytes") + 8))
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    per = max(1, min(ranges, -(-n // (shards * RANGE_ROWS)), n), min(4, ranges))
-    parts = shards * per
-    # every range's end is a target; a shard's end is met as closely as any
-    cuts = splitters(rows, [total * k / parts for k in range(1, parts)], tolerance * total / parts, SNAP * total / shards) if n else []
+    cuts = splitters(rows, [total * k / shards for k in range(1, shards)], tolerance * total / shards, SNAP * total / shards) if n else []
     cuts = sorted(cuts, key=lambda c: (c.group, c.item))
-    # one exchange: equal ranges meet, and are numbered after the ranges below them
-    dealt = rows.withColumn("range", range_of(cuts))
-    counts = {r: c for r, c in dealt.groupBy("range").count().collect()}
-    before, base = [], 0
-    for r in range(parts):
-        base = 0 if r % per == 0 else base
-        before.append(base)
-        base += counts.get(r, 0)
-    order = Window.partitionBy("range").orderBy("g", "i")
-    offset = F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), F.col("range") + 1)
-    return dealt.select("row", "size", "text_crc32", "range", "g", "i").withColumn("slot", offset + F.row_number().over(order) - 1).select("row.*", "size", "text_crc32", F.floor(F.col("range") / per).cast("int").alias("shard"), "slot")
+    # one exchange, in which a shard has as many tasks as its rows need; the order of the
+    # sort makes a row's place in its shard the same wherever the tasks' ranges end
+    tasks = max(shards, -(-n // TASK_ROWS))
+    dealt = rows.withColumn("shard", range_of(cuts)).repartitionByRange(tasks, "shard", "g", "i").sortWithinPartitions("shard", "g", "i")
+    dealt = saved.save(dealt.select("_row", "size", "text_crc32", "shard", F.monotonically_increasing_id().alias("at")))
+    # what the tasks before a task have of a shard: a row for each task and shard
+    task = F.shiftright("at", 33)
+    counted = dealt.groupBy("shard", task.alias("task")).agg(F.count("*").alias("n"), F.min("at").alias("least"))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offset = saved.save(counted.select("shard", "task", (below - F.col("least")).alias("offset")))
+    placed = dealt.withColumn("task", task).join(offset, ["shard", "task"])
+    return placed.select(*unpacked(own), "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("at") + F.col("offset")).alias("slot"))
