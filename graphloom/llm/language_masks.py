@@ -9,7 +9,8 @@ positives, and the largest corrected count decides.
 Defined cases: a null text, or one without a letter, is `und` with score 0; a text whose
 n-grams are in no filter gets the smallest language with score 0; ties go to the smaller
 language; without training rows everything is `und`; repeated rows get equal results;
-extra columns are kept.
+extra columns are kept, but lang_pred and score take the place of input columns of these
+names; any number of languages is told apart (the masks take 8 MB for every 64).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import others
+from graphloom.llm.common import in_arrow, named, others, packed, unpacked
 from graphloom.llm.textbytes import mixed, slices
 
 N = 4  # bytes of an n-gram, word edges included
@@ -32,7 +33,7 @@ PROBES = 3
 #: An n-gram is frequent if it is this share of its language's n-grams, so a language has
 #: 1 / MIN_SHARE of them at most, whatever the corpus.
 MIN_SHARE = 2e-5
-MAX_LANGUAGES = 64
+WORD_BITS = 64  # languages of one mask word; a place has as many words as they need
 
 
 def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +95,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass
 class Filters:
     languages: list[str]
-    table: np.ndarray  # PLACES masks
+    table: np.ndarray  # PLACES masks of a word for every WORD_BITS languages
     false_rate: np.ndarray  # of each language's filter
 
     def masks(self, code: np.ndarray) -> np.ndarray:
@@ -115,26 +116,22 @@ def _places(code: np.ndarray) -> Iterator[np.ndarray]:
 def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", min_share: float = MIN_SHARE) -> Filters:
     """Filters of docs' rows with a language; all their n-grams are counted, and the frequent
     ones come to the driver, 1 / min_share of each language at most."""
-    counted = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text), F.col(lang)).mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).persist()
+    counted = docs.where(named(lang).isNotNull() & named(text).isNotNull()).select(named(text).alias("_text"), named(lang).alias("lang")).mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).persist()
     try:
-        totals = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
-        if len(totals) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
-        languages = sorted(totals)
-        bound = F.lit(None).cast("double")
-        for name in languages:
-            bound = F.when(F.col("lang") == name, F.lit(max(1.0, min_share * totals[name]))).otherwise(bound)
-        frequent = counted.where(F.col("n") >= bound).select("lang", "code").toPandas()
+        totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
+        languages = sorted(r.lang for r in totals.select("lang").collect())
+        frequent = counted.join(totals, "lang").where((F.col("n") >= min_share * F.col("total")) & (F.col("n") >= 1)).select("lang", "code").toPandas()
     finally:
         counted.unpersist()
+    # few languages have narrow masks, which stay in the processor's cache
     kind = np.uint8 if len(languages) <= 8 else np.uint64
-    table = np.zeros(PLACES, dtype=kind)
+    table = np.zeros((PLACES, max(1, -(-len(languages) // WORD_BITS))), dtype=kind)
     rate = np.zeros(len(languages))
     for k, name in enumerate(languages):
         code = frequent.code[frequent.lang == name].to_numpy().astype(np.uint64)
         for place in _places(code):
-            table[place] |= kind(1 << k)
-        rate[k] = ((table >> kind(k)) & kind(1)).mean() ** PROBES
+            table[place, k // WORD_BITS] |= kind(1 << k % WORD_BITS)
+        rate[k] = ((table[:, k // WORD_BITS] >> kind(k % WORD_BITS)) & kind(1)).mean() ** PROBES
     return Filters(languages, table, rate)
 
 
@@ -148,9 +145,9 @@ def decided(filters: Filters, column: pa.Array) -> tuple[list[str], np.ndarray]:
         if not len(code):
             continue
         at = np.minimum(offsets, len(code))
-        mask = np.where(ok, filters.masks(code), 0)
+        mask = np.where(ok[:, None], filters.masks(code), filters.table.dtype.type(0))
         for k in range(-1, count):
-            flag = ok if k < 0 else (mask >> mask.dtype.type(k)) & mask.dtype.type(1)
+            flag = ok if k < 0 else (mask[:, k // WORD_BITS] >> mask.dtype.type(k % WORD_BITS)) & mask.dtype.type(1)
             some = np.concatenate(([0], np.cumsum(flag, dtype=np.int64)))
             got = some[at[1:]] - some[at[:-1]]
             if k < 0:
@@ -172,12 +169,11 @@ def identified(docs: DataFrame, train: Column, *, text: str = "text", lang: str
     text and language may be learnt from."""
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs.where(train), text=text, lang=lang, **how))
     own = others(docs, text, "lang_pred", "score")
-    rows = docs.select(F.col(text).alias("_text"), F.struct(*own).alias("_row"))
+    rows = docs.select(named(text).alias("_text"), packed(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = decided(sent.value, batch.column(0))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(names, pa.string()), pa.array(scores)], names=["_row", "lang_pred", "score"])
 
-    out = rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, lang_pred string, score double")
-    return out.select("_row.*", "lang_pred", "score")
+    return in_arrow(rows, run, "lang_pred string, score double").select(*unpacked(own), "lang_pred", "score")

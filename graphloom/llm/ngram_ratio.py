@@ -5,7 +5,9 @@ over the whole raw corpus. A document's mean log ratio per n-gram is compared wi
 fixed threshold; every document gets the same deterministic verdict on every run.
 
 Defined cases: a null or empty text has no words and no n-grams, ratio 0, and fails the
-base rules; without trusted rows all ratios are 0; repeated rows get the same figures; extra columns are kept.
+base rules; without trusted rows all ratios are 0; repeated rows get the same figures; an
+empty table has no rows; extra columns are kept, but what is added takes the place of input
+columns of the same names.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import others
+from graphloom.llm.common import in_arrow, named, others, packed, small, unpacked
 from graphloom.llm.textbytes import Hashes, per_row, repeated, slices, word_bounds
 
 BUCKETS = 1 << 16
@@ -133,10 +135,10 @@ def trusted_ids(labels: DataFrame, *, key: str = "doc_id", target: str = "qualit
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, *, text: str = "text", key: str = "doc_id", smoothing: float = SMOOTHING) -> np.ndarray:
     """log P(bucket | trusted rows) - log P(bucket | all rows), counted over all rows of
-    docs. Every task adds up its own table; BUCKETS rows come to the driver. The trusted
-    rows are of any number, so they meet the texts in a merge join."""
-    marked = docs.select(text, F.col(key).alias("_key")).join(trusted.withColumn("_good", F.lit(True)).hint("merge"), "_key", "left")
-    counted = marked.select(text, "_good").mapInArrow(_count, "bucket int, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
+    docs. Every task adds up its own table; BUCKETS rows come to the driver. Few trusted ids
+    are sent to the texts, more than that meet them in a merge join."""
+    marked = docs.select(named(text).alias("_text"), named(key).alias("_key")).join(small(trusted.withColumn("_good", F.lit(True))), "_key", "left")
+    counted = marked.select("_text", "_good").mapInArrow(_count, "bucket int, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for bucket, a, b in counted.collect():
         raw[bucket], target[bucket] = a, b
@@ -154,7 +156,7 @@ def judged(docs: DataFrame, trusted: DataFrame, *, text: str = "text", key: str
     of an n-gram) and kept. `trusted` is what trusted_ids returns."""
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, trusted, text=text, key=key))
     own = others(docs, text, *[x.split()[0] for x in BASE.split(", ")], "base_failed", "llr", "kept")
-    rows = docs.select(F.col(text).alias("_text"), F.struct(*own).alias("_row"))
+    rows = docs.select(named(text).alias("_text"), packed(own))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = ratios.value
@@ -171,8 +173,8 @@ def judged(docs: DataFrame, trusted: DataFrame, *, text: str = "text", key: str
                     llr[row : row + len(offsets) - 1] = (total[at[1:]] - total[at[:-1]]) / np.maximum(1, some[at[1:]] - some[at[:-1]])
             yield pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, figures.values()), pa.array(np.round(llr, 9))], names=["_row", *figures, "llr"])
 
-    scored = rows.mapInArrow(score, f"_row {rows.schema['_row'].dataType.simpleString()}, {BASE}, llr double")
-    return scored.select("_row.*", *[x.split()[0] for x in BASE.split(", ")], base_failed().alias("base_failed"), "llr").withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    scored = in_arrow(rows, score, f"{BASE}, llr double")
+    return scored.select(*unpacked(own), *[x.split()[0] for x in BASE.split(", ")], base_failed().alias("base_failed"), "llr").withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
 def base_failed() -> Column:
