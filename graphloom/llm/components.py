@@ -18,29 +18,31 @@ def linked(visits: DataFrame, near: Callable[[str, str], Column], verify: Verify
 
     visits: anchor, node (long) and what `near(left alias, right alias)` compares; verify
     takes pairs (a, b) and returns those that are links. First every node is held against
-    a few leaders of each anchor it visits, which is linear; then all pairs of an anchor
-    are compared, but only those between different components so far come out. No link
-    that changes a component is lost, and a dense group never emits its pairs."""
+    a few leaders of each anchor it visits, which is linear; then the pairs of an anchor are
+    compared whose components are still different: that is what is left between groups. No
+    link that changes a component is lost, and a dense group never emits its pairs."""
     saved = Saved(visits.sparkSession, "anchors")
     payload = [c for c in visits.columns if c not in ("anchor", "node")]
-    crowded = visits.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    crowded = visits.groupBy("anchor").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("anchor")
     shared = saved.save(visits.join(crowded, "anchor", "left_semi"))
-    links = None
-    groups = None
+    stars = None
     for k in range(star_rounds):
         lead = shared.groupBy("anchor").agg(F.min_by(F.struct("node", *payload), F.xxhash64("node", F.lit(k))).alias("l")).select("anchor", "l.*")
         pairs = shared.alias("x").join(lead.alias("y"), F.col("x.anchor") == F.col("y.anchor")).where((F.col("x.node") != F.col("y.node")) & near("x", "y"))
-        found = pairs.groupBy(F.col("x.node").alias("a")).agg(F.min(F.struct(F.xxhash64("y.node", F.lit(k)), F.col("y.node").alias("b"))).alias("s"), F.max(F.struct(F.xxhash64("y.node", F.lit(k)), F.col("y.node").alias("b"))).alias("t"))
-        found = found.select("a", F.explode(F.array("s.b", "t.b")).alias("b")).distinct()
-        found = saved.save(_joined(links, verify(found) if verify else found))
-        groups = saved.save(components(found))
-        links = groups.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    named = saved.save(shared.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    x, y = named.alias("x"), named.alias("y")
+        by = F.struct(F.xxhash64("y.node", F.lit(k)), F.col("y.node").alias("b"))
+        # of the leaders that a node is near to, two tie the anchors together that it visits
+        found = pairs.groupBy(F.col("x.node").alias("a")).agg(F.min(by).alias("s"), F.max(by).alias("t"))
+        found = saved.save(found.select("a", F.explode(F.array("s.b", "t.b")).alias("b")).distinct())
+        stars = found if stars is None else stars.union(found)
+    # one test of all rounds' pairs, and one search for components
+    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    groups = saved.save(components(saved.save(verify(stars) if verify else stars)))
+    label = saved.save(shared.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    # anchors whose visitors are all in one component have nothing left to compare
+    mixed = label.groupBy("anchor").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("anchor")
+    label = saved.save(label.join(mixed, "anchor", "left_semi"))
+    x, y = label.alias("x"), label.alias("y")
     rest = x.join(y, (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & near("x", "y"))
     rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return components(saved.save(_joined(links, verify(rest) if verify else rest)))
-
-
-def _joined(links: DataFrame | None, found: DataFrame) -> DataFrame:
-    return found.select("a", "b") if links is None else links.union(found.select("a", "b"))
+    links = groups.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(saved.save(links.union((verify(rest) if verify else rest).select("a", "b"))))

@@ -24,11 +24,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import Saved, others
+from graphloom.llm.common import Saved, in_arrow, named, others, packed, unpacked
 from graphloom.llm.components import linked
 from graphloom.llm.textbytes import Hashes, mixed, slices, word_bounds
 
@@ -143,29 +142,18 @@ def anchors(fingerprints: np.ndarray, bands: tuple[Band, ...]) -> tuple[np.ndarr
 
 def visits(fingerprints: DataFrame, bands: tuple[Band, ...], *, fingerprint: str = "fingerprint") -> DataFrame:
     """fingerprints' columns and `anchor`, a row for each visit."""
-    rest = [c for c in fingerprints.columns if c != fingerprint]
-    shape = f"{fingerprint} long, _rest {fingerprints.select(F.struct(*rest).alias('r')).schema['r'].dataType.simpleString()}, anchor long" if rest else f"{fingerprint} long, anchor long"
+    rest = others(fingerprints, fingerprint)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 some = batch.slice(start, 2000)
-                index, names = anchors(some.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bands)
+                index, names = anchors(some.column(1).to_numpy(zero_copy_only=False).astype(np.int64), bands)
                 taken = some.take(pa.array(index))
                 yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(names)], names=[*taken.schema.names, "anchor"])
 
-    out = fingerprints.select(fingerprint, *([F.struct(*rest).alias("_rest")] if rest else [])).mapInArrow(spread, shape)
-    return out.select("anchor", fingerprint, *(["_rest.*"] if rest else []))
-
-
-def shingle_fingerprint(text: str | None, words: int = 3) -> int:
-    """Majority bits of the XXH64 hashes of all shingles, repeats included."""
-    found = (text or "").encode().translate(_LOWER.tobytes()).split()
-    if not found:
-        return 0
-    grams = [b" ".join(g) for g in zip(*(found[k:] for k in range(words)), strict=False)] or [b" ".join(found)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), dtype=np.uint64, count=len(grams))
-    return majority(hashes)
+    out = in_arrow(fingerprints.select(packed(rest), named(fingerprint).alias("_print")), spread, "_print long, anchor long")
+    return out.select("anchor", F.col("_print").alias(fingerprint), *unpacked(rest))
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -175,17 +163,106 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def shingle_fingerprints(column: pa.Array, words: int = 3) -> np.ndarray:
+    """Majority bits of the XXH64 hashes of each text's shingles, repeats included."""
+    out = np.zeros(len(column), dtype=np.uint64)
+    for row, data, offsets in slices(column):
+        rows, hashes = _shingle_hashes(_LOWER[data], offsets, words)
+        found, edges = np.unique(rows, return_index=True)
+        for r, a, b in zip(found.tolist(), edges.tolist(), [*edges[1:].tolist(), len(rows)], strict=True):
+            out[row + r] = majority(hashes[a:b])
+    return out
+
+
+def _shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, XXH64) of every shingle in order of row; fewer words than `words` are one."""
+    start, end, at = word_bounds(data, offsets)
+    size = end - start
+    # the words again, with one space after each
+    put = np.cumsum(size + 1) - size - 1
+    total = int((size + 1).sum())
+    tape = np.append(data, np.uint8(32))[np.minimum(np.repeat(start - put, size + 1) + np.arange(total), len(data))]
+    tape[put + size] = 32
+    m = max(0, len(start) - words + 1)
+    first = np.flatnonzero(at[:m] == at[words - 1 :]) if m else np.zeros(0, np.int64)
+    last = first + words - 1
+    count = np.bincount(at, minlength=len(offsets) - 1)
+    few = np.flatnonzero((count > 0) & (count < words))
+    if len(few):
+        begin = np.searchsorted(at, few)
+        first, last = np.concatenate((first, begin)), np.concatenate((last, begin + count[few] - 1))
+        order = np.argsort(first, kind="stable")
+        first, last = first[order], last[order]
+    return at[first], xxh64(tape, put[first], put[last] + size[last] - put[first], SEED)
+
+
+#: The five primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+
+
+def _rotated(x: np.ndarray, k: int) -> np.ndarray:
+    return x << np.uint64(k) | x >> np.uint64(64 - k)
+
+
+def xxh64(tape: np.ndarray, begin: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of many stretches of the bytes at once. Stretches are put in order of what their
+    last 32-byte block holds, so that each step works on a contiguous part of them."""
+    n = len(begin)
+    order = np.argsort((size % 32).astype(np.uint8), kind="stable")
+    at, size = begin[order].astype(np.int64), size[order].astype(np.int64)
+    tape = np.concatenate((tape, np.zeros(8, np.uint8)))
+    lane = np.ndarray((len(tape) - 7,), dtype="<u8", buffer=tape.data, strides=(1,))
+    seed_ = np.uint64(seed)
+    with np.errstate(over="ignore"):
+
+        def stirred(v: np.ndarray, x: np.ndarray) -> np.ndarray:
+            return _rotated(v + x * _P2, 31) * _P1
+
+        h = np.full(n, seed_ + _P5, dtype=np.uint64)
+        long = np.flatnonzero(size >= 32)
+        if len(long):
+            v = [np.full(len(long), x, dtype=np.uint64) for x in (seed_ + _P1 + _P2, seed_ + _P2, seed_, seed_ - _P1)]
+            going = np.arange(len(long))
+            while len(going):
+                here = at[long[going]]
+                for k in range(4):
+                    v[k][going] = stirred(v[k][going], lane[here + 8 * k])
+                at[long[going]] += 32
+                going = going[begin[order[long[going]]] + size[long[going]] - at[long[going]] >= 32]
+            total = _rotated(v[0], 1) + _rotated(v[1], 7) + _rotated(v[2], 12) + _rotated(v[3], 18)
+            for k in range(4):
+                total = (total ^ stirred(np.uint64(0), v[k])) * _P1 + _P4
+            h[long] = total
+        h += size.astype(np.uint64)
+        rest = size % 32
+        for k in range(3):
+            some = slice(int(np.searchsorted(rest, 8 * k + 8)), n)
+            h[some] = _rotated(h[some] ^ stirred(np.uint64(0), lane[at[some]]), 27) * _P1 + _P4
+            at[some] += 8
+        four = np.flatnonzero(rest & 4)
+        h[four] = _rotated(h[four] ^ (lane[at[four]] & np.uint64(0xFFFFFFFF)) * _P1, 23) * _P2 + _P3
+        at[four] += 4
+        for k in range(3):
+            one = np.flatnonzero(rest % 4 > k)
+            h[one] = _rotated(h[one] ^ tape[at[one]].astype(np.uint64) * _P5, 11) * _P1
+            at[one] += 1
+        h = (h ^ h >> np.uint64(33)) * _P2
+        h = (h ^ h >> np.uint64(29)) * _P3
+        h ^= h >> np.uint64(32)
+    out = np.empty(n, dtype=np.uint64)
+    out[order] = h
+    return out
+
+
 def fingerprinted(docs: DataFrame, *, text: str = "text", words: int = 3) -> DataFrame:
     """docs' columns but the text, and `fingerprint` (long)."""
     own = others(docs, text, "fingerprint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.fromiter((shingle_fingerprint(t.as_py(), words) for t in batch.column(0)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(values.view(np.int64))], names=["_row", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shingle_fingerprints(batch.column(1), words).view(np.int64))], names=["_row", "fingerprint"])
 
-    rows = docs.select(F.col(text).alias("_text"), F.struct(*own).alias("_row"))
-    return rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, fingerprint long").select("_row.*", "fingerprint")
+    return in_arrow(docs.select(packed(own), named(text).alias("_text")), run, "fingerprint long").select(*unpacked(own), "fingerprint")
 
 
 def within(threshold: int) -> "callable":
@@ -198,13 +275,14 @@ def near_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     assert max(threshold // len(bands), 0) <= 2, "a band may differ in two bits at most"
     saved = Saved(docs.sparkSession, "simhash")
     own = others(docs, text, "fingerprint", "component_id")
-    marked = saved.save(fingerprinted(docs.select(*own, text), text=text, words=words))
-    distinct = marked.groupBy(F.col("fingerprint").alias("node")).agg(F.min(key).alias("least"))
+    rows = docs.select(packed(own), named(key).alias("_key"), named(text).alias("_text"))
+    marked = saved.save(fingerprinted(rows, text="_text", words=words))
+    distinct = marked.groupBy(F.col("fingerprint").alias("node")).agg(F.min("_key").alias("least"))
     groups = linked(visits(distinct.select("node"), bands, fingerprint="node"), within(threshold), star_rounds=1)
     group = saved.save(distinct.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = group.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = group.join(least, "component").select(F.col("node").alias("fingerprint"), "component_id")
-    return marked.join(named, "fingerprint").select(*own, "fingerprint", "component_id")
+    told = group.join(least, "component").select(F.col("node").alias("fingerprint"), "component_id")
+    return marked.join(told, "fingerprint").select(*unpacked(own), "fingerprint", "component_id")
 
 
 # ---- documents that share most of their shingles ------------------------------------
@@ -270,7 +348,7 @@ def _first(rows: np.ndarray, grams: np.ndarray, n: int, similarity: float, hashe
 
 
 def _digest(words: int, similarity: float, often: np.ndarray, counts: np.ndarray) -> "callable":
-    """Batches of (text, row) to (row, fingerprint of the distinct words, number of distinct
+    """Batches of (row, text) to (row, fingerprint of the distinct words, number of distinct
     shingles, parity sketch of the shingles, the first shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +356,7 @@ def _digest(words: int, similarity: float, often: np.ndarray, counts: np.ndarray
             n = batch.num_rows
             prints, sizes, sketch = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros((n, SKETCH), np.uint64)
             firsts = []
-            for row, data, offsets in slices(batch.column(0)):
+            for row, data, offsets in slices(batch.column(1)):
                 data = _LOWER[data]
                 start, end, at = word_bounds(data, offsets)
                 hashes = Hashes(data).of(start, end)
@@ -296,7 +374,7 @@ def _digest(words: int, similarity: float, often: np.ndarray, counts: np.ndarray
                 for k in range(m):
                     if count[k]:
                         prints[row + k] = majority(single[edges[k] : edges[k + 1]])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(prints.view(np.int64)), pa.array(sizes), *[pa.array(np.ascontiguousarray(sketch[:, k]).view(np.int64)) for k in range(SKETCH)], pa.concat_arrays(firsts) if firsts else pa.array([], pa.list_(pa.int64()))], names=["_row", "fingerprint", "shingles", *[f"s{k}" for k in range(SKETCH)], "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), pa.array(sizes), *[pa.array(np.ascontiguousarray(sketch[:, k]).view(np.int64)) for k in range(SKETCH)], pa.concat_arrays(firsts) if firsts else pa.array([], pa.list_(pa.int64()))], names=["_row", "fingerprint", "shingles", *[f"s{k}" for k in range(SKETCH)], "first"])
 
     return run
 
@@ -316,19 +394,20 @@ def _sets(words: int) -> "callable":
 
 
 def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, threshold: int = 8, bands: tuple[Band, ...] = THREE) -> DataFrame:
-    """(key, node, rows, group_id): every distinct (id, text) of docs, node being the text's
-    hash, with the number of its rows and the smallest id of its group. Texts are linked if
+    """(key, node, rows, group_id, group_node): every distinct (id, text) of docs, node being the
+    text's hash, with the number of its rows and the smallest id and the node of its group. Texts are linked if
     their sets of shingles have a Jaccard similarity of `similarity` or more, which is
     verified. Those are held against each other whose fingerprints of distinct words differ
     in `threshold` bits at most, and those that share one of their first shingles, the
     rarest ones, as all texts with that similarity do."""
     saved = Saved(docs.sparkSession, "similar")
-    node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.select(F.col(text).alias("_text"), F.struct(F.col(key).alias("id"), node.alias("node")).alias("_row"))
+    docs, name = docs.select(named(key).alias("id"), named(text).alias("text")), key
+    key, text, node = "id", "text", F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.select(F.struct("id", node.alias("node")).alias("_row"), "text")
     sketch = [f"s{k}" for k in range(SKETCH)]
-    shape = f"_row {rows.schema['_row'].dataType.simpleString()}, fingerprint long, shingles long, {', '.join(f'{s} long' for s in sketch)}, first array<long>"
     hashes, counts = _common(docs, text, node, words)
-    digest = saved.save(rows.mapInArrow(_digest(words, similarity, hashes, counts), shape).select("_row.*", "fingerprint", "shingles", *sketch, "first"))
+    digest = in_arrow(rows, _digest(words, similarity, hashes, counts), f"fingerprint long, shingles long, {', '.join(f'{s} long' for s in sketch)}, first array<long>")
+    digest = saved.save(digest.select("_row.*", "fingerprint", "shingles", *sketch, "first"))
     nodes = digest.groupBy("node").agg(F.min("id").alias("id"), F.first("fingerprint").alias("fingerprint"), F.first("shingles").alias("shingles"), *[F.first(s).alias(s) for s in sketch])
     nodes = saved.save(nodes)
 
@@ -368,17 +447,17 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     each = digest.groupBy("id", "node").agg(F.count("*").alias("rows"))
     placed = saved.save(nodes.select("node", "id").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = placed.groupBy("component").agg(F.min("id").alias("group_id"), F.min_by("node", F.struct(F.col("id").isNull(), "id", "node")).alias("group_node"))
-    named = saved.save(placed.join(least, "component").select("node", "group_id", "group_node"))
-    return each.join(named, "node").select(F.col("id").alias(key), "node", "rows", "group_id", "group_node")
+    told = saved.save(placed.join(least, "component").select("node", "group_id", "group_node"))
+    return each.join(told, "node").select(F.col("id").alias(name), "node", "rows", "group_id", "group_node")
 
 
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs without the near copies: of each group the row with the smallest id stays."""
+    """docs without the near copies: of each group the row with the smallest id stays, of equal
+    rows one."""
     groups = Saved(docs.sparkSession, "kept").save(similar_groups(docs, key=key, text=text, **how))
-    keep = groups.where((F.col(key).eqNullSafe(F.col("group_id"))) & (F.col("node") == F.col("group_node")))
-    marked = docs.withColumn("_node_of_text", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    stays = keep.select(F.col(key).alias("_id"), F.col("node").alias("_n"))
-    out = marked.join(stays, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_node_of_text") == F.col("_n")), "left_semi")
-    if keep.where("rows > 1").limit(1).count():
-        out = out.dropDuplicates([key, "_node_of_text"])
-    return out.drop("_node_of_text")
+    stays = groups.where(named(key).eqNullSafe(F.col("group_id")) & (F.col("node") == F.col("group_node"))).select(named(key).alias("_id"), F.col("node").alias("_node"), "rows")
+    own = docs.columns
+    rows = docs.select(packed(own), named(key).alias("_key"), F.xxhash64(F.coalesce(named(text), F.lit(""))).alias("_text_node"))
+    left = rows.join(stays, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text_node") == F.col("_node")))
+    again = left.where("rows > 1").dropDuplicates(["_key", "_text_node"])
+    return left.where("rows = 1").union(again).select(*unpacked(own))
