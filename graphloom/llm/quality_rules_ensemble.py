@@ -8,7 +8,8 @@ Defined cases: a null text has the statistics of an empty one; an empty text get
 score of the rules that hold for zeros; identical rows get identical scores; a label
 that occurs several times counts by its mean (0.5 or more is 1); rows without a label,
 or with a null id, are scored but not learnt from; with no labels, or labels of one
-class only, the score is that class's rate (0.5 without any); extra columns are kept.
+class only, the score is that class's rate (0.5 without any); an empty table has no rows;
+extra columns are kept, but score and predicted take the place of input columns of these names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD, others
+from graphloom.llm.common import WORD, named, others, packed, small, unpacked
 
 #: Labelled rows that the trees and the lasso see at most: those with the smallest
 #: hash of their id. Statistics and scores are computed over all rows.
@@ -132,20 +133,25 @@ def fit(labelled: DataFrame, *, trees: int = 20, depth: int = 3, lasso: float =
         sample.unpersist()
 
 
-def with_statistics(rows: DataFrame, text: str) -> DataFrame:
-    """A column `row` of rows' columns, and FEATURES."""
-    # exploding an array of one keeps the optimiser from copying the counts into each rule
-    counts = rows.select(F.struct(*rows.columns).alias("row"), F.explode(F.array(F.struct(*[c.alias(n) for n, c in statistics(F.col(text)).items()]))).alias("s"))
-    return counts.select("row", "s.*").select("row", *[c.cast("double").alias(n) for n, c in rates().items()])
+def _once(name: str, columns: dict[str, Column]) -> Column:
+    """The columns as one struct that is computed once a row: exploding an array of one keeps
+    the optimiser from copying what is in it to every place where it is used."""
+    return F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias(name)
+
+
+def with_statistics(rows: DataFrame, text: str, kept: list[str]) -> DataFrame:
+    """A column `_row` of the columns `kept`, and FEATURES."""
+    counts = rows.select(packed(kept), _once("_s", statistics(named(text)))).select("_row", "_s.*")
+    return counts.select("_row", _once("_f", {n: c.cast("double") for n, c in rates().items()})).select("_row", "_f.*")
 
 
 def learnt(docs: DataFrame, labels: DataFrame, train: Column, *, text: str = "text", key: str = "doc_id", target: str = "quality", rows: int = FIT_ROWS, **how) -> RuleEnsemble:
     """The ensemble fitted on at most `rows` labelled rows, those with the smallest hashes of
     their ids; `train` tells which of docs may be learnt from."""
     said = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg((F.avg(target) >= 0.5).cast("double").alias("label")).where("label is not null")
-    said = said.orderBy(F.xxhash64("key"), "key").limit(rows)  # bounded, so it can be broadcast
-    mine = docs.where(train).select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(said), "key")
-    return fit(with_statistics(mine, "text").select("row.key", "row.label", *FEATURES), rows=rows, **how)
+    said = said.orderBy(F.xxhash64("key"), "key").limit(rows)
+    mine = docs.where(train).select(named(key).alias("key"), named(text).alias("text")).join(small(said), "key")
+    return fit(with_statistics(mine, "text", ["key", "label"]).select("_row.key", "_row.label", *FEATURES), rows=rows, **how)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, train: Column, *, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, keep_text: bool = False, **how) -> tuple[DataFrame, RuleEnsemble]:
@@ -153,5 +159,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, train: Column, *, text:
     the ensemble. Every text is read once more for its score; nothing is shuffled."""
     model = learnt(docs, labels, train, text=text, key=key, **how)
     own = others(docs, "score", "predicted", *([] if keep_text else [text]))
-    scored = with_statistics(docs.select(*others(docs, "score", "predicted")), text).withColumn("score", model.score())
-    return scored.select(*[F.col(f"row.`{c}`") for c in own], "score", (F.col("score") >= threshold).cast("int").alias("predicted")), model
+    scored = with_statistics(docs, text, own).select("_row", _once("_p", {"score": model.score()})).select("_row", "_p.score")
+    return scored.select(*unpacked(own), "score", (F.col("score") >= threshold).cast("int").alias("predicted")), model
