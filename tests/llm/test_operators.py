@@ -176,14 +176,59 @@ def test_urls(spark, labels):
     assert url_rules.judged(pages.limit(0), labels)[0].count() == 0
 
 
+def as_set(rules):
+    return {(tuple(r.antecedent), r.rows, r.bad) for r in rules.collect()}
+
+
 def test_url_rules_are_mined(spark):
     pages = spark.createDataFrame([(k, f"http://h{k % 5}.net/{'spam' if k % 4 == 0 else 'news'}/{k}?{'ref=1' if k % 2 else 'x=2'}") for k in range(200)], "page_id long, url string")
     lab = spark.createDataFrame([(k, int(k % 4 != 0), 0) for k in range(0, 160)], "doc_id long, quality int, toxic int")
     got, rules = url_rules.judged(pages, lab, min_count=3)
-    assert (["p1:spam"], 1.0) in rules and all(len(a) == 1 or "p1:spam" not in a for a, _ in rules)
+    assert (("p1:spam",), 40, 40) in as_set(rules) and all(len(a) == 1 or "p1:spam" not in a for a, _, _ in as_set(rules))
     assert all((r.verdict == "block") == (r.page_id % 4 == 0) for r in got.collect())
 
 
+def test_url_rules_against_all_combinations(spark):
+    from itertools import combinations
+    from math import log, sqrt
+
+    rnd = random.Random(31)
+    rows = []
+    for k in range(600):
+        have = sorted(t for t in "abcdef" if rnd.random() < 0.4)
+        bad = rnd.random() < (0.95 if {"a", "b"} <= set(have) else 0.9 if "c" in have and "d" not in have else 0.1)
+        rows.append((have, bad))
+    rules = url_rules.mined(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), min_count=5)
+    rows = [r for r in rows if r[0]]
+    n, base = len(rows), sum(b for _, b in rows) / len(rows)
+    least = max(5, url_rules.MIN_SUPPORT * n)
+    every = {c: (sum(set(c) <= set(t) for t, _ in rows), sum(b and set(c) <= set(t) for t, b in rows)) for k in (1, 2, 3) for c in combinations("abcdef", k)}
+    every = {c: x for c, x in every.items() if x[1] >= least}
+    needed = sqrt(2 * log(len(every) / url_rules.DOUBT))
+    sure = {c: (m, b) for c, (m, b) in every.items() if b / m >= max(url_rules.MIN_CONFIDENCE, url_rules.MIN_LIFT * base) and (b - m * base) / sqrt(m * base * (1 - base)) >= needed}
+    want = {(c, m, b) for c, (m, b) in sure.items() if not any(set(d) < set(c) and sure[d][1] / sure[d][0] >= b / m for d in sure)}
+    assert as_set(rules) == want and len(want) >= 2
+
+
+def test_url_rules_need_evidence(spark):
+    rnd = random.Random(5)
+    rows = [([f"t{rnd.randrange(40)}", f"u{rnd.randrange(9)}"], rnd.random() < 0.3) for _ in range(3000)]
+    assert url_rules.mined(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), min_count=3).count() == 0
+
+
+@pytest.mark.parametrize("depth", [12, 30, 300])
+def test_deep_url_templates_are_mined_in_time(spark, depth):
+    import time
+
+    rnd = random.Random(depth)
+    start = time.time()
+    pages = [(k, ("http://x.net/a/" if k % 3 == 0 else "http://x.net/b/") + "/".join(f"s{i}" for i in range(depth) if i % 7 or rnd.random() < 0.9)) for k in range(120)]
+    lab = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(120)], "doc_id long, quality int, toxic int")
+    got, rules = url_rules.judged(spark.createDataFrame(pages, "page_id long, url string"), lab, min_count=5)
+    assert sum((r.verdict == "block") == (r.page_id % 3 == 0) for r in got.collect()) >= 100
+    assert time.time() - start < 60
+
+
 def brute_chunks(text, window=line_chunks.WINDOW, divisor=line_chunks.DIVISOR, long_line=line_chunks.LONG_LINE, spark=None):
     lines = text.split("\n")
 
@@ -588,27 +633,44 @@ def test_bloom_masks_have_no_false_negatives(spark):
 def brute_topk(data, k):
     whole = {}
     for i, v in data:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and len(v) == 8:
-            w = [int(np.floor(64 * float(x))) for x in v]
-            whole[i] = min(whole.get(i, w), w)
-    out = set()
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
+            w = tuple(int(np.floor(64 * float(x))) for x in v)
+            whole.setdefault(i, set()).add(w)
+    out = []
     for q in whole:
         if q % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(whole[q], whole[c])), c) for c in whole if c != q)[:k]
-            out |= {(q, n + 1, c, -s) for n, (s, c) in enumerate(best)}
-    return out
+            mine = min(whole[q])
+            best = sorted((-sum(a * b for a, b in zip(mine, v)), c) for c in whole if c != q for v in whole[c] if len(v) == len(mine))[:k]
+            out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(best)]
+    return sorted(out)
 
 
-@pytest.mark.parametrize("blocks", [(2048, 8192), (3, 40)])
-def test_topk_is_exact(spark, monkeypatch, blocks):
-    monkeypatch.setattr(exact_topk, "QUERY_ROWS", blocks[0])
-    monkeypatch.setattr(exact_topk, "CANDIDATE_ROWS", blocks[1])
+@pytest.mark.parametrize("block", [8192, 40])
+def test_topk_is_exact(spark, block):
     rng = np.random.default_rng(7)
     data = [(int(k), [float(x) for x in rng.integers(-3, 4, 8) / 2]) for k in range(260)]
-    data += [(300, None), (301, [1.0] * 3), (302, [float("nan")] * 8), (303, [float("inf")] + [0.0] * 7), (304, [None] * 8), (305, []), (320, data[0][1]), data[40], (None, data[1][1])]
+    data += [(300, None), (301, [1.0] * 3), (302, [float("nan")] * 8), (303, [float("inf")] + [0.0] * 7), (304, [None] * 8), (305, []), (320, data[0][1]), data[40], (None, data[1][1]), (21, data[5][1]), (340, [2.0, -1.0, 0.0]), (360, [])]
     d = spark.createDataFrame([(i, v, "x") for i, v in data], "vec_id long, embedding array<double>, score string")
-    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in exact_topk.top(d, F.col("vec_id") % 20 == 0, 5).collect()}
-    assert got == brute_topk(data, 5)
-    few = d.where("vec_id in (0, 1, 2)")
-    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in exact_topk.top(few, F.col("vec_id") % 20 == 0, 5).collect()} == brute_topk(data[:3], 5)
-    assert exact_topk.top(d.limit(0), F.col("vec_id") % 20 == 0, 5).count() == 0
+
+    def got(rows):
+        return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in exact_topk.top(rows, F.col("vec_id") % 20 == 0, 5, block_rows=block).collect())
+
+    assert got(d) == brute_topk(data, 5)
+    assert got(d.where("vec_id in (0, 1, 2)")) == brute_topk(data[:3], 5)
+    assert got(d.limit(0)) == []
+
+
+def test_topk_reads_fewer_entries_than_there_are():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 32))
+    near = np.floor(64 * (centres[rng.integers(0, 40, 4000)] + 0.1 * rng.normal(size=(4000, 32)))).astype(np.int64)
+    flat = np.floor(64 * rng.normal(size=(4000, 32))).astype(np.int64)
+    for vectors, most in ((near, 0.6), (flat, 0.95)):
+        lists = exact_topk.Lists(np.arange(4000), vectors)
+        of, who, score = lists.best(vectors[:64], np.arange(64), 10)
+        every = vectors[:64] @ vectors.T
+        every[np.arange(64), np.arange(64)] = -(10**12)
+        for j in range(64):
+            best = np.lexsort((np.arange(4000), -every[j]))[:10]
+            assert who[of == j].tolist() == best.tolist() and score[of == j].tolist() == every[j][best].tolist()
+        assert 0 < lists.entries_read < most * 64 * vectors.size
