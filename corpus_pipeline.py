@@ -10,30 +10,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import line_chunks, mixing, pieces, quality_rules_ensemble, simhash_anchors
-from graphloom.llm.common import Saved, fold, table
+from graphloom.llm.common import Saved, fold, named, packed, scratch, table, unpacked
 from graphloom.llm.queries import MODEL
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     scored, _ = quality_rules_ensemble.score_documents(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) > 0, keep_text=True)
-    return scored.where("predicted = 1").select(*docs.columns)
+    return scored.where("predicted = 1").select(*map(named, docs.columns))
 
 
 def lines_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur elsewhere earlier are taken out of the texts; every document stays."""
-    return line_chunks.deduplicated(docs, runs=True).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = line_chunks.deduplicated(docs, runs=True)
+    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else named(c) for c in docs.columns])
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8)."""
-    return simhash_anchors.one_of_each(docs).select(*docs.columns)
+    return simhash_anchors.one_of_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     taken, _ = mixing.mixed(docs)
-    return taken.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    taken = taken.where("copies > 0").select(packed(docs.columns), F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select(*unpacked(docs.columns))
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +59,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     saved = Saved(spark, "pipeline")
-    for name, stage in STAGES:
-        docs = saved.save(stage(spark, docs, sf_dir))
+    for _, stage in STAGES:
+        with scratch(spark):  # what a stage saved on its way goes once its rows are written
+            docs = saved.save(stage(spark, docs, sf_dir))
+        saved.drop_before()
     return docs
