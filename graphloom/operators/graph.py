@@ -87,18 +87,24 @@ def pagerank(edges: DataFrame, *, rounds: int = 20, damping: float = 0.85) -> Da
     reaches no neighbour is lost (no dangling redistribution)."""
     links = adjacency(edges)
     saved = Saved(edges.sparkSession, "pagerank")
+    links = saved.save(links)
     out = links.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d"))
-    links = saved.save(links.join(out, F.col("src") == F.col("node")).select("src", "dst", "d"))
     n = out.count()
     if not n:
         return out.select("node", F.lit(0.0).alias("score"))
-    score = saved.save(out.select("node", F.lit(1.0 / n).alias("score")))
-    for _ in range(rounds):
-        sent = links.join(score, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("score") / F.col("d")).alias("got"))
-        score = score.select("node").join(sent, F.col("node") == F.col("dst"), "left").select("node", (F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
-        if _ % 5 == 4:  # the plan stays short
-            score = saved.save(score)
-    return score
+    # the edges are dealt out by src once and stay there: a round shuffles only what is sent
+    links = links.join(out, F.col("src") == F.col("node")).select("src", "dst", "d").repartition("src").persist()
+    score = out.select("node", F.lit(1.0 / n).alias("score"))
+    try:
+        for k in range(rounds):
+            sent = links.join(score, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("score") / F.col("d")).alias("got"))
+            # every node has a neighbour, so every node is sent something
+            score = sent.select(F.col("dst").alias("node"), (F.lit((1 - damping) / n) + damping * F.col("got")).alias("score"))
+            if k % 5 == 4 or k == rounds - 1:  # the plan stays short
+                score = saved.save(score)
+        return score
+    finally:
+        links.unpersist()
 
 
 def eigenvector(edges: DataFrame, *, rounds: int = 20) -> DataFrame:
@@ -124,23 +130,30 @@ def closeness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(got, F.col("id") == F.col("start"), "left").select("id", F.coalesce((F.col("r") / F.col("total")) * (F.col("r") / (n - 1)), F.lit(0.0)).alias("closeness"))
 
 
-def betweenness(edges: DataFrame, *, max_hops: int = 30) -> DataFrame:
-    """node, betweenness (undirected, divided by (n-1)(n-2)/2): Brandes' sums from all
-    sources at once, level by level, in both directions."""
+def betweenness(edges: DataFrame, *, sources: DataFrame | None = None, max_hops: int | None = None) -> DataFrame:
+    """node, betweenness (undirected, divided by (n-1)(n-2)/2): Brandes' sums from all sources
+    at once, level by level, in both directions, until nothing new is reached.
+
+    All nodes as sources need rows for all pairs. With `sources` (id) only shortest paths from
+    these count, divided by s(n-1) for s sources; from a random sample of s nodes this is an
+    estimate of the exact value whose error is below e with probability 1 - d where
+    s >= ln(2n / d) / (2 e^2)."""
     spark = edges.sparkSession
     saved = Saved(spark, "betweenness")
     links = saved.save(adjacency(edges))
     nodes = saved.save(links.select(F.col("src").alias("node")).distinct())
     n = nodes.count()
-    level = [saved.save(nodes.select(F.col("node").alias("s"), "node", F.lit(0).alias("d"), F.lit(1.0).alias("paths")))]
-    seen = level[0].select("s", "node")
-    for d in range(1, max_hops + 1):
+    starts = nodes if sources is None else nodes.join(sources.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    level = [saved.save(starts.select(F.col("node").alias("s"), "node", F.lit(0).alias("d"), F.lit(1.0).alias("paths")))]
+    n_starts = level[0].count()
+    while max_hops is None or len(level) <= max_hops:
         step = level[-1].join(links, F.col("node") == F.col("src")).groupBy("s", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-        fresh = saved.save(step.join(seen, ["s", "node"], "left_anti").select("s", "node", F.lit(d).alias("d"), "paths"))
+        # a neighbour of a level is in the level before, in the same, or new
+        near = level[-1].select("s", "node") if len(level) < 2 else level[-1].select("s", "node").union(level[-2].select("s", "node"))
+        fresh = saved.save(step.join(near, ["s", "node"], "left_anti").select("s", "node", F.lit(len(level)).alias("d"), "paths"))
         if fresh.isEmpty():
             break
         level.append(fresh)
-        seen = seen.union(fresh.select("s", "node"))
     total = None
     below = None  # s, node, paths, share of the level below
     for here in reversed(level[1:]):
@@ -153,7 +166,10 @@ def betweenness(edges: DataFrame, *, max_hops: int = 30) -> DataFrame:
         now = saved.save(now.select("s", "node", "paths", "share"))
         total = now.select("node", "share") if total is None else total.union(now.select("node", "share"))
         below = now
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0  # ordered pairs: each path is met twice
+    if sources is None:
+        scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0  # ordered pairs: each path is met twice
+    else:
+        scale = 1.0 / (n_starts * (n - 1)) if n > 1 and n_starts else 0.0
     summed = nodes.withColumn("share", F.lit(0.0)) if total is None else nodes.withColumn("share", F.lit(0.0)).union(total)
     return summed.groupBy("node").agg((F.sum("share") * scale).alias("betweenness"))
 
@@ -189,32 +205,40 @@ def triangles(edges: DataFrame) -> DataFrame:
     return closed.select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
 
 
-def link_scores(edges: DataFrame, *, exclude_existing: bool = True, max_degree: int | None = None) -> DataFrame:
+HUB = 1000  # neighbours of a node that one task pairs with the others
+
+
+def link_scores(edges: DataFrame, *, exclude_existing: bool = True, among: Column | None = None) -> DataFrame:
     """u < v with a common neighbour: common_neighbors, jaccard, adamic_adar (1 / (d ln d)
     for each common neighbour of degree d > 1), resource_allocation, preferential_attachment.
 
-    Pairs come from shared neighbours only; neighbours of more than max_degree are left out
-    if it is given."""
+    Pairs come from shared neighbours only. `among` (over a column `src`) tells the nodes that
+    links are predicted between, all if not given. A neighbour with many others is cut: its
+    one side is dealt to parts of HUB, and the other is sent to each of them, so a hub's pairs
+    are made by many tasks and added up before they are shuffled."""
     links = adjacency(edges)
     d = links.groupBy("src").agg(F.count("*").alias("d"))
     hub = links.join(d.select(F.col("src").alias("dst"), "d"), "dst")
-    hub = hub if max_degree is None else hub.where(F.col("d") <= max_degree)
-    u, v = hub.select(F.col("src").alias("u"), F.col("dst").alias("z"), "d"), hub.select(F.col("src").alias("v"), F.col("dst").alias("z"))
-    pairs = u.join(v, "z").where("u < v").groupBy("u", "v").agg(F.count("*").alias("common_neighbors"), F.sum(F.when(F.col("d") > 1, 1 / (F.col("d") * F.log("d"))).otherwise(0.0)).alias("adamic_adar"), F.sum(1 / F.col("d")).alias("resource_allocation"))
+    hub = hub if among is None else hub.where(among)
+    parts = F.ceil(F.col("d") / HUB).cast("int")
+    u = hub.select(F.col("src").alias("u"), F.col("dst").alias("z"), "d", F.pmod(F.hash("src"), parts).alias("part"))
+    v = hub.select(F.col("src").alias("v"), F.col("dst").alias("z"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    pairs = u.join(v, ["z", "part"]).where("u < v").groupBy("u", "v").agg(F.count("*").alias("common_neighbors"), F.sum(F.when(F.col("d") > 1, 1 / (F.col("d") * F.log("d"))).otherwise(0.0)).alias("adamic_adar"), F.sum(1 / F.col("d")).alias("resource_allocation"))
     pairs = pairs.join(d.select(F.col("src").alias("u"), F.col("d").alias("du")), "u").join(d.select(F.col("src").alias("v"), F.col("d").alias("dv")), "v")
     if exclude_existing:
         pairs = pairs.join(links.select(F.col("src").alias("u"), F.col("dst").alias("v")), ["u", "v"], "left_anti")
     return pairs.select("u", "v", "common_neighbors", (F.col("common_neighbors") / (F.col("du") + F.col("dv") - F.col("common_neighbors"))).alias("jaccard"), "adamic_adar", "resource_allocation", (F.col("du") * F.col("dv")).alias("preferential_attachment"))
 
 
-def shortest_weighted(edges: DataFrame, start: str, *, rounds: int = 20) -> DataFrame:
-    """node, distance: least sum of weights from start along directed edges (Bellman-Ford in
-    rounds; a round relaxes only nodes that improved)."""
+def shortest_weighted(edges: DataFrame, start: str, *, rounds: int | None = None) -> DataFrame:
+    """node, distance: least sum of weights (none below 0) from start along directed edges. A
+    round relaxes only nodes that improved; rounds end when none has, or after `rounds`."""
     saved = Saved(edges.sparkSession, "weighted")
     links = saved.save(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
     best = saved.save(edges.sparkSession.range(1).select(F.lit(start).alias("node"), F.lit(0.0).alias("distance")))
-    front = best
-    for _ in range(rounds):
+    front, k = best, 0
+    while rounds is None or k < rounds:
+        k += 1
         offered = front.join(links, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("distance") + F.col("weight")).alias("offer"))
         front = saved.save(offered.join(best, "node", "left").where(F.col("distance").isNull() | (F.col("offer") < F.col("distance"))).select("node", F.col("offer").alias("distance")))
         if front.isEmpty():

@@ -62,21 +62,37 @@ def _bound(facts: DataFrame, a: Atom) -> DataFrame:
     return rows.select(*[v.alias(n) for n, v in names.items()]) if names else rows.select(F.lit(1).alias("_hit")).limit(1)
 
 
+#: Bindings of a body atom that may be combined with all others, where the rest of the body
+#: shares no variable with it.
+FREE_ROWS = 10_000
+
+
 def fired(rule: Rule, facts: DataFrame, fresh: DataFrame) -> DataFrame:
     """Heads of the rule with at least one body atom met by a fresh fact."""
     out = None
     for new in range(len(rule.body)):
         rows = _bound(fresh, rule.body[new])
-        for k, a in enumerate(rule.body):
-            if k != new:
-                other = _bound(facts, a)
-                shared = [c for c in rows.columns if c in other.columns]
-                rows = rows.join(other, shared) if shared else rows.crossJoin(other)
+        rest = [a for k, a in enumerate(rule.body) if k != new]
+        while rest:
+            # atoms that share a variable with what is bound go first
+            a = next((x for x in rest if set(x.args) & set(rows.columns)), rest[0])
+            rest.remove(a)
+            other = _bound(facts, a)
+            shared = [c for c in rows.columns if c in other.columns]
+            rows = rows.join(other, shared) if shared else _combined(rows, other, rule)
         head = rows.select(F.lit(rule.head.pred).alias("pred"), F.array(*[F.col(t) if is_variable(t) else F.lit(t) for t in rule.head.args]).alias("args"))
         out = head if out is None else out.union(head)
     return out.distinct()
 
 
+def _combined(rows: DataFrame, other: DataFrame, rule: Rule) -> DataFrame:
+    """Every row with every other: only where the others are few."""
+    other = other.distinct()
+    if other.limit(FREE_ROWS + 1).count() > FREE_ROWS:
+        raise ValueError(f"an atom that shares no variable with the others has over {FREE_ROWS} bindings: {rule}")
+    return rows.join(F.broadcast(other))
+
+
 def derived(facts: DataFrame, rules: list[Rule | str], *, rounds: int | None = None) -> DataFrame:
     """All facts (pred, args) that follow: semi-naive, each round joins only what is new."""
     rules = [parsed(r) if isinstance(r, str) else r for r in rules]
@@ -116,3 +132,29 @@ def policy(rules: dict, columns: dict[str, Column]) -> Column:
         ok = {"min": lambda: c >= want, "max": lambda: c <= want, "required": lambda: c.isNotNull(), "allowed": lambda: c.isin(want)}[kind]()
         checks.append((name, ok))
     return violations(*checks)
+
+
+#: Roles that may approve any amount, and the amount above which they must.
+DIRECTORS = ("role:Director", "role:VP", "role:CFO")
+LARGE_AMOUNT = 25000
+
+
+def duty_conflicts(orders: DataFrame, roles: DataFrame, related: DataFrame) -> DataFrame:
+    """(po, rule, evidence): separation of duties broken by a purchase order.
+
+    orders: po, requested_by, approved_by, paid_by, vendor, amount; roles: employee, role;
+    related: vendor, employee. SOD-01 approver pays, SOD-02 approver requests, SOD-03 a large
+    amount approved below director level, SOD-04 the vendor is related to the approver."""
+    rows = orders.join(roles.select(F.col("employee").alias("approved_by"), "role"), "approved_by", "left").join(related.select("vendor", F.col("employee").alias("relative")), "vendor", "left")
+    by = F.col("approved_by")
+
+    def broken(rule: str, when: Column, *evidence: Column) -> Column:
+        return F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(rule).alias("rule"), F.concat(*evidence).alias("evidence")))
+
+    found = F.array(
+        broken("SOD-01", by == F.col("paid_by"), F.lit("approved and paid by "), by),
+        broken("SOD-02", by == F.col("requested_by"), F.lit("requested and approved by "), by),
+        broken("SOD-03", (F.col("amount") > LARGE_AMOUNT) & ~F.col("role").isin(*DIRECTORS), F.lit("approved by "), by, F.lit(", "), F.col("role")),
+        broken("SOD-04", by == F.col("relative"), F.col("vendor"), F.lit(" is related to "), by),
+    )
+    return rows.select("po", F.explode(F.array_compact(found)).alias("v")).select("po", "v.rule", "v.evidence").distinct()

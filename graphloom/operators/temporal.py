@@ -66,10 +66,16 @@ def merged(intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:
     return island.groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
+def _inside(intervals: DataFrame, key: str, start: str, end: str, low: Column, high: Column) -> DataFrame:
+    """The intervals cut to [low, high], and one without length at low for every key."""
+    cut = intervals.where((F.col(end) > low) & (F.col(start) < high)).select(key, F.greatest(F.col(start), low).alias(start), F.least(F.col(end), high).alias(end))
+    return cut.union(intervals.select(key, low.alias(start), low.alias(end)).distinct())
+
+
 def gaps(intervals: DataFrame, key: str, start: str, end: str, low: Column, high: Column) -> DataFrame:
-    """What of [low, high] no interval of the key covers."""
-    inside = intervals.where((F.col(end) > low) & (F.col(start) < high)).select(key, F.greatest(F.col(start), low).alias(start), F.least(F.col(end), high).alias(end))
-    joined = merged(inside, key, start, end)
+    """What of [low, high] no interval of the key covers; all of it for a key whose intervals
+    lie outside."""
+    joined = merged(_inside(intervals, key, start, end, low, high), key, start, end)
     order = Window.partitionBy(key).orderBy(start)
     between = joined.select(key, F.coalesce(F.lag(end).over(order), low).alias("gap_start"), F.col(start).alias("gap_end"))
     tail = joined.groupBy(key).agg(F.max(end).alias("gap_start")).select(key, "gap_start", high.alias("gap_end"))
@@ -77,12 +83,12 @@ def gaps(intervals: DataFrame, key: str, start: str, end: str, low: Column, high
 
 
 def coverage(intervals: DataFrame, key: str, start: str, end: str, low: Column, high: Column) -> DataFrame:
-    """Covered share of [low, high] for each key."""
-    inside = intervals.where((F.col(end) > low) & (F.col(start) < high)).select(key, F.greatest(F.col(start), low).alias(start), F.least(F.col(end), high).alias(end))
+    """Covered share of [low, high] for each key; 0 for a key whose intervals lie outside."""
+
     def seconds(a: Column, b: Column) -> Column:
         return F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))
 
-    return merged(inside, key, start, end).groupBy(key).agg((F.sum(seconds(F.col(start), F.col(end))) / F.first(seconds(low, high))).alias("coverage"))
+    return merged(_inside(intervals, key, start, end, low, high), key, start, end).groupBy(key).agg((F.sum(seconds(F.col(start), F.col(end))) / F.first(seconds(low, high))).alias("coverage"))
 
 
 def timeline(facts: DataFrame, key: str) -> DataFrame:

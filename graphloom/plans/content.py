@@ -124,9 +124,9 @@ def _(spark, sf):
 # ---- rules ----------------------------------------------------------------------------
 
 
-@query("rules_datalog_ancestor", "SELECT 'r' || n_regionkey AS a, 'n' || n_nationkey AS b FROM nation UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION SELECT 'r' || n_regionkey, 's' || s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+@query("rules_datalog_ancestor", "WITH e AS (SELECT 's' || s_suppkey AS id, s_nationkey AS k FROM supplier UNION ALL SELECT 'c' || c_custkey, c_nationkey FROM customer) SELECT 'r' || n_regionkey AS a, 'n' || n_nationkey AS b FROM nation UNION SELECT 'n' || k, id FROM e UNION SELECT 'r' || n_regionkey, id FROM e JOIN nation ON n_nationkey = k")
 def _(spark, sf):
-    edges = place_graph(spark, sf).edges.where("type <> 'home_of'")
+    edges = place_graph(spark, sf).edges
     facts = edges.select(F.lit("parent").alias("pred"), F.array("src", "dst").alias("args"))
     known = R.derived(facts, ["ancestor(X, Y) :- parent(X, Y).", "ancestor(X, Z) :- parent(X, Y), ancestor(Y, Z)."])
     return R.answers(known, "ancestor(A, B)").select(F.col("A").alias("a"), F.col("B").alias("b"))
@@ -141,11 +141,31 @@ def _(spark, sf):
     return R.answers(known, "review(X)").select(F.col("X").alias("who"))
 
 
-@query("rules_duty_separation", "WITH x AS (SELECT o_orderkey AS po, o_custkey % 100 AS requester, l_suppkey AS approver, o_totalprice AS amount, l_returnflag AS flag FROM orders JOIN lineitem ON l_orderkey = o_orderkey) SELECT DISTINCT po, 'same_person' AS rule FROM x WHERE requester = approver UNION SELECT DISTINCT po, 'amount' FROM x WHERE amount > 250000 AND flag = 'R'")
+_DUTY = """x AS (SELECT o_orderkey AS po, 'e' || (o_custkey % 40) AS requested_by, 'e' || (min(l_suppkey) % 40) AS approved_by, 'e' || (max(l_partkey) % 40) AS paid_by, 'v' || min(l_suppkey) AS vendor, o_totalprice AS amount
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey, o_totalprice),
+r AS (SELECT DISTINCT 'e' || (c_custkey % 40) AS employee, CASE c_custkey % 4 WHEN 0 THEN 'role:Director' WHEN 1 THEN 'role:Manager' WHEN 2 THEN 'role:VP' ELSE 'role:Analyst' END AS role FROM customer),
+k AS (SELECT x.*, role, 'e' || (s_nationkey % 40) AS relative FROM x LEFT JOIN r ON employee = approved_by LEFT JOIN supplier ON vendor = 'v' || s_suppkey)"""
+
+
+@query("rules_duty_separation", f"""WITH {_DUTY}
+SELECT po, 'SOD-01' AS rule, 'approved and paid by ' || approved_by AS evidence FROM k WHERE approved_by = paid_by
+UNION ALL SELECT po, 'SOD-02', 'requested and approved by ' || approved_by FROM k WHERE approved_by = requested_by
+UNION ALL SELECT po, 'SOD-03', 'approved by ' || approved_by || ', ' || role FROM k WHERE amount > 25000 AND role IN ('role:Manager', 'role:Analyst')
+UNION ALL SELECT po, 'SOD-04', vendor || ' is related to ' || approved_by FROM k WHERE approved_by = relative""")
 def _(spark, sf):
-    x = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    bad = R.violations(("same_person", F.col("o_custkey") % 100 != F.col("l_suppkey")), ("amount", ~((F.col("o_totalprice") > 250000) & (F.col("l_returnflag") == "R"))))
-    return x.select(F.col("o_orderkey").alias("po"), F.explode(bad).alias("rule")).distinct()
+    """Orders as purchases: of their customer's, first supplier's and last part's employees."""
+
+    def employee(key):
+        return F.concat(F.lit("e"), (key % 40).cast("string"))
+
+    items = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("po")).agg(F.min("l_suppkey").alias("s"), F.max("l_partkey").alias("p"))
+    orders = table(spark, sf, "orders").join(items, F.col("o_orderkey") == F.col("po"))
+    orders = orders.select("po", employee(F.col("o_custkey")).alias("requested_by"), employee(F.col("s")).alias("approved_by"), employee(F.col("p")).alias("paid_by"), node("v", "s").alias("vendor"), F.col("o_totalprice").alias("amount"))
+    key = F.col("c_custkey")
+    role = F.element_at(F.array(*[F.lit(f"role:{r}") for r in ("Director", "Manager", "VP", "Analyst")]), (key % 4 + 1).cast("int"))
+    roles = table(spark, sf, "customer").select(employee(key).alias("employee"), role.alias("role")).distinct()
+    related = table(spark, sf, "supplier").select(node("v", "s_suppkey").alias("vendor"), employee(F.col("s_nationkey")).alias("employee"))
+    return R.duty_conflicts(orders, roles, related)
 
 
 @query("rules_policy_compliance", "SELECT c_custkey, concat_ws(',', CASE WHEN c_acctbal >= 0 THEN NULL ELSE 'min_balance' END, CASE WHEN c_acctbal <= 9000 THEN NULL ELSE 'max_balance' END, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN NULL ELSE 'allowed_segment' END) AS violations FROM customer")

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
 from graphloom.operators.loops import components
-from graphloom.plans.graph import T, nations
+from graphloom.plans.graph import T
 from graphloom.sources import readers, writers
-from graphloom.sources.tables import node, place_graph, table
+from graphloom.sources.tables import market_graph, node, place_graph, table
 from graphloom.streaming import flows
 
 Q, S = {}, {}
@@ -109,7 +109,7 @@ def _(spark, sf):
 @query("graph_clique_communities", f"WITH RECURSIVE {T}, u AS (SELECT src, dst FROM t UNION SELECT dst, src FROM t), k AS (SELECT a.src || '-' || b.src || '-' || b.dst AS tri, [a.src || '-' || b.src, a.src || '-' || b.dst, b.src || '-' || b.dst] AS sides FROM u a JOIN u b ON a.dst = b.src JOIN u c ON c.src = a.src AND c.dst = b.dst WHERE a.src < b.src AND b.src < b.dst), s AS (SELECT tri, unnest(sides) AS side FROM k), e AS (SELECT DISTINCT a.tri AS a, b.tri AS b FROM s a JOIN s b ON a.side = b.side), r AS (SELECT a AS tri, a AS reach FROM e UNION SELECT r.tri, e.b FROM r JOIN e ON e.a = r.reach), c AS (SELECT tri, min(reach) AS community FROM r GROUP BY tri) SELECT DISTINCT community, unnest(string_split(tri, '-')) AS node FROM c")
 def _(spark, sf):
     """Communities of triangles that share an edge (k-clique percolation with k = 3)."""
-    links = G.adjacency(nations(spark, sf))
+    links = G.adjacency(market_graph(spark, sf))
     ab = links.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     tri = ab.join(ab.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").join(ab.select("a", F.col("b").alias("c")), ["a", "c"])
     named = tri.select(F.concat_ws("-", "a", "b", "c").alias("tri"), F.explode(F.array(F.concat_ws("-", "a", "b"), F.concat_ws("-", "a", "c"), F.concat_ws("-", "b", "c"))).alias("side"))
@@ -129,7 +129,7 @@ for _k in range(1, 6):
 def _(spark, sf):
     """A seeded walk of five steps from each node: the next node is the neighbour whose hash
     with the start and the step is least."""
-    links = G.adjacency(nations(spark, sf))
+    links = G.adjacency(market_graph(spark, sf))
     now = links.select(F.col("src").alias("start"), F.col("src").alias("node"), F.col("src").alias("path")).distinct()
     for k in range(1, 6):
         pick = F.min(F.struct(F.md5(F.concat(F.col("start"), F.lit(f"|{k}|"), F.col("dst"))), F.col("dst"))).alias("p")
@@ -137,11 +137,10 @@ def _(spark, sf):
     return now.select("start", "path")
 
 
-@query("graph_structural_similarity", f"WITH {T}, d AS (SELECT src AS node, count(*) AS k FROM t GROUP BY 1), p AS (SELECT a.node AS a, b.node AS b, round(1 - abs(a.k - b.k) / greatest(a.k, b.k), 9) AS score FROM d a JOIN d b ON a.node < b.node) SELECT * FROM p WHERE score >= 0.9")
+@query("graph_structural_similarity", f"WITH {T}, d AS (SELECT src AS node, count(*) AS k FROM t GROUP BY 1), o AS (SELECT k FROM d WHERE node = 's1') SELECT node, round(1 - abs(d.k - o.k) / greatest(d.k, o.k), 9) AS score FROM d, o WHERE node <> 's1' AND round(1 - abs(d.k - o.k) / greatest(d.k, o.k), 9) >= 0.9")
 def _(spark, sf):
-    """Pairs of nodes whose out-degrees are near: degrees meet by value, not node by node."""
-    d = nations(spark, sf).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("k"))
-    kinds = d.select("k").distinct()
-    near = kinds.select(F.col("k").alias("ka")).join(kinds.select(F.col("k").alias("kb")), 1 - F.abs(F.col("ka") - F.col("kb")) / F.greatest("ka", "kb") >= 0.9)
-    a, b = d.select(F.col("node").alias("a"), F.col("k").alias("ka")), d.select(F.col("node").alias("b"), F.col("k").alias("kb"))
-    return a.join(near, "ka").join(b, "kb").where("a < b").select("a", "b", F.round(1 - F.abs(F.col("ka") - F.col("kb")) / F.greatest("ka", "kb"), 9).alias("score"))
+    """Nodes whose out-degree is near that of one node."""
+    d = market_graph(spark, sf).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("k"))
+    own = d.where("node = 's1'").agg(F.max("k")).scalar()
+    score = F.round(1 - F.abs(F.col("k") - own) / F.greatest(F.col("k"), own), 9)
+    return d.where("node <> 's1'").select("node", score.alias("score")).where("score >= 0.9")

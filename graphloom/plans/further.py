@@ -91,11 +91,11 @@ def _(spark, sf):
     return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("category")).agg(F.count("*").alias("decisions"), F.count_if(p > 200000).alias("now_failing"), F.count_if(p > 150000).alias("then_failing"), F.round(change, 9).alias("change"))
 
 
-@query("concept_hierarchy", "SELECT 'r' || r_regionkey AS top, 'r' || r_regionkey AS concept, 0 AS level FROM region UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, 1 FROM nation UNION ALL SELECT 'r' || n_regionkey, 's' || s_suppkey, 2 FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+@query("concept_hierarchy", "SELECT 'r' || r_regionkey AS top, 'r' || r_regionkey AS concept, 0 AS level FROM region UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey, 1 FROM nation UNION ALL SELECT 'r' || n_regionkey, 's' || s_suppkey, 2 FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION ALL SELECT 'r' || n_regionkey, 'c' || c_custkey, 2 FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def _(spark, sf):
     g = place_graph(spark, sf)
     tops = g.nodes.where("type = 'region'").select(F.col("id").alias("start"))
-    return reachable(g.edges.where("type <> 'home_of'"), tops).select(F.col("start").alias("top"), F.col("node").alias("concept"), F.col("hops").alias("level"))
+    return reachable(g.edges, tops).select(F.col("start").alias("top"), F.col("node").alias("concept"), F.col("hops").alias("level"))
 
 
 @query("ontology_alignment", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON lower(trim(replace(c_name, 'Customer', ''))) = lower(trim(replace(s_name, 'Supplier', '')))")
@@ -159,7 +159,7 @@ def _(spark, sf):
     return n.join(size, ["conv_id", "turn"]).select("conv_id", "turn", "dim", F.round(F.col("n") / F.col("size"), 9).alias("value"))
 
 
-_SUB = """WITH e AS (SELECT 'r' || n_regionkey AS a, 'n' || n_nationkey AS b FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+_SUB = """WITH e AS (SELECT 'r' || n_regionkey AS a, 'n' || n_nationkey AS b FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 d AS (SELECT a AS id, count(*) AS degree FROM u GROUP BY 1), s AS (SELECT 'n' || n_nationkey AS id FROM nation WHERE contains(lower(n_name), 'nation_1')),
 x AS (SELECT id, 0 AS hop FROM s UNION ALL SELECT u.b, 1 FROM u JOIN s ON u.a = s.id UNION ALL SELECT v.b, 2 FROM u JOIN s ON u.a = s.id JOIN u v ON v.a = u.b), m AS (SELECT id, min(hop) AS hop FROM x GROUP BY id)
 SELECT m.id, hop, coalesce(degree, 0) AS degree FROM m LEFT JOIN d ON d.id = m.id ORDER BY hop = 0 DESC, degree DESC, m.id LIMIT 25"""
@@ -171,7 +171,7 @@ def _(spark, sf):
     from graphloom.operators import graph as G
 
     g = place_graph(spark, sf)
-    edges = g.edges.where("type <> 'home_of'")
+    edges = g.edges
     seeds = g.nodes.where("type = 'nation'").where(F.contains(F.lower("name"), F.lit("nation_1"))).select(F.col("id").alias("start"))
     near = reachable(G.adjacency(edges), seeds, max_hops=2).groupBy(F.col("node").alias("id")).agg(F.min("hops").alias("hop"))
     ranked = near.join(G.degrees(edges), F.col("id") == F.col("node"), "left").select("id", "hop", F.coalesce("degree", F.lit(0)).alias("degree"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
 from graphloom.operators.loops import reachable
-from graphloom.sources.tables import node, place_graph, table, trade_graph
+from graphloom.sources.tables import market_graph, place_graph, trade_graph
 
 E = "e AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, CAST(count(*) AS DOUBLE) AS weight FROM lineitem GROUP BY 1, 2)"
 U = E + ", u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
@@ -15,10 +15,14 @@ PLACES = """pe AS (
   SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'contains' AS type, 0.9::DOUBLE AS weight FROM nation
   UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'home_of', 0.8::DOUBLE FROM customer
   UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'seat_of', 0.5::DOUBLE FROM supplier)"""
-#: Nations that trade: of customer's and supplier's nations in a line item (a small graph).
-T = """t AS (SELECT DISTINCT 'n' || c_nationkey AS src, 'n' || s_nationkey AS dst
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey
-  WHERE l_quantity >= 50 AND c_nationkey <> s_nationkey AND o_orderpriority = '1-URGENT')"""
+#: Customers, their suppliers, their nations, and back to the nations' customers.
+T = """t AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer)"""
+#: Fewest hops from every nation, undirected; no node is more than HOPS away.
+MOST_HOPS = 5
+NEAR = f"""{T}, u AS (SELECT src, dst FROM t UNION SELECT dst, src FROM t), n AS (SELECT DISTINCT src AS node FROM u), f AS (SELECT node FROM n WHERE node LIKE 'n%'),
+w AS (SELECT node AS s, node, 0 AS h FROM f UNION SELECT s, dst, h + 1 FROM w JOIN u ON u.src = w.node WHERE h < {MOST_HOPS}),
+b AS MATERIALIZED (SELECT s, node, min(h) AS h FROM w GROUP BY 1, 2)"""
 Q, S = {}, {}
 
 
@@ -32,14 +36,6 @@ def query(name, sql=None):
     return add
 
 
-def nations(spark, sf):
-    """Directed edges between the nations of customers and suppliers in large urgent orders."""
-    items = table(spark, sf, "lineitem").where("l_quantity >= 50")
-    orders = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
-    joined = items.join(orders, items.l_orderkey == orders.o_orderkey).join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
-    return joined.where("c_nationkey <> s_nationkey").select(node("n", "c_nationkey").alias("src"), node("n", "s_nationkey").alias("dst")).distinct()
-
-
 @query("graph_degree_centrality", f"WITH {D} SELECT node, degree, round(degree / ((SELECT count(*) FROM d) - 1), 9) AS centrality, rank() OVER (ORDER BY degree DESC) AS rank FROM d")
 def _(spark, sf):
     return G.degree_centrality(trade_graph(spark, sf).edges).withColumn("centrality", F.round("centrality", 9))
@@ -125,36 +121,48 @@ def _(spark, sf):
 SELECT c.u, c.v, cn AS common_neighbors, round(cn / (x.degree + y.degree - cn), 9) AS jaccard, round(aa, 9) AS adamic_adar, round(ra, 9) AS resource_allocation, x.degree * y.degree AS preferential_attachment
 FROM c JOIN d x ON x.node = c.u JOIN d y ON y.node = c.v""")
 def _(spark, sf):
-    # suppliers linked by the parts that both deliver: pairs of parts are not asked for
-    edges = trade_graph(spark, sf).edges
-    scores = G.link_scores(edges).where("u LIKE 's%' AND v LIKE 's%'")
+    # links are predicted between suppliers, from the parts that two of them deliver
+    scores = G.link_scores(trade_graph(spark, sf).edges, among=F.col("src").startswith("s"))
     return scores.select("u", "v", "common_neighbors", *[F.round(c, 9).alias(c) for c in ("jaccard", "adamic_adar", "resource_allocation")], "preferential_attachment")
 
 
-@query("graph_closeness_centrality", f"""WITH RECURSIVE {T}, u AS (SELECT src, dst FROM t UNION SELECT dst, src FROM t), n AS (SELECT DISTINCT src AS node FROM u),
-w AS (SELECT node AS s, node, 0 AS h FROM n UNION SELECT s, dst, h + 1 FROM w JOIN u ON u.src = w.node WHERE h < 40),
-b AS (SELECT s, node, min(h) AS h FROM w GROUP BY 1, 2)
+def _nation_nodes(edges):
+    return G.adjacency(edges).select(F.col("src").alias("id")).distinct().where("id LIKE 'n%'")
+
+
+@query("graph_closeness_centrality", f"""WITH RECURSIVE {NEAR}
 SELECT s AS id, round((count(*) / sum(h)) * (count(*) / ((SELECT count(*) FROM n) - 1)), 9) AS closeness FROM b WHERE h > 0 GROUP BY s""")
 def _(spark, sf):
-    edges = nations(spark, sf)
-    sources = G.adjacency(edges).select(F.col("src").alias("id")).distinct()
-    return G.closeness(edges, sources).withColumn("closeness", F.round("closeness", 9))
+    """Closeness of the nations among all customers, suppliers and nations."""
+    edges = market_graph(spark, sf)
+    return G.closeness(edges, _nation_nodes(edges)).withColumn("closeness", F.round("closeness", 9))
 
 
-@query("graph_bfs_distances", f"""WITH RECURSIVE {T}, w AS (SELECT 'n0' AS node, 0 AS h UNION SELECT dst, h + 1 FROM w JOIN t ON t.src = w.node WHERE h < 40)
+@query("graph_bfs_distances", f"""WITH RECURSIVE {T}, w AS (SELECT 'n0' AS node, 0 AS h UNION SELECT dst, h + 1 FROM w JOIN t ON t.src = w.node WHERE h < 8)
 SELECT 'n0' AS start, node, min(h) AS hops FROM w GROUP BY node""")
 def _(spark, sf):
-    return reachable(nations(spark, sf), spark.range(1).select(F.lit("n0").alias("start")))
+    return reachable(market_graph(spark, sf), spark.range(1).select(F.lit("n0").alias("start")))
+
+
+_bt = [f"WITH RECURSIVE {NEAR}, p0 AS (SELECT node AS s, node, 1.0::DOUBLE AS paths FROM f)"]
+for _k in range(1, MOST_HOPS + 1):
+    _bt.append(f"p{_k} AS MATERIALIZED (SELECT p.s, u.dst AS node, sum(p.paths) AS paths FROM p{_k - 1} p JOIN u ON u.src = p.node JOIN b ON b.s = p.s AND b.node = u.dst AND b.h = {_k} GROUP BY 1, 2)")
+_bt.append(f"d{MOST_HOPS} AS (SELECT s, node, paths, 0.0::DOUBLE AS share FROM p{MOST_HOPS})")
+for _k in range(MOST_HOPS - 1, 0, -1):
+    _bt.append(f"d{_k} AS MATERIALIZED (SELECT p.s, p.node, p.paths, coalesce(sum((1 + d.share) / d.paths * p.paths), 0) AS share FROM p{_k} p LEFT JOIN (SELECT d.*, u.dst AS up FROM d{_k + 1} d JOIN u ON u.src = d.node) d ON d.s = p.s AND d.up = p.node GROUP BY 1, 2, 3)")
+_bt.append("a AS (SELECT node, 0.0 AS share FROM n UNION ALL " + " UNION ALL ".join(f"SELECT node, share FROM d{_k}" for _k in range(1, MOST_HOPS + 1)) + ")")
 
 
-@query("graph_betweenness_centrality")
+@query("graph_betweenness_centrality", ", ".join(_bt) + " SELECT node, round(sum(share) / ((SELECT count(*) FROM f) * ((SELECT count(*) FROM n) - 1)), 9) AS betweenness FROM a GROUP BY node")
 def _(spark, sf):
-    return G.betweenness(nations(spark, sf)).withColumn("betweenness", F.round("betweenness", 9))
+    """Shares of the shortest paths that start at nations."""
+    edges = market_graph(spark, sf)
+    return G.betweenness(edges, sources=_nation_nodes(edges)).withColumn("betweenness", F.round("betweenness", 9))
 
 
 @query("graph_triangles", f"WITH {T}, u AS (SELECT src, dst FROM t UNION SELECT dst, src FROM t), r AS (SELECT a.src AS x, b.src AS y, b.dst AS z FROM u a JOIN u b ON a.dst = b.src JOIN u c ON c.src = a.src AND c.dst = b.dst WHERE a.src < b.src AND b.src < b.dst) SELECT node, count(*) AS triangles FROM (SELECT unnest([x, y, z]) AS node FROM r) GROUP BY node")
 def _(spark, sf):
-    return G.triangles(nations(spark, sf))
+    return G.triangles(market_graph(spark, sf))
 
 
 _lp = [f"WITH {T}, u AS (SELECT src, dst FROM t UNION SELECT dst, src FROM t), l0 AS (SELECT DISTINCT src AS node, src AS label FROM u)"]
@@ -164,7 +172,7 @@ for _k in range(1, 6):
 
 @query("graph_label_propagation", ", ".join(_lp) + " SELECT node, label AS community FROM l5")
 def _(spark, sf):
-    return G.label_propagation(nations(spark, sf))
+    return G.label_propagation(market_graph(spark, sf))
 
 
 @query("graph_community_metrics", f"WITH {PLACES}, m AS (SELECT id, root FROM (SELECT src AS root, dst AS id FROM pe WHERE type = 'contains' UNION ALL SELECT src, src FROM pe WHERE type = 'contains' GROUP BY src UNION ALL SELECT src, dst FROM pe WHERE type <> 'contains')), s AS (SELECT root, count(*) AS n FROM m GROUP BY root), w AS (SELECT src, dst FROM pe UNION SELECT dst, src FROM pe), k AS (SELECT a.root AS ra, b.root AS rb FROM w JOIN m a ON a.id = w.src JOIN m b ON b.id = w.dst) SELECT count(*) AS communities, max(n) AS largest, round(avg(n), 9) AS avg_size, (SELECT count(*) FROM k WHERE ra = rb) AS intra, (SELECT count(*) FROM k WHERE ra <> rb) AS inter, round((SELECT count(*) FROM k WHERE ra = rb) / ((SELECT count(*) FROM k WHERE ra <> rb) + 1), 9) AS edge_ratio FROM s")
@@ -181,14 +189,14 @@ def _(spark, sf):
     return G.shortest_weighted(place_graph(spark, sf).edges, "r2").withColumn("distance", F.round("distance", 9))
 
 
-@query("graph_k_shortest_paths", f"WITH RECURSIVE {T}, w AS (SELECT ['n0'] AS path UNION ALL SELECT list_append(path, dst) FROM w JOIN t ON t.src = path[len(path)] WHERE len(path) <= 3 AND NOT list_contains(path, dst) AND path[len(path)] <> 'n7') SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INTEGER) AS hops, CAST(len(path) - 1 AS DOUBLE) AS cost FROM w WHERE path[len(path)] = 'n7' ORDER BY cost, path LIMIT 10")
+@query("graph_k_shortest_paths", f"WITH RECURSIVE {T}, w AS (SELECT ['n0'] AS path UNION ALL SELECT list_append(path, dst) FROM w JOIN t ON t.src = path[len(path)] WHERE len(path) <= 2 AND NOT list_contains(path, dst) AND path[len(path)] <> 's7') SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INTEGER) AS hops, CAST(len(path) - 1 AS DOUBLE) AS cost FROM w WHERE path[len(path)] = 's7' ORDER BY cost, path LIMIT 10")
 def _(spark, sf):
-    return G.paths(nations(spark, sf).withColumn("weight", F.lit(1.0)), "n0", "n7", max_hops=3, k=10)
+    return G.paths(market_graph(spark, sf).withColumn("weight", F.lit(1.0)), "n0", "s7", max_hops=2, k=10)
 
 
 @query("graph_cycles", f"WITH {T} SELECT a.src || '>' || a.dst AS cycle, 2 AS length FROM t a JOIN t b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT a.src || '>' || b.src || '>' || c.src, 3 FROM t a JOIN t b ON a.dst = b.src JOIN t c ON b.dst = c.src AND c.dst = a.src WHERE a.src < b.src AND a.src < c.src AND b.src <> c.src")
 def _(spark, sf):
-    return G.cycles(nations(spark, sf), max_length=3)
+    return G.cycles(market_graph(spark, sf), max_length=3)
 
 
 @query("graph_bridges", f"WITH {PLACES} SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM pe")

@@ -85,7 +85,7 @@ def _(spark, sf):
     return T.merged(rows, "src", "valid_from", "valid_until").select("src", F.col("valid_from").cast("string").alias("valid_from"), F.col("valid_until").cast("string").alias("valid_until"))
 
 
-_R = V + """, o AS (SELECT DISTINCT src, greatest(valid_from, TIMESTAMP '1998-01-01') AS s, least(valid_until, TIMESTAMP '1999-01-01') AS e FROM v WHERE valid_until > valid_from AND valid_until > TIMESTAMP '1998-01-01' AND valid_from < TIMESTAMP '1999-01-01'),
+_R = V + """, o AS (SELECT DISTINCT src, greatest(valid_from, TIMESTAMP '1998-01-01') AS s, least(valid_until, TIMESTAMP '1999-01-01') AS e FROM v WHERE valid_until > valid_from AND valid_until > TIMESTAMP '1998-01-01' AND valid_from < TIMESTAMP '1999-01-01' UNION SELECT src, TIMESTAMP '1998-01-01', TIMESTAMP '1998-01-01' FROM v WHERE valid_until > valid_from),
 k AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY src ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM o),
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY src ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM k),
 m AS (SELECT src, min(s) AS s, max(e) AS e FROM i GROUP BY src, island)"""

@@ -49,3 +49,14 @@ def place_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         .union(supplier.select(node("n", "s_nationkey"), node("s", "s_suppkey"), F.lit("seat_of"), F.lit(0.5)))
     )
     return PropertyGraph(nodes, edges)
+
+
+def market_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directed edges (src, dst): customers to the suppliers that they buy from, suppliers to
+    their nations, nations to their customers."""
+    bought = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return (
+        bought.select(node("c", "o_custkey").alias("src"), node("s", "l_suppkey").alias("dst")).distinct()
+        .union(table(spark, sf_dir, "supplier").select(node("s", "s_suppkey"), node("n", "s_nationkey")))
+        .union(table(spark, sf_dir, "customer").select(node("n", "c_nationkey"), node("c", "c_custkey")))
+    )

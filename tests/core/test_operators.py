@@ -182,3 +182,35 @@ def test_files_and_exports(spark, tmp_path):
     assert line == '<urn:x:s> <urn:x:p> "quote \\" and\\nline" .'
     writers.written(facts, str(tmp_path / "out"), "parquet")
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_duty_separation_golden_orders(spark):
+    roles = spark.createDataFrame([("E091", "role:Manager"), ("E118", "role:Manager"), ("E140", "role:Director"), ("E207", "role:Analyst"), ("E312", "role:VP")], "employee string, role string")
+    related = spark.createDataFrame([("V77", "E140")], "vendor string, employee string")
+    orders = [("PO-2101", "V11", 4500.0, "E207", "E091", "E118"), ("PO-2204", "V11", 12000.0, "E207", "E118", "E118"), ("PO-2301", "V11", 9000.0, "E091", "E091", "E118"), ("PO-2317", "V11", 48750.0, "E207", "E091", "E312"), ("PO-2402", "V77", 15000.0, "E207", "E140", "E118"), ("PO-1", None, None, None, None, None)]
+    got = R.duty_conflicts(spark.createDataFrame(orders, "po string, vendor string, amount double, requested_by string, approved_by string, paid_by string"), roles, related)
+    assert {(r.po, r.rule) for r in got.collect()} == {("PO-2204", "SOD-01"), ("PO-2301", "SOD-02"), ("PO-2317", "SOD-03"), ("PO-2402", "SOD-04")}
+
+
+def test_gaps_and_coverage_of_keys_outside_the_domain(spark):
+    rows = spark.createDataFrame([("a", 2, 4), ("a", 6, 20), ("b", 30, 40), ("c", 0, 50)], "k string, s int, e int")
+    stamped = rows.select("k", *[F.timestamp_seconds(c).cast("timestamp_ntz").alias(c) for c in ("s", "e")])
+    low, high = (F.timestamp_seconds(F.lit(x)).cast("timestamp_ntz") for x in (0, 10))
+    gaps = {(r.k, r.gap_start.second, r.gap_end.second) for r in T.gaps(stamped, "k", "s", "e", low, high).collect()}
+    assert gaps == {("a", 0, 2), ("a", 4, 6), ("b", 0, 10)}
+    assert {r.k: r.coverage for r in T.coverage(stamped, "k", "s", "e", low, high).collect()} == {"a": 0.6, "b": 0.0, "c": 1.0}
+
+
+def test_rules_whose_atoms_share_no_variable(spark):
+    facts = spark.createDataFrame([("p", ["a"]), ("p", ["b"]), ("q", ["c"]), ("r", ["b", "c"])], "pred string, args array<string>")
+    known = R.derived(facts, ["s(X, Y) :- p(X), q(Y).", "t(X) :- p(X), q(Y), r(X, Y)."])
+    assert {tuple(r) for r in R.answers(known, "s(A, B)").collect()} == {("a", "c"), ("b", "c")}
+    assert [r[0] for r in R.answers(known, "t(A)").collect()] == ["b"]
+
+
+def test_hubs_are_cut(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"u{k}", f"z{j}") for k in range(40) for j in range(3) if (k + j) % 4], "src string, dst string")
+    key = ["u", "v", "common_neighbors", "preferential_attachment"]
+    whole = {tuple(r) for r in G.link_scores(edges).select(*key).collect()}
+    monkeypatch.setattr(G, "HUB", 7)
+    assert {tuple(r) for r in G.link_scores(edges).select(*key).collect()} == whole and len(whole) > 500
