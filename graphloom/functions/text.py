@@ -95,3 +95,162 @@ def pascal_case(name: Column) -> Column:
 def camel_case(name: Column) -> Column:
     p = pascal_case(name)
     return F.concat(F.lower(F.left(p, F.lit(1))), F.substr(p, F.lit(2)))
+
+
+SEPARATORS = ("\n\n", "\n", ". ", " ")
+_ENDS = r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$"
+
+
+def recursive_chunks(text: Column, size: int = 1000, overlap: int = 200, separators: tuple[str, ...] = SEPARATORS) -> Column:
+    """array<struct<start, end, chunk>>: windows of `size` characters that end behind the last
+    paragraph, line, sentence or word in them, the first of these that lies in the second half;
+    the next window starts `overlap` characters before the end."""
+    if 2 * overlap >= size:
+        raise ValueError("an overlap takes less than half a window")
+    spans = F.array().cast("array<struct<start:int,end:int>>")
+
+    def step(now: Column, text: Column, length: Column) -> Column:
+        start = now["start"]
+        window = F.substr(text, start + 1, F.lit(size))
+        cut = F.lit(size)
+        for separator in reversed(separators):
+            # where the last one begins; below 0 if there is none
+            place = F.length(window) - F.length(F.substring_index(window, separator, -1)) - len(separator)
+            cut = F.when(place > size * 0.5, place + len(separator)).otherwise(cut)
+        end = F.when(start + size >= length, length).otherwise(start + cut)
+        after = F.when(end == length, length).otherwise(F.greatest(start + 1, end - overlap))
+        # the last window holds the rest of the text
+        after = F.when(start + size >= length, length).otherwise(after)
+        fresh = F.struct(start.alias("start"), end.alias("end"))
+        return F.when(start >= length, now).otherwise(F.struct(after.alias("start"), F.array_append(now["out"], fresh).alias("out")))
+
+    def of(t: Column) -> Column:
+        length = F.length(t)
+        most = F.ceil(length / (size * 0.5 - overlap)).cast("int") + 1
+        found = F.aggregate(F.sequence(F.lit(1), most), F.struct(F.lit(0).alias("start"), spans.alias("out")), lambda now, _: step(now, t, length))["out"]
+        cut = F.transform(found, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), F.substr(t, f["start"] + 1, f["end"] - f["start"]).alias("chunk")))
+        cut = F.transform(cut, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.when(c["end"] == length, c["chunk"]).otherwise(F.regexp_replace(c["chunk"], _ENDS, "")).alias("chunk")))
+        return F.filter(cut, lambda c: c["chunk"] != "")
+
+    return F.transform(F.array(text), of)[0]
+
+
+def packed(parts: Column, size: int, glue: str, *, most: int | None = None) -> Column:
+    """array<struct<n, chunk>>: parts put together in order until the next one would make more
+    than `size` characters (glue included), or `most` parts are in; a larger part stays whole."""
+    done = F.array().cast("array<struct<n:int,chunk:string>>")
+    empty = F.struct(done.alias("done"), F.lit(0).alias("n"), F.lit("").alias("chunk"))
+
+    def step(now: Column, part: Column) -> Column:
+        full = (now["n"] > 0) & ((F.length(now["chunk"]) + len(glue) + F.length(part) > size) | (F.lit(False) if most is None else now["n"] >= most))
+        closed = F.array_append(now["done"], F.struct(now["n"].alias("n"), now["chunk"].alias("chunk")))
+        joined = F.when(now["n"] == 0, part).otherwise(F.concat(now["chunk"], F.lit(glue), part))
+        return F.struct(F.when(full, closed).otherwise(now["done"]).alias("done"), F.when(full, 1).otherwise(now["n"] + 1).alias("n"), F.when(full, part).otherwise(joined).alias("chunk"))
+
+    return F.aggregate(parts, empty, step, lambda s: F.when(s["n"] > 0, F.array_append(s["done"], F.struct(s["n"].alias("n"), s["chunk"].alias("chunk")))).otherwise(s["done"]))
+
+
+def sections(text: Column, header: str) -> Column:
+    """array<string>: the text cut before every match of the header pattern."""
+    marked = F.split(F.regexp_replace(text, f"({header})", "\u0001$1"), "\u0001")
+    return F.filter(marked, lambda s: s != "")
+
+
+def nested_chunks(text: Column, outer: int, inner: int) -> Column:
+    """array<struct<parent, child, chunk>>: windows of `outer` characters, each in windows of `inner`."""
+    def pieces(n: Column, size: int) -> Column:
+        return F.sequence(F.lit(0), F.greatest(F.ceil(n / size), F.lit(1)).cast("int") - 1)
+
+    parents = F.transform(pieces(F.length(text), outer), lambda p: F.struct(p.alias("p"), F.substr(text, p * outer + 1, F.lit(outer)).alias("t")))
+    return F.flatten(F.transform(parents, lambda x: F.transform(pieces(F.length(x["t"]), inner), lambda c: F.struct(x["p"].alias("parent"), c.alias("child"), F.substr(x["t"], c * inner + 1, F.lit(inner)).alias("chunk")))))
+
+
+#: Patterns of entities (their texts may be matched by several) and confidence.
+ENTITIES = {
+    "PERSON": r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b",
+    "ORG": r"\b[A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)* (?:Inc|Corp|LLC|Ltd|Company)\b",
+    "GPE": r"\b[A-Z][a-z]+ (?:City|State|Country|Nation)\b",
+    "DATE": r"\b[0-9]{1,4}[/-][0-9]{1,2}[/-][0-9]{1,4}\b",
+    "MONEY": r"\$[0-9][0-9,]*(?:\.[0-9]{2})?",
+    "PERCENT": r"\b[0-9]+(?:\.[0-9]+)?%",
+}
+ENTITY_CONFIDENCE = {"PERSON": 0.7, "ORG": 0.7, "GPE": 0.7, "DATE": 0.7, "MONEY": 0.75, "PERCENT": 0.75}
+#: What stands between a subject and an object.
+RELATIONS = {
+    "founded_by": r"[.,]? (?:was )?(?:founded|established|created|started|co-founded) by ",
+    "located_in": r" (?:is located in|is headquartered in|is based in|in) ",
+    "works_for": r" (?:works for|works at|work for|work at|joined|was hired by|serves at) ",
+    "born_in": r" (?:was born in|born in|hails from|is originally from) ",
+    "acquired_by": r" (?:was acquired by|acquired by|is owned by) ",
+}
+#: Words that tell an event.
+EVENTS = {
+    "acquisition": r"\b(?:acquired|acquisition|buying|bought|merger|merged)\b",
+    "partnership": r"\b(?:partnered|partnership|collaborate|collaboration)\b",
+    "launch": r"\b(?:launch|launched|releasing|released|unveil|unveiled)\b",
+    "investment": r"\b(?:invest|invested|investment|funding|raised)\b",
+    "legal": r"\b(?:sue|sued|lawsuit|litigation|legal action)\b",
+}
+
+
+def entities(text: Column, patterns: dict[str, str] | None = None) -> Column:
+    """array<struct<label, entity, confidence>>: all matches of every pattern, in order."""
+
+    def found(label: str, pattern: str) -> Column:
+        confidence = F.lit(ENTITY_CONFIDENCE.get(label, 0.7)).alias("confidence")
+        return F.transform(all_of(text, pattern), lambda e: F.struct(F.lit(label).alias("label"), e.alias("entity"), confidence))
+
+    return F.concat(*[found(label, p) for label, p in (patterns or ENTITIES).items()])
+
+
+def relations(text: Column, entity: str, patterns: dict[str, str] | None = None) -> Column:
+    """array<struct<subject, relation, object>>: two entities with a relation's words between."""
+
+    def found(name: str, middle: str) -> Column:
+        whole = F.lit(f"({entity}){middle}({entity})")
+        return F.zip_with(F.regexp_extract_all(text, whole, F.lit(1)), F.regexp_extract_all(text, whole, F.lit(2)), lambda s, o: F.struct(s.alias("subject"), F.lit(name).alias("relation"), o.alias("object")))
+
+    return F.concat(*[found(name, middle) for name, middle in (patterns or RELATIONS).items()])
+
+
+def events(text: Column, patterns: dict[str, str] | None = None) -> Column:
+    """array<struct<event, trigger>> of all trigger words, whatever their case."""
+
+    def found(name: str, pattern: str) -> Column:
+        return F.transform(all_of(text, f"(?i){pattern}"), lambda t: F.struct(F.lit(name).alias("event"), F.lower(t).alias("trigger")))
+
+    return F.concat(*[found(name, p) for name, p in (patterns or EVENTS).items()])
+
+
+def matched(entity: Column, text: Column) -> Column:
+    """How well a text names an entity: 1 if equal, up to 0.9 by length if it is a part, at
+    least 0.88 on word edges, else 0."""
+    low, e = F.lower(F.trim(text)), F.lower(F.trim(entity))
+    part = 0.9 * F.least(F.length(low), F.length(e)) / F.greatest(F.length(low), F.length(e)) + 0.1
+    edge = F.contains(F.concat(F.lit(" "), low, F.lit(" ")), F.concat(F.lit(" "), e, F.lit(" "))) | F.contains(F.concat(F.lit(" "), e, F.lit(" ")), F.concat(F.lit(" "), low, F.lit(" ")))
+    return F.when(low == e, 1.0).when((low == "") | (e == ""), 0.0).when(edge, F.greatest(part, F.lit(0.88))).when(F.contains(low, e) | F.contains(e, low), part).otherwise(0.0)
+
+
+#: Words that tell how a question is bound in time.
+INTENTS = (("between", r"\bbetween ([0-9]{4}-[0-9]{2}-[0-9]{2}) and [0-9]{4}-[0-9]{2}-[0-9]{2}"), ("before", r"\bbefore ([0-9]{4}-[0-9]{2}-[0-9]{2})"), ("after", r"\bafter ([0-9]{4}-[0-9]{2}-[0-9]{2})"), ("during", r"\bduring ([0-9]{4})"), ("at", r"\b(?:at|on) ([0-9]{4}-[0-9]{2}-[0-9]{2})"))
+
+
+def rewritten_question(question: Column) -> Column:
+    """struct<intent, moment, question>: a temporal phrase taken out of a question."""
+    intent, moment, left = F.lit(None).cast("string"), F.lit(None).cast("string"), question
+    for name, pattern in reversed(INTENTS):
+        hit = question.rlike(pattern)
+        intent, moment = F.when(hit, name).otherwise(intent), F.when(hit, F.regexp_extract(question, pattern, 1)).otherwise(moment)
+        left = F.when(hit, F.regexp_replace(question, pattern, "")).otherwise(left)
+    return F.struct(intent.alias("intent"), moment.alias("moment"), F.trim(F.regexp_replace(F.regexp_replace(left, " +", " "), r" +([?.!])$", "$1")).alias("question"))
+
+
+def without_bom(data: Column) -> Column:
+    """Bytes without a byte order mark of UTF-8."""
+    return F.when(F.hex(F.substr(data, F.lit(1), F.lit(3))) == "EFBBBF", F.substr(data, F.lit(4))).otherwise(data)
+
+
+def as_utf8(data: Column) -> Column:
+    """Text of bytes: as UTF-8 where they are valid, else as Latin-1."""
+    plain = without_bom(data)
+    return F.when(F.is_valid_utf8(plain.cast("string")), plain.cast("string")).otherwise(F.decode(plain, "ISO-8859-1"))

@@ -58,3 +58,34 @@ def types_in_conflict(rows: DataFrame, incompatible: list[tuple[str, str]]) -> D
     for a, b in incompatible:
         bad = bad | (F.array_contains("types", a) & F.array_contains("types", b))
     return kinds.where(bad).select("entity", F.array_join("types", ",").alias("types"))
+
+
+#: Fixed values: (type, type that excludes it).
+EXCLUSIVE = (("Person", "Organization"), ("Person", "Company"), ("Person", "Institution"), ("Organization", "Person"), ("Company", "Person"), ("Location", "Person"), ("Location", "Organization"))
+
+
+def temporal(rows: DataFrame, key: str, properties: list[str]) -> DataFrame:
+    """key, property, years, first, last: date texts of one entity with different years."""
+    each = rows.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(p).alias("property"), F.regexp_extract(F.col(p), "(19|20)[0-9]{2}", 0).alias("y")) for p in properties])).alias("v"))
+    return each.where("v.y <> ''").groupBy(key, "v.property").agg(F.countDistinct("v.y").alias("years"), F.min("v.y").alias("first"), F.max("v.y").alias("last")).where("years > 1")
+
+
+def relations(rows: DataFrame, key: str, properties: list[str]) -> DataFrame:
+    """key, property, n: properties of one relation with several values (as texts)."""
+    each = rows.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(p).alias("property"), F.col(p).cast("string").alias("v")) for p in properties])).alias("x"))
+    found = each.groupBy(key, "x.property").agg(F.countDistinct("x.v").alias("n")).where("n > 1")
+    return found.withColumn("confidence", F.lit(0.8)).withColumn("severity", F.lit("medium"))
+
+
+def logical(types: DataFrame) -> DataFrame:
+    """id, a, b: entities (id, type) with two types of which a excludes b. An entity's types are
+    gathered as a set, which is as small as the number of types."""
+    held = types.groupBy("id").agg(F.collect_set("type").alias("held"))
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in EXCLUSIVE])
+    met = F.filter(pairs, lambda p: F.array_contains("held", p["a"]) & F.array_contains("held", p["b"]))
+    return held.select("id", F.explode(met).alias("p")).select("id", "p.a", "p.b")
+
+
+def guide(property_: Column, entity: Column, n: Column) -> Column:
+    """What to do about a conflict, as text."""
+    return F.format_string("Conflict of %s on %s: %d values. 1. Compare the sources. 2. Check the latest. 3. Record the choice.", property_, entity, n)

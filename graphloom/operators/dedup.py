@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import strings as S
@@ -64,3 +64,39 @@ def merged(rows: DataFrame, *, by: list[str], order: list[Column], properties: l
         raise ValueError(f"unknown strategy {strategy}")
 
     return rows.groupBy(*by).agg(F.count("*").alias("merged"), *[pick(p).alias(p) for p in properties])
+
+
+def neighbours(rows: DataFrame, *, key: str, block: Column, order: list[str], reach: int) -> DataFrame:
+    """Sorted neighbourhood: each row (columns x_a) with the `reach` rows after it in its block
+    (x_b), so the number of pairs is linear however large a block is; a, b are the keys."""
+    others = [c for c in rows.columns if c != key]
+    window = Window.partitionBy("_block").orderBy(*order)
+    after = [F.lead(F.struct(key, *others), k).over(window).alias(f"_{k}") for k in range(1, reach + 1)]
+    ahead = rows.withColumn("_block", block).select(F.struct(key, *others).alias("x"), *after)
+    pairs = ahead.select("x", F.explode(F.array_compact(F.array(*[f"_{k}" for k in range(1, reach + 1)]))).alias("y"))
+    return pairs.select(F.col(f"x.{key}").alias("a"), *[F.col(f"x.{c}").alias(f"{c}_a") for c in others], F.col(f"y.{key}").alias("b"), *[F.col(f"y.{c}").alias(f"{c}_b") for c in others])
+
+
+def alike_relations(relations: DataFrame, *, threshold: float, method: str = "jaro_winkler") -> DataFrame:
+    """relations: subject, predicate, object (distinct). Pairs of one subject: 0.6 of the
+    predicates' similarity and 0.4 of the objects' reach the threshold."""
+    a = relations.select("subject", F.col("predicate").alias("pa"), F.col("object").alias("oa"))
+    b = relations.select("subject", F.col("predicate").alias("pb"), F.col("object").alias("ob"))
+    pairs = a.join(b, "subject").where(F.struct("pa", "oa") < F.struct("pb", "ob"))
+    score = 0.6 * S.string_similarity(F.col("pa"), F.col("pb"), method) + 0.4 * S.string_similarity(F.col("oa"), F.col("ob"), method)
+    return pairs.withColumn("score", score).where(F.col("score") >= threshold)
+
+
+def linked_names(names: DataFrame, *, name: str, words: str) -> DataFrame:
+    """name, other, score: distinct names that share a word, by the Jaccard similarity of their
+    words, counted from an inverted index."""
+    sized = names.select(F.col(name).alias("name"), F.array_distinct(words).alias("w"))
+    each = sized.select("name", F.size("w").alias("n"), F.explode("w").alias("x"))
+    both = each.join(each.select(F.col("name").alias("other"), F.col("n").alias("m"), "x"), "x").where("name < other")
+    return both.groupBy("name", "other", "n", "m").agg(F.count("*").alias("same")).select("name", "other", (F.col("same") / (F.col("n") + F.col("m") - F.col("same"))).alias("score"))
+
+
+def resolved(rows: DataFrame, name: str, aliases: DataFrame) -> DataFrame:
+    """rows with `canonical`: what the alias table (alias in lower case, canonical) says, else the name."""
+    known = rows.join(aliases, F.lower(F.trim(name)) == F.col("alias"), "left")
+    return known.select(*rows.columns, F.coalesce("canonical", name).alias("canonical"))

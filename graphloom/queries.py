@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import content, exchange, further, graph, knowledge, temporal
+from graphloom.plans import content, exchange, further, graph, knowledge, matching, temporal
 
-AREAS = (graph, temporal, knowledge, content, exchange, further)
+AREAS = (graph, temporal, knowledge, content, exchange, further, matching)
 
 
 def queries() -> dict:

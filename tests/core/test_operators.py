@@ -214,3 +214,31 @@ def test_hubs_are_cut(spark, monkeypatch):
     whole = {tuple(r) for r in G.link_scores(edges).select(*key).collect()}
     monkeypatch.setattr(G, "HUB", 7)
     assert {tuple(r) for r in G.link_scores(edges).select(*key).collect()} == whole and len(whole) > 500
+
+
+def brute_jaro_winkler(a, b):
+    if a == b:
+        return 1.0
+    reach = max(0, max(len(a), len(b)) // 2 - 1)
+    taken, left = set(), []
+    for i, c in enumerate(a):
+        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if j not in taken and b[j] == c), None)
+        if j is not None:
+            taken.add(j)
+            left.append(c)
+    if not left:
+        score = 0.0
+    else:
+        apart = sum(x != y for x, y in zip(left, (b[j] for j in sorted(taken))))
+        score = (len(left) / len(a) + len(left) / len(b) + (len(left) - apart / 2) / len(left)) / 3
+    lead = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return score + min(lead, 4) * 0.1 * (1 - score)
+
+
+def test_jaro_winkler_against_brute_force(spark):
+    rnd = random.Random(40)
+    pairs = [("martha", "marhta"), ("dixon", "dicksonx"), ("a", "b"), ("", "x"), ("abcd", "abcd"), ("ab", "ba")]
+    pairs += [("".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 12))), "".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 12)))) for _ in range(300)]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", S.jaro_winkler(F.col("a"), F.col("b")).alias("s")).collect()
+    for r in got:
+        assert abs(r.s - (brute_jaro_winkler(r.a, r.b) if r.a and r.b else 0.0)) < 1e-9, (r.a, r.b)
