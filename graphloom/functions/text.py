@@ -254,3 +254,27 @@ def as_utf8(data: Column) -> Column:
     """Text of bytes: as UTF-8 where they are valid, else as Latin-1."""
     plain = without_bom(data)
     return F.when(F.is_valid_utf8(plain.cast("string")), plain.cast("string")).otherwise(F.decode(plain, "ISO-8859-1"))
+
+
+def mail(message: Column) -> Column:
+    """struct<sender, recipient, subject, thread, body> of a message: folded header lines are
+    joined, the body starts after the first empty line, a thread is a subject without Re:, Fwd:."""
+    text = F.replace(message, F.lit("\r\n"), F.lit("\n"))
+    place = F.locate("\n\n", text)
+    head = F.regexp_replace(F.when(place > 0, F.substr(text, F.lit(1), place - 1)).otherwise(text), r"\n[ \t]+", " ")
+
+    def header(name: str) -> Column:
+        return F.nullif(F.trim(F.regexp_extract(head, rf"(?im)^{name}:[ \t]*(.*)$", 1)), F.lit(""))
+
+    subject = header("Subject")
+    thread = F.lower(F.trim(F.regexp_replace(subject, r"(?i)^((re|fwd?):[ ]*)+", "")))
+    return F.struct(header("From").alias("sender"), header("To").alias("recipient"), subject.alias("subject"), thread.alias("thread"), F.when(place > 0, F.substr(text, place + 2)).otherwise("").alias("body"))
+
+
+def code_structure(code: Column) -> Column:
+    """struct<functions, classes, imports, comments> of Python text, names in order."""
+    def names(pattern: str) -> Column:
+        return F.regexp_extract_all(code, F.lit(pattern), F.lit(1))
+
+    imports = F.concat(names(r"(?m)^[ \t]*import ([A-Za-z_][A-Za-z0-9_.]*)"), names(r"(?m)^[ \t]*from ([A-Za-z_.][A-Za-z0-9_.]*) import"))
+    return F.struct(names(r"(?m)^[ \t]*(?:async )?def ([A-Za-z_][A-Za-z0-9_]*)").alias("functions"), names(r"(?m)^[ \t]*class ([A-Za-z_][A-Za-z0-9_]*)").alias("classes"), imports.alias("imports"), names(r"(?m)#[ \t]*(.*)$").alias("comments"))

@@ -301,3 +301,94 @@ def cycles(edges: DataFrame, *, max_length: int) -> DataFrame:
         found = closed if found is None else found.union(closed)
         now = grown.where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
     return found
+
+
+def linked_graphs(graphs: dict[str, DataFrame], links: DataFrame) -> DataFrame:
+    """Edges (src, dst) over several graphs' edges: nodes are named graph:node. links:
+    source_graph, source, target_graph, target."""
+    def name(graph: Column, node: Column) -> Column:
+        return F.concat(graph, F.lit(":"), node)
+
+    out = links.select(name(F.col("source_graph"), F.col("source")).alias("src"), name(F.col("target_graph"), F.col("target")).alias("dst"))
+    for graph, edges in graphs.items():
+        out = out.union(edges.select(name(F.lit(graph), F.col("src")), name(F.lit(graph), F.col("dst"))))
+    return out
+
+
+def distances(edges: DataFrame, nodes: DataFrame, *, max_hops: int | None = None) -> DataFrame:
+    """a, b, hops, band, proximity (1 / hops): directed distances between given nodes (id)."""
+    walk = reachable(edges, nodes.select(F.col("id").alias("start")), max_hops=max_hops)
+    met = walk.join(nodes.select(F.col("id").alias("node")), "node", "left_semi").where("hops > 0")
+    return met.select(F.col("start").alias("a"), F.col("node").alias("b"), "hops", band(F.col("hops")).alias("band"), (1 / F.col("hops")).alias("proximity"))
+
+
+def path_rows(edges: DataFrame, start: str) -> DataFrame:
+    """node, distance, path: of every node that start leads to, the least sum of weights and the
+    path that has it, the smallest of equals. Weights are above 0."""
+    saved = Saved(edges.sparkSession, "paths")
+    best = saved.save(shortest_weighted(edges, start))
+    tight = edges.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    up = best.select(F.col("node").alias("src"), F.col("distance").alias("ds")).join(tight, "src").join(best.select(F.col("node").alias("dst"), "distance"), "dst")
+    up = saved.save(up.where(F.abs(F.col("ds") + F.col("weight") - F.col("distance")) <= 1e-9 * (1 + F.abs("distance"))).select("src", "dst"))
+    routes = Saved(edges.sparkSession, "routes")
+    grown, n = routes.save(best.where(F.col("node") == start).select("node", F.col("node").alias("path"))), 1
+    while n:
+        # a node's path is final once all of its tight predecessors have theirs
+        have = routes.all()
+        waiting = up.join(have.select(F.col("node").alias("dst")), "dst", "left_anti")
+        known = waiting.join(have.select(F.col("node").alias("src"), "path"), "src", "left")
+        ready = known.groupBy("dst").agg(F.count_if(F.col("path").isNull()).alias("open"), F.min(F.concat("path", F.lit(">"), "dst")).alias("path")).where("open = 0")
+        grown, (n, _) = routes.signed(ready.select(F.col("dst").alias("node"), "path"), "node")
+    return best.join(routes.all(), "node").select("node", "distance", "path")
+
+
+def modularity(edges: DataFrame, community: DataFrame) -> DataFrame:
+    """One row: modularity of communities (node, community) over the undirected adjacency."""
+    links = adjacency(edges)
+    d = links.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d")).join(community, "node")
+    twice = links.count()
+    inside = links.join(community.select(F.col("node").alias("src"), F.col("community").alias("a")), "src").join(community.select(F.col("node").alias("dst"), F.col("community").alias("b")), "dst").where("a = b").groupBy(F.col("a").alias("community")).agg(F.count("*").alias("inside"))
+    total = d.groupBy("community").agg(F.sum("d").alias("total")).join(inside, "community", "left")
+    share = F.coalesce("inside", F.lit(0)) / twice - (F.col("total") / twice) * (F.col("total") / twice)
+    return total.agg(F.count("*").alias("communities"), F.sum(share).alias("modularity"))
+
+
+def modular_communities(edges: DataFrame, *, rounds: int = 10) -> DataFrame:
+    """node, community: label moves that raise modularity. In each round a node that its hash
+    picks joins the neighbouring community with the greatest gain, if there is one; rounds end
+    when nobody moves. Communities are named by their smallest node."""
+    links = adjacency(edges)
+    saved = Saved(edges.sparkSession, "modular")
+    links = saved.save(links)
+    degree = saved.save(links.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d")))
+    twice = links.count()
+    label = saved.save(degree.select("node", "d", F.col("node").alias("label")))
+    quiet = 0
+    for k in range(2 * rounds):
+        size = label.groupBy("label").agg(F.sum("d").alias("total"))
+        # half of the nodes move at a time, so that two neighbours do not trade places
+        mine = label.where(F.pmod(F.xxhash64("node"), F.lit(2)) == k % 2)
+        near = links.join(mine, F.col("src") == F.col("node")).select("node", "d", F.col("label").alias("own"), "dst").join(label.select(F.col("node").alias("dst"), "label"), "dst")
+        ties = near.groupBy("node", "d", "own", "label").agg(F.count("*").alias("ties")).union(mine.select("node", "d", F.col("label").alias("own"), "label", F.lit(0)))
+        ties = ties.groupBy("node", "d", "own", "label").agg(F.sum("ties").alias("ties")).join(size, "label")
+        others = F.col("total") - F.when(F.col("label") == F.col("own"), F.col("d")).otherwise(0)
+        gain = F.round(F.col("ties") - others * F.col("d") / twice, 9)
+        best = ties.groupBy("node").agg(F.max(F.struct(gain.alias("gain"), (F.col("label") == F.col("own")).alias("stays"), "label")).alias("b")).select("node", F.col("b.label").alias("to"))
+        moved = saved.save(label.join(best, "node", "left").select("node", "d", F.coalesce("to", "label").alias("label"), (F.coalesce("to", "label") != F.col("label")).alias("moved")))
+        quiet = 0 if moved.where("moved").limit(1).count() else quiet + 1
+        label = moved.select("node", "d", "label")
+        if quiet == 2:
+            break
+    name = label.groupBy("label").agg(F.min("node").alias("community"))
+    return label.join(name, "label").select("node", "community")
+
+
+def network_metrics(edges: DataFrame) -> DataFrame:
+    """One row of a directed network: nodes, edges, density, an estimate of the mean path
+    (1 / density, the number of nodes at most), greatest degree, components."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
+    degree = ends.groupBy("node").agg(F.count("*").alias("d"))
+    groups = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).select("component").distinct().count()
+    one = degree.agg(F.count("*").alias("nodes"), (F.sum("d") / 2).cast("long").alias("edges"), F.max("d").alias("max_degree"))
+    density = F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))
+    return one.select("nodes", "edges", density.alias("density"), F.least(1 / density, F.col("nodes")).alias("mean_path"), "max_degree", F.lit(groups).alias("components"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.loops import Saved
@@ -47,8 +47,8 @@ def is_variable(term: str) -> bool:
     return term[:1].isupper() or term[:1] == "?"
 
 
-def _bound(facts: DataFrame, a: Atom) -> DataFrame:
-    """Rows that fit an atom, a column for each of its variables."""
+def _bound(facts: DataFrame, a: Atom, *kept: str) -> DataFrame:
+    """Rows that fit an atom, a column for each of its variables; or the columns `kept`."""
     rows = facts.where((F.col("pred") == a.pred) & (F.size("args") == len(a.args)))
     names: dict[str, Column] = {}
     for k, term in enumerate(a.args):
@@ -59,6 +59,8 @@ def _bound(facts: DataFrame, a: Atom) -> DataFrame:
             rows = rows.where(value == names[term])
         else:
             names[term] = value
+    if kept:
+        return rows.select(*kept)
     return rows.select(*[v.alias(n) for n, v in names.items()]) if names else rows.select(F.lit(1).alias("_hit")).limit(1)
 
 
@@ -113,6 +115,56 @@ def derived(facts: DataFrame, rules: list[Rule | str], *, rounds: int | None = N
     return known
 
 
+def proofs(facts: DataFrame, rules: list[Rule | str], goal: str, *, max_depth: int = 10) -> DataFrame:
+    """(pred, args, depth, rule): facts that match the goal and can be proved with rules nested
+    at most max_depth deep: the least depth (0 for a given fact) and the first rule that proves
+    it there. Only predicates that the goal depends on are derived."""
+    rules = [parsed(r) if isinstance(r, str) else r for r in rules]
+    wanted, size = {atom(goal).pred}, 0
+    while size != len(wanted):
+        size = len(wanted)
+        wanted |= {a.pred for r in rules if r.head.pred in wanted for a in r.body}
+    rules = [r for r in rules if r.head.pred in wanted]
+    saved = Saved(facts.sparkSession, "proofs")
+    given = facts.where(F.col("pred").isin(*wanted)).select("pred", "args").distinct()
+    fresh = saved.save(given.select("pred", "args", F.lit(0).alias("depth"), F.lit(None).cast("int").alias("rule")))
+    for depth in range(1, max_depth + 1):
+        known = saved.all().select("pred", "args")
+        heads = None
+        for k, rule in enumerate(rules):
+            got = fired(rule, known, fresh.select("pred", "args")).withColumn("rule", F.lit(k))
+            heads = got if heads is None else heads.union(got)
+        if heads is None:
+            break
+        heads = heads.groupBy("pred", "args").agg(F.min("rule").alias("rule")).join(known, ["pred", "args"], "left_anti")
+        fresh, (n, _) = saved.signed(heads.select("pred", "args", F.lit(depth).alias("depth"), "rule"), "pred", "args")
+        if not n:
+            break
+    fits = _bound(saved.all().select("pred", "args", "depth", "rule"), atom(goal), "pred", "args", "depth", "rule")
+    return fits.select("pred", "args", "depth", "rule")
+
+
+def explained(rules: list[str]) -> Column:
+    """A proof as text, over the columns of `proofs`."""
+    fact = F.format_string("%s(%s)", "pred", F.array_join("args", ", "))
+    texts = F.array(*[F.lit(r) for r in rules])
+    return F.when(F.col("rule").isNull(), F.concat(fact, F.lit(" is given"))).otherwise(F.concat(fact, F.lit(" follows at depth "), F.col("depth").cast("string"), F.lit(" by "), F.get(texts, F.col("rule"))))
+
+
+def hypotheses(observations: DataFrame, rules: list[Rule | str], confidence: list[float]) -> DataFrame:
+    """(pred, args, rule, score, rank): rules that could explain an observation (pred, args), as
+    their heads unify with it. The score is 0.4 of the rule's confidence, 0.3 of a coverage of
+    0.5, and 0.3 of its simplicity, 1 / (1 + conditions)."""
+    rules = [parsed(r) if isinstance(r, str) else r for r in rules]
+    found = None
+    for k, (rule, sure) in enumerate(zip(rules, confidence, strict=True)):
+        score = 0.4 * sure + 0.3 * 0.5 + 0.3 / (1 + len(rule.body))
+        got = _bound(observations, rule.head, "pred", "args").select("pred", "args", F.lit(k).alias("rule"), F.lit(score).alias("score"))
+        found = got if found is None else found.union(got)
+    order = Window.partitionBy("pred", "args").orderBy(F.desc("score"), "rule")
+    return found.distinct().withColumn("rank", F.row_number().over(order))
+
+
 def answers(facts: DataFrame, goal: str) -> DataFrame:
     """Bindings of the goal's variables; for a ground goal one row if it holds."""
     return _bound(facts, atom(goal)).distinct()

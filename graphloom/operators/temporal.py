@@ -139,3 +139,43 @@ def sequences(events: DataFrame, key: str, ts: str, kind: str, length: int, min_
     steps = [F.lead(kind, k).over(order) if k else F.col(kind) for k in range(length)]
     runs = events.select(F.concat_ws(">", *steps).alias("pattern"), F.lead(kind, length - 1).over(order).alias("_end") if length > 1 else F.col(kind).alias("_end"))
     return runs.where("_end is not null").groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+
+
+def paths(edges: DataFrame, source: str, target: str, *, low: Column, high: Column, max_nodes: int, ordering: str = "strict") -> DataFrame:
+    """(path, edges): simple directed paths over edges (src, dst, start, end) that overlap
+    [low, high]. ordering: strict, an edge starts no earlier than the one before; overlap, it
+    starts no later than the one before ends; loose, any. An open bound bounds nothing."""
+    late = {"strict": F.col("start") < F.col("before.start"), "overlap": F.col("start") > F.col("before.end"), "loose": F.lit(False)}[ordering]
+    links = edges.where(overlaps_range(F.col("start"), F.col("end"), low, high)).select("src", "dst", "start", "end")
+    first = links.where(F.col("src") == source)
+    now = first.select(F.array("src", "dst").alias("path"), F.struct("start", "end").alias("before"))
+    found = None
+    for size in range(2, max_nodes + 1):
+        hit = now.where(F.element_at("path", -1) == target).select("path")
+        found = hit if found is None else found.union(hit)
+        if size < max_nodes:
+            grown = now.where(F.element_at("path", -1) != target).join(links, F.element_at("path", -1) == F.col("src"))
+            grown = grown.where(~F.array_contains("path", F.col("dst")) & ~F.coalesce(late, F.lit(False)))
+            now = grown.select(F.concat("path", F.array("dst")).alias("path"), F.struct("start", "end").alias("before"))
+    return found.groupBy(F.array_join("path", ">").alias("path")).agg(F.count("*").alias("ways"))
+
+
+def phrase(text: Column, today: Column) -> Column:
+    """struct<start, end> (end exclusive) of a relative phrase: today, yesterday, this or last
+    week, month, quarter or year, n days, months or years ago; null for any other."""
+    low = F.lower(F.trim(text))
+
+    def span(start: Column, end: Column) -> Column:
+        return F.struct(start.cast("date").alias("start"), end.cast("date").alias("end"))
+
+    out = F.when(low == "today", span(today, F.date_add(today, 1))).when(low == "yesterday", span(F.date_sub(today, 1), today))
+    for unit, days, months in (("week", 7, 0), ("month", 0, 1), ("quarter", 0, 3), ("year", 0, 12)):
+        begin = F.date_trunc(unit, today)
+        after, before = (F.date_add(begin, days), F.date_sub(begin, days)) if days else (F.add_months(begin, months), F.add_months(begin, -months))
+        out = out.when(low == f"this {unit}", span(begin, after)).when(low == f"last {unit}", span(before, begin))
+    n = F.regexp_extract(low, r"^([0-9]+) (?:days?|months?|years?) ago$", 1).try_cast("int")
+    out = out.when(low.rlike(r"^[0-9]+ days? ago$"), span(F.date_sub(today, n), F.date_add(F.date_sub(today, n), 1)))
+    for unit, months in (("month", 1), ("year", 12)):
+        begin = F.add_months(today, -n * months)
+        out = out.when(low.rlike(rf"^[0-9]+ {unit}s? ago$"), span(F.date_trunc(unit, begin), F.add_months(F.date_trunc(unit, begin), months)))
+    return out

@@ -40,3 +40,37 @@ def lineage(edges: DataFrame, starts: DataFrame, sources: DataFrame) -> DataFram
 
 def pruned(versions: DataFrame, key: str, order: Column, keep: int) -> DataFrame:
     return versions.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(order.desc()))).where(F.col("_k") <= keep).drop("_k")
+
+
+#: Changes of these fields bound what may be said, or how classes hang together.
+RESTRICTIVE = ("domain", "range", "cardinality", "max_cardinality")
+STRUCTURAL = ("subclasses", "superclasses", "equivalent_to", "disjoint_with")
+
+
+def impact(change: Column, fields: Column) -> Column:
+    """breaking, potentially_breaking or safe, of a change (added, removed, modified) with the
+    names of the fields that differ."""
+    def any_of(names: tuple[str, ...]) -> Column:
+        return F.arrays_overlap(fields, F.array(*[F.lit(n) for n in names]))
+
+    return F.when(change == "removed", "breaking").when(change == "added", "safe").when(any_of(RESTRICTIVE), "breaking").when(any_of(STRUCTURAL), "potentially_breaking").otherwise("safe")
+
+
+def chained(rows: DataFrame, key: str, order: Column, content: Column) -> DataFrame:
+    """key, n, head: the head of a chain of SHA-256 hashes over a key's rows in order, each over
+    the hash before and the row's content. A key's rows are one record's own history."""
+    entries = F.array_sort(F.collect_list(F.struct(order.alias("at"), content.alias("c"))))
+    head = F.aggregate("entries", F.lit(""), lambda h, e: F.sha2(F.concat(h, F.lit("|"), e["c"]), 256))
+    return rows.groupBy(key).agg(entries.alias("entries")).select(key, F.size("entries").alias("n"), head.alias("head"))
+
+
+def translated(values: DataFrame, axioms: list[tuple[str, str, float, float]]) -> DataFrame:
+    """values (value, ...) carried through layers: axioms are (from, to, coefficient, confidence)
+    in order. Adds layer, result and the least confidence of the way."""
+    result, sure = F.col("value"), 1.0
+    for _, _, coefficient, confidence in axioms:
+        result, sure = result * coefficient, min(sure, confidence)
+    for (_, a, *_), (b, *_) in zip(axioms, axioms[1:], strict=False):
+        if a != b:
+            raise ValueError(f"the chain breaks between {a} and {b}")
+    return values.select("*", F.lit(axioms[-1][1]).alias("layer"), result.alias("result"), F.lit(sure).alias("confidence"))

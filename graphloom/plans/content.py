@@ -213,9 +213,9 @@ def _(spark, sf):
     return VS.pruned(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey", F.col("o_orderkey"), 2).select("o_orderkey")
 
 
-@query("version_checksum", """SELECT n_nationkey, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS checksum FROM nation""")
+@query("version_checksum", """SELECT c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '"}') AS checksum FROM customer""")
 def _(spark, sf):
-    return table(spark, sf, "nation").select("n_nationkey", VS.checksum("n_nationkey", "n_name", "n_regionkey").alias("checksum"))
+    return table(spark, sf, "customer").select("c_custkey", VS.checksum("c_custkey", "c_name", "c_mktsegment").alias("checksum"))
 
 
 @query("content_key", "SELECT c_custkey, left(sha256(c_name || '|' || c_mktsegment), 24) AS key FROM customer")

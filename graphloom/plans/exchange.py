@@ -52,10 +52,10 @@ def _(spark, sf):
     return writers.ntriples(customer_triples(spark, sf), "urn:x:")
 
 
-@query("export_cypher", """SELECT 'MERGE (n:Region {id: "r' || r_regionkey || '"}) SET n.name = "' || r_name || '"' AS value FROM region UNION ALL SELECT 'MERGE (n:Nation {id: "n' || n_nationkey || '"}) SET n.name = "' || n_name || '"' FROM nation UNION ALL SELECT 'MATCH (a {id: "r' || n_regionkey || '"}), (b {id: "n' || n_nationkey || '"}) MERGE (a)-[:CONTAINS]->(b)' FROM nation""")
+@query("export_cypher", """SELECT 'MERGE (n:Customer {id: "c' || c_custkey || '"}) SET n.name = "' || c_name || '"' AS value FROM customer UNION ALL SELECT 'MERGE (n:Nation {id: "n' || n_nationkey || '"}) SET n.name = "' || n_name || '"' FROM nation UNION ALL SELECT 'MATCH (a {id: "n' || c_nationkey || '"}), (b {id: "c' || c_custkey || '"}) MERGE (a)-[:HOME_OF]->(b)' FROM customer""")
 def _(spark, sf):
     g = place_graph(spark, sf)
-    return writers.cypher(g.nodes.where("type IN ('region', 'nation')"), g.edges.where("type = 'contains'"))
+    return writers.cypher(g.nodes.where("type IN ('nation', 'customer')"), g.edges.where("type = 'home_of'"))
 
 
 @query("export_graphml", """SELECT 0 AS part, '<node id="s' || s_suppkey || '"><data key="type">supplier</data></node>' AS value FROM supplier UNION ALL SELECT 1, '<edge source="n' || s_nationkey || '" target="s' || s_suppkey || '"/>' FROM supplier""")

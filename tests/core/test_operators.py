@@ -242,3 +242,81 @@ def test_jaro_winkler_against_brute_force(spark):
     got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", S.jaro_winkler(F.col("a"), F.col("b")).alias("s")).collect()
     for r in got:
         assert abs(r.s - (brute_jaro_winkler(r.a, r.b) if r.a and r.b else 0.0)) < 1e-9, (r.a, r.b)
+
+
+def cliques(spark):
+    rows = [(f"{c}{i}", f"{c}{j}") for c in "abc" for i in range(6) for j in range(i)] + [("a0", "b0"), ("b1", "c1"), ("c2", "a2")]
+    return edges(spark, rows), rows
+
+
+def test_modular_communities_find_cliques(spark):
+    frame, rows = cliques(spark)
+    got = G.modular_communities(frame)
+    found = {r.node: r.community for r in got.collect()}
+    assert len(set(found.values())) == 3 and all(found[n][0] == n[0] for n in found)
+    m = len(rows)
+    degree = {n: sum(n in r for r in rows) for n in found}
+    want = sum(sum(found[a] == c == found[b] for a, b in rows) / m - (sum(degree[n] for n in found if found[n] == c) / (2 * m)) ** 2 for c in set(found.values()))
+    assert abs(G.modularity(frame, got).first().modularity - want) < 1e-9
+
+
+def test_path_rows_against_brute_force(spark):
+    rnd = random.Random(50)
+    links = {(f"n{rnd.randrange(12)}", f"n{rnd.randrange(12)}"): rnd.randint(1, 5) for _ in range(40)}
+    links = {k: w for k, w in links.items() if k[0] != k[1]}
+    frame = spark.createDataFrame([(a, b, "t", float(w)) for (a, b), w in links.items()], "src string, dst string, type string, weight double")
+    best = {"n0": (0.0, "n0")}
+    for _ in range(20):
+        for (a, b), w in sorted(links.items()):
+            if a in best and b != "n0":
+                best[b] = min(best.get(b, (1e9, "")), (best[a][0] + w, f"{best[a][1]}>{b}"))
+    got = {r.node: (r.distance, r.path) for r in G.path_rows(frame, "n0").collect()}
+    assert {n: d for n, (d, _) in got.items()} == {n: d for n, (d, _) in best.items()}
+    for n, (d, path) in got.items():
+        nodes = path.split(">")
+        assert nodes[0] == "n0" and nodes[-1] == n and sum(links[a, b] for a, b in zip(nodes, nodes[1:])) == d
+
+
+def test_betweenness_from_sources_adds_up(spark):
+    frame, rows = cliques(spark)
+    every = spark.createDataFrame([(n,) for n in sorted({x for r in rows for x in r})], "id string")
+    n = every.count()
+    whole = {r.node: r.betweenness for r in G.betweenness(frame).collect()}
+    part = {r.node: r.betweenness for r in G.betweenness(frame, sources=every).collect()}
+    for k, v in whole.items():
+        assert abs(v * (n - 1) * (n - 2) - part[k] * n * (n - 1)) < 1e-9
+
+
+def test_arrow_files_hold_all_rows(spark, tmp_path):
+    import pyarrow as pa
+
+    made = writers.arrow_files(spark.range(0, 1000, 1, 3).withColumn("t", F.md5(F.col("id").cast("string"))), f"{tmp_path}/arrow").collect()
+    rows = [x for r in made for x in pa.ipc.open_file(r.file).read_all()["id"].to_pylist()]
+    assert sorted(rows) == list(range(1000)) and sum(r.rows for r in made) == 1000
+
+
+def test_scratch_tables_are_deleted(spark, tmp_path):
+    import os
+
+    from graphloom.operators.loops import Saved, scratch, shared_folder
+
+    kept = Saved(spark, "kept").save(spark.range(3))
+    with scratch(spark):
+        inside = Saved(spark, "inside")
+        out = Saved(spark, "nested").save(inside.save(spark.range(5)))
+        assert out.count() == 5 and os.path.isdir(inside.root)
+    assert not os.path.exists(inside.root) and kept.count() == 3 and os.path.isdir(shared_folder(spark))
+
+
+def test_proofs_and_recursive_chunks_on_edge_cases(spark):
+    facts = spark.createDataFrame([("p", ["a", "b"]), ("p", ["b", "c"]), ("other", ["x"])], "pred string, args array<string>")
+    told = R.proofs(facts, ["q(X, Z) :- p(X, Y), p(Y, Z).", "z(X) :- other(X)."], "q(a, W)").collect()
+    assert [(r.args, r.depth, r.rule) for r in told] == [(["a", "c"], 1, 0)]
+    assert R.proofs(facts, [], "p(a, W)").count() == 1 and R.proofs(facts, [], "none(W)").count() == 0
+    texts = spark.createDataFrame([("",), (None,), ("short",), ("x" * 950,), ("one. two\n\n" * 90,)], "t string")
+    for r in texts.select("t", X.recursive_chunks(F.col("t"), 400, 80).alias("c")).collect():
+        if r.t is None:
+            assert r.c is None
+        else:
+            assert all(len(c.chunk) <= 400 for c in r.c) and (not r.t or (r.c[0].start == 0 and r.c[-1].end == len(r.t)))
+            assert all(b.start <= a.end for a, b in zip(r.c, r.c[1:]))
