@@ -6,22 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import strings as S
-from graphloom.operators.loops import components
+from graphloom.operators.loops import Saved, components
 
 
-def candidates(rows: DataFrame, *, key: str, name: str, keys: Column, max_block: int | None = None) -> DataFrame:
-    """Pairs (a < b) that share a block key, each once; names come along. With max_block,
-    larger blocks are left out, and are returned by `large_blocks`."""
-    blocks = rows.select(F.col(key).alias("id"), F.col(name).alias("name"), F.explode(keys).alias("block"))
-    if max_block:
-        small = blocks.groupBy("block").count().where(F.col("count") <= max_block).select("block")
-        blocks = blocks.join(small, "block", "left_semi")
-    a, b = blocks.select(F.col("id").alias("a"), F.col("name").alias("name_a"), "block"), blocks.select(F.col("id").alias("b"), F.col("name").alias("name_b"), "block")
-    return a.join(b, "block").where("a < b").drop("block").distinct()
+BLOCK = 1000  # rows of a block that one task pairs with the others
+
 
+def candidates(rows: DataFrame, *, key: str, name: str, keys: Column) -> DataFrame:
+    """Pairs (a < b) that share a block key, each once; names come along.
 
-def large_blocks(rows: DataFrame, *, keys: Column, max_block: int) -> DataFrame:
-    return rows.select(F.explode(keys).alias("block")).groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > max_block)
+    All pairs of a block are wanted, so they grow with the square of its size: a large block's
+    one side is dealt to parts of BLOCK, and the other is sent to each of them. Where that is
+    too many, `neighbours` pairs each row with a few others only."""
+    blocks = rows.select(F.col(key).alias("id"), F.col(name).alias("name"), F.explode(keys).alias("block"))
+    parts = blocks.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").select("block", "parts")
+    blocks = Saved(rows.sparkSession, "blocks").save(blocks.join(parts, "block"))
+    a = blocks.select(F.col("id").alias("a"), F.col("name").alias("name_a"), "block", F.pmod(F.hash("id"), F.col("parts")).alias("part"))
+    b = blocks.select(F.col("id").alias("b"), F.col("name").alias("name_b"), "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return a.join(b, ["block", "part"]).where("a < b").drop("block", "part").distinct()
 
 
 def scored(pairs: DataFrame, method: str = "levenshtein") -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own_folder: dict[str, str] = {}
@@ -84,6 +84,29 @@ class Saved:
         return f"{self.root}/{self.count - 1}"
 
 
+TASK_ROWS = 1_000_000  # rows that a task sorts, about
+
+
+def ranked(rows: DataFrame, group: str, *order: Column | str, name: str = "rank", n: int | None = None) -> DataFrame:
+    """rows with their number (from 1) in the order of their group, however large a group is:
+    one range exchange by group and order, a number in each task, and an offset for each task
+    and group. Rows that are equal in group and order get neighbouring numbers in any order.
+    `n` is the number of rows, if that is known and the rows are cheap to compute again."""
+    saved = Saved(rows.sparkSession, "ranked")
+    if n is None:
+        rows = saved.save(rows)
+        n = rows.count()
+    tasks = max(1, -(-n // TASK_ROWS))
+    dealt = rows.repartitionByRange(tasks, group, *order).sortWithinPartitions(group, *order)
+    dealt = saved.save(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    task = F.shiftright("_at", 33)
+    counted = dealt.groupBy(F.col(group).alias("_group"), task.alias("_task")).agg(F.count("*").alias("n"), F.min("_at").alias("least"))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy("_group").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offset = saved.save(counted.select("_group", "_task", (below - F.col("least") + 1).alias("_offset")))
+    placed = dealt.join(offset, F.col(group).eqNullSafe(F.col("_group")) & (task == F.col("_task")))
+    return placed.select(*rows.columns, (F.col("_at") + F.col("_offset")).alias(name))
+
+
 def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): every node of an edge with the smallest node of its component.
 

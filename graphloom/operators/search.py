@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import vectors as V
+from graphloom.operators.loops import Saved, ranked
 
 
 def top_similar(rows: DataFrame, query: list[float], k: int, *, key: str, vector: str, method: str = "cosine") -> DataFrame:
@@ -16,10 +17,10 @@ def top_similar(rows: DataFrame, query: list[float], k: int, *, key: str, vector
 
 
 def reciprocal_rank_fusion(results: DataFrame, *, k: int = 60) -> DataFrame:
-    """results: source, id, score. Sum over sources of 1 / (k + rank)."""
-    order = Window.partitionBy("source").orderBy(F.desc("score"), "id")
-    ranked = results.withColumn("rank", F.row_number().over(order))
-    return ranked.groupBy("id").agg(F.sum(1 / (k + F.col("rank"))).alias("score"))
+    """results: source, id, score. Sum over sources of 1 / (k + rank). A source's results are
+    ranked by many tasks."""
+    placed = ranked(results.select("source", "id", "score"), "source", F.desc("score"), "id")
+    return placed.groupBy("id").agg(F.sum(1 / (k + F.col("rank"))).alias("score"))
 
 
 def weighted_fusion(results: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -32,9 +33,10 @@ def weighted_fusion(results: DataFrame, weights: dict[str, float]) -> DataFrame:
 def min_max_merged(results: DataFrame) -> DataFrame:
     """Scores of each source brought to [0, 1] (as they are if all are equal); of an id the
     best counts, raised by a fifth if more than one source has it."""
-    w = Window.partitionBy("source")
-    low, high = F.min("score").over(w), F.max("score").over(w)
-    scaled = results.withColumn("s", F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(F.col("score")))
+    ends = Saved(results.sparkSession, "ends").save(results.groupBy("source").agg(F.min("score").alias("low"), F.max("score").alias("high")))
+    low, high = F.col("low"), F.col("high")
+    # one row a source, of a size that is known: it is sent to the results, not they to it
+    scaled = results.join(ends, "source").withColumn("s", F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(F.col("score")))
     return scaled.groupBy("id").agg((F.max("s") * F.when(F.countDistinct("source") > 1, 1.2).otherwise(1.0)).alias("score"))
 
 

@@ -10,7 +10,7 @@ from graphloom.functions import vectors as V
 from graphloom.operators import conflicts as C
 from graphloom.operators import dedup as DD
 from graphloom.operators import search as SE
-from graphloom.operators.loops import components
+from graphloom.operators.loops import Saved, components, ranked
 from graphloom.sources.tables import table
 
 Q, S = {}, {}
@@ -118,12 +118,11 @@ def _(spark, sf):
 
 @query("decision_upper_median", "SELECT category, o_totalprice AS median FROM (SELECT o_orderpriority AS category, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) - 1 AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) WHERE k = n // 2")
 def _(spark, sf):
-    # the value at place n div 2 of the sorted values, from counts: groups are never gathered
-    prices = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("category"), "o_totalprice").agg(F.count("*").alias("k"))
-    w = Window.partitionBy("category").orderBy("o_totalprice")
-    upto = F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    middle = F.floor(F.sum("k").over(Window.partitionBy("category")) / 2)
-    return prices.select("category", F.col("o_totalprice").alias("median"), upto.alias("upto"), F.col("k"), middle.alias("m")).where("upto > m AND upto - k <= m").select("category", "median")
+    # the value at place n div 2 of the sorted values; a category's rows are ranked by many tasks
+    prices = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("category"), "o_totalprice", "o_orderkey")
+    placed = ranked(prices, "category", "o_totalprice", "o_orderkey")
+    sizes = Saved(spark, "sizes").save(prices.groupBy("category").agg(F.floor(F.count("*") / 2).alias("m")))
+    return placed.join(sizes, "category").where("rank = m + 1").select("category", F.col("o_totalprice").alias("median"))
 
 
 @query("decision_top_entities", "SELECT o_custkey AS entity, count(*) AS decisions FROM orders GROUP BY 1 ORDER BY decisions DESC, entity LIMIT 10")

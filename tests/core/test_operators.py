@@ -320,3 +320,33 @@ def test_proofs_and_recursive_chunks_on_edge_cases(spark):
         else:
             assert all(len(c.chunk) <= 400 for c in r.c) and (not r.t or (r.c[0].start == 0 and r.c[-1].end == len(r.t)))
             assert all(b.start <= a.end for a, b in zip(r.c, r.c[1:]))
+
+
+def test_ranks_across_tasks(spark, monkeypatch):
+    from graphloom.operators import loops
+
+    monkeypatch.setattr(loops, "TASK_ROWS", 100)
+    rows = spark.range(1000).select((F.col("id") % 7 * (F.col("id") % 2)).alias("g"), F.hash("id").alias("x"), "id").withColumn("g", F.when(F.col("g") > 0, F.col("g")))
+    got = loops.ranked(rows, "g", F.desc("x"), "id").collect()
+    for g in {r.g for r in got}:
+        mine = sorted((r for r in got if r.g == g), key=lambda r: (-r.x, r.id))
+        assert [r["rank"] for r in mine] == list(range(1, len(mine) + 1))
+
+
+def test_large_blocks_are_dealt_to_several_tasks(spark, monkeypatch):
+    from graphloom.operators import dedup
+
+    rows = spark.createDataFrame([(k, f"name {k % 5}") for k in range(60)], "id long, name string")
+    monkeypatch.setattr(dedup, "BLOCK", 7)
+    got = {tuple(r) for r in dedup.candidates(rows, key="id", name="name", keys=F.array(F.col("name"), F.lit("all"))).select("a", "b").collect()}
+    assert got == {(a, b) for a in range(60) for b in range(a + 1, 60)}
+
+
+def test_the_package_is_shipped_whole(spark):
+    import zipfile
+
+    from graphloom.sources.tables import ship
+
+    ship(spark)
+    with zipfile.ZipFile(next(f for f in sorted(spark.sparkContext._python_includes) if f == "graphloom.zip") and __import__("pyspark").SparkFiles.get("graphloom.zip")) as z:
+        assert "graphloom/operators/loops.py" in z.namelist()
