@@ -20,10 +20,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import Saved, named, others, packed, text_crc, unpacked
+from graphloom.operators.loops import ranked
 
 BITS = 10  # of a probe round: 1024 probes in an interval
 WORD_BITS = 63
@@ -31,7 +32,6 @@ WORD_BITS = 63
 #: group of equal texts.
 TOLERANCE = 0.0002
 SNAP = 0.01
-TASK_ROWS = 1_000_000  # rows (without texts) that a task sorts, about
 
 
 @dataclass(frozen=True)
@@ -141,13 +141,5 @@ def sharded(docs: DataFrame, shards: int, *, key: str = "doc_id", text: str = "t
     cuts = sorted(cuts, key=lambda c: (c.group, c.item))
     # one exchange, in which a shard has as many tasks as its rows need; the order of the
     # sort makes a row's place in its shard the same wherever the tasks' ranges end
-    tasks = max(shards, -(-n // TASK_ROWS))
-    dealt = rows.withColumn("shard", range_of(cuts)).repartitionByRange(tasks, "shard", "g", "i").sortWithinPartitions("shard", "g", "i")
-    dealt = saved.save(dealt.select("_row", "size", "text_crc32", "shard", F.monotonically_increasing_id().alias("at")))
-    # what the tasks before a task have of a shard: a row for each task and shard
-    task = F.shiftright("at", 33)
-    counted = dealt.groupBy("shard", task.alias("task")).agg(F.count("*").alias("n"), F.min("at").alias("least"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offset = saved.save(counted.select("shard", "task", (below - F.col("least")).alias("offset")))
-    placed = dealt.withColumn("task", task).join(offset, ["shard", "task"])
-    return placed.select(*unpacked(own), "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("at") + F.col("offset")).alias("slot"))
+    dealt = ranked(rows.select("_row", "size", "text_crc32", "g", "i", range_of(cuts).alias("shard")), "shard", "g", "i", name="place", n=n)
+    return dealt.select(*unpacked(own), "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("place") - 1).alias("slot"))
