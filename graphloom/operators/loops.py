@@ -79,6 +79,10 @@ class Saved:
         for k in range(max(0, self.count - keep - 2), self.count - keep):
             _delete(self.spark, f"{self.root}/{k}")
 
+    def drop_all(self) -> None:
+        """Delete all tables: nothing that is still to be computed may read them."""
+        _delete(self.spark, self.root)
+
     def _next(self) -> str:
         self.count += 1
         return f"{self.root}/{self.count - 1}"
