@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import Saved, in_arrow, named, others, packed, unpacked
-from graphloom.llm.components import linked
+from graphloom.llm.components import crowded, linked
 from graphloom.llm.textbytes import Hashes, mixed, slices, word_bounds
 
 SEED = 42
@@ -278,7 +278,8 @@ def near_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows = docs.select(packed(own), named(key).alias("_key"), named(text).alias("_text"))
     marked = saved.save(fingerprinted(rows, text="_text", words=words))
     distinct = marked.groupBy(F.col("fingerprint").alias("node")).agg(F.min("_key").alias("least"))
-    groups = linked(visits(distinct.select("node"), bands, fingerprint="node"), within(threshold), star_rounds=1)
+    shared = saved.save(crowded(visits(distinct.select("node"), bands, fingerprint="node")))
+    groups = linked(shared, within(threshold))
     group = saved.save(distinct.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = group.groupBy("component").agg(F.min("least").alias("component_id"))
     told = group.join(least, "component").select(F.col("node").alias("fingerprint"), "component_id")
@@ -393,58 +394,49 @@ def _sets(words: int) -> "callable":
     return run
 
 
-def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, threshold: int = 8, bands: tuple[Band, ...] = THREE) -> DataFrame:
+def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, threshold: int = 2, bands: tuple[Band, ...] = WIDE) -> DataFrame:
     """(key, node, rows, group_id, group_node): every distinct (id, text) of docs, node being the
-    text's hash, with the number of its rows and the smallest id and the node of its group. Texts are linked if
-    their sets of shingles have a Jaccard similarity of `similarity` or more, which is
-    verified. Those are held against each other whose fingerprints of distinct words differ
-    in `threshold` bits at most, and those that share one of their first shingles, the
-    rarest ones, as all texts with that similarity do."""
-    saved = Saved(docs.sparkSession, "similar")
+    text's hash, with the number of its rows and the smallest id and the node of its group. Texts
+    are linked if their sets of shingles have a Jaccard similarity of `similarity` or more, which
+    is verified. Those are held against each other that meet at an anchor of their SimHash (of
+    distinct words, `threshold` bits apart at most), and, so that no pair is missed, those that
+    share one of their first shingles, the rarest ones, as all texts with that similarity do."""
+    saved, passing = Saved(docs.sparkSession, "similar"), Saved(docs.sparkSession, "digests")
     docs, name = docs.select(named(key).alias("id"), named(text).alias("text")), key
-    key, text, node = "id", "text", F.xxhash64(F.coalesce("text", F.lit("")))
+    node = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.select(F.struct("id", node.alias("node")).alias("_row"), "text")
     sketch = [f"s{k}" for k in range(SKETCH)]
-    hashes, counts = _common(docs, text, node, words)
+    hashes, counts = _common(docs, "text", node, words)
     digest = in_arrow(rows, _digest(words, similarity, hashes, counts), f"fingerprint long, shingles long, {', '.join(f'{s} long' for s in sketch)}, first array<long>")
-    digest = saved.save(digest.select("_row.*", "fingerprint", "shingles", *sketch, "first"))
+    digest = passing.save(digest.select("_row.*", "fingerprint", "shingles", *sketch, "first"))
+    each = saved.save(digest.groupBy("id", "node").agg(F.count("*").alias("rows")))
     nodes = digest.groupBy("node").agg(F.min("id").alias("id"), F.first("fingerprint").alias("fingerprint"), F.first("shingles").alias("shingles"), *[F.first(s).alias(s) for s in sketch])
     nodes = saved.save(nodes)
+    met = visits(nodes.select("fingerprint", "node"), bands).select("anchor", "node")
+    shared = saved.save(crowded(met.union(digest.select(F.explode("first").alias("anchor"), "node"))))
+    passing.drop_all()
 
     def near(x: str, y: str) -> Column:
-        close = (F.col(f"{x}.anchor") < 0) | (F.bit_count(F.col(f"{x}.fingerprint").bitwiseXOR(F.col(f"{y}.fingerprint"))) <= threshold)
         sized = F.least(f"{x}.shingles", f"{y}.shingles") >= similarity * F.greatest(f"{x}.shingles", f"{y}.shingles") - 1e-6
         # each parity bit that differs is a shingle that only one side has: an exact bound
         differ = sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in sketch), F.lit(0))
-        return close & sized & (differ * (1 + similarity) <= (1 - similarity) * (F.col(f"{x}.shingles") + F.col(f"{y}.shingles")) + 1e-6)
-
-    # fingerprints with another one near, or of several texts: only these go on, with sketches
-    prints = nodes.groupBy("fingerprint").agg(F.count("*").alias("n"))
-    met = visits(prints.select("fingerprint"), bands)
-    x, y = met.alias("x"), met.alias("y")
-    apart = F.bit_count(F.col("x.fingerprint").bitwiseXOR(F.col("y.fingerprint")))
-    paired = x.join(y.hint("merge"), (F.col("x.anchor") == F.col("y.anchor")) & (apart > 0) & (apart <= threshold), "left_semi").select("fingerprint")
-    active = saved.save(paired.union(prints.where("n > 1").select("fingerprint")).distinct())
-    spread = visits(nodes.join(active, "fingerprint", "left_semi").select("fingerprint", "node", "shingles", *sketch), bands)
-    # the shingles that two texts have among their first ones
-    firsts = digest.select("node", F.explode("first").alias("anchor"))
-    common = firsts.groupBy("anchor").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("anchor")
-    shared = saved.save(firsts.join(common, "anchor", "left_semi").distinct())
-    spread = spread.unionByName(shared.join(nodes.select("fingerprint", "node", "shingles", *sketch), "node"))
+        return sized & (differ * (1 + similarity) <= (1 - similarity) * (F.col(f"{x}.shingles") + F.col(f"{y}.shingles")) + 1e-6)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = saved.save(pairs)
+        using = Saved(docs.sparkSession, "verified")
+        pairs = using.save(pairs)
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         # one row of each text: the one with the smallest id
         reps = wanted.join(nodes.select("node", "id"), "node").select(F.col("node").alias("_node"), F.col("id").alias("_id"))
-        texts = docs.select(F.col(text).alias("_text"), F.col(key).alias("id"), node.alias("node")).join(reps, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id"))).select("_text", "node")
-        grams = saved.save(texts.mapInArrow(_sets(words), "node long, grams array<long>").dropDuplicates(["node"]))
+        texts = docs.select("text", "id", node.alias("node")).join(reps, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id"))).select("text", "node")
+        grams = using.save(texts.mapInArrow(_sets(words), "node long, grams array<long>").dropDuplicates(["node"]))
         left, right = grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), grams.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
         both = pairs.join(left, "a").join(right, "b").withColumn("same", F.size(F.array_intersect("ga", "gb")))
-        return both.where(F.col("same") >= similarity * (F.size("ga") + F.size("gb") - F.col("same")) - 1e-9).select("a", "b")
+        found = saved.save(both.where(F.col("same") >= similarity * (F.size("ga") + F.size("gb") - F.col("same")) - 1e-9).select("a", "b"))
+        using.drop_all()
+        return found
 
-    groups = linked(spread, near, verify, star_rounds=4)
-    each = digest.groupBy("id", "node").agg(F.count("*").alias("rows"))
+    groups = linked(shared, near, verify, facts=nodes.select("node", "shingles", *sketch))
     placed = saved.save(nodes.select("node", "id").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least = placed.groupBy("component").agg(F.min("id").alias("group_id"), F.min_by("node", F.struct(F.col("id").isNull(), "id", "node")).alias("group_node"))
     told = saved.save(placed.join(least, "component").select("node", "group_id", "group_node"))

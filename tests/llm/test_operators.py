@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import exact_topk, language_masks, line_chunks, mixing, ngram_ratio, pieces, quality_rules_ensemble, shards, simhash_anchors, url_rules
 from graphloom.llm.common import fold
-from graphloom.llm.components import linked
+from graphloom.llm.components import crowded, linked
 from graphloom.llm.queries import MODEL
 from graphloom.operators.loops import components
 
@@ -467,10 +467,32 @@ def test_dense_groups_emit_no_pairs(spark):
     rnd = random.Random(2)
     nodes = [rnd.getrandbits(3) | 5 << 20 | k << 40 for k in range(400)]
     v = spark.createDataFrame([(1, n) for n in set(nodes)], "anchor long, node long")
-    got = linked(v, lambda x, y: F.lit(True)).select("component").distinct().collect()
+    got = linked(crowded(v), lambda x, y: F.lit(True)).select("component").distinct().collect()
     assert [r[0] for r in got] == [min(nodes)]
 
 
+def test_links_that_only_few_anchors_show(spark):
+    """Chains whose neighbours share one anchor of many, among anchors that link nothing."""
+    rnd = random.Random(12)
+    rows = [(1000 + k, n) for k in range(60) for n in (k, k + 1)] + [(5000 + rnd.randrange(12), n) for n in range(80) for _ in range(6)]
+    v = spark.createDataFrame(rows, "anchor long, node long")
+    got = {r.node: r.component for r in linked(crowded(v), lambda x, y: F.abs(F.col(f"{x}.node") - F.col(f"{y}.node")) <= 1).collect()}
+    shared = {a: {n for m, n in rows if m == a} for a in {a for a, _ in rows}}
+    parent = list(range(81))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for ns in shared.values():
+        for n in ns:
+            if n + 1 in ns:
+                x, y = sorted((find(n), find(n + 1)))
+                parent[y] = x
+    assert all(got.get(n, n) == find(n) for n in range(81))
+
+
 def test_components(spark):
     rnd = random.Random(8)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 440)] + [(7, 7)]
