@@ -278,3 +278,32 @@ def code_structure(code: Column) -> Column:
 
     imports = F.concat(names(r"(?m)^[ \t]*import ([A-Za-z_][A-Za-z0-9_.]*)"), names(r"(?m)^[ \t]*from ([A-Za-z_.][A-Za-z0-9_.]*) import"))
     return F.struct(names(r"(?m)^[ \t]*(?:async )?def ([A-Za-z_][A-Za-z0-9_]*)").alias("functions"), names(r"(?m)^[ \t]*class ([A-Za-z_][A-Za-z0-9_]*)").alias("classes"), imports.alias("imports"), names(r"(?m)#[ \t]*(.*)$").alias("comments"))
+
+
+def whole_entity_chunks(text: Column, size: int, entity: str) -> Column:
+    """array<struct<start, chunk>>: windows of `size` characters that end behind the entity, if
+    one lies across their end. `entity` is a pattern without line ends."""
+    spans = F.array().cast("array<struct<start:int,chunk:string>>")
+
+    def step(now: Column, t: Column, length: Column) -> Column:
+        start = now["start"]
+        end = start + size
+        window = F.substr(t, start + 1, F.lit(2 * size))
+        # an array of one binds the window to a name, so that it is cut out once
+        places = F.transform(F.array(window), lambda w: F.aggregate(F.regexp_extract_all(w, F.lit(f"({entity})"), F.lit(1)), F.struct(F.lit(0).alias("at"), F.lit(0).alias("extra")), lambda a, e: _across(a, e, w, size)))[0]
+        stop = F.least(end + places["extra"], length)
+        fresh = F.struct(start.alias("start"), F.substr(t, start + 1, stop - start).alias("chunk"))
+        return F.when(start >= length, now).otherwise(F.struct(stop.alias("start"), F.array_append(now["out"], fresh).alias("out")))
+
+    def of(t: Column) -> Column:
+        length = F.length(t)
+        return F.aggregate(F.sequence(F.lit(1), F.ceil(length / size).cast("int") + 1), F.struct(F.lit(0).alias("start"), spans.alias("out")), lambda now, _: step(now, t, length))["out"]
+
+    return F.transform(F.array(text), of)[0]
+
+
+def _across(state: Column, entity: Column, window: Column, size: int) -> Column:
+    """Where the next entity ends in the window, and by how much one lies across `size`."""
+    begin = state["at"] + F.instr(F.substr(window, state["at"] + 1), entity) - 1
+    end = begin + F.length(entity)
+    return F.struct(end.alias("at"), F.when((begin < size) & (end > size), end - size).otherwise(state["extra"]).alias("extra"))

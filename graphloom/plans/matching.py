@@ -310,3 +310,14 @@ def _(spark, sf):
     """The turn that a reply refers to: the nearest one before it that is of the user."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     return table(spark, sf, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("antecedent"))
+
+
+@query("chunk_whole_entities", r"""WITH RECURSIVE s AS (SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\n\r\f\x0B]+', ' ', 'g') AS t FROM pages),
+c AS (SELECT page_id, t, 0 AS start, least(200 + coalesce(length(regexp_extract(substr(t, 201), '^[A-Za-z]+')) * (CASE WHEN regexp_matches(substr(t, 200, 1), '[A-Za-z]') THEN 1 ELSE 0 END), 0), length(t)) AS stop FROM s WHERE length(t) > 0
+UNION ALL SELECT page_id, t, stop, least(stop + 200 + coalesce(length(regexp_extract(substr(t, stop + 201), '^[A-Za-z]+')) * (CASE WHEN regexp_matches(substr(t, stop + 200, 1), '[A-Za-z]') THEN 1 ELSE 0 END), 0), length(t)) FROM c WHERE stop < length(t))
+SELECT page_id, CAST(start AS INTEGER) AS start, md5(substr(t, start + 1, stop - start)) AS digest FROM c""")
+def _(spark, sf):
+    """Page texts in windows that never cut a run of letters (each an entity here)."""
+    text = F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"[ \t\n\r\f\x0B]+", " ")
+    cut = table(spark, sf, "pages").select("page_id", F.explode(X.whole_entity_chunks(text, 200, "[A-Za-z]+")).alias("c"))
+    return cut.select("page_id", F.col("c.start").alias("start"), F.md5("c.chunk").alias("digest"))

@@ -368,3 +368,63 @@ def _(spark, sf):
     values = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("value"))
     out = V.translated(values, [("order", "ledger", 0.9, 0.95), ("ledger", "report", 1.2, 0.8)])
     return out.select("o_orderkey", F.round("result", 6).alias("result"), "layer", "confidence")
+
+
+@query("store_bulk_loaded", "SELECT event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events) GROUP BY 1")
+def _(spark, sf):
+    """Events loaded through a stream, one of a user, kind and day."""
+    from graphloom.operators.loops import Saved
+    from graphloom.streaming import flows
+
+    path = f"{Saved(spark, 'bulk').root}/table"
+    stream = flows.event_stream(spark, f"{sf}/events*.parquet", schema=table(spark, sf, "events").schema)
+    flows.loaded(stream.withColumn("day", F.to_date("ts")), "events", path, keys=["user_id", "event_type", "day"])
+    # a table of several batches may hold a key once in each
+    return spark.read.parquet(path).select("user_id", "event_type", "day").distinct().groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("store_vectors", "WITH v AS (SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN list_transform(embedding, lambda x: -x::DOUBLE) ELSE list_transform(embedding, lambda x: x::DOUBLE) END AS e FROM embeddings WHERE vec_id % 10 <> 3) SELECT vec_id, round(list_sum(e), 5) AS total FROM v")
+def _(spark, sf):
+    """Vectors updated by id and deleted by id."""
+    from graphloom.functions import vectors as VE
+
+    e = table(spark, sf, "embeddings").select("vec_id", VE.doubles(F.col("embedding")).alias("e"))
+    changed = e.where("vec_id % 4 = 0").select("vec_id", F.transform("e", lambda x: -x).alias("e"))
+    now = ST.upserted(e, changed, "vec_id").join(e.where("vec_id % 10 = 3").select("vec_id"), "vec_id", "left_anti")
+    return now.select("vec_id", F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+@query("decision_records", "SELECT 'd' || o_orderkey AS s, unnest(['about', 'outcome', 'under', 'approved_by']) AS p, unnest(['c' || o_custkey, o_orderstatus, 'policy-' || o_orderpriority[1], 'e' || o_custkey % 40]) AS o FROM orders")
+def _(spark, sf):
+    """What is recorded of a decision: entity, outcome, policy and approver, as triples."""
+    o = table(spark, sf, "orders")
+    said = {"about": node("c", "o_custkey"), "outcome": F.col("o_orderstatus"), "under": F.concat(F.lit("policy-"), F.left("o_orderpriority", F.lit(1))), "approved_by": F.concat(F.lit("e"), (F.col("o_custkey") % 40).cast("string"))}
+    each = F.array(*[F.struct(F.lit(p).alias("p"), v.alias("o")) for p, v in said.items()])
+    return o.select(node("d", "o_orderkey").alias("s"), F.explode(each).alias("x")).select("s", "x.p", "x.o")
+
+
+@query("version_history", "SELECT o_custkey AS entity, o_orderkey AS version, lag(o_orderkey) OVER w AS previous, o_orderstatus AS state, CASE WHEN lag(o_orderstatus) OVER w IS NULL THEN 'created' WHEN lag(o_orderstatus) OVER w <> o_orderstatus THEN 'changed' ELSE 'kept' END AS change FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+def _(spark, sf):
+    """Every version of an entity with the one before it and what became of its state."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    before = F.lag("o_orderstatus").over(w)
+    change = F.when(before.isNull(), "created").when(before != F.col("o_orderstatus"), "changed").otherwise("kept")
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("entity"), F.col("o_orderkey").alias("version"), F.lag("o_orderkey").over(w).alias("previous"), F.col("o_orderstatus").alias("state"), change.alias("change"))
+
+
+@query("embed_statements", r"WITH t AS (SELECT 's' || s_suppkey AS id, s_name || ' seat_of nation ' || s_nationkey AS t FROM supplier), w AS (SELECT id, unnest(string_split(lower(t), ' ')) AS w FROM t), n AS (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS dim, count(*) AS n FROM w GROUP BY ALL) SELECT id, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 9) AS value FROM n")
+def _(spark, sf):
+    """Relations as texts (subject, predicate, object), embedded by hashed words."""
+    text = F.concat_ws(" ", "s_name", F.lit("seat_of nation"), F.col("s_nationkey").cast("string"))
+    words = table(spark, sf, "supplier").select(node("s", "s_suppkey").alias("id"), F.explode(F.split(F.lower(text), " ")).alias("w"))
+    n = words.groupBy("id", (F.conv(F.substr(F.md5("w"), F.lit(1), F.lit(8)), 16, 10).cast("long") % 64).alias("dim")).agg(F.count("*").alias("n"))
+    size = n.groupBy("id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
+    return n.join(size, "id").select("id", "dim", F.round(F.col("n") / F.col("size"), 9).alias("value"))
+
+
+@query("graph_degree_and_nations", f"WITH {MARKET}, u AS (SELECT src, dst FROM t UNION SELECT dst, src FROM t), d AS (SELECT src AS node, count(*) AS d FROM u GROUP BY 1), k AS (SELECT node, count(*) FILTER (dst LIKE 'n%') AS near FROM d JOIN u ON u.src = node GROUP BY 1) SELECT node, round(d / ((SELECT count(*) FROM d) - 1), 9) AS degree, near AS nations FROM d JOIN k USING (node)")
+def _(spark, sf):
+    """Degree centrality of every node beside the number of nations next to it."""
+    edges = market_graph(spark, sf)
+    near = G.adjacency(edges).groupBy(F.col("src").alias("node")).agg(F.count_if(F.col("dst").startswith("n")).alias("nations"))
+    return G.degree_centrality(edges).select("node", F.round("centrality", 9).alias("degree")).join(near, "node")

@@ -65,3 +65,17 @@ def drained(stream: DataFrame, name: str, *, mode: str = "complete", each: Calla
     for number in sorted(out):
         whole = out[number] if whole is None else whole.union(out[number])
     return whole
+
+
+def loaded(stream: DataFrame, name: str, path: str, *, keys: list[str]) -> DataFrame:
+    """A stream of rows appended to the Parquet table at `path`, each key once a batch, and
+    (batch, rows) of what every batch loaded. A batch that runs again replaces its own folder."""
+    spark = stream.sparkSession
+    saved = Saved(spark, f"load-{name}")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = stream.writeStream.option("checkpointLocation", f"{saved.root}-state").trigger(availableNow=True).foreachBatch(put).start()
+    query.awaitTermination()
+    return spark.read.parquet(path).groupBy("batch").agg(F.count("*").alias("rows"))

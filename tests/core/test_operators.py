@@ -350,3 +350,21 @@ def test_the_package_is_shipped_whole(spark):
     ship(spark)
     with zipfile.ZipFile(next(f for f in sorted(spark.sparkContext._python_includes) if f == "graphloom.zip") and __import__("pyspark").SparkFiles.get("graphloom.zip")) as z:
         assert "graphloom/operators/loops.py" in z.namelist()
+
+
+def test_retries_wait_as_told():
+    from graphloom.plans.pipeline import Retry, attempted, severity
+
+    assert [Retry(strategy="linear").delay(k) for k in (1, 2, 3)] == [1, 2, 3]
+    assert [Retry(longest=3).delay(k) for k in (1, 2, 3)] == [1, 2, 3] and Retry(strategy="fixed").delay(9) == 1
+    waits, calls = [], iter([TimeoutError(), RuntimeError(), None])
+
+    def call():
+        if (e := next(calls)) is not None:
+            raise e
+        return "done"
+
+    assert attempted(call, sleep=waits.append) == "done" and waits == [1, 2]
+    with pytest.raises(ValueError):
+        attempted(lambda: int("x"), sleep=waits.append)
+    assert waits == [1, 2] and severity(MemoryError()) == "critical"
