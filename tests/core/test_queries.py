@@ -12,8 +12,6 @@ from graphloom import queries as core
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: The slower loops run in the driver's own comparison; one of each kind is kept here.
-SLOW = {"graph_eigenvector_centrality", "graph_pagerank", "provenance_lineage", "graph_component_sizes", "graph_structure", "stream_sliding_counts", "stream_sessions", "dedup_group_confidence"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -35,7 +33,7 @@ def plain(rows, columns):
     return sorted(tuple(value(r[c]) for c in columns) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(core.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(core.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     frame = core.queries()[name](spark, SF)
     columns = sorted(frame.columns)
