@@ -288,7 +288,28 @@ def near_components(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 # ---- documents that share most of their shingles ------------------------------------
 
-SKETCH = 8  # 64-bit words of parity bits
+SKETCH = 8  # 64-bit words of parity bits of a text's shingles
+
+
+def _wide(grams: np.ndarray) -> np.ndarray:
+    """Parity bits of a long text, as many as it has shingles at least; none for a short one."""
+    if len(grams) <= 64 * SKETCH:
+        return np.zeros(0, dtype=np.int64)
+    size = 64 * SKETCH << int(np.ceil(np.log2(len(grams) / (64 * SKETCH))))
+    odd = np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """Parity bits that differ; the longer of two is folded to the length of the other, as bits
+    are chosen by the last bits of a hash. 0 if either has none."""
+    n = F.least(F.size(x), F.size(y))
+
+    def folded(v: Column, i: Column) -> Column:
+        return F.aggregate(F.sequence(i, F.size(v) - 1, n), F.lit(0).cast("long"), lambda a, j: a.bitwiseXOR(F.get(v, j)))
+
+    total = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda a, i: a + F.bit_count(folded(x, i).bitwiseXOR(folded(y, i))))
+    return F.when(n > 0, total).otherwise(0)
 
 
 def _windows(words: np.ndarray, at: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -350,13 +371,13 @@ def _first(rows: np.ndarray, grams: np.ndarray, n: int, similarity: float, hashe
 
 def _digest(words: int, similarity: float, often: np.ndarray, counts: np.ndarray) -> "callable":
     """Batches of (row, text) to (row, fingerprint of the distinct words, number of distinct
-    shingles, parity sketch of the shingles, the first shingles)."""
+    shingles, parity sketches of the shingles, the first shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             prints, sizes, sketch = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros((n, SKETCH), np.uint64)
-            firsts = []
+            firsts, wide = [], [np.zeros(0, dtype=np.int64)] * n
             for row, data, offsets in slices(batch.column(1)):
                 data = _LOWER[data]
                 start, end, at = word_bounds(data, offsets)
@@ -364,6 +385,8 @@ def _digest(words: int, similarity: float, often: np.ndarray, counts: np.ndarray
                 m = len(offsets) - 1
                 rows, grams = _windows(hashes, at, m, words)
                 sizes[row : row + m] = np.bincount(rows, minlength=m)
+                for k in np.flatnonzero(sizes[row : row + m] > 64 * SKETCH):
+                    wide[row + k] = _wide(grams[slice(*np.searchsorted(rows, (k, k + 1)))])
                 ends, first = _first(rows, grams, m, similarity, often, counts)
                 # the sign sets them apart from the fingerprints' anchors
                 firsts.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array((first | np.uint64(1 << 63)).view(np.int64))))
@@ -375,7 +398,7 @@ def _digest(words: int, similarity: float, often: np.ndarray, counts: np.ndarray
                 for k in range(m):
                     if count[k]:
                         prints[row + k] = majority(single[edges[k] : edges[k + 1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), pa.array(sizes), *[pa.array(np.ascontiguousarray(sketch[:, k]).view(np.int64)) for k in range(SKETCH)], pa.concat_arrays(firsts) if firsts else pa.array([], pa.list_(pa.int64()))], names=["_row", "fingerprint", "shingles", *[f"s{k}" for k in range(SKETCH)], "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), pa.array(sizes), *[pa.array(np.ascontiguousarray(sketch[:, k]).view(np.int64)) for k in range(SKETCH)], pa.array(wide, pa.list_(pa.int64())), pa.concat_arrays(firsts) if firsts else pa.array([], pa.list_(pa.int64()))], names=["_row", "fingerprint", "shingles", *[f"s{k}" for k in range(SKETCH)], "wide", "first"])
 
     return run
 
@@ -407,10 +430,10 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows = docs.select(F.struct("id", node.alias("node")).alias("_row"), "text")
     sketch = [f"s{k}" for k in range(SKETCH)]
     hashes, counts = _common(docs, "text", node, words)
-    digest = in_arrow(rows, _digest(words, similarity, hashes, counts), f"fingerprint long, shingles long, {', '.join(f'{s} long' for s in sketch)}, first array<long>")
-    digest = passing.save(digest.select("_row.*", "fingerprint", "shingles", *sketch, "first"))
+    digest = in_arrow(rows, _digest(words, similarity, hashes, counts), f"fingerprint long, shingles long, {', '.join(f'{s} long' for s in sketch)}, wide array<long>, first array<long>")
+    digest = passing.save(digest.select("_row.*", "fingerprint", "shingles", *sketch, "wide", "first"))
     each = saved.save(digest.groupBy("id", "node").agg(F.count("*").alias("rows")))
-    nodes = digest.groupBy("node").agg(F.min("id").alias("id"), F.first("fingerprint").alias("fingerprint"), F.first("shingles").alias("shingles"), *[F.first(s).alias(s) for s in sketch])
+    nodes = digest.groupBy("node").agg(F.min("id").alias("id"), F.first("fingerprint").alias("fingerprint"), F.first("shingles").alias("shingles"), F.first("wide").alias("wide"), *[F.first(s).alias(s) for s in sketch])
     nodes = saved.save(nodes)
     met = visits(nodes.select("fingerprint", "node"), bands).select("anchor", "node")
     shared = saved.save(crowded(met.union(digest.select(F.explode("first").alias("anchor"), "node"))))
@@ -424,7 +447,11 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     def verify(pairs: DataFrame) -> DataFrame:
         using = Saved(docs.sparkSession, "verified")
-        pairs = using.save(pairs)
+        # long texts outgrow the sketch: their wide ones, a 64th of their shingles, come first
+        x, y = nodes.select(F.col("node").alias("a"), F.struct("shingles", "wide").alias("x")), nodes.select(F.col("node").alias("b"), F.struct("shingles", "wide").alias("y"))
+        apart = _apart(F.col("x.wide"), F.col("y.wide"))
+        close = apart * (1 + similarity) <= (1 - similarity) * (F.col("x.shingles") + F.col("y.shingles")) + 1e-6
+        pairs = using.save(pairs.join(x, "a").join(y, "b").where(close).select("a", "b"))
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         # one row of each text: the one with the smallest id
         reps = wanted.join(nodes.select("node", "id"), "node").select(F.col("node").alias("_node"), F.col("id").alias("_id"))

@@ -289,3 +289,30 @@ def test_the_normaliser_takes_the_longest_match():
     machine = pieces.Transducer(model_of([("<unk>", 0, pieces.UNKNOWN), ("a", -1, 1)], 1))
     machine._compile_normaliser({"ab": "1", "abcd": "2", "c": "3", "b": ""})
     assert machine._rewritten("abcabcdabx") == "1321x" and machine._rewritten("bba") == "a"
+
+
+def test_wide_sketches_bound_what_differs(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for n, m in ((600, 700), (3000, 3100), (2000, 1990), (5000, 4000), (400, 800), (513, 1025)):
+        both = rng.integers(0, 1 << 63, min(n, m) - 100).astype(np.uint64)
+        a, b = (np.unique(np.append(both, rng.integers(0, 1 << 63, k - len(both)).astype(np.uint64))) for k in (n, m))
+        rows.append((simhash_anchors._wide(a).tolist(), simhash_anchors._wide(b).tolist(), len(np.setxor1d(a, b))))
+    got = spark.createDataFrame(rows, "x array<bigint>, y array<bigint>, d int").select("*", simhash_anchors._apart(F.col("x"), F.col("y")).alias("k")).collect()
+    for r in got:
+        assert r.k <= r.d and (r.d - r.k) % 2 == 0 and (r.k > 0.5 * min(r.d, 32 * min(len(r.x), len(r.y))) if r.x and r.y else r.k == 0)
+
+
+def test_long_near_copies_are_told_apart(spark):
+    rnd = random.Random(29)
+
+    def fresh(n):
+        return [f"w{rnd.getrandbits(30):x}" for _ in range(n)]
+
+    passages = [fresh(400) for _ in range(12)]
+    data = []
+    for k in range(12):  # long texts of the same passages in other orders, and copies of each
+        words = [w for p in rnd.sample(passages, 4) for w in p] + fresh(1500)
+        data += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*fresh(50), *words]))]
+    got = {r.doc_id: r.group_id for r in simhash_anchors.similar_groups(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {k: k - k % 2 for k in range(24)}
