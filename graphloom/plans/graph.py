@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
 from graphloom.operators.loops import reachable
-from graphloom.sources.tables import market_graph, place_graph, trade_graph
+from graphloom.sources.tables import market_graph, place_graph, table, trade_graph
 
 E = "e AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, CAST(count(*) AS DOUBLE) AS weight FROM lineitem GROUP BY 1, 2)"
 U = E + ", u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
