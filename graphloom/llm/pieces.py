@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -202,9 +203,10 @@ class Transducer:
         self.trie, nodes = Table(), 1
         step: dict[int, int] = {}
         ending = [-1]
-        self.single = np.full(1 << 16, -1, dtype=np.int64)
+        #: The piece of each single character; with one, a character has no fallback arc.
+        self.single = np.full(sys.maxunicode + 1, -1, dtype=np.int32)
         for piece, k in self.arcs.items():
-            if len(piece) == 1 and ord(piece) < len(self.single) - 1:
+            if len(piece) == 1:
                 self.single[ord(piece)] = k
             if self.kind == 2 and self.merged(piece) != [piece]:
                 continue
@@ -311,7 +313,7 @@ class Transducer:
         first, end = base[word], base[word + 1]
         # arcs: the pieces that start at each place, by walking the trie from all at once
         at, node = np.arange(len(chars)), np.zeros(len(chars), dtype=np.int64)
-        single = self.single[np.minimum(chars, len(self.single) - 1)]
+        single = self.single[chars]
         starts, stops, ids = [at], [at + 1], [np.where(single >= 0, single, len(self.pieces) + chars)]
         for depth in range(1, self.longest + 1):
             inside = at + depth <= end[at]

@@ -580,6 +580,15 @@ def test_pieces_on_random_strings():
         assert ids.tolist() == sp.encode(text), text
 
 
+def test_pieces_of_one_character():
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=MODEL)
+    machine = pieces.Transducer(pieces.model_bytes(MODEL))
+    single = [p for p in machine.pieces if len(p) == 1]
+    assert sum(ord(c) > 0xFFFF for c in single) > 20
+    for text in [t for c in single for t in (c, f"a {c} b", c + c, f"x{c}")] + ["\U0010ffff", "\U0001f600\U0010ffff"]:
+        assert machine.encode(text).tolist() == sp.encode(text), text
+
+
 def varint(n):
     out = b""
     while n > 127:
