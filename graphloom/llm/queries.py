@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import exact_topk, language_masks, line_chunks, mixing, ngram_ratio, pieces, quality_rules_ensemble, shards, simhash_anchors, url_rules
-from graphloom.llm.common import fold, table
+from graphloom.llm import exact_topk, language_masks, line_chunks, mixing, ngram_ratio, period_runs, pieces, quality_rules_ensemble, shards, simhash_anchors, url_rules
+from graphloom.llm.common import fold, table, text_crc
 
 SHARDS = 24
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -71,8 +71,18 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = period_runs.periodic_runs(docs.withColumn("text", period_runs.looped(F.col("text"), text_crc(F.col("doc_id")))))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("r"), F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, period = -F.col("r.start"), -F.col("r.period")
+    return out.select("doc_id", "n_runs", start.alias("start"), F.col("r.length").alias("length"), period.alias("period"), F.floor(1000 * F.col("r.length") / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_rule_ensemble, op2_ngram_ratio, op3_histogram_shards, op4_url_rules, op5_line_chunks, op6_simhash_anchors, op7_flow_mix, op8_pieces, op9_language_masks, op10_exact_topk)}
+    return {f.__name__: f for f in (op1_rule_ensemble, op2_ngram_ratio, op3_histogram_shards, op4_url_rules, op5_line_chunks, op6_simhash_anchors, op7_flow_mix, op8_pieces, op9_language_masks, op10_exact_topk, op13_period_runs)}
 
 
 #: Exact neighbours are plain SQL; the other operators' methods are not.
