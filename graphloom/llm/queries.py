@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import exact_topk, language_masks, line_chunks, mixing, ngram_ratio, period_runs, pieces, quality_rules_ensemble, shards, simhash_anchors, url_rules
+from graphloom.llm import exact_topk, language_masks, line_chunks, mixing, ngram_ratio, period_runs, pieces, quality_rules_ensemble, shards, simhash_anchors, url_rules, witnesses
 from graphloom.llm.common import fold, table, text_crc
 
 SHARDS = 24
@@ -71,6 +71,17 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op12_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    changed = (text_crc(F.col("doc_id")) % 2 == 0) & F.contains("text", F.lit("\n"))
+    fields = ("doc_id", "source", "lang", "n_chars")
+    tampered = F.when(changed, witnesses.leaf(*map(F.col, fields), F.translate("text", "\n", "")))
+    rows = docs.select("doc_id", "source", witnesses.leaf(*map(F.col, (*fields, "text"))).alias("leaf"), tampered.alias("other"))
+    out = witnesses.Manifest(rows, group="source", order="doc_id").witnesses()
+    out = out.withColumn("folded_root", witnesses.folded(F.col("proof"), F.coalesce("other", "leaf")))
+    return out.select("doc_id", "leaf", "subroot", "root", witnesses.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = period_runs.periodic_runs(docs.withColumn("text", period_runs.looped(F.col("text"), text_crc(F.col("doc_id")))))
@@ -82,7 +93,7 @@ def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_rule_ensemble, op2_ngram_ratio, op3_histogram_shards, op4_url_rules, op5_line_chunks, op6_simhash_anchors, op7_flow_mix, op8_pieces, op9_language_masks, op10_exact_topk, op13_period_runs)}
+    return {f.__name__: f for f in (op1_rule_ensemble, op2_ngram_ratio, op3_histogram_shards, op4_url_rules, op5_line_chunks, op6_simhash_anchors, op7_flow_mix, op8_pieces, op9_language_masks, op10_exact_topk, op12_witnesses, op13_period_runs)}
 
 
 #: Exact neighbours are plain SQL; the other operators' methods are not.
