@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import exact_topk, language_masks, line_chunks, mixing, ngram_ratio, period_runs, pieces, quality_rules_ensemble, shards, simhash_anchors, url_rules, witnesses
+from graphloom.llm import archives, exact_topk, language_masks, line_chunks, mixing, ngram_ratio, period_runs, pieces, quality_rules_ensemble, shards, simhash_anchors, url_rules, witnesses
 from graphloom.llm.common import fold, table, text_crc
 
 SHARDS = 24
@@ -71,6 +71,11 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op11_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = archives.archived(table(spark, sf_dir, "pages"), key="page_id", uri="url", payload="html")
+    return out.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_key").cast("long").alias("refers_to"))
+
+
 def op12_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     changed = (text_crc(F.col("doc_id")) % 2 == 0) & F.contains("text", F.lit("\n"))
@@ -93,10 +98,10 @@ def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_rule_ensemble, op2_ngram_ratio, op3_histogram_shards, op4_url_rules, op5_line_chunks, op6_simhash_anchors, op7_flow_mix, op8_pieces, op9_language_masks, op10_exact_topk, op12_witnesses, op13_period_runs)}
+    return {f.__name__: f for f in (op1_rule_ensemble, op2_ngram_ratio, op3_histogram_shards, op4_url_rules, op5_line_chunks, op6_simhash_anchors, op7_flow_mix, op8_pieces, op9_language_masks, op10_exact_topk, op11_arc_to_warc, op12_witnesses, op13_period_runs)}
 
 
-#: Exact neighbours are plain SQL; the other operators' methods are not.
+#: Exact neighbours and equal payloads are plain SQL; the other operators' methods are not.
 OP10_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
@@ -110,6 +115,13 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+OP11_SQL = """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM p),
+r AS (SELECT *, payload_bytes >= 1000 AND page_id <> top AS again FROM t)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN top END AS refers_to FROM r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_topk": OP10_SQL}
+    return {"op10_exact_topk": OP10_SQL, "op11_arc_to_warc": OP11_SQL}
