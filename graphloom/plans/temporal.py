@@ -141,11 +141,6 @@ def _(spark, sf):
     return T.as_of(left, right, "user_id", "ts", "view_ts").select("event_id", "user_id", "view_id")
 
 
-@query("temporal_sequence_patterns", "WITH w AS (SELECT event_type AS a, lead(event_type) OVER o AS b, lead(event_type, 2) OVER o AS c FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT a || '>' || b || '>' || c AS pattern, count(*) AS n FROM w WHERE c IS NOT NULL GROUP BY 1 HAVING count(*) >= 5")
-def _(spark, sf):
-    return T.sequences(table(spark, sf, "events"), "user_id", "ts", "event_type", 3, 5)
-
-
 @query("temporal_normalised", "SELECT event_id, strftime(date_trunc('week', ts), '%Y-%m-%d %H:%M:%S') AS week, strftime(date_trunc('quarter', ts), '%Y-%m-%d %H:%M:%S') AS quarter, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour FROM events")
 def _(spark, sf):
     def text(grain):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import content, exchange, further, graph, knowledge, matching, publish, temporal
+from graphloom.plans import content, deeper, exchange, further, graph, knowledge, matching, publish, temporal
 
-AREAS = (graph, temporal, knowledge, content, exchange, further, matching, publish)
+AREAS = (graph, temporal, knowledge, content, exchange, further, matching, publish, deeper)
 
 
 def queries() -> dict:
