@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +81,18 @@ def neighbours(rows: DataFrame, *, key: str, block: Column, order: list[str], re
     return pairs.select(F.col(f"x.{key}").alias("a"), *[F.col(f"x.{c}").alias(f"{c}_a") for c in others], F.col(f"y.{key}").alias("b"), *[F.col(f"y.{c}").alias(f"{c}_b") for c in others])
 
 
+def incremental(new: DataFrame, known: DataFrame, threshold: float, *, key: str, name: str, blocks: Callable[[Column], Column]) -> DataFrame:
+    """new's rows with `match`, the key of the known row whose name is most alike, and `score`;
+    null where none reaches the threshold. Only names that share a block are compared, each
+    distinct pair once; of equal scores, and of rows of one name, the smallest key counts."""
+    a = new.select(F.col(name).alias("name")).distinct().select("name", F.explode(blocks(F.col("name"))).alias("block"))
+    b = known.groupBy(F.col(name).alias("other")).agg(F.min(key).alias("match")).select("other", "match", F.explode(blocks(F.col("other"))).alias("block"))
+    pairs = a.join(b, "block").select("name", "other", "match").distinct()
+    scored_ = pairs.withColumn("score", S.levenshtein_similarity(F.col("name"), F.col("other"))).where(F.col("score") >= threshold)
+    best = scored_.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("less"), "match")).alias("m"))
+    return new.join(best.select(F.col("name").alias(name), F.col("m.match").alias("match"), (-F.col("m.less")).alias("score")), name, "left").select(*new.columns, "match", "score")
+
+
 def alike_relations(relations: DataFrame, *, threshold: float, method: str = "jaro_winkler") -> DataFrame:
     """relations: subject, predicate, object (distinct). Pairs of one subject: 0.6 of the
     predicates' similarity and 0.4 of the objects' reach the threshold."""

@@ -15,8 +15,14 @@ from graphloom.operators import routes as R
 from graphloom.operators import semantic as SE
 from graphloom.operators import temporal as T
 from graphloom.operators import vector_join as VJ
+from graphloom.operators.loops import Saved
+from graphloom.operators.version_store import VersionStore
 from graphloom.plans.knowledge import name_pairs
+from graphloom.sources import rdf, writers
+from graphloom.sources.readers import triples
 from graphloom.sources.tables import node, table
+from graphloom.streaming import flows
+from graphloom.streaming import matching as MT
 
 Q, S = {}, {}
 
@@ -171,3 +177,68 @@ def _(spark, sf):
 def _(spark, sf):
     found = SE.similarities(SE._numbered(table(spark, sf, "documents"), "doc_id", "text"))
     return found.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("pairs"), F.round(F.avg("similarity"), 9).alias("similarity"))
+
+
+# ---- versions of the orders ------------------------------------------------------------
+
+
+def _versions(spark: SparkSession, sf: str) -> VersionStore:
+    """First the orders up to 1997; then all, those that are finished marked so; then without
+    the open ones, and one more by its mutations."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    store = VersionStore(spark, Saved(spark, "orders").root, "o_orderkey", orders.schema)
+    old = table(spark, sf, "orders").where("o_orderdate < TIMESTAMP_NTZ '1998-01-01'").select(orders.columns)
+    store.commit(old, "old", author="a")
+    whole = orders.withColumn("o_orderpriority", F.when(F.col("o_orderstatus") == "F", "done").otherwise(F.col("o_orderpriority")))
+    store.commit(whole, "whole", author="a")
+    store.compact(2)
+    store.commit(whole.where("o_orderstatus <> 'O'"), "closed", author="b")
+    store.changed(orders.where("o_custkey % 7 = 0 AND o_orderstatus = 'O'"), "reopened", drops=orders.where("o_orderstatus = 'P'"), author="b")
+    return store
+
+
+_V2 = "v2 AS (SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE o_orderpriority END AS o_orderpriority FROM orders)"
+
+
+@query("version_restored", f"WITH {_V2} SELECT 1 AS version, o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' UNION ALL SELECT 2, * FROM v2 UNION ALL SELECT 3, * FROM v2 WHERE o_orderstatus <> 'O' UNION ALL SELECT 4, * FROM v2 WHERE o_orderstatus = 'F' UNION ALL SELECT 4, o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_custkey % 7 = 0 AND o_orderstatus = 'O'")
+def _(spark, sf):
+    store = _versions(spark, sf)
+    out = [store.restored(v).select(F.lit(v).alias("version"), "*") for v in (1, 2, 3, 4)]
+    return out[0].union(out[1]).union(out[2]).union(out[3])
+
+
+@query("version_log", f"WITH {_V2}, v1 AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01') SELECT 1 AS version, 'old' AS label, count(*) AS puts, 0 AS drops, true AS sound FROM v1 UNION ALL SELECT 2, 'whole', count(*), 0, true FROM (SELECT * FROM v2 EXCEPT SELECT * FROM v1) UNION ALL SELECT 3, 'closed', 0, count(*), true FROM v2 WHERE o_orderstatus = 'O' UNION ALL SELECT 4, 'reopened', count(*) FILTER (o_orderstatus = 'O' AND o_custkey % 7 = 0), count(*) FILTER (o_orderstatus = 'P'), true FROM orders")
+def _(spark, sf):
+    store = _versions(spark, sf)
+    sound = spark.createDataFrame(store.verified(), "version long, sound boolean")
+    return store.log().join(sound, "version").select("version", "label", "puts", "drops", "sound")
+
+
+# ---- what was exported comes back ------------------------------------------------------
+
+
+@query("import_turtle", "SELECT 'urn:x:c' || c_custkey AS s, 'urn:x:' || p AS p, o FROM (SELECT c_custkey, unnest(['name', 'segment', 'nation']) AS p, unnest([c_name, c_mktsegment, CAST(c_nationkey AS VARCHAR)]) AS o FROM customer)")
+def _(spark, sf):
+    facts = triples(table(spark, sf, "customer"), subject=node("c", "c_custkey"), properties={"name": "c_name", "segment": "c_mktsegment", "nation": "c_nationkey"})
+    saved = Saved(spark, "turtle")
+    writers.turtle(facts, "urn:x:").write.option("maxRecordsPerFile", 50_000).text(f"{saved.root}/files")
+    return rdf.read_rdf(spark, f"{saved.root}/files", "turtle").select("s", "p", "o")
+
+
+@query("import_rdf_xml", "SELECT 'urn:x:p' || p_partkey AS s, 'urn:x:' || p AS p, o FROM (SELECT p_partkey, unnest(['p_name', 'p_size']) AS p, unnest([p_name, CAST(p_size AS VARCHAR)]) AS o FROM part)")
+def _(spark, sf):
+    parts = table(spark, sf, "part").withColumn("id", node("p", "p_partkey"))
+    saved = Saved(spark, "rdf")
+    lines = writers.rdf_xml(parts, "id", ["p_name", "p_size"], "urn:x:")
+    writers.rdf_documents(lines, {"x": "urn:x:"}).write.option("maxRecordsPerFile", 1).text(f"{saved.root}/files")
+    return rdf.read_rdf(spark, f"{saved.root}/files", "rdf_xml").select("s", "p", "o")
+
+
+# ---- a stream against all that came before ---------------------------------------------
+
+
+@query("stream_matches", "SELECT x.s_suppkey AS a, y.s_suppkey AS b, round(1 - levenshtein(x.s_name, y.s_name) / greatest(length(x.s_name), length(y.s_name)), 9) AS score FROM supplier x JOIN supplier y ON x.s_suppkey < y.s_suppkey AND right(x.s_name, 1) = right(y.s_name, 1) WHERE 1 - levenshtein(x.s_name, y.s_name) / greatest(length(x.s_name), length(y.s_name)) >= 0.9")
+def _(spark, sf):
+    stream = spark.readStream.schema(table(spark, sf, "supplier").schema).parquet(f"{sf}/supplier*.parquet")
+    out = MT.matched(stream, 0.9, key="s_suppkey", name="s_name", blocks=lambda n: F.array(F.right(n, F.lit(1))))
+    return flows.drained(out, "matches", mode="append").withColumn("score", F.round("score", 9))

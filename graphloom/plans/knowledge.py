@@ -216,11 +216,18 @@ def _(spark, sf):
     return table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("h")
 
 
-@query("dedup_incremental", "SELECT p_partkey, (SELECT min(q.p_partkey) FROM part q WHERE q.p_partkey < 1000 AND q.p_name = p.p_name AND q.p_brand = p.p_brand) AS known FROM part p WHERE p_partkey >= 1000")
+_I = """kb AS (SELECT DISTINCT p_name AS name, unnest(list_transform(list_filter(string_split(p_name, ' '), lambda t: length(t) > 2), lambda t: t[1:4])) AS block FROM part),
+o AS (SELECT p_name AS name, min(p_partkey) AS match FROM part WHERE p_partkey % 10 <> 0 GROUP BY 1),
+m AS (SELECT DISTINCT x.name, o.match, round(1 - levenshtein(x.name, o.name) / greatest(length(x.name), length(o.name)), 9) AS score FROM kb x JOIN kb y ON x.block = y.block JOIN o ON o.name = y.name),
+f AS (SELECT * FROM m WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, match) = 1)"""
+
+
+@query("dedup_incremental", f"WITH {_I} SELECT p_partkey, match, score FROM part LEFT JOIN f ON p_name = name WHERE p_partkey % 10 = 0")
 def _(spark, sf):
-    parts = table(spark, sf, "part")
-    known = parts.where("p_partkey < 1000").groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("known"))
-    return parts.where("p_partkey >= 1000").join(known, ["p_name", "p_brand"], "left").select("p_partkey", "known")
+    """Every tenth part is new, and is held against all others."""
+    parts = table(spark, sf, "part").select("p_partkey", "p_name")
+    out = DD.incremental(parts.where("p_partkey % 10 = 0"), parts.where("p_partkey % 10 <> 0"), 0.5, key="p_partkey", name="p_name", blocks=ST.block_keys)
+    return out.select("p_partkey", "match", F.round("score", 9).alias("score"))
 
 
 # ---- conflicts: what each event says of its user's kind -------------------------------

@@ -61,6 +61,14 @@ def rdf_xml(rows: DataFrame, key: str, properties: list[str], base: str) -> Data
     return rows.select(F.concat(F.lit(f'<rdf:Description rdf:about="{base}'), xml_text(F.col(key)), F.lit('">'), *inner, F.lit("</rdf:Description>")).alias("value"))
 
 
+def rdf_documents(lines: DataFrame, prefixes: dict[str, str], *, rows: int = 1000) -> DataFrame:
+    """Lines of `rdf_xml` as whole documents of about `rows` descriptions, one a row."""
+    parts = max(1, -(-lines.count() // rows))
+    names = "".join(f' xmlns:{p}="{iri}"' for p, iri in {"rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", **prefixes}.items())
+    held = lines.groupBy(F.pmod(F.xxhash64("value"), F.lit(parts)).alias("part")).agg(F.array_join(F.array_sort(F.collect_list("value")), "\n").alias("inner"))
+    return held.select(F.concat(F.lit(f"<rdf:RDF{names}>\n"), "inner", F.lit("\n</rdf:RDF>")).alias("value"))
+
+
 def yaml(rows: DataFrame, key: str, properties: list[str]) -> DataFrame:
     """One list item a row, with quoted values."""
     lines = [F.concat(F.lit(f"\n  {p}: "), quoted(F.col(p).cast("string"))) for p in properties]
