@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,11 +70,51 @@ def converted(value: Column, source: str, target: str) -> Column:
     return value * (x / y)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _blocks(text: Column, size: int) -> Column:
+    """The text in blocks of `size` characters, by one pass: to reach a place of a text takes as
+    long as the text before it, to reach a block does not."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
+def _window(blocks: Column, size: int, start: Column) -> Column:
+    """`size` characters from start on, of a text in blocks of that size."""
+    k = F.floor(start / size).cast("int")
+    two = F.concat(F.coalesce(F.get(blocks, k), F.lit("")), F.coalesce(F.get(blocks, k + 1), F.lit("")))
+    return F.substr(two, start - k * size + 1, F.lit(size))
+
+
+def _folded(items: Column, state: dict[str, Column], out: str, step: Callable[[Column, Column], Column]) -> Column:
+    """struct<s, outs>: a fold whose steps append to the field `out` (of that type) of their
+    state; outs holds all that was appended. What was appended moves on every FOLD items, so
+    a step copies that many at most, not all so far."""
+    empty = F.array().cast(out)
+
+    def cleared(s: Column | None) -> Column:
+        return F.struct(*[(v if s is None else s[k]).alias(k) for k, v in state.items()], empty.alias("out"))
+
+    def group(now: Column, k: Column) -> Column:
+        some = F.aggregate(F.slice(items, k * FOLD + 1, F.lit(FOLD)), now["s"], step)
+        return _bound(some, lambda s: F.struct(cleared(s).alias("s"), F.array_append(now["outs"], s["out"]).alias("outs")))
+
+    groups = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / FOLD).cast("int") - 1, F.lit(0)))
+    zero = F.struct(cleared(None).alias("s"), F.array().cast(f"array<{out}>").alias("outs"))
+    return F.aggregate(groups, zero, group, lambda x: F.struct(x["s"].alias("s"), F.flatten(x["outs"]).alias("outs")))
+
+
 def chunks(text: Column, size: int, overlap: int = 0) -> Column:
     """array<struct<start, chunk>> of character windows; the last one ends with the text."""
     step = size - overlap
-    n = F.greatest(F.ceil((F.length(text) - overlap) / step), F.lit(1)).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct((k * step).alias("start"), F.substr(text, k * step + 1, F.lit(size)).alias("chunk")))
+
+    def of(t: Column) -> Column:
+        n = F.greatest(F.ceil((F.length(t) - overlap) / step), F.lit(1)).cast("int")
+        return _bound(_blocks(t, size), lambda b: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct((k * step).alias("start"), _window(b, size, k * step).alias("chunk"))))
+
+    return _bound(text, of)
 
 
 def word_chunks(text: Column, size: int, overlap: int = 0) -> Column:
@@ -97,6 +139,7 @@ def camel_case(name: Column) -> Column:
     return F.concat(F.lower(F.left(p, F.lit(1))), F.substr(p, F.lit(2)))
 
 
+FOLD = 64  # steps of a fold between moves of what they put out
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 _ENDS = r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$"
 
@@ -107,47 +150,64 @@ def recursive_chunks(text: Column, size: int = 1000, overlap: int = 200, separat
     the next window starts `overlap` characters before the end."""
     if 2 * overlap >= size:
         raise ValueError("an overlap takes less than half a window")
-    spans = F.array().cast("array<struct<start:int,end:int>>")
+    span = "array<struct<start:int,end:int,chunk:string>>"
 
-    def step(now: Column, text: Column, length: Column) -> Column:
-        start = now["start"]
-        window = F.substr(text, start + 1, F.lit(size))
+    def ended(window: Column, start: Column, length: Column) -> Column:
         cut = F.lit(size)
         for separator in reversed(separators):
             # where the last one begins; below 0 if there is none
             place = F.length(window) - F.length(F.substring_index(window, separator, -1)) - len(separator)
-            cut = F.when(place > size * 0.5, place + len(separator)).otherwise(cut)
-        end = F.when(start + size >= length, length).otherwise(start + cut)
-        after = F.when(end == length, length).otherwise(F.greatest(start + 1, end - overlap))
-        # the last window holds the rest of the text
-        after = F.when(start + size >= length, length).otherwise(after)
-        fresh = F.struct(start.alias("start"), end.alias("end"))
-        return F.when(start >= length, now).otherwise(F.struct(after.alias("start"), F.array_append(now["out"], fresh).alias("out")))
+            cut = _bound(place, lambda at: F.when(at > size * 0.5, at + len(separator)).otherwise(cut)) if separator else cut
+        return F.when(start + size >= length, length).otherwise(start + cut)
 
     def of(t: Column) -> Column:
         length = F.length(t)
         most = F.ceil(length / (size * 0.5 - overlap)).cast("int") + 1
-        found = F.aggregate(F.sequence(F.lit(1), most), F.struct(F.lit(0).alias("start"), spans.alias("out")), lambda now, _: step(now, t, length))["out"]
-        cut = F.transform(found, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), F.substr(t, f["start"] + 1, f["end"] - f["start"]).alias("chunk")))
-        cut = F.transform(cut, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.when(c["end"] == length, c["chunk"]).otherwise(F.regexp_replace(c["chunk"], _ENDS, "")).alias("chunk")))
-        return F.filter(cut, lambda c: c["chunk"] != "")
 
-    return F.transform(F.array(text), of)[0]
+        def walk(known: Column) -> Column:
+            blocks, length = known["blocks"], known["length"]
+
+            def step(now: Column, _: Column) -> Column:
+                start = now["start"]
+
+                def cut(window: Column) -> Column:
+                    def to(end: Column) -> Column:
+                        # the last window holds the rest of the text
+                        after = F.when(start + size >= length, length).otherwise(F.greatest(start + 1, end - overlap))
+                        fresh = F.struct(start.alias("start"), end.alias("end"), F.substr(window, F.lit(1), end - start).alias("chunk"))
+                        return F.struct(after.alias("start"), F.array_append(now["out"], fresh).alias("out"))
+
+                    return _bound(ended(window, start, length), to)
+
+                return F.when(start >= length, now).otherwise(_bound(_window(blocks, size, start), cut))
+
+            found = _folded(F.sequence(F.lit(1), most), {"start": F.lit(0)}, span, step)["outs"]
+            return F.transform(found, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.when(c["end"] == length, c["chunk"]).otherwise(F.regexp_replace(c["chunk"], _ENDS, "")).alias("chunk")))
+
+        known = F.struct(_blocks(t, size).alias("blocks"), length.alias("length"))
+        return F.filter(_bound(known, walk), lambda c: c["chunk"] != "")
+
+    return _bound(text, of)
 
 
 def packed(parts: Column, size: int, glue: str, *, most: int | None = None) -> Column:
     """array<struct<n, chunk>>: parts put together in order until the next one would make more
     than `size` characters (glue included), or `most` parts are in; a larger part stays whole."""
-    done = F.array().cast("array<struct<n:int,chunk:string>>")
-    empty = F.struct(done.alias("done"), F.lit(0).alias("n"), F.lit("").alias("chunk"))
-
     def step(now: Column, part: Column) -> Column:
         full = (now["n"] > 0) & ((F.length(now["chunk"]) + len(glue) + F.length(part) > size) | (F.lit(False) if most is None else now["n"] >= most))
-        closed = F.array_append(now["done"], F.struct(now["n"].alias("n"), now["chunk"].alias("chunk")))
-        joined = F.when(now["n"] == 0, part).otherwise(F.concat(now["chunk"], F.lit(glue), part))
-        return F.struct(F.when(full, closed).otherwise(now["done"]).alias("done"), F.when(full, 1).otherwise(now["n"] + 1).alias("n"), F.when(full, part).otherwise(joined).alias("chunk"))
 
-    return F.aggregate(parts, empty, step, lambda s: F.when(s["n"] > 0, F.array_append(s["done"], F.struct(s["n"].alias("n"), s["chunk"].alias("chunk")))).otherwise(s["done"]))
+        def with_(full: Column) -> Column:
+            closed = F.array_append(now["out"], F.struct(now["n"].alias("n"), now["chunk"].alias("chunk")))
+            joined = F.when(now["n"] == 0, part).otherwise(F.concat(now["chunk"], F.lit(glue), part))
+            return F.struct(F.when(full, 1).otherwise(now["n"] + 1).alias("n"), F.when(full, part).otherwise(joined).alias("chunk"), F.when(full, closed).otherwise(now["out"]).alias("out"))
+
+        return _bound(full, with_)
+
+    def of(parts: Column) -> Column:
+        found = _folded(parts, {"n": F.lit(0), "chunk": F.lit("")}, "array<struct<n:int,chunk:string>>", step)
+        return _bound(found, lambda x: F.when(x["s"]["n"] > 0, F.array_append(x["outs"], F.struct(x["s"]["n"].alias("n"), x["s"]["chunk"].alias("chunk")))).otherwise(x["outs"]))
+
+    return _bound(parts, of)
 
 
 def sections(text: Column, header: str) -> Column:
@@ -161,7 +221,8 @@ def nested_chunks(text: Column, outer: int, inner: int) -> Column:
     def pieces(n: Column, size: int) -> Column:
         return F.sequence(F.lit(0), F.greatest(F.ceil(n / size), F.lit(1)).cast("int") - 1)
 
-    parents = F.transform(pieces(F.length(text), outer), lambda p: F.struct(p.alias("p"), F.substr(text, p * outer + 1, F.lit(outer)).alias("t")))
+    whole = F.when(F.length(text) == 0, F.array(text)).otherwise(_blocks(text, outer))
+    parents = F.transform(whole, lambda t, p: F.struct(p.alias("p"), t.alias("t")))
     return F.flatten(F.transform(parents, lambda x: F.transform(pieces(F.length(x["t"]), inner), lambda c: F.struct(x["p"].alias("parent"), c.alias("child"), F.substr(x["t"], c * inner + 1, F.lit(inner)).alias("chunk")))))
 
 

@@ -197,11 +197,17 @@ def community_metrics(edges: DataFrame, community: DataFrame) -> DataFrame:
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """node, triangles: each triangle is found once, from its edges in order."""
-    links = adjacency(edges)
-    ab = links.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    bc = ab.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    closed = ab.join(bc, "b").join(ab.select("a", F.col("b").alias("c")), ["a", "c"])
+    """node, triangles: each triangle is found once, from its node of smallest degree (ties by
+    name). Edges point from smaller to larger degrees, so no node points to more than the root
+    of twice the number of edges, and a hub is never the middle of a pair."""
+    links = Saved(edges.sparkSession, "triangles").save(adjacency(edges))
+    d = links.groupBy("src").agg(F.count("*").alias("d"))
+    ranked_ = links.where("src < dst").join(d.select("src", F.col("d").alias("x")), "src").join(d.select(F.col("src").alias("dst"), F.col("d").alias("y")), "dst")
+    up = F.col("x") <= F.col("y")
+    ab = ranked_.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"))
+    ab = Saved(edges.sparkSession, "oriented").save(ab)
+    pairs = ab.join(ab.withColumnRenamed("b", "c"), "a").where("b < c")
+    closed = pairs.join(ab.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("c")), ["b", "c"])
     return closed.select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
 
 

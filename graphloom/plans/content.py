@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import strings as ST
 from graphloom.functions import text as X
+from graphloom.operators import intervals as I
 from graphloom.operators import ontology as O
 from graphloom.operators import rules as R
 from graphloom.operators import versions as VS
+from graphloom.operators.loops import ranked
 from graphloom.sources.tables import node, place_graph, table
 
 Q, S = {}, {}
@@ -93,9 +95,14 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l")).where("l <> ''").select("doc_id", "line", F.md5("l").alias("digest"))
 
 
-@query("chunk_table_rows", "SELECT CAST(k AS INTEGER) AS chunk, count(*) AS n, min(p_partkey) AS first, max(p_partkey) AS last FROM (SELECT p_partkey, p_partkey // 64 AS k FROM part) GROUP BY 1")
+@query("chunk_table_rows", "SELECT CAST((r - 1) // 64 AS INTEGER) AS chunk, count(*) AS n, min(p_partkey) AS first, max(p_partkey) AS last, md5(string_agg(p_partkey || '|' || p_name || '|' || p_brand, chr(10) ORDER BY r)) AS digest FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) AS r FROM part) GROUP BY 1")
 def _(spark, sf):
-    return table(spark, sf, "part").groupBy(F.floor(F.col("p_partkey") / 64).cast("int").alias("chunk")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"), F.max("p_partkey").alias("last"))
+    """Rows in order of their key, 64 to a chunk, as lines of fields."""
+    line = F.concat_ws("|", F.col("p_partkey").cast("string"), "p_name", "p_brand").alias("line")
+    rows = ranked(table(spark, sf, "part").select(F.lit(0).alias("all"), "p_partkey", line), "all", "p_partkey", name="r")
+    chunk = F.floor((F.col("r") - 1) / 64).cast("int").alias("chunk")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda x: x["line"]), "\n")
+    return rows.groupBy(chunk).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"), F.max("p_partkey").alias("last"), F.md5(text).alias("digest"))
 
 
 @query("extract_names", r"SELECT doc_id, e AS entity, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+')) AS e FROM documents) GROUP BY 1, 2")
@@ -103,11 +110,22 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(X.all_of(F.col("text"), X.CAPITALISED)).alias("entity")).groupBy("doc_id", "entity").agg(F.count("*").alias("n"))
 
 
-@query("extract_cooccurrence", r"WITH e AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+')) AS e FROM documents) SELECT a.e AS a, b.e AS b, count(*) AS docs FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.e < b.e GROUP BY 1, 2 HAVING count(*) >= 2")
+_AT = r"""m AS (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+') AS e, regexp_split_to_array(text, '[A-Z][a-z]+ [A-Z][a-z]+') AS g FROM documents),
+x AS (SELECT doc_id, unnest(e) AS e, unnest(g[1:len(e)]) AS g, generate_subscripts(e, 1) AS k FROM m),
+p AS (SELECT doc_id, e, k, sum(length(g) + length(e)) OVER (PARTITION BY doc_id ORDER BY k) AS stop FROM x), q AS (SELECT *, stop - length(e) AS start FROM p)"""
+
+
+@query("extract_cooccurrence", f"WITH {_AT} SELECT a.e AS a, b.e AS b, count(*) AS n, CAST(min(b.start - a.stop) AS BIGINT) AS nearest FROM q a JOIN q b ON a.doc_id = b.doc_id AND a.k < b.k AND b.start - a.stop < 100 GROUP BY 1, 2 HAVING count(*) >= 2")
 def _(spark, sf):
-    e = table(spark, sf, "documents").select("doc_id", F.explode(X.all_of(F.col("text"), X.CAPITALISED)).alias("e")).distinct()
-    a, b = e.select("doc_id", F.col("e").alias("a")), e.select("doc_id", F.col("e").alias("b"))
-    return a.join(b, "doc_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("docs")).where("docs >= 2")
+    """Names that follow each other in a text with less than 100 characters between them."""
+    found = X.all_of(F.col("text"), X.CAPITALISED)
+    both = F.arrays_zip(found.alias("e"), F.slice(F.split("text", X.CAPITALISED, -1), F.lit(1), F.size(found)).alias("g"))
+    each = table(spark, sf, "documents").select("doc_id", F.posexplode(both).alias("k", "x")).select("doc_id", "k", F.col("x.e").alias("e"), (F.length("x.e") + F.length("x.g")).alias("n"))
+    places = each.select("doc_id", "k", "e", F.sum("n").over(Window.partitionBy("doc_id").orderBy("k")).alias("stop"))
+    after = places.select("doc_id", "k", "e", F.col("stop").alias("start"), (F.col("stop") + 99).alias("end"))
+    begin = F.col("stop") - F.length("e")
+    pairs = I.overlap_join(after, places.select("doc_id", "k", "e", begin.alias("start"), begin.alias("end")), on=["doc_id"], width=100).where("l.k < r.k")
+    return pairs.groupBy(F.col("l.e").alias("a"), F.col("r.e").alias("b")).agg(F.count("*").alias("n"), F.min(F.col("r.start") - F.col("l.start")).alias("nearest")).where("n >= 2")
 
 
 @query("extract_years", r"SELECT page_id, CAST(len(regexp_extract_all(html, '\b(19|20)[0-9]{2}\b')) AS INTEGER) AS years FROM pages")

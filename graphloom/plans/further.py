@@ -144,7 +144,10 @@ def _(spark, sf):
             return F.when(F.size(ws) > n + 1, F.transform(F.sequence(F.lit(2), F.size(ws) - n), lambda k: F.array_join(F.slice(ws, k, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
         every = F.transform(F.array(words), lambda ws: F.concat(*[windows(ws, n) for n in sizes]))[0]
-        near = docs.select("doc_id", "text", F.explode(F.array_distinct(every)).alias("key")).join(keyed, "key")
+        # a window is eight bytes beside its document: texts are joined to the candidates only
+        keys = docs.select("doc_id", F.explode(F.array_distinct(F.transform(every, lambda w: F.xxhash64(w)))).alias("key"))
+        near = keys.join(keyed.select("item_id", F.xxhash64("key").alias("key")), "key").select("doc_id", "item_id").distinct()
+        near = near.join(docs, "doc_id").join(keyed.select("item_id", "item"), "item_id")
         found = found.union(near.where(F.contains("text", F.col("item"))).select("doc_id", "item_id"))
     return found.distinct()
 
