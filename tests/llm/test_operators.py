@@ -210,6 +210,19 @@ def test_url_rules_against_all_combinations(spark):
     assert as_set(rules) == want and len(want) >= 2
 
 
+def test_a_pair_of_weak_tokens_beside_many_strong_ones(spark):
+    rnd = random.Random(17)
+    rows = []
+    for _ in range(4000):
+        have = [f"s{k:02d}" for k in range(12) if rnd.random() < 0.5]
+        pair = rnd.random() < 0.06
+        have += ["a", "b"] if pair else ["a"] * (rnd.random() < 0.5) or ["b"]
+        rows.append((sorted(have), pair or rnd.random() < 0.03 * sum(t[0] == "s" for t in have)))
+    rules = url_rules.mined(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), min_count=5)
+    n = sum({"a", "b"} <= set(t) for t, _ in rows)
+    assert (("a", "b"), n, n) in as_set(rules)
+
+
 def test_url_rules_need_evidence(spark):
     rnd = random.Random(5)
     rows = [([f"t{rnd.randrange(40)}", f"u{rnd.randrange(9)}"], rnd.random() < 0.3) for _ in range(3000)]
