@@ -242,6 +242,20 @@ def test_deep_url_templates_are_mined_in_time(spark, depth):
     assert time.time() - start < 60
 
 
+def test_texts_of_very_many_lines(spark):
+    import time
+
+    def text(n):
+        return "\n".join(f"line {i * 7919 % 1000003} has some words of its own {i}" for i in range(n))
+
+    start = time.time()
+    long = text(100_000)
+    data = [(1, long), (2, "first\n" + long + "\nlast"), (3, "\n" * 50_000)]
+    got = {r.doc_id: (r.text, r.removed_lines) for r in line_chunks.deduplicated(spark.createDataFrame(data, "doc_id long, text string"), runs=True).collect()}
+    assert got == {1: (long, 0), 2: ("first\nlast", 100_000), 3: ("\n" * 50_000, 0)}
+    assert time.time() - start < 120
+
+
 def brute_chunks(text, window=line_chunks.WINDOW, divisor=line_chunks.DIVISOR, long_line=line_chunks.LONG_LINE, spark=None):
     lines = text.split("\n")
 
