@@ -193,11 +193,11 @@ def _(spark, sf):
     return c.select("c_custkey", F.array_join(found, ",").alias("violations"))
 
 
-@query("rules_triple_pattern", "SELECT DISTINCT 's' || l_suppkey AS s, 'p' || l_partkey AS p FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type = 'ECONOMY' AND l_quantity = 50")
+@query("rules_triple_pattern", "SELECT DISTINCT 's' || l_suppkey AS s, 'p' || l_partkey AS p, p_type AS kind FROM lineitem JOIN part ON p_partkey = l_partkey")
 def _(spark, sf):
-    items = table(spark, sf, "lineitem").where("l_quantity = 50")
-    parts = table(spark, sf, "part").where("p_type = 'ECONOMY'").select("p_partkey")
-    return items.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(node("s", "l_suppkey").alias("s"), node("p", "l_partkey").alias("p")).distinct()
+    """?s supplies ?p, ?p is of ?kind."""
+    parts = table(spark, sf, "part").select("p_partkey", F.col("p_type").alias("kind"))
+    return table(spark, sf, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select(node("s", "l_suppkey").alias("s"), node("p", "l_partkey").alias("p"), "kind").distinct()
 
 
 # ---- versions, lineage ----------------------------------------------------------------
@@ -241,12 +241,25 @@ def _(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", ST.content_key(F.col("c_name"), F.col("c_mktsegment")).alias("key"))
 
 
-@query("provenance_lineage", "WITH RECURSIVE c AS (SELECT event_id AS id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS up FROM events WHERE event_type = 'purchase'), w AS (SELECT id AS start, id AS node FROM c JOIN events e ON e.event_id = c.id WHERE e.value > 99 UNION SELECT start, up FROM w JOIN c ON c.id = w.node WHERE up IS NOT NULL) SELECT start, count(DISTINCT node) - 1 AS ancestors, count(DISTINCT e.event_id % 7) AS sources, CAST(min(ts) AS VARCHAR) AS first_seen, CAST(max(ts) AS VARCHAR) AS last_seen FROM w JOIN events e ON e.event_id = w.node GROUP BY start")
+_MADE = """e AS (SELECT 'o' || o_orderkey AS a, 'c' || o_custkey AS b FROM orders UNION SELECT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+t AS (SELECT 'o' || o_orderkey AS node, o_orderdate AS f, o_orderdate AS l FROM orders UNION ALL SELECT 's' || s_suppkey, min(l_shipdate), max(l_shipdate) FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey UNION ALL SELECT 'c' || c_custkey, NULL, NULL FROM customer UNION ALL SELECT 'n' || n_nationkey, NULL, NULL FROM nation UNION ALL SELECT 'r' || r_regionkey, NULL, NULL FROM region)"""
+
+
+@query("provenance_lineage", f"WITH RECURSIVE {_MADE}, w AS (SELECT 'o' || o_orderkey AS start, 'o' || o_orderkey AS node FROM orders UNION SELECT start, b FROM w JOIN e ON a = node) SELECT start, count(DISTINCT node) - 1 AS ancestors, count(DISTINCT node[1]) AS sources, CAST(min(f) AS VARCHAR) AS first_seen, CAST(max(l) AS VARCHAR) AS last_seen FROM w JOIN t USING (node) GROUP BY start")
 def _(spark, sf):
-    e = table(spark, sf, "events").where("event_type = 'purchase'")
-    edges = e.select(F.col("event_id").alias("src"), F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("dst")).where("dst is not null")
-    sources = e.select(F.col("event_id").alias("node"), (F.col("event_id") % 7).alias("source"), F.col("ts").alias("first_seen"), F.col("ts").alias("last_seen"))
-    out = VS.lineage(edges, e.where("value > 99").select(F.col("event_id").alias("start")), sources)
+    """What every order goes back to: its customer, its suppliers, their nations and regions."""
+    read = lambda name: table(spark, sf, name)
+    edges = read("orders").select(node("o", "o_orderkey").alias("src"), node("c", "o_custkey").alias("dst"))
+    for name, a, b in (("lineitem", node("o", "l_orderkey"), node("s", "l_suppkey")), ("customer", node("c", "c_custkey"), node("n", "c_nationkey")), ("supplier", node("s", "s_suppkey"), node("n", "s_nationkey")), ("nation", node("n", "n_nationkey"), node("r", "n_regionkey"))):
+        edges = edges.union(read(name).select(a, b))
+    never = F.lit(None).cast("timestamp_ntz")
+    shipped = read("lineitem").groupBy("l_suppkey").agg(F.min("l_shipdate").alias("first_seen"), F.max("l_shipdate").alias("last_seen"))
+    seen = read("orders").select(node("o", "o_orderkey").alias("node"), F.col("o_orderdate").alias("first_seen"), F.col("o_orderdate").alias("last_seen"))
+    seen = seen.union(read("supplier").join(shipped, F.col("s_suppkey") == F.col("l_suppkey"), "left").select(node("s", "s_suppkey"), "first_seen", "last_seen"))
+    for name, key in (("customer", node("c", "c_custkey")), ("nation", node("n", "n_nationkey")), ("region", node("r", "r_regionkey"))):
+        seen = seen.union(read(name).select(key, never, never))
+    sources = seen.select("node", F.left("node", F.lit(1)).alias("source"), "first_seen", "last_seen")
+    out = VS.lineage(edges, read("orders").select(node("o", "o_orderkey").alias("start")), sources)
     return out.withColumn("first_seen", F.col("first_seen").cast("string")).withColumn("last_seen", F.col("last_seen").cast("string"))
 
 
@@ -284,9 +297,9 @@ def _(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.array_join(bad, ",").alias("failed"))
 
 
-@query("quality_missing", "SELECT 'l_orderkey' AS field, count(*) - count(l_orderkey) AS missing, round(100.0 * (count(*) - count(l_orderkey)) / count(*), 6) AS percent FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 45 UNION ALL SELECT 'o_orderkey', count(*) - count(o_orderkey), round(100.0 * (count(*) - count(o_orderkey)) / count(*), 6) FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 45")
+@query("quality_missing", "SELECT 'l_orderkey' AS field, count(*) - count(l_orderkey) AS missing, round(100.0 * (count(*) - count(l_orderkey)) / count(*), 6) AS percent FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey UNION ALL SELECT 'o_orderkey', count(*) - count(o_orderkey), round(100.0 * (count(*) - count(o_orderkey)) / count(*), 6) FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey")
 def _(spark, sf):
-    rows = table(spark, sf, "orders").join(table(spark, sf, "lineitem").where("l_quantity > 45"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    rows = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     fields = ["l_orderkey", "o_orderkey"]
     one = rows.agg(F.count("*").alias("n"), *[F.count(f).alias(f) for f in fields])
     return one.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), (F.col("n") - F.col(f)).alias("missing"), F.round(100.0 * (F.col("n") - F.col(f)) / F.col("n"), 6).alias("percent")) for f in fields])).alias("x")).select("x.*")

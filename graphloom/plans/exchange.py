@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
 from graphloom.operators.loops import components
-from graphloom.plans.graph import T
+from graphloom.plans.graph import PLACES, T
 from graphloom.sources import readers, writers
 from graphloom.sources.tables import market_graph, node, place_graph, table
 from graphloom.streaming import flows
@@ -52,16 +52,19 @@ def _(spark, sf):
     return writers.ntriples(customer_triples(spark, sf), "urn:x:")
 
 
-@query("export_cypher", """SELECT 'MERGE (n:Customer {id: "c' || c_custkey || '"}) SET n.name = "' || c_name || '"' AS value FROM customer UNION ALL SELECT 'MERGE (n:Nation {id: "n' || n_nationkey || '"}) SET n.name = "' || n_name || '"' FROM nation UNION ALL SELECT 'MATCH (a {id: "n' || c_nationkey || '"}), (b {id: "c' || c_custkey || '"}) MERGE (a)-[:HOME_OF]->(b)' FROM customer""")
+_NODES = """pn AS (SELECT 'r' || r_regionkey AS id, 'region' AS type, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'nation', n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'customer', c_name FROM customer UNION ALL SELECT 's' || s_suppkey, 'supplier', s_name FROM supplier)"""
+
+
+@query("export_cypher", f"""WITH {_NODES}, {PLACES} SELECT 'MERGE (n:' || upper(type[1]) || type[2:] || ' {{id: "' || id || '"}}) SET n.name = "' || name || '"' AS value FROM pn UNION ALL SELECT 'MATCH (a {{id: "' || src || '"}}), (b {{id: "' || dst || '"}}) MERGE (a)-[:' || upper(type) || ']->(b)' FROM pe""")
 def _(spark, sf):
     g = place_graph(spark, sf)
-    return writers.cypher(g.nodes.where("type IN ('nation', 'customer')"), g.edges.where("type = 'home_of'"))
+    return writers.cypher(g.nodes, g.edges)
 
 
-@query("export_graphml", """SELECT 0 AS part, '<node id="s' || s_suppkey || '"><data key="type">supplier</data></node>' AS value FROM supplier UNION ALL SELECT 1, '<edge source="n' || s_nationkey || '" target="s' || s_suppkey || '"/>' FROM supplier""")
+@query("export_graphml", f"""WITH {_NODES}, {PLACES} SELECT 0 AS part, '<node id="' || id || '"><data key="type">' || type || '</data></node>' AS value FROM pn UNION ALL SELECT 1, '<edge source="' || src || '" target="' || dst || '"/>' FROM pe""")
 def _(spark, sf):
     g = place_graph(spark, sf)
-    return writers.graphml(g.nodes.where("type = 'supplier'"), g.edges.where("type = 'seat_of'"))
+    return writers.graphml(g.nodes, g.edges)
 
 
 # ---- streams --------------------------------------------------------------------------

@@ -68,15 +68,14 @@ def _(spark, sf):
     return p.select("a", "b", F.round(ST.weighted([(0.6, names), (0.2, properties), (0.2, F.lit(None).cast("double"))]), 9).alias("score"))
 
 
-@query("similarity_relations", "WITH l AS (SELECT DISTINCT l_suppkey AS s, l_partkey % 20 AS p FROM lineitem), n AS (SELECT s_suppkey AS a, lead(s_suppkey) OVER (ORDER BY s_suppkey) AS b FROM supplier), c AS (SELECT n.a, n.b, (SELECT count(*) FROM l WHERE s = n.a) AS x, (SELECT count(*) FROM l WHERE s = n.b) AS y, (SELECT count(*) FROM l l1 JOIN l l2 ON l1.p = l2.p WHERE l1.s = n.a AND l2.s = n.b) AS k FROM n WHERE b IS NOT NULL) SELECT a, b, round(CASE WHEN x = 0 AND y = 0 THEN 0.5 WHEN x = 0 OR y = 0 THEN 0 ELSE k / (x + y - k) END, 9) AS score FROM c")
-def _(spark, sf):
-    """Suppliers next to each other by what they deliver."""
-    own = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("s")).agg(F.collect_set(F.col("l_partkey") % 20).alias("parts"))
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("a"))
-    pairs = s.join(s.select(F.col("a").alias("b"), (F.col("a") - 1).alias("before")), F.col("a") == F.col("before")).select("a", "b")
-    none = F.array().cast("array<bigint>")
-    both = pairs.join(own.select(F.col("s").alias("a"), F.col("parts").alias("x")), "a", "left").join(own.select(F.col("s").alias("b"), F.col("parts").alias("y")), "b", "left")
-    return both.select("a", "b", F.round(ST.relation_similarity(F.coalesce("x", none), F.coalesce("y", none)), 9).alias("score"))
+@query("similarity_relations", "WITH l AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), n AS (SELECT s, count(*) AS n FROM l GROUP BY 1), k AS (SELECT x.s AS a, y.s AS b, count(*) AS k FROM l x JOIN l y ON x.p = y.p AND x.s < y.s GROUP BY 1, 2) SELECT a, b, round(k / (x.n + y.n - k), 9) AS score FROM k JOIN n x ON x.s = a JOIN n y ON y.s = b")
+def _(spark, sf):
+    """Suppliers that share a part, by the share of their parts that they have in common."""
+    own = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
+    n = own.groupBy("s").agg(F.count("*").alias("n"))
+    met = own.withColumnRenamed("s", "a").join(own.withColumnRenamed("s", "b"), "p").where("a < b").groupBy("a", "b").agg(F.count("*").alias("k"))
+    met = met.join(n.select(F.col("s").alias("a"), F.col("n").alias("x")), "a").join(n.select(F.col("s").alias("b"), F.col("n").alias("y")), "b")
+    return met.select("a", "b", F.round(F.col("k") / (F.col("x") + F.col("y") - F.col("k")), 9).alias("score"))
 
 
 @query("similarity_prefilter", f"{_PAIRS} SELECT a, b, CASE WHEN type_a <> type_b THEN 'type_mismatch' WHEN least(length(name_a), length(name_b)) / greatest(length(name_a), length(name_b)) < 0.3 THEN 'length_ratio_below_0.3' END AS reason FROM pairs")

@@ -12,6 +12,7 @@ from graphloom.operators import rules as R
 from graphloom.operators import stores as ST
 from graphloom.operators import temporal as T
 from graphloom.operators import versions as V
+from graphloom.plans.exchange import _NODES
 from graphloom.plans.graph import PLACES
 from graphloom.plans.graph import T as MARKET
 from graphloom.sources import writers as W
@@ -208,10 +209,10 @@ def _(spark, sf):
     return W.yaml(table(spark, sf, "part"), "p_partkey", ["p_brand", "p_size"])
 
 
-@query("export_aql", """SELECT 'INSERT {"_key":"s' || s_suppkey || '","type":"supplier","name":"' || s_name || '"} INTO nodes' AS value FROM supplier UNION ALL SELECT 'INSERT {"_from":"nodes/n' || s_nationkey || '","_to":"nodes/s' || s_suppkey || '","type":"seat_of"} INTO edges' FROM supplier""")
+@query("export_aql", f"""WITH {_NODES}, {PLACES} SELECT 'INSERT {{"_key":"' || id || '","type":"' || type || '","name":"' || name || '"}} INTO nodes' AS value FROM pn UNION ALL SELECT 'INSERT {{"_from":"nodes/' || src || '","_to":"nodes/' || dst || '","type":"' || type || '"}} INTO edges' FROM pe""")
 def _(spark, sf):
     g = place_graph(spark, sf)
-    return W.aql(g.nodes.where("type = 'supplier'"), g.edges.where("type = 'seat_of'"))
+    return W.aql(g.nodes, g.edges)
 
 
 @query("export_owl_classes", "SELECT DISTINCT '<urn:o:' || upper(p_type[1]) || lower(p_type[2:]) || '> a owl:Class ; rdfs:subClassOf <urn:o:Part> .' AS value FROM part UNION ALL SELECT '<urn:o:Part> a owl:Class .' UNION ALL SELECT DISTINCT '<urn:o:has' || p_brand || '> a owl:ObjectProperty ; rdfs:domain <urn:o:Part> ; rdfs:range <urn:o:Brand> .' FROM part")
@@ -258,12 +259,11 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_name").distinct().select("p_name", iri.alias("iri"), O.valid_iri(iri).alias("valid"))
 
 
-@query("ontology_alignment_scores", "WITH a AS (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS t FROM part), b AS (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS t FROM part WHERE p_partkey % 20 = 1 UNION SELECT lower(p_type) FROM part) SELECT count(a.t) AS left_terms, count(b.t) AS right_terms, count(CASE WHEN a.t = b.t THEN 1 END) AS shared, round(count(CASE WHEN a.t = b.t THEN 1 END) / count(*), 9) AS overlap, round(count(CASE WHEN a.t = b.t THEN 1 END) / count(a.t), 9) AS covered FROM a FULL JOIN b ON a.t = b.t")
+@query("ontology_alignment_scores", "WITH a AS (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS t FROM part UNION SELECT lower(p_type) FROM part), b AS (SELECT lower(p_brand) AS t FROM part UNION SELECT lower(p_type) FROM part) SELECT count(a.t) AS left_terms, count(b.t) AS right_terms, count(CASE WHEN a.t = b.t THEN 1 END) AS shared, round(count(CASE WHEN a.t = b.t THEN 1 END) / count(*), 9) AS overlap, round(count(CASE WHEN a.t = b.t THEN 1 END) / count(a.t), 9) AS covered FROM a FULL JOIN b ON a.t = b.t")
 def _(spark, sf):
     part = table(spark, sf, "part")
     words = F.explode(F.split("p_name", " ")).alias("term")
-    right = part.where("p_partkey % 20 = 1").select(words).union(part.select("p_type"))
-    scores = O.alignment_scores(part.select(words), right)
+    scores = O.alignment_scores(part.select(words).union(part.select("p_type")), part.select(F.col("p_brand").alias("term")).union(part.select("p_type")))
     return scores.withColumn("overlap", F.round("overlap", 9)).withColumn("covered", F.round("covered", 9))
 
 

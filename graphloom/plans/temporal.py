@@ -149,13 +149,13 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", text("week"), text("quarter"), text("hour"))
 
 
-@query("temporal_causal_chain", "WITH RECURSIVE c AS (SELECT event_id AS id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cause FROM events WHERE event_type IN ('view', 'click', 'purchase')), w AS (SELECT id AS start, cause AS node, 1 AS hops FROM c JOIN events e ON e.event_id = c.id WHERE cause IS NOT NULL AND e.value > 95 AND e.event_type = 'purchase' UNION ALL SELECT start, cause, hops + 1 FROM w JOIN c ON c.id = w.node WHERE cause IS NOT NULL AND hops < 5) SELECT start, node, hops FROM w")
+@query("temporal_causal_chain", "WITH RECURSIVE c AS (SELECT event_id AS id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cause FROM events), w AS (SELECT id AS start, cause AS node, 1 AS hops FROM c WHERE cause IS NOT NULL UNION ALL SELECT start, cause, hops + 1 FROM w JOIN c ON c.id = w.node WHERE cause IS NOT NULL AND hops < 5) SELECT start, node, hops FROM w")
 def _(spark, sf):
+    """Of every event the five before it of the same user, each the cause of the next."""
     from pyspark.sql import Window
 
     from graphloom.operators.loops import reachable
 
-    events = table(spark, sf, "events").where("event_type IN ('view', 'click', 'purchase')")
+    events = table(spark, sf, "events")
     links = events.select(F.col("event_id").alias("src"), F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("dst")).where("dst is not null")
-    starts = events.where("event_type = 'purchase' AND value > 95").select(F.col("event_id").alias("start"))
-    return reachable(links, starts, max_hops=5).where("hops > 0")
+    return reachable(links, events.select(F.col("event_id").alias("start")), max_hops=5).where("hops > 0")
\ No newline at end of file
