@@ -210,6 +210,13 @@ def packed(parts: Column, size: int, glue: str, *, most: int | None = None) -> C
     return _bound(parts, of)
 
 
+def paragraph_chunks(text: Column, size: int = 1200) -> Column:
+    """array<string>: paragraphs put together up to `size` characters, a longer one cut into
+    pieces of that size; none of an empty text."""
+    paragraphs = F.transform(F.split(F.regexp_replace(text, _ENDS, ""), r"\n[ \t\n\x0B\f\r]*\n"), lambda p: F.regexp_replace(p, _ENDS, ""))
+    return F.transform(packed(F.flatten(F.transform(paragraphs, lambda p: _blocks(p, size))), size, "\n\n"), lambda c: c["chunk"])
+
+
 def sections(text: Column, header: str) -> Column:
     """array<string>: the text cut before every match of the header pattern."""
     marked = F.split(F.regexp_replace(text, f"({header})", "\u0001$1"), "\u0001")
@@ -244,6 +251,11 @@ RELATIONS = {
     "born_in": r" (?:was born in|born in|hails from|is originally from) ",
     "acquired_by": r" (?:was acquired by|acquired by|is owned by) ",
 }
+#: The same between an object and its subject.
+INVERSE = {
+    "founded_by": r"[.,]? (?:founded|established|created|started|co-founded|is the founder of|is founder of) ",
+    "acquired_by": r" (?:acquired|bought) ",
+}
 #: Words that tell an event.
 EVENTS = {
     "acquisition": r"\b(?:acquired|acquisition|buying|bought|merger|merged)\b",
@@ -264,14 +276,35 @@ def entities(text: Column, patterns: dict[str, str] | None = None) -> Column:
     return F.concat(*[found(label, p) for label, p in (patterns or ENTITIES).items()])
 
 
-def relations(text: Column, entity: str, patterns: dict[str, str] | None = None) -> Column:
-    """array<struct<subject, relation, object>>: two entities with a relation's words between."""
+def relations(text: Column, entity: str, patterns: dict[str, str] | None = None, inverse: dict[str, str] | None = None) -> Column:
+    """array<struct<subject, relation, object>>: two entities with a relation's words between;
+    of `inverse` words the object comes first (see INVERSE)."""
 
-    def found(name: str, middle: str) -> Column:
+    def found(name: str, middle: str, subject: int) -> Column:
         whole = F.lit(f"({entity}){middle}({entity})")
-        return F.zip_with(F.regexp_extract_all(text, whole, F.lit(1)), F.regexp_extract_all(text, whole, F.lit(2)), lambda s, o: F.struct(s.alias("subject"), F.lit(name).alias("relation"), o.alias("object")))
+        return F.zip_with(F.regexp_extract_all(text, whole, F.lit(subject)), F.regexp_extract_all(text, whole, F.lit(3 - subject)), lambda s, o: F.struct(s.alias("subject"), F.lit(name).alias("relation"), o.alias("object")))
+
+    forward = [found(name, middle, 1) for name, middle in (patterns or RELATIONS).items()]
+    return F.concat(*forward, *[found(name, middle, 2) for name, middle in (inverse or {}).items()])
+
+
+def places(text: Column, pattern: str, reach: int = 100) -> Column:
+    """array<struct<entity, start, stop, after>>: every match of a pattern, where it stands (in
+    characters, from 0, stop excluded) and the `reach` characters after it, by one pass over
+    the text. A null text gives null."""
+    spot = "struct<entity:string,start:int,stop:int>"
+
+    def step(s: Column, x: Column) -> Column:
+        start, stop = s["at"] + x["gap"], s["at"] + x["gap"] + F.length(x["e"])
+        return F.struct(stop.alias("at"), F.array_append(s["out"], F.struct(x["e"].alias("entity"), start.alias("start"), stop.alias("stop"))).alias("out"))
+
+    def of(t: Column) -> Column:
+        found = all_of(t, pattern)
+        each = F.zip_with(found, F.slice(F.split(t, pattern, -1), F.lit(1), F.size(found)), lambda e, g: F.struct(e.alias("e"), F.length(g).alias("gap")))
+        placed = _bound(each, lambda x: _folded(x, {"at": F.lit(0)}, f"array<{spot}>", step))["outs"]
+        return _bound(_blocks(t, reach), lambda b: F.transform(placed, lambda p: F.struct(p["entity"].alias("entity"), p["start"].alias("start"), p["stop"].alias("stop"), _window(b, reach, p["stop"]).alias("after"))))
 
-    return F.concat(*[found(name, middle) for name, middle in (patterns or RELATIONS).items()])
+    return F.when(text.isNotNull(), _bound(text, of))
 
 
 def events(text: Column, patterns: dict[str, str] | None = None) -> Column:

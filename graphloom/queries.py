@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import content, deeper, exchange, further, graph, knowledge, matching, publish, temporal
+from graphloom.plans import content, deeper, exchange, further, graph, knowledge, matching, publish, temporal, texts
 
-AREAS = (graph, temporal, knowledge, content, exchange, further, matching, publish, deeper)
+AREAS = (graph, temporal, knowledge, content, exchange, further, matching, publish, deeper, texts)
 
 
 def queries() -> dict:
