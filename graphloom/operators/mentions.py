@@ -65,15 +65,22 @@ def _by_words(between: Column, types: Sequence[str]) -> Column:
     return F.transform(best, lambda x: F.struct(x["relation"].alias("relation"), x["score"].alias("score")))
 
 
-def _by_sequence(types: Sequence[str]):
+def _by_sequence(types: Sequence[str], threshold: float):
     names = [(t, t.lower()) for t in types]
 
     @F.pandas_udf("struct<relation:string,score:double>")
     def best(between: pd.Series) -> pd.DataFrame:
         def of(text: str) -> tuple[str | None, float]:
-            low, top = text.lower(), (None, 0.0)
+            low, top, matcher = text.lower(), (None, 0.0), None
             for name, lowered in names:
-                score = 1.0 if lowered in low else SequenceMatcher(None, lowered, low).ratio()
+                if lowered in low:
+                    score = 1.0
+                elif 2.0 * min(len(lowered), len(low)) / (len(lowered) + len(low)) < max(threshold, top[1]):
+                    continue  # too different in length, whatever they share
+                else:
+                    matcher = matcher or SequenceMatcher(None, "", low)
+                    matcher.set_seq1(lowered)
+                    score = matcher.ratio()
                 if score > top[1]:
                     top = (name, score)
             return top
@@ -94,7 +101,7 @@ def related_by_context(rows: DataFrame, types: Sequence[str], *, key: str, reach
     if not types:
         raise ValueError("no relation types")
     pairs = near(rows, key=key, reach=reach)
-    best = _by_words(F.col("between"), types) if measure == "words" else F.array(_by_sequence(types)("between"))
+    best = _by_words(F.col("between"), types) if measure == "words" else F.array(_by_sequence(types, threshold)("between"))
     # exploded, so that a score is not computed again for the filter
     scored = pairs.select("*", F.explode(F.filter(best, lambda b: (b["score"] >= threshold) & (b["score"] > 0))).alias("best"))
     forth = F.struct(F.col("l").alias("s"), F.col("r").alias("o"))
