@@ -149,7 +149,8 @@ def learnt(docs: DataFrame, labels: DataFrame, train: Column, *, text: str = "te
     """The ensemble fitted on at most `rows` labelled rows, those with the smallest hashes of
     their ids; `train` tells which of docs may be learnt from."""
     said = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg((F.avg(target) >= 0.5).cast("double").alias("label")).where("label is not null")
-    said = said.orderBy(F.xxhash64("key"), "key").limit(rows)
+    # labels of rows that are not learnt from take no place among those that are
+    said = said.join(docs.where(train).select(named(key).alias("key")), "key", "left_semi").orderBy(F.xxhash64("key"), "key").limit(rows)
     mine = docs.where(train).select(named(key).alias("key"), named(text).alias("text")).join(small(said), "key")
     return fit(with_statistics(mine, "text", ["key", "label"]).select("_row.key", "_row.label", *FEATURES), rows=rows, **how)
 
