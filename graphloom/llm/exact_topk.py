@@ -34,6 +34,9 @@ from graphloom.llm.common import Saved
 
 BLOCK_ROWS = 8_192  # candidates of a block at most, about
 LEAST_ROWS = 2_048
+#: Components of a block at most, whatever the vectors' length: a task holds some twenty
+#: arrays of this many (see `Lists.step`).
+BLOCK_ENTRIES = 8_192 * 64
 TILE = 64  # queries that read the lists side by side
 #: Shares of the lists after which the bounds are tested.
 DEPTHS = (0.25, 0.5, 0.75, 0.875, 0.9375, 1.0)
@@ -159,7 +162,8 @@ def top(vectors: DataFrame, is_query: Column, k: int, *, key: str = "vec_id", ve
     spark = vectors.sparkSession
     rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), whole(F.col(vector), scale).alias("v"), is_query.alias("asks")).where("v is not null")
     rows = Saved(spark, "topk").save(rows.groupBy("id", "v").agg(F.max("asks").alias("asks")))
-    n = rows.count()
+    n, longest = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    block_rows = max(1, min(block_rows, BLOCK_ENTRIES // max(1, longest or 0)))
     cores = spark.sparkContext.defaultParallelism
     size = min(block_rows, max(min(LEAST_ROWS, block_rows), -(-n // (2 * cores))))
     blocks = max(1, -(-n // size))

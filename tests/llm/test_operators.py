@@ -582,6 +582,18 @@ def test_flow_prefers_fresh_words():
     assert mixing.routed({("a",): 10}, {"a": 20}) == {("a",): 20}
 
 
+def test_the_bound_on_labels_counts_rows_that_are_learnt_from(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text number {k}") for k in range(0, 400, 8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, quality int")
+    fitted = []
+    monkeypatch.setattr(quality_rules_ensemble, "fit", lambda labelled, **how: fitted.extend(r.key for r in labelled.collect()))
+    quality_rules_ensemble.learnt(docs, labels, F.col("doc_id") >= 80, rows=30)
+    assert len(set(fitted)) == len(fitted) == 30 and all(k >= 80 and k % 8 == 0 for k in fitted)
+    fitted.clear()
+    quality_rules_ensemble.learnt(docs, labels, F.col("doc_id") >= 80, rows=1000)
+    assert sorted(fitted) == list(range(80, 400, 8))
+
+
 def test_pieces_equal_the_library(spark, docs, none):
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=MODEL)
     model = pieces.model_bytes(MODEL)
@@ -718,6 +730,16 @@ def test_topk_is_exact(spark, block):
     assert got(d.limit(0)) == []
 
 
+def test_topk_blocks_are_bound_by_components(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    data = [(k, [float(x) for x in rng.integers(-3, 4, 50)]) for k in range(120)] + [(200, [1.0] * 300), (201, [0.5] * 300)]
+    d = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    for entries in (9000, 100):  # blocks of 30 rows; of one, as the longest vector is larger
+        monkeypatch.setattr(exact_topk, "BLOCK_ENTRIES", entries)
+        got = exact_topk.top(d, F.col("vec_id") % 40 == 0, 5)
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == [x for x in brute_topk(data, 5) if x[0] % 40 == 0]
+
+
 def test_topk_reads_fewer_entries_than_there_are():
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(40, 32))
