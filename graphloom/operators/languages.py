@@ -54,7 +54,7 @@ def profile(docs: DataFrame, *, text: str = "text", label: str = "lang") -> Prof
         raise ValueError(f"more than {MAX_LANGUAGES} labels: not languages?")
     of = {r.lang: r.n for r in sizes}
     known = counts.agg(F.countDistinct("gram")).scalar()
-    each = counts.groupBy("gram").agg(*[F.coalesce(F.sum(F.when(F.col("lang") == name, F.col("n"))), F.lit(0)).alias(f"_{k}") for k, name in enumerate(of)])
+    each = counts.groupBy("gram").agg(F.count("*").alias("_n"), *[F.coalesce(F.sum(F.when(F.col("lang") == name, F.col("n"))), F.lit(0)).alias(f"_{k}") for k, name in enumerate(of)])
 
     def weight(k: int, size: int) -> Column:
         return F.round(1000 * F.log((F.col(f"_{k}") + 1) / (known + F.lit(size)))).cast("long")

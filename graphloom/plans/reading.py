@@ -1,9 +1,11 @@
-"""What whole texts are written in, and whom their pronouns stand for."""
+"""What whole texts are written in, whom their pronouns stand for, and how they are cleaned."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.functions import cleaning as C
+from graphloom.functions import encodings as EN
 from graphloom.operators import languages as L
 from graphloom.operators import references as RF
 from graphloom.sources.tables import table
@@ -86,3 +88,71 @@ def _(spark, sf):
 def _(spark, sf):
     """The names and numbers that a document speaks of more than once, pronouns included."""
     return RF.chains(_resolved(spark, sf), key="doc_id")
+
+
+# ---- cleaning --------------------------------------------------------------------------
+
+
+def _trim_sql(x: str) -> str:
+    return f"regexp_replace({x}, '{C.EDGES}', '', 'g')"
+
+
+def _html_sql(x: str) -> str:
+    out = f"regexp_replace({x}, '{C.TAG}', '', 'g')"
+    for entity, char in C.ENTITIES:
+        out = f"replace({out}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return f"regexp_replace({out}, '{C.OTHER_ENTITY}', '', 'g')"
+
+
+def _line_sql(x: str) -> str:
+    return _trim_sql(f"regexp_replace(regexp_replace({x}, '[\\t\\n\\r]+', ' ', 'g'), ' +', ' ', 'g')")
+
+
+def _paragraphs_sql(x: str) -> str:
+    return _trim_sql(f"regexp_replace(regexp_replace(replace({x}, chr(9), ' '), ' +', ' ', 'g'), '\\n{C.WHITE}*\\n', chr(10) || chr(10), 'g')")
+
+
+def _punctuation_sql(x: str) -> str:
+    for char, plain in C.TYPOGRAPHIC:
+        x = f"replace({x}, '{char}', '{plain.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+_PAGE = _trim_sql(_line_sql(f"nfc_normalize({_html_sql('html')})"))
+
+
+@query("text_pages_cleaned", f"SELECT page_id, md5(c) AS digest, length(c)::INTEGER AS n_chars, md5(regexp_replace(c, '[^a-zA-Z0-9 ]', '', 'g')) AS plain FROM (SELECT page_id, {_PAGE} AS c FROM pages)")
+def _(spark, sf):
+    """Pages without tags, entities and line breaks, and their letters and digits alone."""
+    c = table(spark, sf, "pages").select("page_id", C.cleaned(F.col("html")).alias("c"))
+    return c.select("page_id", F.md5("c").alias("digest"), F.length("c").alias("n_chars"), F.md5(C.plain_characters(F.col("c"), lines=False)).alias("plain"))
+
+
+_BREAKS = "regexp_replace(nfc_normalize(text), '\\r\\n|\\r', chr(10), 'g')"
+
+
+@query("text_normalised", f"SELECT doc_id, md5({_trim_sql(f'lower(strip_accents({_punctuation_sql(_paragraphs_sql(_BREAKS))}))')}) AS digest, md5({_trim_sql(f'''regexp_replace(text, '{C.WHITE}+', ' ', 'g')''')}) AS compact FROM documents")
+def _(spark, sf):
+    """Documents in one Unicode form and case, without diacritics, and in compact format."""
+    text = F.col("text")
+    norm = C.normalised(text, case="lower", marks=False)
+    return table(spark, sf, "documents").select("doc_id", F.md5(norm).alias("digest"), F.md5(C.formatted(text, "compact")).alias("compact"))
+
+
+_WIDE = "[^\\x{0}-\\x{ff}]"
+
+
+@query("encoding_detected", f"""WITH d AS (SELECT doc_id, text, doc_id % 6 AS k, regexp_matches(text, '[^\\x{{1}}-\\x{{7f}}]') AS high, regexp_matches(text, '{_WIDE}') AS wide, regexp_matches(text, '[\\x{{80}}-\\x{{9f}}]') AS control FROM documents WHERE text <> '')
+SELECT doc_id, CASE WHEN k = 0 THEN 'utf-8' WHEN k IN (1, 2) THEN CASE k WHEN 1 THEN 'utf-16-le' ELSE 'utf-16-be' END WHEN k = 3 THEN 'utf-16-le' WHEN NOT high THEN 'ascii' WHEN k = 4 OR wide THEN 'utf-8' WHEN control THEN 'windows-1252' ELSE 'iso-8859-1' END AS encoding, md5(text) AS digest FROM d""")
+def _(spark, sf):
+    """Documents as bytes of several encodings: which one it is, and the text again."""
+    docs = table(spark, sf, "documents").where("text <> ''")
+    text, k = F.col("text"), F.col("doc_id") % 6
+
+    def marked(mark: str, encoding: str):
+        return F.concat(F.unhex(F.lit(mark)), F.encode(text, encoding))
+
+    narrow = (k == 5) & ~F.regexp_like(text, F.lit(_WIDE))
+    data = F.when(k == 0, marked("EFBBBF", "UTF-8")).when(k == 1, marked("FFFE", "UTF-16LE")).when(k == 2, marked("FEFF", "UTF-16BE")).when(k == 3, F.encode(text, "UTF-16LE")).when(narrow, F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
+    read = docs.select("doc_id", data.alias("data")).select("doc_id", "data", EN.detected(F.col("data")).alias("e"))
+    return read.select("doc_id", F.col("e.encoding").alias("encoding"), F.md5(EN.as_text(F.col("data"), F.col("e.encoding"))).alias("digest"))
