@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,20 +74,25 @@ def fired(rule: Rule, facts: DataFrame, fresh: DataFrame) -> DataFrame:
     """Heads of the rule with at least one body atom met by a fresh fact."""
     out = None
     for new in range(len(rule.body)):
-        rows = _bound(fresh, rule.body[new])
-        rest = [a for k, a in enumerate(rule.body) if k != new]
-        while rest:
-            # atoms that share a variable with what is bound go first
-            a = next((x for x in rest if set(x.args) & set(rows.columns)), rest[0])
-            rest.remove(a)
-            other = _bound(facts, a)
-            shared = [c for c in rows.columns if c in other.columns]
-            rows = rows.join(other, shared) if shared else _combined(rows, other, rule)
-        head = rows.select(F.lit(rule.head.pred).alias("pred"), F.array(*[F.col(t) if is_variable(t) else F.lit(t) for t in rule.head.args]).alias("args"))
+        head = _heads(rule, facts, fresh, new)
         out = head if out is None else out.union(head)
     return out.distinct()
 
 
+def _heads(rule: Rule, facts: DataFrame, fresh: DataFrame, new: int = 0) -> DataFrame:
+    """Heads of the rule with body atom number `new` met by a fresh fact, the others by any."""
+    rows = _bound(fresh, rule.body[new])
+    rest = [a for k, a in enumerate(rule.body) if k != new]
+    while rest:
+        # atoms that share a variable with what is bound go first
+        a = next((x for x in rest if set(x.args) & set(rows.columns)), rest[0])
+        rest.remove(a)
+        other = _bound(facts, a)
+        shared = [c for c in rows.columns if c in other.columns]
+        rows = rows.join(other, shared) if shared else _combined(rows, other, rule)
+    return rows.select(F.lit(rule.head.pred).alias("pred"), F.array(*[F.col(t) if is_variable(t) else F.lit(t) for t in rule.head.args]).alias("args"))
+
+
 def _combined(rows: DataFrame, other: DataFrame, rule: Rule) -> DataFrame:
     """Every row with every other: only where the others are few."""
     other = other.distinct()
@@ -115,6 +121,64 @@ def derived(facts: DataFrame, rules: list[Rule | str], *, rounds: int | None = N
     return known
 
 
+_OWN, _KNOWN = "own ", "known "
+_WHO = "?argument"
+
+
+def arguments(premises: DataFrame, claims: DataFrame, rules: list[Rule | str], *, known: DataFrame) -> DataFrame:
+    """argument, valid, unknown_premises, conclusions: whether each argument's claims (argument,
+    pred, args) all follow from its premises (the same columns) and what is known (pred, args) by
+    one pass over the rules in their order, each of which sees what the earlier ones gave; how
+    many premises are not known; how many new facts it took a premise of its own to conclude.
+
+    All arguments are checked at once: an argument's facts carry its name as their first term,
+    which the joins of a rule's body then share, and a body atom is met by an own or by a known
+    fact. So known facts are not copied to the arguments, and no argument sees another's.
+
+    Defined cases: a claim that is known or a premise does not follow, as nothing new is
+    concluded; an argument without a claim is not valid; one without premises may be valid by
+    what is known; repeated rows count once."""
+    rules = [parsed(r) if isinstance(r, str) else r for r in rules]
+    saved = Saved(premises.sparkSession, "arguments")
+    said = saved.save(premises.select(F.col("argument").cast("string").alias("argument"), "pred", "args").distinct())
+    base = saved.save(known.select("pred", "args").distinct())
+
+    def tagged(kind: str, rows: DataFrame, args: Column) -> DataFrame:
+        return rows.select(F.concat(F.lit(kind), "pred").alias("pred"), args.alias("args"))
+
+    facts = saved.save(tagged(_OWN, said, F.concat(F.array("argument"), "args")).union(tagged(_KNOWN, base, F.col("args"))))
+    new = None
+    for rule in rules:
+        heads = None
+        for kinds in product((_OWN, _KNOWN), repeat=len(rule.body)):
+            own = _OWN in kinds
+            body = tuple(Atom(k + a.pred, ((_WHO,) if k == _OWN else ()) + a.args) for k, a in zip(kinds, rule.body, strict=True))
+            head = Atom((_OWN if own else _KNOWN) + rule.head.pred, ((_WHO,) if own else ()) + rule.head.args)
+            got = _heads(Rule(head, body), facts, facts, kinds.index(_OWN) if own else 0)
+            heads = got if heads is None else heads.union(got)
+        heads = saved.save(heads.distinct().join(facts, ["pred", "args"], "left_anti"))
+        # what is known, or follows from that alone, is not an argument's own conclusion
+        all_known = facts.union(heads).where(F.startswith("pred", F.lit(_KNOWN))).select(F.concat(F.lit(_OWN), F.substring("pred", len(_KNOWN) + 1, 1 << 30)).alias("pred"), F.col("args").alias("_rest"))
+        own_heads = heads.where(F.startswith("pred", F.lit(_OWN))).withColumn("_rest", F.slice("args", 2, F.greatest(F.size("args") - 1, F.lit(0))))
+        fresh = heads.where(F.startswith("pred", F.lit(_KNOWN))).union(own_heads.join(all_known, ["pred", "_rest"], "left_anti").select("pred", "args"))
+        fresh = saved.save(fresh)
+        facts = saved.save(facts.union(fresh))
+        new = fresh if new is None else new.union(fresh)
+
+    own = new.where(F.startswith("pred", F.lit(_OWN))).select(F.col("args")[0].alias("argument"), F.substring("pred", len(_OWN) + 1, 1 << 30).alias("pred"), F.slice("args", 2, F.greatest(F.size("args") - 1, F.lit(0))).alias("args"))
+    general = new.where(F.startswith("pred", F.lit(_KNOWN))).select(F.substring("pred", len(_KNOWN) + 1, 1 << 30).alias("pred"), "args")
+    asked = claims.select(F.col("argument").cast("string").alias("argument"), "pred", "args").distinct()
+    met = asked.join(own.withColumn("_own", F.lit(True)), ["argument", "pred", "args"], "left").join(general.withColumn("_general", F.lit(True)), ["pred", "args"], "left")
+    # a premise is no conclusion, even if it follows from what is known
+    met = met.join(said.withColumn("_said", F.lit(True)), ["argument", "pred", "args"], "left")
+    verdict = met.groupBy("argument").agg(F.every(((F.col("_own") | F.col("_general")).isNotNull()) & F.col("_said").isNull()).alias("valid"))
+    unknown = said.join(base, ["pred", "args"], "left_anti").groupBy("argument").agg(F.count("*").alias("unknown_premises"))
+    n = own.groupBy("argument").agg(F.count("*").alias("conclusions"))
+    names = said.select("argument").union(asked.select("argument")).distinct()
+    out = names.join(verdict, "argument", "left").join(unknown, "argument", "left").join(n, "argument", "left")
+    return out.select("argument", F.coalesce("valid", F.lit(False)).alias("valid"), F.coalesce("unknown_premises", F.lit(0)).alias("unknown_premises"), F.coalesce("conclusions", F.lit(0)).alias("conclusions"))
+
+
 def proofs(facts: DataFrame, rules: list[Rule | str], goal: str, *, max_depth: int = 10) -> DataFrame:
     """(pred, args, depth, rule): facts that match the goal and can be proved with rules nested
     at most max_depth deep: the least depth (0 for a given fact) and the first rule that proves

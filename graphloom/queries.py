@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import content, deeper, exchange, further, graph, knowledge, matching, publish, reading, temporal, texts
+from graphloom.plans import content, deeper, exchange, further, graph, knowledge, matching, publish, reading, reasons, temporal, texts
 
-AREAS = (graph, temporal, knowledge, content, exchange, further, matching, publish, deeper, texts, reading)
+AREAS = (graph, temporal, knowledge, content, exchange, further, matching, publish, deeper, texts, reading, reasons)
 
 
 def queries() -> dict:
