@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import cleaning as C
 from graphloom.functions import encodings as EN
+from graphloom.functions import guards as GU
 from graphloom.operators import languages as L
 from graphloom.operators import references as RF
 from graphloom.sources.tables import table
@@ -156,3 +157,33 @@ def _(spark, sf):
     data = F.when(k == 0, marked("EFBBBF", "UTF-8")).when(k == 1, marked("FFFE", "UTF-16LE")).when(k == 2, marked("FEFF", "UTF-16BE")).when(k == 3, F.encode(text, "UTF-16LE")).when(narrow, F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8"))
     read = docs.select("doc_id", data.alias("data")).select("doc_id", "data", EN.detected(F.col("data")).alias("e"))
     return read.select("doc_id", F.col("e.encoding").alias("encoding"), F.md5(EN.as_text(F.col("data"), F.col("e.encoding"))).alias("digest"))
+
+
+# ---- guards ----------------------------------------------------------------------------
+
+_GUARDS = (("email", r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+"), ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"), ("phone", r"\b[0-9]{3}[-.\s][0-9]{3}[-.\s][0-9]{4}\b"), ("credit_card", r"\b(?:[0-9][ -]?){12,15}[0-9](?:[ -]\b|[ -]([\p{L}\p{N}])|\b)"))  # boundaries of RE2 know ASCII only: a letter behind is matched and put back
+
+
+def _guards_sql(rows: str, columns: str) -> str:
+    steps, before = [f"g0 AS (SELECT {columns}, text, {', '.join(f'0 AS {kind}' for kind, _ in _GUARDS)} FROM {rows})"], "g0"
+    for k, (kind, pattern) in enumerate(_GUARDS, 1):
+        steps.append(f"g{k} AS (SELECT * REPLACE (regexp_replace(text, '{pattern}', '[redacted:{kind}]{chr(92) + '1' if kind == 'credit_card' else ''}', 'g') AS text, len(regexp_extract_all(text, '{pattern}'))::INTEGER AS {kind}) FROM {before})")
+        before = f"g{k}"
+    return f"WITH {', '.join(steps)}"
+
+
+_TERMS = ("license", "benchmark", "password")
+
+
+@query("text_redacted", f"{_guards_sql('documents', 'doc_id')} SELECT doc_id, md5(text) AS digest, {', '.join(kind for kind, _ in _GUARDS)} FROM g{len(_GUARDS)}")
+def _(spark, sf):
+    """Documents with private data replaced by its kind, and how much there was of each."""
+    r = table(spark, sf, "documents").select("doc_id", GU.redacted(F.col("text")).alias("r"))
+    return r.select("doc_id", F.md5("r.text").alias("digest"), *[F.col(f"r.{kind}").alias(kind) for kind, _ in GU.PRIVATE])
+
+
+@query("text_guarded", f"{_guards_sql('documents', 'doc_id')} SELECT doc_id, {' + '.join(kind for kind, _ in _GUARDS)} AS redactions, coalesce(term IS NOT NULL, false) AS blocked, term FROM (SELECT *, CASE {' '.join(f'''WHEN contains(lower(text), '{t}') THEN '{t}' ''' for t in _TERMS)} END AS term FROM g{len(_GUARDS)})")
+def _(spark, sf):
+    """Documents that guards stop, by which term, after private data has gone."""
+    r = table(spark, sf, "documents").select("doc_id", GU.guarded(F.col("text"), terms=_TERMS).alias("r"))
+    return r.select("doc_id", "r.redactions", "r.blocked", "r.term")

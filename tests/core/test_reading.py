@@ -240,3 +240,33 @@ def test_encodings(spark):
                 return False
 
         assert (r.u, r.v) == (valid("utf-8"), valid("utf-16-le")), k
+
+
+# ---- guards ----------------------------------------------------------------------------
+
+PRIVATE = (("email", r"[\w.+-]+@[\w-]+\.[\w.-]+"), ("ssn", r"\b\d{3}-\d{2}-\d{4}\b"), ("phone", r"\b\d{3}[-.\s]\d{3}[-.\s]\d{4}\b"), ("credit_card", r"\b(?:\d[ -]?){13,16}\b"))
+
+
+def test_guards_equal_python(spark):
+    from graphloom.functions import guards as GU
+
+    texts = [
+        None, "", "write a.b+c@d-e.fg. or ä@ö.ü", "a@b.c+x@y.z a@b.c@d.e", "@x.y x@y x@.z", "123-45-6789 1123-45-67890 é123-45-6789 x_123-45-6789", "555-123-4567 555.123 4567 555 123\n4567",
+        "4111 1111 1111 1111 next 4111-1111-1111-1111, 12345678901234567890", "A Bomb and malWARE, me@x.org", "x" * 200_000 + "@y.z", "a.b" * 3000, "1 " * 3000,
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    t = F.col("t")
+    got = {r.id: r for r in rows.select("id", GU.redacted(t).alias("r"), GU.guarded(t).alias("g"), GU.guarded(t, private=False, terms=" NEXT, ,or ").alias("o"), GU.guarded(t, terms=None).alias("n")).collect()}
+    for k, text in enumerate(texts):
+        r = got[k]
+        if text is None:
+            assert r.r.text is None and r.r.redactions is None and not r.g.blocked and r.g.term is None
+            continue
+        left, counts = text, {}
+        for kind, pattern in PRIVATE:
+            left, counts[kind] = re.subn(pattern, f"[redacted:{kind}]", left)
+        assert (r.r.text, {kind: r.r[kind] for kind in counts}, r.r.redactions) == (left, counts, sum(counts.values())), text[:80]
+        term = next((x for x in ("bomb", "weapon", "malware", "ransomware") if x in left.lower()), None)
+        assert (r.g.text, r.g.redactions, r.g.blocked, r.g.term) == (left, sum(counts.values()), term is not None, term)
+        other = next((x for x in ("next", "or") if x in text.lower()), None)
+        assert (r.o.text, r.o.redactions, r.o.term) == (text, 0, other) and not r.n.blocked
