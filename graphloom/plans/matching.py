@@ -9,6 +9,8 @@ from graphloom.functions import strings as ST
 from graphloom.functions import text as X
 from graphloom.operators import conflicts as C
 from graphloom.operators import dedup as D
+from graphloom.operators import graph as G
+from graphloom.operators.loops import Saved
 from graphloom.sources.tables import table
 
 Q, S = {}, {}
@@ -72,9 +74,10 @@ def _(spark, sf):
 def _(spark, sf):
     """Suppliers that share a part, by the share of their parts that they have in common."""
     own = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
-    n = own.groupBy("s").agg(F.count("*").alias("n"))
-    met = own.withColumnRenamed("s", "a").join(own.withColumnRenamed("s", "b"), "p").where("a < b").groupBy("a", "b").agg(F.count("*").alias("k"))
-    met = met.join(n.select(F.col("s").alias("a"), F.col("n").alias("x")), "a").join(n.select(F.col("s").alias("b"), F.col("n").alias("y")), "b")
+    own = Saved(spark, "shares").save(own.where("s is not null"))
+    n, members = G.numbered(own.groupBy("s").agg(F.count("*").alias("n")), "s")
+    met = G.shared_pairs(own.join(n, "s").select(F.col("p").alias("via"), F.col("id").alias("member")), members).withColumnRenamed("shared", "k")
+    met = met.join(n.select(F.col("id").alias("u"), F.col("s").alias("a"), F.col("n").alias("x")), "u").join(n.select(F.col("id").alias("v"), F.col("s").alias("b"), F.col("n").alias("y")), "v")
     return met.select("a", "b", F.round(F.col("k") / (F.col("x") + F.col("y") - F.col("k")), 9).alias("score"))
 
 

@@ -30,3 +30,19 @@ def test_pairs_with_something_in_common_are_counted_in_their_block(spark, monkey
         near.setdefault(s, set()).add(p)
     want = {(u, v): len(near[u] & near[v]) for u, v in combinations(sorted(near), 2) if near[u] & near[v]}
     assert {(r.u, r.v): r.common_neighbors for r in found.collect()} == want
+
+
+def test_similar_relations_are_counted_in_their_block(spark, tmp_path):
+    from graphloom.plans import matching
+
+    pairs, _ = random_edges(spark)
+    items = [(int(p[1:]), 10**12 + int(s[1:])) for p, s in pairs] + [(1, None), (None, 10**12), (None, None)]
+    spark.createDataFrame(items, "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = matching.Q["similarity_relations"](spark, str(tmp_path))
+    assert not re.search(r"hashpartitioning\(a#\d+L?, b#\d+L?", plan(found))
+    near = {}
+    for p, s in set(items):
+        near.setdefault(s, set()).add(p)
+    near.pop(None)
+    shared = {(u, v): len((near[u] & near[v]) - {None}) for u, v in combinations(sorted(near), 2)}
+    assert {(r.a, r.b): r.score for r in found.collect()} == {k: round(n / (len(near[k[0]]) + len(near[k[1]]) - n), 9) for k, n in shared.items() if n}
