@@ -46,3 +46,19 @@ def test_similar_relations_are_counted_in_their_block(spark, tmp_path):
     near.pop(None)
     shared = {(u, v): len((near[u] & near[v]) - {None}) for u, v in combinations(sorted(near), 2)}
     assert {(r.a, r.b): r.score for r in found.collect()} == {k: round(n / (len(near[k[0]]) + len(near[k[1]]) - n), 9) for k, n in shared.items() if n}
+
+
+def test_vector_pairs_meet_once_in_cells(spark, monkeypatch):
+    from graphloom.operators import vector_join as VJ
+
+    monkeypatch.setattr(VJ, "BLOCK", 9)
+    monkeypatch.setattr(VJ, "CHUNK", 20)
+    r = random.Random(2)
+    rows = {f"k{k}": [r.gauss(0, 1) for _ in range(5)] for k in range(120)} | {"short": [1.0, 2.0], "shorter": [2.0, 4.0]}
+    frame = spark.createDataFrame(list(rows.items()), "id string, v array<double>")
+    found = VJ.similar_pairs(frame, 0.4, key="id", vector="v", pivots=6)
+    assert "FlatMapGroupsInArrow" in plan(found)  # products of matrices, not of rows
+    size = lambda x: sum(c * c for c in x) ** 0.5
+    cosine = {(a, b): sum(x * y for x, y in zip(rows[a], rows[b], strict=True)) / size(rows[a]) / size(rows[b]) for a, b in combinations(sorted(rows), 2) if len(rows[a]) == len(rows[b])}
+    got = [((x.a, x.b), round(x.cosine, 9)) for x in found.collect()]
+    assert sorted(got) == sorted((k, round(c, 9)) for k, c in cosine.items() if c >= 0.4)
