@@ -62,3 +62,11 @@ def test_vector_pairs_meet_once_in_cells(spark, monkeypatch):
     cosine = {(a, b): sum(x * y for x, y in zip(rows[a], rows[b], strict=True)) / size(rows[a]) / size(rows[b]) for a, b in combinations(sorted(rows), 2) if len(rows[a]) == len(rows[b])}
     got = [((x.a, x.b), round(x.cosine, 9)) for x in found.collect()]
     assert sorted(got) == sorted((k, round(c, 9)) for k, c in cosine.items() if c >= 0.4)
+
+
+def test_triangles_look_up_the_shorter_list(spark):
+    # 30 spokes to 30 hubs, which point to one root each: as many lookups as edges, not pairs of hubs
+    edges = {(f"c{k}", f"h{j}") for k in range(30) for j in range(30)} | {(f"h{j}", "root") for j in range(30)} | {(f"c{k}", "root") for k in range(3)}
+    got = {r.node: r.triangles for r in G.triangles(spark.createDataFrame(sorted(edges), "src string, dst string")).collect()}
+    assert got == {f"c{k}": 30 for k in range(3)} | {f"h{j}": 3 for j in range(30)} | {"root": 90}
+    assert {tuple(sorted(r)) for r in G.triangle_rows(spark.createDataFrame([("b", "a"), ("b", "c"), ("c", "a"), ("c", "d"), ("a", "d")], "src string, dst string")).collect()} == {("a", "b", "c"), ("a", "c", "d")}
