@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
-from graphloom.operators.loops import components
+from graphloom.operators.loops import Saved, components
 from graphloom.plans.graph import PLACES, T
 from graphloom.sources import readers, writers
 from graphloom.sources.tables import market_graph, node, place_graph, table
@@ -112,10 +112,10 @@ def _(spark, sf):
 @query("graph_clique_communities", f"WITH RECURSIVE {T}, u AS (SELECT src, dst FROM t UNION SELECT dst, src FROM t), k AS (SELECT a.src || '-' || b.src || '-' || b.dst AS tri, [a.src || '-' || b.src, a.src || '-' || b.dst, b.src || '-' || b.dst] AS sides FROM u a JOIN u b ON a.dst = b.src JOIN u c ON c.src = a.src AND c.dst = b.dst WHERE a.src < b.src AND b.src < b.dst), s AS (SELECT tri, unnest(sides) AS side FROM k), e AS (SELECT DISTINCT a.tri AS a, b.tri AS b FROM s a JOIN s b ON a.side = b.side), r AS (SELECT a AS tri, a AS reach FROM e UNION SELECT r.tri, e.b FROM r JOIN e ON e.a = r.reach), c AS (SELECT tri, min(reach) AS community FROM r GROUP BY tri) SELECT DISTINCT community, unnest(string_split(tri, '-')) AS node FROM c")
 def _(spark, sf):
     """Communities of triangles that share an edge (k-clique percolation with k = 3)."""
-    links = G.adjacency(market_graph(spark, sf))
-    ab = links.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    tri = ab.join(ab.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").join(ab.select("a", F.col("b").alias("c")), ["a", "c"])
-    named = tri.select(F.concat_ws("-", "a", "b", "c").alias("tri"), F.explode(F.array(F.concat_ws("-", "a", "b"), F.concat_ws("-", "a", "c"), F.concat_ws("-", "b", "c"))).alias("side"))
+    saved = Saved(spark, "cliques")
+    tri = G.triangle_rows(market_graph(spark, sf)).select(F.sort_array(F.array("x", "y", "z")).alias("t"))
+    a, b, c = (F.col("t")[k] for k in range(3))
+    named = saved.save(tri.select(F.array_join("t", "-").alias("tri"), F.explode(F.array(F.concat_ws("-", a, b), F.concat_ws("-", a, c), F.concat_ws("-", b, c))).alias("side")))
     # a side ties its triangles to the first of them: a star, not all pairs
     first = named.groupBy("side").agg(F.min("tri").alias("b"))
     grouped = components(named.join(first, "side").select(F.col("tri").alias("a"), "b"))
