@@ -31,7 +31,7 @@ MIN_COUNT = 20
 MIN_LIFT = 1.5
 #: Chance that any one of the combinations tried passes though it means nothing, about.
 DOUBT = 0.01
-WIDTH = 8  # tokens of a row that are combined to more than pairs; pairs are of all tokens
+WIDTH = 8  # tokens of a row that FP-growth combines; where a row has more, all triples are counted besides
 MAX_TOKENS = 3  # of a rule
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -77,7 +77,7 @@ def mined(labelled: DataFrame, *, min_support: float = MIN_SUPPORT, min_confiden
     that occur in the same rows count as one, and strength is the evidence of the token by
     itself. So a row has 2^width combinations at most, however many tokens a url has. Tokens
     that are weak by themselves may still be strong together: pairs are counted of all
-    frequent tokens of a row. The rows and the confidence of each frequent combination are then
+    frequent tokens of a row, and if rows have more tokens than `width`, triples too. The rows and the confidence of each frequent combination are then
     counted over all labelled rows and all their tokens, by the same inverted index that
     matches urls."""
     spark = labelled.sparkSession
@@ -98,9 +98,12 @@ def mined(labelled: DataFrame, *, min_support: float = MIN_SUPPORT, min_confiden
         return empty
     found = FPGrowth(itemsCol="items", minSupport=min(1.0, least / items.count())).fit(items.select("items")).freqItemsets
     found = found.where(F.size("items") <= MAX_TOKENS).select(F.array_sort("items").alias("antecedent"))
-    both = F.transform("every", lambda x, i: F.transform(F.slice("every", i + 2, F.size("every")), lambda y: F.array(x, y)))
-    pairs = items.select(F.explode(F.flatten(both)).alias("antecedent")).groupBy("antecedent").agg(F.count("*").alias("k")).where(F.col("k") >= least)
-    found = found.union(pairs.select("antecedent")).distinct()
+    pairs = items.select(F.explode(_in_order("every")).alias("antecedent")).groupBy("antecedent").agg(F.count("*").alias("k")).where(F.col("k") >= least)
+    pairs = saved.save(pairs.select("antecedent"))
+    found = found.union(pairs)
+    if not items.where(F.size("every") > width).isEmpty():  # FP-growth has not seen all of these
+        found = found.union(_triples(saved, items, pairs, least))
+    found = found.distinct()
     found = saved.save(found.withColumn("rule", F.monotonically_increasing_id()))
     tried = found.count()
     met = met_by(_held(rows), found, "row", "bad")
@@ -117,6 +120,24 @@ def mined(labelled: DataFrame, *, min_support: float = MIN_SUPPORT, min_confiden
     return saved.save(kept.join(dull, "rule", "left_anti"))
 
 
+def _in_order(every: str) -> Column:
+    """All pairs of an array's entries, in its order."""
+    return F.flatten(F.transform(every, lambda x, i: F.transform(F.slice(every, i + 2, F.size(every)), lambda y: F.array(x, y))))
+
+
+def _triples(saved: Saved, items: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """antecedent: all triples that at least `least` rows hold. items: every (tokens in order);
+    pairs: antecedent (all pairs that are so frequent). Every pair of such a triple is one of
+    them, so no row lists all combinations of its tokens: a pair meets the third tokens that
+    both of its own are frequent with, and the row says which of these it has."""
+    frequent = saved.save(pairs.select(F.col("antecedent")[0].alias("x"), F.col("antecedent")[1].alias("y")))
+    third = frequent.join(frequent.withColumnRenamed("y", "z"), "x").where("y < z").join(frequent.select(F.col("x").alias("y"), F.col("y").alias("z")), ["y", "z"])
+    third = third.groupBy("x", "y").agg(F.collect_list("z").alias("zs"))
+    held = items.select("every", F.explode(_in_order("every")).alias("p")).select("every", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    met = held.join(third, ["x", "y"]).select("x", "y", F.explode(F.array_intersect("every", "zs")).alias("z"))
+    return met.groupBy("x", "y", "z").agg(F.count("*").alias("k")).where(F.col("k") >= least).select(F.array("x", "y", "z").alias("antecedent"))
+
+
 def met_by(held: DataFrame, rules: DataFrame, *row: str) -> DataFrame:
     """(*row, rule): which rules (rule, antecedent) rows meet. held: *row and `token`, each
     token of a row once. The rules' inverted index, token to rule, is joined on the token; a
