@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,12 @@ from graphloom.functions import strings as S
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PAIRS = "a long, b long, name_a string, name_b string, block string"
+CHUNK = 20_000  # pairs that are given on together, about
+
+
+def _frame(parts: list[tuple], block) -> pd.DataFrame:
+    a, b, name_a, name_b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return pd.DataFrame({"a": a, "b": b, "name_a": name_a, "name_b": name_b, "block": block})
 
 
 class Meetings(StatefulProcessor):
@@ -33,14 +40,9 @@ class Meetings(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = list(self.known.get()) if self.known.exists() else []
         fresh = sorted((r for part in rows for r in part.itertuples(index=False)), key=lambda r: (r.at, r.id))
-        out = []
-        for r in fresh:
-            for i, name, at in held:
-                if self.keep is None or abs(r.at - at) <= self.keep:
-                    a, b = sorted(((i, name), (int(r.id), r.name)))
-                    out.append((a[0], b[0], a[1], b[1], key[0]))
-            if r.home:
-                held.append((int(r.id), r.name, float(r.at)))
+        there = held + [(int(r.id), r.name, float(r.at)) for r in fresh if r.home]
+        before = len(held) + np.cumsum([0] + [bool(r.home) for r in fresh])  # what a row looks at
+        held = there
         if self.keep is not None and held:
             # what no row within the lateness can still meet
             newest = max(at for _, _, at in held)
@@ -49,8 +51,32 @@ class Meetings(StatefulProcessor):
             self.known.put(held)
         else:
             self.known.clear()
+        yield from self._pairs(fresh, there, before, key[0])
+
+    def _pairs(self, fresh: list, there: list, before: np.ndarray, block) -> Iterator[pd.DataFrame]:
+        """Parts of about CHUNK pairs: all pairs of a large block are never held at once."""
+        ids, at = np.array([x[0] for x in there], dtype="int64"), np.array([x[2] for x in there], dtype="float64")
+        names = np.empty(len(there), dtype=object)
+        names[:] = [x[1] for x in there]
+        out, size = [], 0
+        for r, n in zip(fresh, before, strict=False):
+            for first in range(0, int(n), CHUNK):
+                part = slice(first, min(first + CHUNK, int(n)))
+                met = np.arange(part.start, part.stop)
+                if self.keep is not None:
+                    met = met[np.abs(r.at - at[part]) <= self.keep]
+                if not len(met):
+                    continue
+                mine, other = np.full(len(met), r.id, dtype="int64"), ids[met]
+                name = np.full(len(met), r.name, dtype=object)
+                low = other < mine
+                out.append((np.where(low, other, mine), np.where(low, mine, other), np.where(low, names[met], name), np.where(low, name, names[met])))
+                size += len(met)
+                if size >= CHUNK:
+                    yield _frame(out, block)
+                    out, size = [], 0
         if out:
-            yield pd.DataFrame(out, columns=["a", "b", "name_a", "name_b", "block"])
+            yield _frame(out, block)
 
     def close(self) -> None:
         pass

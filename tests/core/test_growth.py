@@ -120,3 +120,30 @@ def test_shortest_paths_look_back_from_the_few_pairs_that_are_left(spark, monkey
         assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
         # pairs that are never reached would be asked for at every step, so a graph in parts may go ahead only
         assert apart or any(re.search(r"\[s#\d+, near#\d+\], \[s#\d+, near#\d+\]", p) for p in plans)
+
+
+@pytest.mark.parametrize("keep", [None, 30.0])
+def test_pairs_of_a_large_block_are_given_on_in_parts(monkeypatch, keep):
+    import pandas as pd
+
+    from graphloom.streaming import matching as MT
+
+    class State:
+        rows = None
+        exists = lambda self: self.rows is not None
+        get = lambda self: iter(self.rows)
+        put = lambda self, rows: setattr(self, "rows", rows)
+
+    monkeypatch.setattr(MT, "CHUNK", 50)
+    task = MT.Meetings(keep, 1000.0)
+    task.known = State()
+    r = random.Random(5)
+    rows = [(k, f"name {k}" if k % 7 else None, float(r.randrange(200)), k % 3 == 0) for k in r.sample(range(1000), 300)]
+    got = []
+    for batch in (rows[:180], rows[180:]):
+        parts = list(task.handleInputRows(("x", 0), iter([pd.DataFrame(batch, columns=["id", "name", "at", "home"])]), None))
+        assert len(parts) > 10 and max(map(len, parts)) < 100
+        got += [(x.a, x.b, x.name_a, x.name_b) for part in parts for x in part.itertuples()]
+    order = {x: n for batch in (rows[:180], rows[180:]) for n, x in enumerate(sorted(batch, key=lambda x: (x[2], x[0])), 180 * (batch[0] is rows[180]))}
+    want = [(*sorted((x[0], y[0])), *(z[1] for z in sorted((x, y)))) for x in rows for y in rows if x[3] and order[x] < order[y] and (keep is None or abs(x[2] - y[2]) <= keep)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
