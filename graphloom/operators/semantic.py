@@ -1,50 +1,69 @@
 """Chunks of sentences that are alike: a text is cut where neighbouring sentences are least so.
 
-A sentence's vector counts its lower-cased words in hashed buckets. Sentences, buckets and
-similarities are rows, so a text of any length is spread over tasks; only its cuts are put in
-order together."""
+A sentence's vector counts its lower-cased words in hashed buckets. Only neighbours in a text
+are compared, so a text is cut in its own row; only
+texts are dealt out, once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+import math
+import re
+from collections import Counter
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from graphloom.functions.text import sentences
-from graphloom.operators.loops import Saved
 
 BUCKETS = 64
+_WORD = re.compile(r"[^ \t\n\r\f\x0B]+")
+
+
+@lru_cache(1 << 16)
+def _bucket(word: str) -> int:
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:2], "big") % BUCKETS
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _cosines(texts: pd.Series) -> pd.Series:
+    def each(lowered):
+        out, last, size = [], None, 0
+        for sentence in lowered:
+            now = Counter(map(_bucket, _WORD.findall(sentence)))
+            own = sum(c * c for c in now.values())
+            if last is not None:
+                dot = sum(c * last[b] for b, c in now.items())
+                out.append(dot / math.sqrt(size * own) if dot else 0.0)
+            last, size = now, own
+        return out
+
+    return texts.map(each)
 
 
-def _numbered(rows: DataFrame, key: str, text: str) -> DataFrame:
-    return rows.select(F.col(key).alias("id"), F.posexplode(sentences(F.col(text))).alias("n", "sentence"))
+def similarities(rows: DataFrame, *, key: str, text: str) -> DataFrame:
+    """(id, sentences, similarities) of each text with a sentence: the cosine of every sentence and
+    the next one, 0 if one has no words."""
+    # a file of few row groups is read by as few tasks
+    cut = rows.select(key, text).repartition(key).select(F.col(key).alias("id"), sentences(F.col(text)).alias("sentences")).where(F.size("sentences") > 0)
+    return cut.withColumn("similarities", _cosines(F.transform("sentences", lambda s: F.lower(s))))
 
 
-def similarities(numbered: DataFrame) -> DataFrame:
-    """(id, n, similarity): cosine of sentence n and the next one, 0 if one has no words."""
-    words = F.filter(F.split(F.lower("sentence"), r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
-    bucket = lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % BUCKETS
-    counts = numbered.select("id", "n", F.explode(F.transform(words, bucket)).alias("b")).groupBy("id", "n", "b").agg(F.count("*").alias("c"))
-    counts = Saved(numbered.sparkSession, "sentences").save(counts)
-    norm = counts.groupBy("id", "n").agg(F.sum(F.col("c") * F.col("c")).alias("s"))
-    after = counts.select("id", (F.col("n") - 1).alias("n"), "b", F.col("c").alias("d"))
-    dots = counts.join(after, ["id", "n", "b"]).groupBy("id", "n").agg(F.sum(F.col("c") * F.col("d")).alias("dot"))
-    last = numbered.groupBy("id").agg(F.max("n").alias("last"))
-    each = numbered.select("id", "n").join(last, "id").where("n < last").join(dots, ["id", "n"], "left")
-    each = each.join(norm, ["id", "n"], "left").join(norm.select("id", (F.col("n") - 1).alias("n"), F.col("s").alias("t")), ["id", "n"], "left")
-    return each.select("id", "n", F.coalesce(F.col("dot") / F.sqrt(F.col("s") * F.col("t")), F.lit(0.0)).alias("similarity"))
+def nearest_rank(numbers: Column, quantile: float) -> Column:
+    return F.get(F.array_sort(numbers), F.greatest(F.lit(1), F.ceil(F.lit(quantile) * F.size(numbers))).cast("int") - 1)
 
 
 def semantic_chunks(rows: DataFrame, *, key: str, text: str, quantile: float = 0.25) -> DataFrame:
     """(id, chunk, first, sentences, text): runs of sentences, joined by a space. A text is cut
     behind each sentence whose similarity to the next is below the text's quantile (nearest
     rank). Keys are distinct; texts without a sentence have no chunk."""
-    numbered = Saved(rows.sparkSession, "numbered").save(_numbered(rows, key, text))
-    own = Window.partitionBy("id")
-    place = F.row_number().over(own.orderBy("similarity", "n"))
-    ranked = similarities(numbered).withColumn("place", place).withColumn("m", F.count("*").over(own))
-    level = F.max(F.when(F.col("place") == F.greatest(F.lit(1), F.ceil(F.lit(quantile) * F.col("m"))), F.col("similarity"))).over(own)
-    cuts = ranked.withColumn("level", level).where("similarity < level").select("id", (F.col("n") + 1).alias("n"), F.lit(1).alias("cut"))
-    chunk = F.sum(F.coalesce("cut", F.lit(0))).over(own.orderBy("n")).cast("int")
-    placed = numbered.join(cuts, ["id", "n"], "left").withColumn("chunk", chunk)
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "sentence"))), lambda x: x["sentence"]), " ")
-    return placed.groupBy("id", "chunk").agg(F.min("n").alias("first"), F.count("*").alias("sentences"), whole.alias("text"))
+    found = similarities(rows, key=key, text=text).withColumn("level", nearest_rank(F.col("similarities"), quantile))
+    behind = F.transform("similarities", lambda x, n: F.when(x < F.col("level"), n + 1))
+    found = found.withColumn("firsts", F.concat(F.array(F.lit(0)), F.filter(behind, lambda n: n.isNotNull())))
+    after = F.coalesce(F.get("firsts", F.col("chunk") + 1), F.size("sentences"))
+    each = found.select("id", "sentences", "firsts", F.posexplode("firsts").alias("chunk", "first"))
+    each = each.select("id", "chunk", "first", F.slice("sentences", F.col("first") + 1, after - F.col("first")).alias("own"))
+    return each.select("id", "chunk", "first", F.size("own").cast("long").alias("sentences"), F.array_join("own", " ").alias("text"))

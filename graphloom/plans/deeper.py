@@ -175,8 +175,9 @@ def _(spark, sf):
 
 @query("sentence_similarity", f"WITH {_SENTENCES} SELECT doc_id, count(*) AS pairs, round(avg(sim), 9) AS similarity FROM i GROUP BY 1")
 def _(spark, sf):
-    found = SE.similarities(SE._numbered(table(spark, sf, "documents"), "doc_id", "text"))
-    return found.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("pairs"), F.round(F.avg("similarity"), 9).alias("similarity"))
+    found = SE.similarities(table(spark, sf, "documents"), key="doc_id", text="text").where(F.size("similarities") > 0)
+    mean = F.aggregate("similarities", F.lit(0.0), lambda s, x: s + x) / F.size("similarities")
+    return found.select(F.col("id").alias("doc_id"), F.size("similarities").cast("long").alias("pairs"), F.round(mean, 9).alias("similarity"))
 
 
 # ---- versions of the orders ------------------------------------------------------------

@@ -147,3 +147,20 @@ def test_pairs_of_a_large_block_are_given_on_in_parts(monkeypatch, keep):
     order = {x: n for batch in (rows[:180], rows[180:]) for n, x in enumerate(sorted(batch, key=lambda x: (x[2], x[0])), 180 * (batch[0] is rows[180]))}
     want = [(*sorted((x[0], y[0])), *(z[1] for z in sorted((x, y)))) for x in rows for y in rows if x[3] and order[x] < order[y] and (keep is None or abs(x[2] - y[2]) <= keep)]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_sentences_are_compared_and_cut_in_the_row_of_their_text(spark):
+    from graphloom.operators import semantic as SE
+
+    texts = ["One two. Two Three. ! Four.", "alone", "", None, "a b. a b. c. c d. Ä ä. ä"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = SE.similarities(rows, key="id", text="text")
+    chunks = SE.semantic_chunks(rows, key="id", text="text", quantile=0.5)
+    for frame in (found, chunks):
+        assert len(re.findall(r"Exchange hashpartitioning\(", plan(frame))) == 1 and "Window" not in plan(frame) and "Join" not in plan(frame)  # texts are dealt out
+    assert {r.id: len(r.similarities) for r in found.collect()} == {0: 3, 1: 0, 4: 5}
+    got = sorted(tuple(r) for r in chunks.collect())
+    for k, text in enumerate(texts):
+        own = [r for r in got if r[0] == k]
+        assert " ".join(r[4] for r in own) == (text or "") and [r[1] for r in own] == list(range(len(own)))
+        assert [r[2] for r in own] == [sum(r[3] for r in own[:n]) for n in range(len(own))]
