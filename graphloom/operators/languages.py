@@ -7,7 +7,7 @@ order of rows. Trigrams that no labelled text has say nothing.
 
 The profile grows with the alphabet and not with the texts; it is a saved table, so its size
 is known when it is joined, and it is broadcast only below the session's threshold. Each text
-is first added up by trigrams, so a trigram that is in every text has one row a text.
+is first added up by trigrams in its own row, so a trigram that is in every text has one row a text.
 
 Defined cases: a text that is null, or shorter than `min_chars` without the white space around
 it, or without any known trigram, has the default language at confidence 0; labelled rows with
@@ -16,10 +16,13 @@ the smaller name comes first; a profile of no rows gives the default language to
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from graphloom.operators.loops import Saved
 
@@ -29,11 +32,26 @@ MIN_CHARS = 10
 _ENDS = r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$"
 
 
+def _plain(text: Column) -> Column:
+    return F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), r"[^\p{L}]+", " ")
+
+
 def trigrams(text: Column) -> Column:
     """array<string>: all trigrams of letters and single spaces, repeats included, by one pass."""
-    plain = F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), r"[^\p{L}]+", " ")
     # a lookahead finds matches that overlap; half a surrogate pair is no letter
-    return F.filter(F.regexp_extract_all(plain, F.lit("(?=(...))"), F.lit(1)), lambda g: F.regexp_like(g, F.lit(r"^[\p{L} ]{3}$")))
+    return F.filter(F.regexp_extract_all(_plain(text), F.lit("(?=(...))"), F.lit(1)), lambda g: F.regexp_like(g, F.lit(r"^[\p{L} ]{3}$")))
+
+
+@F.pandas_udf(StructType([StructField("gram", ArrayType(StringType())), StructField("n", ArrayType(LongType()))]))
+def _windows(plain: pd.Series) -> pd.DataFrame:
+    found = [Counter(p[i : i + 3] for i in range(len(p) - 2)) if p is not None else {} for p in plain]
+    return pd.DataFrame({"gram": [list(c) for c in found], "n": [list(c.values()) for c in found]})
+
+
+def counted(text: Column) -> Column:
+    """array<struct<gram, n>>: each of the text's trigrams once, with how often it occurs."""
+    found = _windows(_plain(text))
+    return F.arrays_zip(found["gram"].alias("gram"), found["n"].alias("n"))
 
 
 @dataclass(frozen=True)
@@ -47,8 +65,8 @@ class Profile:
 def profile(docs: DataFrame, *, text: str = "text", label: str = "lang") -> Profile:
     """What the trigrams of labelled texts tell about their language."""
     saved = Saved(docs.sparkSession, "languages")
-    told = docs.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("lang"), F.explode(trigrams(F.col(text))).alias("gram"))
-    counts = saved.save(told.groupBy("lang", "gram").agg(F.count("*").alias("n")))
+    told = docs.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("lang"), counted(F.col(text)).alias("_c"))
+    counts = saved.save(told.select("lang", F.inline("_c").alias("gram", "n")).groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     sizes = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} labels: not languages?")
@@ -69,9 +87,9 @@ def ranked(docs: DataFrame, known: Profile, *, key: str | list[str], text: str =
     so it does not go to 1 with a text's length."""
     keys = [key] if isinstance(key, str) else key
     enough = F.length(F.regexp_replace(text, _ENDS, "")) >= min_chars
-    rows = docs.select(*keys, F.explode_outer(F.when(enough, trigrams(F.col(text)))).alias("gram"))
-    n = rows.groupBy(*keys, "gram").agg(F.count("gram").alias("n"))
-    met = n.join(known.weights, "gram", "left")
+    # a file of few row groups is read by as few tasks
+    rows = docs.select(*keys, text).repartition(*keys).select(*keys, counted(F.when(enough, F.col(text))).alias("_c"))
+    met = rows.select(*keys, F.inline_outer("_c").alias("gram", "n")).join(known.weights, "gram", "left")
     sums = [F.sum(F.col("n") * F.get("w", F.lit(k))).alias(f"_{k}") for k in range(len(known.languages))]
     scored = met.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("w").isNotNull(), F.col("n"))), F.lit(0)).alias("_n"), *sums)
 

@@ -164,3 +164,18 @@ def test_sentences_are_compared_and_cut_in_the_row_of_their_text(spark):
         own = [r for r in got if r[0] == k]
         assert " ".join(r[4] for r in own) == (text or "") and [r[1] for r in own] == list(range(len(own)))
         assert [r[2] for r in own] == [sum(r[3] for r in own[:n]) for n in range(len(own))]
+
+
+def test_trigrams_are_added_up_in_the_row_of_their_text(spark):
+    from collections import Counter
+
+    from graphloom.operators import languages as L
+
+    texts = ["The theme: THE the", "a\U0001d44eb \U00010400\U00010401\U00010402\U00010403!", "ﬁ é\u0301 Straße İI", "", None, "12 3", "x"]
+    rows = spark.createDataFrame([(k, t, "en" if k % 2 else "fr") for k, t in enumerate(texts)], "id long, text string, lang string")
+    both = rows.select("id", L.trigrams(rows.text).alias("all"), L.counted(rows.text).alias("each")).collect()
+    for r in both:
+        assert {x.gram: x.n for x in r.each or []} == Counter(r.all or [])
+    known = L.profile(rows)
+    assert not re.search(r"hashpartitioning\(id#\d+L, gram#\d+", plan(L.ranked(rows, known, key="id")))
+    assert {r.id: r.confidence for r in L.detected(rows, known, key="id").collect()}.keys() == set(range(len(texts)))
