@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.loops import reachable
+from graphloom.operators.loops import Saved, reachable
 
 
 def checksum(*columns: str) -> Column:
@@ -31,11 +31,35 @@ def delta(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.union(b)
 
 
+LIST = 1000  # ancestors that a row carries, about
+
+
 def lineage(edges: DataFrame, starts: DataFrame, sources: DataFrame) -> DataFrame:
     """Of each start: number of ancestors, distinct sources, first and last time seen.
-    edges: src (derived) -> dst (parent); sources: node, source, first_seen, last_seen."""
-    walk = reachable(edges, starts)
-    return walk.join(sources, "node").groupBy("start").agg((F.countDistinct("node") - 1).alias("ancestors"), F.countDistinct("source").alias("sources"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    edges: src (derived) -> dst (parent); sources: node, source, first_seen, last_seen.
+
+    Where many starts share few parents, ways are followed from the parents alone, and a start
+    takes up the lists of its parents, which meet in the start's own task."""
+    saved = Saved(edges.sparkSession, "lineage")
+    starts = saved.save(starts.select("start").distinct())
+    # what starts at a node that is nobody's parent is never met on a way from a parent
+    tops = starts.join(edges.select(F.col("dst").alias("start")).distinct(), "start", "left_anti").select(F.col("start").alias("node"), F.lit(True).alias("top"))
+    marked = starts.join(tops, F.col("start") == F.col("node"), "left").select("start", F.coalesce("top", F.lit(False)).alias("top"))
+    links = saved.save(edges.select("src", "dst").join(marked, F.col("src") == F.col("start"), "left").select("src", "dst", "start", "top"))
+    first = links.where("start is not null").select("start", F.col("dst").alias("parent"))
+    parents = saved.save(first.select("parent").distinct())
+    seen = sources.select("node", F.struct("node", "source", "first_seen", "last_seen").alias("x"))
+    if 2 * parents.count() > starts.count():
+        found = reachable(edges, starts).join(seen, "node").select("start", "x")
+    else:
+        rest = saved.save(links.where("top is null or not top").select("src", "dst").distinct())
+        upper = saved.save(reachable(rest, parents.select(F.col("parent").alias("start"))).join(seen, "node").select(F.col("start").alias("parent"), "x"))
+        size = upper.groupBy("parent").agg(F.ceil(F.count("*") / LIST).alias("parts"))
+        lists = upper.join(size, "parent").groupBy("parent", F.pmod(F.hash("x.node"), "parts").alias("part")).agg(F.collect_list("x").alias("xs"))
+        own = starts.join(seen, F.col("start") == F.col("node")).select("start", F.array("x").alias("xs"))
+        found = first.join(lists, "parent").select("start", "xs").union(own).repartition("start").select("start", F.explode("xs").alias("x"))
+    each = found.groupBy("start", F.col("x.node").alias("node"), F.col("x.source").alias("source")).agg(F.min("x.first_seen").alias("first_seen"), F.max("x.last_seen").alias("last_seen"))
+    return each.groupBy("start").agg((F.countDistinct("node") - 1).alias("ancestors"), F.countDistinct("source").alias("sources"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
 def pruned(versions: DataFrame, key: str, order: Column, keep: int) -> DataFrame:
