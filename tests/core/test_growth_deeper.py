@@ -33,3 +33,23 @@ def test_lineage_is_followed_from_shared_parents(spark, monkeypatch, tail):
     got = VS.lineage(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([(s,) for s in starts], "start string"), spark.createDataFrame(sources, "node string, source string, first_seen long, last_seen long"))
     assert {x[0]: tuple(x)[1:] for x in got.collect()} == want
     assert seen == [len(starts) if tail else len({b for a, b in edges if a in starts})]
+
+
+@pytest.mark.parametrize("widest", [False, True])
+def test_best_paths_are_searched_from_the_goal_with_numbers_alone(spark, monkeypatch, widest):
+    from graphloom.operators import routes as R
+
+    rows, signed = [], R.Saved.signed
+
+    def counted(self, df, *columns):
+        out = signed(self, df, *columns)
+        rows.append(out[1][0])
+        assert "path" not in df.columns and "label" not in df.columns
+        return out
+
+    monkeypatch.setattr(R.Saved, "signed", counted)
+    # what the start leads to besides the goal is many nodes, which no way to the goal meets
+    edges = [("a", "g", 1.0), ("a", "b", 0.5), ("b", "g", 1.5), ("a", "x", 0.2)] + [("x", f"y{k}", 0.1) for k in range(200)]
+    got = R.best_paths(spark.createDataFrame(edges, "src string, dst string, weight double"), "a", "g", k=2, widest=widest).orderBy("rank").collect()
+    assert [(r[1], r.path) for r in got] == ([(1.0, ["a", "g"]), (0.5, ["a", "b", "g"])] if widest else [(1.0, ["a", "g"]), (2.0, ["a", "b", "g"])])
+    assert sum(rows) < 10
