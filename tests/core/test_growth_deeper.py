@@ -53,3 +53,36 @@ def test_best_paths_are_searched_from_the_goal_with_numbers_alone(spark, monkeyp
     got = R.best_paths(spark.createDataFrame(edges, "src string, dst string, weight double"), "a", "g", k=2, widest=widest).orderBy("rank").collect()
     assert [(r[1], r.path) for r in got] == ([(1.0, ["a", "g"]), (0.5, ["a", "b", "g"])] if widest else [(1.0, ["a", "g"]), (2.0, ["a", "b", "g"])])
     assert sum(rows) < 10
+
+
+def test_rounds_send_values_to_blocks_not_along_links(spark, monkeypatch):
+    from collections import Counter
+
+    from graphloom.operators import blocks as B
+    from graphloom.operators import graph as G
+
+    monkeypatch.setattr(B, "LINKS", 60)
+    monkeypatch.setattr(B, "LEAST", 3)
+    plans, save = [], B.Saved.save
+    monkeypatch.setattr(B.Saved, "save", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or save(self, df))
+    r = random.Random(6)
+    edges = [(f"p{r.randrange(60)}", f"s{r.randrange(9)}") for _ in range(150)] + [("p1", "p1"), ("s1", "p1"), (None, "s1"), ("u", "v")]
+    near = {}
+    for a, b in edges:
+        if a and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    frame = spark.createDataFrame(edges, "src string, dst string")
+    rank, score, label = {x: 1 / len(near) for x in near}, dict.fromkeys(near, 1.0), {x: x for x in near}
+    for k in range(7):
+        rank = {x: 0.15 / len(near) + 0.85 * sum(rank[y] / len(near[y]) for y in near[x]) for x in near}
+        score = {x: score[x] + sum(score[y] for y in near[x]) for x in near}
+        if k < 4:
+            votes = {x: Counter(label[y] for y in near[x]) for x in near}
+            label = {x: min(v, key=lambda c: (-v[c], c)) for x, v in votes.items()}
+    size = sum(v * v for v in score.values()) ** 0.5
+    rounded = lambda rows: {x[0]: round(x[1], 12) for x in rows.collect()}
+    assert rounded(G.pagerank(frame, rounds=7)) == {x: round(v, 12) for x, v in rank.items()}
+    assert rounded(G.eigenvector(frame, rounds=7)) == {x: round(v / size, 12) for x, v in score.items()}
+    assert {x[0]: x[1] for x in G.label_propagation(frame, rounds=4).collect()} == label
+    assert any("FlatMapCoGroupsInArrow" in p for p in plans)
