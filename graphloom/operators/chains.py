@@ -75,6 +75,7 @@ def chains(edges: DataFrame, *, tolerance: int = 0, width: int = DAY) -> DataFra
     Pointer doubling: after k rounds a row holds the nodes of the next 2^k edges and the edge
     behind them, so a chain of n edges takes log2(n) joins."""
     saved = Saved(edges.sparkSession, "chains")
+    edges = saved.save(edges.select("id", "src", "dst", "start", "end"))  # several steps read them
     steps = saved.save(successors(edges, tolerance=tolerance, width=width))
     steps = _without_loops(edges, steps, saved)
     # path: nodes reached from the edge's dst on; at: the edge that the path ends with
@@ -100,6 +101,7 @@ def time_cycles(edges: DataFrame, *, longest: int = 6, width: int = DAY) -> Data
     """(id, nodes): from each edge the way along successors back to its own src, of `longest`
     edges at most. A way that comes to another node twice is given up."""
     saved = Saved(edges.sparkSession, "cycles")
+    edges = saved.save(edges.select("id", "src", "dst", "start", "end"))  # several steps read them
     steps = saved.save(successors(edges, width=width, itself=True)).select(F.col("id").alias("at"), "next", "next_dst")
     now = saved.save(edges.select("id", F.col("id").alias("at"), F.array("src", "dst").alias("nodes")))
     found: DataFrame | None = None

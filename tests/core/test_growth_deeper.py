@@ -86,3 +86,17 @@ def test_rounds_send_values_to_blocks_not_along_links(spark, monkeypatch):
     assert rounded(G.eigenvector(frame, rounds=7)) == {x: round(v / size, 12) for x, v in score.items()}
     assert {x[0]: x[1] for x in G.label_propagation(frame, rounds=4).collect()} == label
     assert any("FlatMapCoGroupsInArrow" in p for p in plans)
+
+
+@pytest.mark.parametrize("way", ["chains", "time_cycles"])
+def test_edges_in_time_are_computed_once(spark, monkeypatch, way):
+    from graphloom.operators import chains as C
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans, save = [], C.Saved.save
+    monkeypatch.setattr(C.Saved, "save", lambda self, df: plans.append(plan(df)) or save(self, df))
+    edges = spark.createDataFrame([(1, "a", "b", 0, 1), (2, "b", "a", 1, 2), (3, "a", "c", 5, 6)], "id long, src string, dst string, start long, end long")
+    out = C.chains(edges, tolerance=9) if way == "chains" else C.time_cycles(edges)
+    got = {(r.id, ">".join(r.nodes)) for r in out.collect()}
+    assert got == ({(1, "a>b>a>c"), (2, "b>a>c")} if way == "chains" else {(1, "a>b>a")})
+    assert sum("ExistingRDD" in p or "LocalTableScan" in p for p in [*plans, plan(out)]) == 1
