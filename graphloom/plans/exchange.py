@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
 from graphloom.operators.loops import Saved, components
+from graphloom.operators.walks import hashed_walks
 from graphloom.plans.graph import PLACES, T
 from graphloom.sources import readers, writers
 from graphloom.sources.tables import market_graph, node, place_graph, table
@@ -132,12 +133,7 @@ for _k in range(1, 6):
 def _(spark, sf):
     """A seeded walk of five steps from each node: the next node is the neighbour whose hash
     with the start and the step is least."""
-    links = G.adjacency(market_graph(spark, sf))
-    now = links.select(F.col("src").alias("start"), F.col("src").alias("node"), F.col("src").alias("path")).distinct()
-    for k in range(1, 6):
-        pick = F.min(F.struct(F.md5(F.concat(F.col("start"), F.lit(f"|{k}|"), F.col("dst"))), F.col("dst"))).alias("p")
-        now = now.join(links, F.col("node") == F.col("src")).groupBy("start", "path").agg(pick).select("start", F.col("p.dst").alias("node"), F.concat("path", F.lit(">"), "p.dst").alias("path"))
-    return now.select("start", "path")
+    return hashed_walks(market_graph(spark, sf), 5)
 
 
 @query("graph_structural_similarity", f"WITH {T}, d AS (SELECT src AS node, count(*) AS k FROM t GROUP BY 1), o AS (SELECT k FROM d WHERE node = 's1') SELECT node, round(1 - abs(d.k - o.k) / greatest(d.k, o.k), 9) AS score FROM d, o WHERE node <> 's1' AND round(1 - abs(d.k - o.k) / greatest(d.k, o.k), 9) >= 0.9")
