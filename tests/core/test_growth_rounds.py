@@ -48,3 +48,19 @@ def test_hashed_walks_meet_neighbours_in_their_blocks(spark, monkeypatch, part):
         want[start] = ">".join(path)
     assert {x.start: x.path for x in W.hashed_walks(spark.createDataFrame(edges, "src string, dst string"), 4).collect()} == want
     assert sum("FlatMapCoGroupsInArrow" in p for p in plans) == 4
+
+
+def test_walks_and_factors_stay_in_their_blocks(spark, monkeypatch):
+    from graphloom.operators import embeddings as EM
+
+    r = random.Random(4)
+    edges = spark.createDataFrame([(f"a{r.randrange(30)}", f"b{r.randrange(9)}") for _ in range(90)], "src string, dst string")
+    alone = EM.node_embeddings(edges, dimensions=4, walks=2, length=3, window=2, q=0.5).orderBy("node").collect()
+    plans, save = [], EM.Saved.save
+    monkeypatch.setattr(EM, "LEAST", 3)
+    monkeypatch.setattr(EM, "TABLE", 1)
+    monkeypatch.setattr(EM.Saved, "save", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or save(self, df))
+    got = EM.node_embeddings(edges, dimensions=4, walks=2, length=3, window=2, q=0.5).orderBy("node").collect()
+    assert [x.node for x in got] == [x.node for x in alone]
+    assert np.allclose(np.abs([x.embedding for x in got]), np.abs([x.embedding for x in alone]))
+    assert sum("FlatMapCoGroupsInArrow" in p for p in plans) >= 2 + 8  # steps; rounds
