@@ -16,10 +16,13 @@ the smaller name comes first; a profile of no rows gives the default language to
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
@@ -29,6 +32,7 @@ from graphloom.operators.loops import Saved
 #: Languages are columns of the profile: the bound of what the driver reads.
 MAX_LANGUAGES = 1000
 MIN_CHARS = 10
+CHARS = 500_000  # characters that are counted together, about
 _ENDS = r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$"
 
 
@@ -42,10 +46,26 @@ def trigrams(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(_plain(text), F.lit("(?=(...))"), F.lit(1)), lambda g: F.regexp_like(g, F.lit(r"^[\p{L} ]{3}$")))
 
 
+def _counts(plain: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Each trigram of each text once: the place of the text, the trigram, how often it occurs."""
+    texts = pc.fill_null(plain, "")
+    points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+    text = np.repeat(np.arange(len(texts)), pc.utf8_length(texts).to_numpy())
+    code = points[:-2] << 42 | points[1:-1] << 21 | points[2:]
+    inside = text[:-2] == text[2:]
+    each = pa.table({"at": text[:-2][inside], "code": code[inside]}).group_by(["at", "code"], use_threads=False).aggregate([([], "count_all")])
+    known, place = np.unique(each["code"].to_numpy(), return_inverse=True)
+    letters = np.stack([known >> 42, known >> 21 & 0x1FFFFF, known & 0x1FFFFF], axis=1).astype(np.uint32)
+    grams = pa.array(letters.view("U3").ravel().tolist(), pa.string())
+    return each["at"].to_numpy(), grams.take(pa.array(place)), each["count_all"].combine_chunks()
+
+
 @F.pandas_udf(StructType([StructField("gram", ArrayType(StringType())), StructField("n", ArrayType(LongType()))]))
 def _windows(plain: pd.Series) -> pd.DataFrame:
-    found = [Counter(p[i : i + 3] for i in range(len(p) - 2)) if p is not None else {} for p in plain]
-    return pd.DataFrame({"gram": [list(c) for c in found], "n": [list(c.values()) for c in found]})
+    at, gram, n = _counts(pa.array(plain, pa.string()))
+    order = np.argsort(at, kind="stable")
+    ends = np.searchsorted(at[order], np.arange(1, len(plain)))
+    return pd.DataFrame({"gram": np.split(gram.to_numpy(zero_copy_only=False)[order], ends), "n": np.split(n.to_numpy()[order], ends)}, index=plain.index)
 
 
 def counted(text: Column) -> Column:
@@ -54,6 +74,28 @@ def counted(text: Column) -> Column:
     return F.arrays_zip(found["gram"].alias("gram"), found["n"].alias("n"))
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        size = pc.fill_null(pc.utf8_length(batch["_plain"]), 0).to_numpy()
+        cuts = np.flatnonzero(np.diff(np.cumsum(size) // CHARS)) + 1
+        for start, end in zip([0, *cuts], [*cuts, len(size)], strict=True):
+            part = batch.slice(start, end - start)
+            at, gram, n = _counts(part["_plain"])
+            bare = np.setdiff1d(np.arange(len(part)), at)
+            keys = [part[c].take(pa.array(np.concatenate([at, bare]))) for c in part.schema.names[:-1]]
+            told = [pa.concat_arrays([x, pa.nulls(len(bare), x.type)]) for x in (gram, n)]
+            yield pa.RecordBatch.from_arrays([*keys, *told], names=[*part.schema.names[:-1], "gram", "n"])
+
+
+def _gram_rows(docs: DataFrame, keys: list[Column | str], text: Column) -> DataFrame:
+    """keys, gram, n: what `counted` has of each text, in rows; a text that has none has one row of
+    nulls. Texts are counted by some characters at a time, so a task holds no more of them than
+    that, however many or long they are."""
+    rows = docs.select(*keys, _plain(text).alias("_plain"))
+    kept = StructType([*rows.schema.fields[:-1], StructField("gram", StringType()), StructField("n", LongType())])
+    return rows.mapInArrow(_rows, kept)
+
+
 @dataclass(frozen=True)
 class Profile:
     """weights: gram, w (array<long>, one place a language, in the order of `languages`)."""
@@ -65,8 +107,8 @@ class Profile:
 def profile(docs: DataFrame, *, text: str = "text", label: str = "lang") -> Profile:
     """What the trigrams of labelled texts tell about their language."""
     saved = Saved(docs.sparkSession, "languages")
-    told = docs.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("lang"), counted(F.col(text)).alias("_c"))
-    counts = saved.save(told.select("lang", F.inline("_c").alias("gram", "n")).groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    told = _gram_rows(docs.where(F.col(label).isNotNull()), [F.col(label).cast("string").alias("lang")], F.col(text))
+    counts = saved.save(told.where("gram is not null").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     sizes = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} labels: not languages?")
@@ -88,8 +130,8 @@ def ranked(docs: DataFrame, known: Profile, *, key: str | list[str], text: str =
     keys = [key] if isinstance(key, str) else key
     enough = F.length(F.regexp_replace(text, _ENDS, "")) >= min_chars
     # a file of few row groups is read by as few tasks
-    rows = docs.select(*keys, text).repartition(*keys).select(*keys, counted(F.when(enough, F.col(text))).alias("_c"))
-    met = rows.select(*keys, F.inline_outer("_c").alias("gram", "n")).join(known.weights, "gram", "left")
+    rows = docs.select(*keys, text).repartition(*keys)
+    met = _gram_rows(rows, keys, F.when(enough, F.col(text))).join(known.weights, "gram", "left")
     sums = [F.sum(F.col("n") * F.get("w", F.lit(k))).alias(f"_{k}") for k in range(len(known.languages))]
     scored = met.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("w").isNotNull(), F.col("n"))), F.lit(0)).alias("_n"), *sums)
 

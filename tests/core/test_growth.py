@@ -179,3 +179,22 @@ def test_trigrams_are_added_up_in_the_row_of_their_text(spark):
     known = L.profile(rows)
     assert not re.search(r"hashpartitioning\(id#\d+L, gram#\d+", plan(L.ranked(rows, known, key="id")))
     assert {r.id: r.confidence for r in L.detected(rows, known, key="id").collect()}.keys() == set(range(len(texts)))
+
+
+def test_trigrams_of_many_texts_are_counted_by_some_characters_at_a_time(monkeypatch):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from graphloom.operators import languages as L
+
+    monkeypatch.setattr(L, "CHARS", 1_000)
+    texts = [" a b" * 20_000, None, "", *[f" text {chr(97 + k % 26)}{chr(97 + k // 26)} " for k in range(600)], " é𐐀é " * 2_000, " x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "_plain"])
+    parts = list(L._rows(iter([batch])))
+    assert len(parts) > 5
+    got = {}
+    for r in pa.Table.from_batches(parts).to_pylist():
+        got.setdefault(r["id"], {})[r["gram"]] = r["n"]
+    for k, t in enumerate(texts):
+        assert got[k] == (Counter(t[i : i + 3] for i in range(len(t) - 2)) if t and len(t) > 2 else {None: None})
