@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 
 @pytest.mark.parametrize("longest", [9, 60])
@@ -64,3 +67,42 @@ def test_walks_and_factors_stay_in_their_blocks(spark, monkeypatch):
     assert [x.node for x in got] == [x.node for x in alone]
     assert np.allclose(np.abs([x.embedding for x in got]), np.abs([x.embedding for x in alone]))
     assert sum("FlatMapCoGroupsInArrow" in p for p in plans) >= 2 + 8  # steps; rounds
+
+
+def _settled(of, most):
+    end = time.time() + 20
+    while (n := of()) > most and time.time() < end:  # files are deleted in the background
+        time.sleep(0.1)
+    return n
+
+
+def test_a_saved_table_leaves_no_shuffle_files(spark):
+    from graphloom.operators import loops as LO
+
+    files = lambda: len(list(Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data")))
+    before, option = files(), spark.conf.get(LO._CLEANUP, None)
+    held = LO.Saved(spark, "sums").save(spark.range(1000).groupBy((F.col("id") % 70).alias("k")).count())
+    assert _settled(files, before) <= before
+    assert spark.conf.get(LO._CLEANUP, None) == option
+    assert held.count() == 70
+
+
+def test_walks_and_factors_keep_the_tables_of_a_step(spark, monkeypatch):
+    from graphloom.operators import embeddings as EM
+
+    made, init = [], EM.Saved.__init__
+    monkeypatch.setattr(EM.Saved, "__init__", lambda self, *a: init(self, *a) or made.append(self))
+    r = random.Random(4)
+    edges = spark.createDataFrame([(f"a{r.randrange(30)}", f"b{r.randrange(9)}") for _ in range(90)], "src string, dst string")
+    EM.node_embeddings(edges, dimensions=4, walks=2, length=6, window=2, q=0.5).collect()
+    left = {s.root.rsplit("/", 1)[1].split("-")[0]: (len(list(Path(s.root).glob("[0-9]*"))) if Path(s.root).exists() else 0, s.count) for s in made}
+    assert left["walks"][0] == 0 and left["steps"][0] < left["steps"][1] / 2
+    assert left["rounds"][0] <= 3 < left["rounds"][1]
+
+
+def test_draws_behind_a_sure_one_are_not_sent_along():
+    from graphloom.operators import embeddings as EM
+
+    rows = pa.table({"walk": [1, 2, 3]})
+    got = EM._chosen(rows, pa.array(list("abcdefghi")), np.array([[-1, 0, 1], [0, 1, 0], [-1, 1, 0]])).to_pylist()
+    assert [(r["to"], r["drawn"]) for r in got] == [(None, [None, "b", "c"]), (None, ["d", "e", None]), ("h", None)]
