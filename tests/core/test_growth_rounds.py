@@ -106,3 +106,21 @@ def test_draws_behind_a_sure_one_are_not_sent_along():
     rows = pa.table({"walk": [1, 2, 3]})
     got = EM._chosen(rows, pa.array(list("abcdefghi")), np.array([[-1, 0, 1], [0, 1, 0], [-1, 1, 0]])).to_pylist()
     assert [(r["to"], r["drawn"]) for r in got] == [(None, [None, "b", "c"]), (None, ["d", "e", None]), ("h", None)]
+
+
+def test_blocks_of_links_are_of_a_size_that_fits_tasks():
+    import tracemalloc
+
+    from graphloom.operators import blocks as B
+
+    r = np.random.default_rng(5)
+    n = B.LINKS
+    s, t = np.sort(r.integers(0, n // 30, n)), r.integers(0, n, n)
+    start = np.searchsorted(s, np.arange(s[-1] + 2))
+    links = pa.table({"block": pa.array(np.zeros(n, np.int32)), "s": s, "t": t})
+    tracemalloc.start()
+    B._packed(1)(links)
+    B.most_frequent(t[: start[-1]], np.unique(start))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 500e6  # of four tasks at a time, less than 2 GB
