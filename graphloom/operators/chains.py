@@ -29,17 +29,18 @@ def successors(edges: DataFrame, *, tolerance: int | None = None, width: int = D
     order = Window.partitionBy("node", "bin").orderBy("t", "id")
     # of two candidates one is not the edge itself
     this = F.struct("t", "id", "dst")
+    # what comes first behind a row is what came last in falling order, which Spark need not look for again
     rights = saved.save(binned(rights).select("node", "bin", "t", "id", F.array_compact(F.array(this, F.lead(this).over(order))).alias("two"), F.row_number().over(order).alias("place")))
     kind = rights.schema["two"].dataType
-    lefts = saved.save(binned(lefts).select("node", "bin", "t", "id"))
+    lefts = binned(lefts).select("node", "bin", "t", "id")
     inside = lefts.select("*", F.lit(0).alias("side"), F.lit(None).cast(kind).alias("two")).union(rights.select("node", "bin", "t", "id", F.lit(1), "two"))
-    behind = Window.partitionBy("node", "bin").orderBy("t", "side", "id").rowsBetween(1, Window.unboundedFollowing)
-    here = inside.withColumn("found", F.first("two", ignorenulls=True).over(behind)).where("side = 0").select("node", "bin", "t", "id", "found")
+    behind = Window.partitionBy("node", "bin").orderBy(F.desc("t"), F.desc("side"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
+    here = inside.withColumn("found", F.last("two", ignorenulls=True).over(behind)).where("side = 0").select("node", "bin", "t", "id", "found")
     # the first edges of the next bin that has any: a row for each bin of a node
     firsts = rights.where("place = 1").select("node", "bin", "two")
-    bins = lefts.select("node", "bin").distinct().join(firsts, ["node", "bin"], "full_outer")
-    later = Window.partitionBy("node").orderBy("bin").rowsBetween(1, Window.unboundedFollowing)
-    ahead = bins.select("node", "bin", F.first("two", ignorenulls=True).over(later).alias("later"))
+    bins = lefts.select("node", "bin", F.lit(True).alias("asked")).distinct().join(firsts, ["node", "bin"], "full_outer")
+    later = Window.partitionBy("node").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = saved.save(bins.select("node", "bin", "asked", F.last("two", ignorenulls=True).over(later).alias("later")).where("asked").drop("asked"))
     both = F.concat(F.coalesce("found", F.array().cast(kind)), F.coalesce("later", F.array().cast(kind)))
     fits = lambda x: F.lit(itself) | (x["id"] != F.col("id"))
     out = here.join(ahead, ["node", "bin"]).select("id", "t", F.get(F.filter(both, fits), 0).alias("x")).where("x is not null")
@@ -100,16 +101,18 @@ def patterns(chains: DataFrame, *, min_frequency: int = 1) -> DataFrame:
 def time_cycles(edges: DataFrame, *, longest: int = 6, width: int = DAY) -> DataFrame:
     """(id, nodes): from each edge the way along successors back to its own src, of `longest`
     edges at most. A way that comes to another node twice is given up."""
-    saved = Saved(edges.sparkSession, "cycles")
+    saved, kept = Saved(edges.sparkSession, "cycles"), Saved(edges.sparkSession, "closed")
     edges = saved.save(edges.select("id", "src", "dst", "start", "end"))  # several steps read them
     steps = saved.save(successors(edges, width=width, itself=True)).select(F.col("id").alias("at"), "next", "next_dst")
-    now = saved.save(edges.select("id", F.col("id").alias("at"), F.array("src", "dst").alias("nodes")))
-    found: DataFrame | None = None
+    now = edges.select("id", F.col("id").alias("at"), F.array("src", "dst").alias("nodes"))
     home: Column = F.element_at("nodes", -1) == F.element_at("nodes", 1)
     for k in range(longest):
-        closed = now.where(home).select("id", "nodes")
-        found = closed if found is None else found.union(closed)
+        kept.save(now.where(home).select("id", "nodes"))
         if k < longest - 1:
             fresh = ~F.array_contains(F.expr("slice(nodes, 2, greatest(size(nodes) - 2, 0))"), F.col("next_dst")) | (F.col("next_dst") == F.element_at("nodes", 1))
+            first = saved.count
             now = saved.save(now.where(~home).join(steps, "at").where(fresh).select("id", F.col("next").alias("at"), F.concat("nodes", F.array("next_dst")).alias("nodes")))
-    return found
+            if k:  # the edges (0) and steps (1) stay
+                saved.drop(first - 1, first)
+    saved.drop_all()
+    return kept.all()

@@ -46,7 +46,8 @@ def query(name, sql=None):
 
 
 def handled(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("supp"), I.micros(F.min("l_shipdate")).alias("start"), F.max("l_quantity").cast("long").alias("n"))
+    # an order's rows are shuffled once, and then are together for what comes behind
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_quantity").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("supp"), I.micros(F.min("l_shipdate")).alias("start"), F.max("l_quantity").cast("long").alias("n"))
     return rows.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), "l_orderkey", node("s", "supp").alias("supplier"), "start", (F.col("start") + F.col("n") * HOUR).alias("end"))
 
 

@@ -124,3 +124,24 @@ def test_blocks_of_links_are_of_a_size_that_fits_tasks():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 500e6  # of four tasks at a time, less than 2 GB
+
+
+def test_ways_back_keep_the_tables_of_a_step(spark, monkeypatch):
+    from graphloom.operators import chains as C
+
+    made, init, plans, save = [], C.Saved.__init__, [], C.Saved.save
+    monkeypatch.setattr(C.Saved, "__init__", lambda self, *a: init(self, *a) or made.append(self))
+    monkeypatch.setattr(C.Saved, "save", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or save(self, df))
+    edges = spark.createDataFrame([(1, "a", "b", 0, 1), (2, "b", "a", 1, 2), (3, "a", "c", 5, 6), (4, "c", "a", 7, 9), (5, "x", "x", 3, 3)], "id long, src string, dst string, start long, end long")
+    got = {(r.id, ">".join(r.nodes)) for r in C.time_cycles(edges).collect()}
+    assert got == {(1, "a>b>a"), (3, "a>c>a"), (5, "x>x")}
+    assert [s.root for s in made if "/cycles-" in s.root and Path(s.root).exists()] == []
+    # no window looks at all that is behind each row
+    assert not any("unboundedfollowing" in p.lower() for p in plans)
+
+
+def test_an_orders_rows_are_shuffled_once(spark):
+    from graphloom.plans import deeper as D
+
+    rows = D.handovers(spark, "/root/testdata/sf0.001")
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
