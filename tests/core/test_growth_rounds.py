@@ -145,3 +145,23 @@ def test_an_orders_rows_are_shuffled_once(spark):
 
     rows = D.handovers(spark, "/root/testdata/sf0.001")
     assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+
+
+def test_moves_of_communities_keep_a_rounds_table_and_shuffle_half_of_the_links(spark, monkeypatch):
+    from graphloom.operators import communities as CO
+
+    made, init, plans, save = [], CO.Saved.__init__, [], CO.Saved.save
+    monkeypatch.setattr(CO.Saved, "__init__", lambda self, *a: init(self, *a) or made.append(self))
+    monkeypatch.setattr(CO.Saved, "save", lambda self, df: plans.append((self.root, df._jdf.queryExecution().optimizedPlan().toString())) or save(self, df))
+    ends = [(f"{g}{a}", f"{g}{b}", 1.0 + a) for g in "xyz" for a in range(5) for b in range(a)] + [("x0", "y0", 1.0), ("y1", "z1", 1.0)]
+    edges = spark.createDataFrame(ends, "src string, dst string, weight double")
+    out = CO.levelled(edges, weight="weight")
+    got = {}
+    for r in out.last().collect():
+        got.setdefault(r.community, set()).add(r.node)
+    assert got == {f"{g}0": {f"{g}{k}" for k in range(5)} for g in "xyz"}
+    labels = out.last().withColumnRenamed("community", "label")
+    assert out.modularity[-1] == pytest.approx(CO.modularity(CO.weighted_links(edges, "weight"), labels))
+    assert sorted({s.root for s in made if Path(s.root).exists()}) == sorted({s.root for s in made if "/communities-" in s.root})
+    # links meet the labels of their far ends, and nothing to tell whose turn it is
+    assert all(p.count("Join") <= 4 for root, p in plans if "/moves-" in root)
