@@ -165,3 +165,20 @@ def test_moves_of_communities_keep_a_rounds_table_and_shuffle_half_of_the_links(
     assert sorted({s.root for s in made if Path(s.root).exists()}) == sorted({s.root for s in made if "/communities-" in s.root})
     # links meet the labels of their far ends, and nothing to tell whose turn it is
     assert all(p.count("Join") <= 4 for root, p in plans if "/moves-" in root)
+
+
+@pytest.mark.parametrize("way", ["betweenness", "closeness"])
+def test_pairs_of_nodes_have_numbers(spark, monkeypatch, way):
+    from graphloom.operators import graph as G
+
+    kinds, save = set(), G.Saved.save
+    monkeypatch.setattr(G.Saved, "save", lambda self, df: kinds.update(dict(df.dtypes)[c] for c in df.columns if c == "s") or save(self, df))
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "d"), (None, "a"), ("x", "y")], "src string, dst string")
+    some = spark.createDataFrame([("a",), ("x",), ("a",), ("lone",)], "id string")
+    if way == "betweenness":
+        got = {r.node: r.betweenness for r in G.betweenness(edges, sources=some.distinct()).collect()}
+        assert got == pytest.approx({"a": 0.0, "b": 2 / 10, "c": 1 / 10, "d": 0.0, "x": 0.0, "y": 0.0})
+    else:
+        got = {r.id: r.closeness for r in G.closeness(edges, some.distinct()).collect()}
+        assert got == pytest.approx({"a": 3 / 6 * 3 / 5, "x": 1 / 5, "lone": 0.0})
+    assert kinds == {"bigint"}
